@@ -12,16 +12,23 @@ from codeatlas.plans.topk import top_k
 EDGE_COLS = ["project", "edge_ord", "src_path", "dst_path", "type", "from_element", "to_element"]
 
 
-def deps(edges: DataFrame, element: str) -> DataFrame:
-    """Reverse dependencies (F4): edges whose target element equals ``element`` or
-    whose target path contains it. Calls point at their own file, so a file name
-    also returns that file's internal calls."""
-    return edges.where((F.col("to_element") == F.lit(element)) | F.col("dst_path").contains(element))
+def _any_of(elements, el_col: str, path_col: str) -> F.Column:
+    cond = F.lit(False)
+    for x in elements:
+        cond = cond | F.coalesce(F.col(el_col) == F.lit(x), F.lit(False)) | F.col(path_col).contains(x)
+    return cond
 
 
-def calls(edges: DataFrame, element: str) -> DataFrame:
+def deps(edges: DataFrame, *elements: str) -> DataFrame:
+    """Reverse dependencies (F4): edges whose target element equals a name or whose
+    target path contains it. Calls point at their own file, so a file name also
+    returns that file's internal calls. Several names = one pass, union of matches."""
+    return edges.where(_any_of(elements, "to_element", "dst_path"))
+
+
+def calls(edges: DataFrame, *elements: str) -> DataFrame:
     """Forward dependencies (F5): source element equal, or source path containing it."""
-    return edges.where((F.col("from_element") == F.lit(element)) | F.col("src_path").contains(element))
+    return edges.where(_any_of(elements, "from_element", "src_path"))
 
 
 def calls_of(edges: DataFrame, element: str) -> DataFrame:

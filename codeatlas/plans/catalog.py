@@ -5,7 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeatlas.operators import graph
+from pyspark.sql import functions as F
+
+from codeatlas.operators import docs as docops
+from codeatlas.operators import graph, nodes
 from codeatlas.plans.oracle import with_views
 from codeatlas.sources import corpus
 
@@ -48,3 +51,154 @@ def q_hotspots(spark: SparkSession, sf: str) -> DataFrame:
 @register("link_hotspots", with_views("v_links").rstrip("\n") + ",\n" + _ENDS.format(edges="v_links") + _HOT)
 def q_link_hotspots(spark: SparkSession, sf: str) -> DataFrame:
     return graph.hotspots(corpus.links(spark, sf), k=10)
+
+
+# one-hop dependency filters
+_EDGE_SEL = "SELECT project, edge_ord, src_path, dst_path, type, from_element, to_element FROM v_edges"
+
+
+@register("deps", with_views("v_edges") + _EDGE_SEL
+          + " WHERE to_element = 'red_widget_17' OR strpos(dst_path, 'red_widget_17') > 0 OR strpos(dst_path, 'b17/m2') > 0")
+def q_deps(spark, sf):
+    return graph.deps(corpus.edges(spark, sf), "red_widget_17", "b17/m2")
+
+
+@register("calls", with_views("v_edges") + _EDGE_SEL
+          + " WHERE from_element = 'blue_bolt_5' OR strpos(src_path, 'o99') > 0")
+def q_calls(spark, sf):
+    return graph.calls(corpus.edges(spark, sf), "blue_bolt_5", "o99")
+
+
+@register("edge_summary", with_views("v_edges") + """
+SELECT project, count(*) AS total,
+       count(*) FILTER (WHERE type = 'import') AS imports,
+       count(*) FILTER (WHERE type = 'call') AS calls,
+       count(*) FILTER (WHERE type = 'extends') AS extends,
+       count(*) FILTER (WHERE type = 'implements') AS implements
+FROM v_edges GROUP BY project""")
+def q_edge_summary(spark, sf):
+    return graph.edge_summary(corpus.edges(spark, sf))
+
+
+_ORDER_SQL = "edge_ord, src_path, dst_path, type, from_element NULLS FIRST, to_element NULLS FIRST"
+_LABELS_SQL = """src_path || CASE WHEN coalesce(from_element, '') <> '' THEN ':' || from_element ELSE '' END AS from_label,
+       dst_path || CASE WHEN coalesce(to_element, '') <> '' THEN ':' || to_element ELSE '' END AS to_label"""
+
+
+@register("browse_edges", with_views("v_edges") + f"""
+, m AS (SELECT *, {_LABELS_SQL} FROM v_edges
+        WHERE type = 'call' AND (strpos(lower(src_path), 'gear') > 0 OR strpos(lower(dst_path), 'gear') > 0
+              OR strpos(lower(coalesce(from_element, '')), 'gear') > 0 OR strpos(lower(coalesce(to_element, '')), 'gear') > 0)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY {_ORDER_SQL}) AS BIGINT) AS pos,
+             count(*) OVER (PARTITION BY project) AS matches FROM m)
+SELECT project, edge_ord, src_path, dst_path, type, from_element, to_element, from_label, to_label, pos,
+       greatest(matches - 200, 0) AS remaining
+FROM r WHERE pos <= 200""")
+def q_browse_edges(spark, sf):
+    return graph.browse_edges(corpus.edges(spark, sf), text="Gear", edge_type="call", limit=200)
+
+
+@register("file_edges", with_views("v_edges", "v_files") + f"""
+, u AS (
+  SELECT f.path AS file, e.* FROM v_edges e JOIN v_files f ON e.project = f.project AND e.src_path = f.path
+  UNION ALL
+  SELECT f.path AS file, e.* FROM v_edges e JOIN v_files f ON e.project = f.project AND e.dst_path = f.path
+  WHERE e.src_path <> f.path),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY project, file ORDER BY {_ORDER_SQL}) AS BIGINT) AS pos FROM u)
+SELECT file, project, edge_ord, src_path, dst_path, type, from_element, to_element, pos FROM r WHERE pos <= 50""")
+def q_file_edges(spark, sf):
+    return graph.file_edges(corpus.edges(spark, sf), corpus.files(spark, sf), limit=50)
+
+
+@register("element_edges", with_views("v_edges", "v_elements") + f"""
+, u AS (
+  SELECT l.id AS elem_id, e.* FROM v_edges e JOIN v_elements l ON e.project = l.project AND e.from_element = l.name
+  UNION ALL
+  SELECT l.id, e.* FROM v_edges e JOIN v_elements l ON e.project = l.project AND e.to_element = l.name
+  WHERE e.from_element IS DISTINCT FROM l.name
+  UNION ALL
+  SELECT l.id, e.* FROM v_edges e JOIN v_elements l ON e.project = l.project AND e.src_path = l.path
+  WHERE e.from_element IS NULL AND e.to_element IS DISTINCT FROM l.name
+  UNION ALL
+  SELECT l.id, e.* FROM v_edges e JOIN v_elements l ON e.project = l.project AND e.dst_path = l.path
+  WHERE e.to_element IS NULL AND e.from_element IS DISTINCT FROM l.name
+    AND NOT (e.from_element IS NULL AND e.src_path = l.path)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY project, elem_id ORDER BY {_ORDER_SQL}) AS BIGINT) AS pos FROM u)
+SELECT elem_id, project, edge_ord, src_path, dst_path, type, from_element, to_element, pos FROM r WHERE pos <= 50""")
+def q_element_edges(spark, sf):
+    return graph.element_edges(corpus.edges(spark, sf), corpus.elements(spark, sf), limit=50)
+
+
+# ---------------------------------------------------------------- nodes
+_API_SQL = "SELECT project, name, type, path AS file, elem_ord FROM v_elements WHERE exported OR type IN ('class', 'function', 'interface')"
+
+
+@register("public_api", with_views("v_elements") + _API_SQL)
+def q_public_api(spark, sf):
+    return nodes.public_api(corpus.elements(spark, sf))
+
+
+@register("build_summary", with_views("v_files", "v_elements") + """
+SELECT f.project, f.files, e.elements FROM
+  (SELECT project, count(*) AS files FROM v_files GROUP BY project) f
+  JOIN (SELECT project, count(*) AS elements FROM v_elements GROUP BY project) e ON f.project = e.project""")
+def q_build_summary(spark, sf):
+    return nodes.build_summary(corpus.files(spark, sf), corpus.elements(spark, sf))
+
+
+@register("top_files", with_views("v_files", "v_elements") + """
+, per AS (SELECT f.project, f.path, count(e.name) AS elements FROM v_files f
+          LEFT JOIN v_elements e ON e.project = f.project AND e.path = f.path GROUP BY f.project, f.path)
+SELECT project, rank, path, elements FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY elements DESC, path) AS BIGINT) AS rank FROM per)
+WHERE rank <= 10""")
+def q_top_files(spark, sf):
+    return nodes.top_files(corpus.files(spark, sf), corpus.elements(spark, sf), k=10)
+
+
+@register("stats", with_views("v_files", "v_elements", "v_edges", "v_docs") + """
+SELECT f.project, f.n AS files, e.n AS elements, g.n AS edges, d.n AS docs FROM
+  (SELECT project, count(*) AS n FROM v_files GROUP BY 1) f
+  JOIN (SELECT project, count(*) AS n FROM v_elements GROUP BY 1) e USING (project)
+  JOIN (SELECT project, count(*) AS n FROM v_edges GROUP BY 1) g USING (project)
+  JOIN (SELECT project, count(*) AS n FROM v_docs GROUP BY 1) d USING (project)""")
+def q_stats(spark, sf):
+    return nodes.stats(corpus.files(spark, sf), corpus.elements(spark, sf), corpus.edges(spark, sf), corpus.docs(spark, sf))
+
+
+@register("arch_show_target", with_views("v_elements") + """
+, hits AS (SELECT project, path, elem_ord, name FROM v_elements WHERE strpos(name, 'gizmo_4') > 0 OR strpos(id, 'gizmo_4') > 0),
+fhit AS (SELECT DISTINCT project FROM v_elements WHERE strpos(path, 'gizmo_4') > 0 OR strpos(regexp_extract(path, '[^/]*$'), 'gizmo_4') > 0)
+SELECT project, path, CAST(count(*) AS BIGINT) AS n_children, string_agg(name, ',' ORDER BY elem_ord) AS children
+FROM hits WHERE project NOT IN (SELECT project FROM fhit) GROUP BY project, path""")
+def q_arch_show_target(spark, sf):
+    t = nodes.arch_show(corpus.files(spark, sf), corpus.elements(spark, sf), "gizmo_4")
+    return t.select("project", "path", F.size("children").cast("long").alias("n_children"),
+                    F.array_join(F.transform("children", lambda c: c["name"]), ",").alias("children"))
+
+
+@register("arch_browse", with_views("v_files", "v_elements") + """
+, kids AS (SELECT project, path, CAST(count(*) AS BIGINT) AS n_children, string_agg(name, ',' ORDER BY elem_ord) AS children
+           FROM v_elements WHERE strpos(lower(name), 'ring_1') > 0 GROUP BY project, path)
+SELECT f.project, f.path, coalesce(k.n_children, 0) AS n_children, coalesce(k.children, '') AS children
+FROM v_files f LEFT JOIN kids k ON f.project = k.project AND f.path = k.path
+WHERE strpos(lower(f.name), 'ring_1') > 0 OR k.n_children > 0""")
+def q_arch_browse(spark, sf):
+    t = nodes.arch_browse(corpus.files(spark, sf), corpus.elements(spark, sf), "RING_1")
+    return t.select("project", "path", F.size("children").cast("long").alias("n_children"),
+                    F.array_join(F.transform("children", lambda c: c["name"]), ",").alias("children"))
+
+
+@register("known_names", with_views("v_files", "v_elements") + """
+SELECT DISTINCT project, known FROM (
+  SELECT project, name AS known FROM v_files UNION ALL SELECT project, path FROM v_files
+  UNION ALL SELECT project, name FROM v_elements UNION ALL SELECT project, id FROM v_elements)""")
+def q_known_names(spark, sf):
+    return nodes.known_names(corpus.files(spark, sf), corpus.elements(spark, sf))
+
+
+@register("file_exports", with_views("v_files") + """
+SELECT project, path, name, coalesce(array_to_string(exports, ','), '') AS exports, CAST(coalesce(len(exports), 0) AS INTEGER) AS n_exports FROM v_files""")
+def q_file_exports(spark, sf):
+    f = nodes.file_exports(corpus.elements(spark, sf))
+    return f.select("project", "path", "name", F.array_join("exports", ",").alias("exports"), F.size("exports").alias("n_exports"))
