@@ -202,3 +202,138 @@ SELECT project, path, name, coalesce(array_to_string(exports, ','), '') AS expor
 def q_file_exports(spark, sf):
     f = nodes.file_exports(corpus.elements(spark, sf))
     return f.select("project", "path", "name", F.array_join("exports", ",").alias("exports"), F.size("exports").alias("n_exports"))
+
+
+# ---------------------------------------------------------------- docs
+@register("undocumented", with_views("v_elements", "v_docs") + f"""
+SELECT a.* FROM ({_API_SQL}) a
+WHERE NOT EXISTS (SELECT 1 FROM v_docs d WHERE d.project = a.project AND d.element = a.name)""")
+def q_undocumented(spark, sf):
+    return docops.undocumented(corpus.elements(spark, sf), corpus.docs(spark, sf))
+
+
+@register("doc_coverage", with_views("v_elements", "v_docs") + f"""
+, a AS ({_API_SQL}),
+f AS (SELECT a.project, EXISTS (SELECT 1 FROM v_docs d WHERE d.project = a.project AND d.element = a.name) AS covered FROM a)
+SELECT project, count(*) AS total, count(*) FILTER (WHERE covered) AS covered,
+       CASE WHEN count(*) = 0 THEN 100 ELSE CAST(round(count(*) FILTER (WHERE covered) * 100.0 / count(*)) AS BIGINT) END AS percent
+FROM f GROUP BY project""")
+def q_doc_coverage(spark, sf):
+    return docops.doc_coverage(corpus.elements(spark, sf), corpus.docs(spark, sf))
+
+
+@register("doc_type_counts", with_views("v_docs") + """
+SELECT c.project, t.total, c.type, c.n FROM
+  (SELECT project, type, count(*) AS n FROM v_docs GROUP BY 1, 2) c
+  JOIN (SELECT project, count(*) AS total FROM v_docs GROUP BY 1) t ON c.project = t.project""")
+def q_doc_type_counts(spark, sf):
+    d = docops.docs_by_type(corpus.docs(spark, sf))
+    return d.select("project", "total", F.explode("by_type").alias("type", "n"))
+
+
+_ISO = "'%Y-%m-%dT%H:%M:%S.%gZ'"
+
+
+@register("recent_docs", with_views("v_docs") + f"""
+SELECT project, rank, element, type, strftime(updated_at, {_ISO}) AS updated_at FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY updated_at DESC, doc_ord) AS BIGINT) AS rank FROM v_docs)
+WHERE rank <= 5""")
+def q_recent_docs(spark, sf):
+    r = docops.recent_docs(corpus.docs(spark, sf), k=5)
+    return r.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+
+
+@register("doc_stale", with_views("v_files", "v_elements", "v_docs", "v_mtimes") + """
+, known AS (SELECT DISTINCT project, known FROM (
+  SELECT project, name AS known FROM v_files UNION ALL SELECT project, path FROM v_files
+  UNION ALL SELECT project, name FROM v_elements UNION ALL SELECT project, id FROM v_elements)),
+built AS (SELECT DISTINCT project FROM v_files),
+d AS (SELECT d.project, d.doc_ord, d.element, d.path, d.updated_at, b.project IS NOT NULL AS arch,
+             k.known IS NOT NULL AS is_known, m.mtime, coalesce(d.path, '') <> '' AS has_path
+      FROM v_docs d
+      LEFT JOIN built b ON d.project = b.project
+      LEFT JOIN known k ON d.project = k.project AND d.element = k.known
+      LEFT JOIN v_mtimes m ON d.project = m.project AND d.path = m.path
+      WHERE d.type <> 'page'),
+s AS (SELECT project, doc_ord, element,
+        CASE WHEN arch AND NOT is_known THEN 'orphaned'
+             WHEN has_path AND mtime IS NULL THEN 'orphaned'
+             WHEN has_path AND date_trunc('millisecond', mtime) > date_trunc('millisecond', updated_at) THEN 'outdated' END AS status,
+        CASE WHEN arch AND NOT is_known THEN 'element missing from architecture'
+             WHEN has_path AND mtime IS NULL THEN 'file not found: ' || path
+             WHEN has_path AND date_trunc('millisecond', mtime) > date_trunc('millisecond', updated_at)
+               THEN 'code changed ' || strftime(mtime, '%Y-%m-%d') || ', doc updated ' || strftime(updated_at, '%Y-%m-%d') END AS reason
+      FROM d)
+SELECT * FROM s WHERE status IS NOT NULL""")
+def q_doc_stale(spark, sf):
+    return docops.doc_stale(corpus.files(spark, sf), corpus.elements(spark, sf), corpus.docs(spark, sf),
+                            corpus.file_mtimes(spark, sf))
+
+
+@register("doc_lookup", with_views("v_elements", "v_docs") + """
+, names AS (SELECT DISTINCT project, name FROM (
+    SELECT project, name FROM v_elements
+    UNION ALL SELECT project, unnest(aliases) AS name FROM v_docs)),
+keys AS (SELECT project, element AS name, doc_ord FROM v_docs
+         UNION ALL SELECT project, unnest(aliases) AS name, doc_ord FROM v_docs),
+f AS (SELECT n.project, n.name, min(k.doc_ord) AS doc_ord FROM names n
+      JOIN keys k ON n.project = k.project AND n.name = k.name GROUP BY n.project, n.name)
+SELECT f.project, f.name, f.doc_ord, d.element, d.type FROM f JOIN v_docs d ON f.project = d.project AND f.doc_ord = d.doc_ord""")
+def q_doc_lookup(spark, sf):
+    d = corpus.docs(spark, sf)
+    names = corpus.elements(spark, sf).select("project", "name").unionByName(
+        d.select("project", F.explode("aliases").alias("name")))
+    return docops.doc_lookup(d, names).select("project", "name", "doc_ord", "element", "type")
+
+
+_EXT_SQL = " OR ".join(f"ends_with(n.name, '{e}')" for e in
+                       [".ts", ".tsx", ".js", ".jsx", ".py", ".rs", ".go", ".java", ".rb", ".php", ".vue", ".svelte", ".html", ".css", ".scss"])
+
+
+@register("resolve_targets", with_views("v_files", "v_elements", "v_docs") + f"""
+, keys AS (
+  SELECT project, name, path AS r_path, 'file' AS r_type, path AS p, 0 AS child, CAST(0 AS BIGINT) AS e FROM v_files
+  UNION ALL SELECT project, path, path, 'file', path, 0, 0 FROM v_files
+  UNION ALL SELECT project, name, path, type, path, 1, elem_ord FROM v_elements
+  UNION ALL SELECT project, id, path, type, path, 1, elem_ord FROM v_elements),
+n AS (SELECT DISTINCT project, element AS name FROM v_docs),
+h AS (SELECT * FROM (SELECT n.project, n.name, k.r_path, k.r_type,
+        row_number() OVER (PARTITION BY n.project, n.name ORDER BY k.p, k.child, k.e) AS rn
+      FROM n JOIN keys k ON n.project = k.project AND n.name = k.name) WHERE rn = 1)
+SELECT n.project, n.name,
+       coalesce(h.r_path, CASE WHEN {_EXT_SQL} THEN n.name ELSE '' END) AS path,
+       coalesce(h.r_type, CASE WHEN {_EXT_SQL} THEN 'file' ELSE 'unknown' END) AS type
+FROM n LEFT JOIN h ON n.project = h.project AND n.name = h.name""")
+def q_resolve_targets(spark, sf):
+    d = corpus.docs(spark, sf)
+    return docops.resolve_targets(corpus.files(spark, sf), corpus.elements(spark, sf),
+                                  d.select("project", F.col("element").alias("name")))
+
+
+_DIR_SQL = ("CASE type WHEN 'file' THEN 'files' WHEN 'function' THEN 'functions' WHEN 'class' THEN 'classes' "
+            "WHEN 'interface' THEN 'types' WHEN 'type' THEN 'types' WHEN 'enum' THEN 'types' WHEN 'variable' THEN 'variables' "
+            "WHEN 'module' THEN 'modules' WHEN 'page' THEN 'pages' WHEN 'unknown' THEN 'other' ELSE 'other' END")
+
+
+@register("doc_list", with_views("v_docs") + f"SELECT project, {_DIR_SQL} AS type_dir, doc_ord, element, type, path FROM v_docs")
+def q_doc_list(spark, sf):
+    return docops.doc_list(corpus.docs(spark, sf))
+
+
+@register("browse_docs", with_views("v_docs") + """
+SELECT project, doc_ord, element, type, path FROM v_docs
+WHERE strpos(lower(concat_ws(' ', type, element, CASE WHEN coalesce(path, '') = '' THEN 'free page' ELSE path END)), 'page 1') > 0
+   OR strpos(lower(concat_ws(' ', type, element, CASE WHEN coalesce(path, '') = '' THEN 'free page' ELSE path END)), 'e_1') > 0""")
+def q_browse_docs(spark, sf):
+    d = corpus.docs(spark, sf)
+    return docops.browse_docs(d, "Page 1").unionByName(
+        docops.browse_docs(d, "E_1").join(docops.browse_docs(d, "Page 1").select("project", "doc_ord"), ["project", "doc_ord"], "left_anti")
+    ).select("project", "doc_ord", "element", "type", "path")
+
+
+@register("doc_show", with_views("v_docs") + f"""
+SELECT project, doc_ord, element, path, type, markdown, {_DIR_SQL} || '/' || element || '.md' AS md_path FROM (
+  SELECT *, '# ' || element || chr(10) || chr(10) || content || chr(10) AS markdown FROM v_docs) WHERE element = 'page_3'""")
+def q_doc_show(spark, sf):
+    d = docops.with_markdown(docops.doc_show(corpus.docs(spark, sf), "page_3"))
+    return d.select("project", "doc_ord", "element", "path", "type", "markdown", "md_path")
