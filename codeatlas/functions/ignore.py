@@ -35,6 +35,10 @@ def is_ignored_py(path: str, patterns) -> bool:
     return any(matches_pattern(path, segs, p) for p in patterns)
 
 
+def _ends_with(suffix: str):
+    return lambda s: s.endswith(suffix)
+
+
 def is_ignored(path, patterns=None) -> Column:
     """True when any pattern hits the relative path.
 
@@ -55,7 +59,7 @@ def is_ignored(path, patterns=None) -> Column:
     if names:
         cond = cond | F.arrays_overlap(segs, F.array(*[F.lit(n) for n in names]))
     for suf in suffixes:
-        cond = cond | F.exists(segs, lambda s, suf=suf: s.endswith(suf))
+        cond = cond | F.exists(segs, _ends_with(suf))
     for sub in subs:
         cond = cond | p.contains(sub)
     return cond

@@ -43,6 +43,11 @@ def fuzzy_threshold(token: str) -> int:
     return 1 if len(token) <= 4 else 2
 
 
+def _near(q: str):
+    thr = fuzzy_threshold(q)
+    return lambda t: F.levenshtein(t, F.lit(q), thr) >= 0
+
+
 def _literal_parts(query: str):
     return query.lower().strip(), tokenize_py(query)
 
@@ -54,8 +59,7 @@ def token_score(query: str, target_tokens) -> Column:
     if not qt:
         return F.lit(0.0)
     exact = [F.array_contains(toks, F.lit(q)) for q in qt]
-    fuzzy = [(~e) & F.exists(toks, lambda t, q=q: F.levenshtein(t, F.lit(q), fuzzy_threshold(q)) >= 0)
-             for q, e in zip(qt, exact)]
+    fuzzy = [(~e) & F.exists(toks, _near(q)) for q, e in zip(qt, exact)]
     n = float(len(qt))
     n_exact = sum((e.cast("int") for e in exact[1:]), exact[0].cast("int"))
     n_fuzzy = sum((f.cast("int") for f in fuzzy[1:]), fuzzy[0].cast("int"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from codeatlas.operators import docs as docops
 from codeatlas.operators import graph, nodes
-from codeatlas.plans.oracle import with_views
+from codeatlas.operators import search as search_ops
+from codeatlas.plans.oracle import sql_score, with_views
 from codeatlas.sources import corpus
 
 QUERIES: dict = {}
@@ -337,3 +338,47 @@ SELECT project, doc_ord, element, path, type, markdown, {_DIR_SQL} || '/' || ele
 def q_doc_show(spark, sf):
     d = docops.with_markdown(docops.doc_show(corpus.docs(spark, sf), "page_3"))
     return d.select("project", "doc_ord", "element", "path", "type", "markdown", "md_path")
+
+
+# ---------------------------------------------------------------- search
+def _search_sql(query: str, k: int = 25) -> str:
+    S = lambda e: sql_score(query, e)
+    alias = f"coalesce(list_max(list_transform(aliases, lambda a: {S('a')})), 0.0::DOUBLE)"
+    return with_views("v_files", "v_elements", "v_docs") + f"""
+, hits AS (
+  SELECT project, name AS element, 'file' AS type, path AS location, 'code' AS source, CAST(NULL AS VARCHAR) AS signature,
+         {S('path')} AS score, 0 AS s, path AS p, CAST(-1 AS BIGINT) AS o FROM v_files
+  UNION ALL
+  SELECT project, name, type, path || CASE WHEN coalesce(line, 0) <> 0 THEN ':' || CAST(line AS VARCHAR) ELSE '' END,
+         'code', signature, greatest({S('name')}, {S("coalesce(signature, '')")} * 0.8::DOUBLE), 0, path, elem_ord FROM v_elements
+  UNION ALL
+  SELECT project, element, type, CASE WHEN coalesce(path, '') = '' THEN NULL ELSE path END, 'doc', NULL,
+         greatest({S('element')}, {alias}, {S('content')} * 0.5::DOUBLE), 1, '', doc_ord FROM v_docs),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project, element, location ORDER BY score DESC, s, p, o) AS rn
+                        FROM hits WHERE score >= 0.3) WHERE rn = 1),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY score DESC, s, p, o, element, location NULLS FIRST) AS BIGINT) AS rank FROM best)
+SELECT project, rank, element, type, location, source, signature, round(score, 3) AS score FROM ranked WHERE rank <= {k}"""
+
+
+def _doc_search_sql(query: str) -> str:
+    S = lambda e: sql_score(query, e)
+    alias = f"coalesce(list_max(list_transform(aliases, lambda a: {S('a')})), 0.0::DOUBLE)"
+    return with_views("v_docs") + f"""
+SELECT project, doc_ord, element, type, path, aliases, round(score, 3) AS score FROM (
+  SELECT *, greatest({S('element')}, {alias}, {S('path')} * 0.7::DOUBLE, {S('content')} * 0.5::DOUBLE) AS score FROM v_docs)
+WHERE score >= 0.3"""
+
+
+@register("search", _search_sql("smal widgt"))
+def q_search(spark, sf):
+    return search_ops.search(corpus.files(spark, sf), corpus.elements(spark, sf), corpus.docs(spark, sf), "smal widgt", k=25)
+
+
+@register("search_content", _search_sql("Ertion onheed"))
+def q_search_content(spark, sf):
+    return search_ops.search(corpus.files(spark, sf), corpus.elements(spark, sf), corpus.docs(spark, sf), "Ertion onheed", k=25)
+
+
+@register("doc_search", _doc_search_sql("thhe redd anat"))
+def q_doc_search(spark, sf):
+    return search_ops.doc_search(corpus.docs(spark, sf), "thhe redd anat")

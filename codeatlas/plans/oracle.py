@@ -104,3 +104,42 @@ def with_views(*names: str) -> str:
     for n in names:
         visit(n)
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1]}\n)" for n in order) + "\n"
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_tokens(expr: str) -> str:
+    """DuckDB twin of ``functions.score.tokenize``."""
+    return (f"list_filter(regexp_split_to_array(lower(regexp_replace({expr}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), "
+            f"'[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')")
+
+
+def sql_score(query: str, expr: str) -> str:
+    """DuckDB twin of ``functions.score.score_match`` for an ASCII query.
+
+    DuckDB's edit distance counts UTF-8 bytes; target tokens are first mapped to
+    ASCII (each other character -> '?', which never equals a query letter), making
+    the byte distance equal to the code-point distance."""
+    from codeatlas.functions.score import fuzzy_threshold, tokenize_py
+
+    if not query:
+        return "0.0::DOUBLE"
+    q = query.lower().strip()
+    qt = tokenize_py(query)
+    toks = sql_tokens(expr)
+    if qt:
+        n = len(qt)
+        exact = [f"list_contains({toks}, {_sql_str(t)})" for t in qt]
+        fuzzy = [f"(NOT {e} AND len(list_filter({toks}, lambda x: levenshtein(regexp_replace(x, '[^\\x00-\\x7F]', '?', 'g'), "
+                 f"{_sql_str(t)}) <= {fuzzy_threshold(t)})) > 0)" for t, e in zip(qt, exact)]
+        ne = " + ".join(f"CAST({e} AS INTEGER)" for e in exact)
+        nf = " + ".join(f"CAST({f} AS INTEGER)" for f in fuzzy)
+        tok = (f"CASE WHEN len({toks}) = 0 THEN 0.0::DOUBLE ELSE greatest(({ne}) * {repr(0.8 / n)}::DOUBLE, "
+               f"({nf}) * {repr(0.6 / n)}::DOUBLE) END")
+    else:
+        tok = "0.0::DOUBLE"
+    return (f"(CASE WHEN {expr} IS NULL OR {expr} = '' THEN 0.0::DOUBLE "
+            f"WHEN lower({expr}) = {_sql_str(q)} THEN 1.0::DOUBLE "
+            f"WHEN strpos(lower({expr}), {_sql_str(q)}) > 0 THEN 0.9::DOUBLE ELSE {tok} END)")
