@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeatlas.operators import docs as docops
-from codeatlas.operators import graph, nodes
+from codeatlas.operators import extract_python, graph, nodes
 from codeatlas.operators import search as search_ops
 from codeatlas.plans.oracle import sql_score, with_views
 from codeatlas.sources import corpus
@@ -382,3 +382,97 @@ def q_search_content(spark, sf):
 @register("doc_search", _doc_search_sql("thhe redd anat"))
 def q_doc_search(spark, sf):
     return search_ops.doc_search(corpus.docs(spark, sf), "thhe redd anat")
+
+
+# ---------------------------------------------------------------- python extraction
+_TRIM = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _trim_sql(x: str) -> str:
+    return _TRIM.format(x=x)
+
+
+_PY_ELEMENTS_SQL = with_views("v_py_lines") + f"""
+, w AS (SELECT *, lead(line, 1) OVER win AS n1, lead(line, 2) OVER win AS n2,
+               lead(line_no, 1) OVER win AS n1_no, lead(line_no, 2) OVER win AS n2_no
+        FROM v_py_lines WINDOW win AS (PARTITION BY project, path ORDER BY line_no)),
+c AS (
+  SELECT *, 0 AS rule, regexp_extract(line, '^def\\s+([a-zA-Z_]\\w*)\\s*\\(', 1) AS name, 'function' AS type,
+         regexp_replace(regexp_replace({_trim_sql('line')}, '^def\\s+', ''), ':\\s*$', '') AS signature FROM w
+  UNION ALL
+  SELECT *, 1, regexp_extract(line, '^class\\s+([a-zA-Z_]\\w*)\\s*[:(]', 1), 'class',
+         regexp_replace({_trim_sql('line')}, ':\\s*$', '') FROM w
+  UNION ALL
+  SELECT *, 2, regexp_extract(line, '^([a-zA-Z_]\\w*)\\s*[=:]', 1), 'variable', NULL FROM w
+  WHERE NOT starts_with(line, 'def ') AND NOT starts_with(line, 'class ') AND NOT starts_with(line, '#')
+    AND NOT starts_with(line, ' ') AND NOT starts_with(line, chr(9))
+    AND regexp_extract(line, '^([a-zA-Z_]\\w*)\\s*[=:]', 1) NOT IN
+        ('if', 'for', 'while', 'with', 'try', 'elif', 'else', 'except', 'finally', 'return', 'yield', 'raise', 'import', 'from')),
+d AS (SELECT *, CASE WHEN n1 IS NOT NULL AND {_trim_sql('n1')} <> '' THEN {_trim_sql('n1')}
+                     WHEN n2 IS NOT NULL AND {_trim_sql('n2')} <> '' THEN {_trim_sql('n2')} END AS opener,
+                CASE WHEN n1 IS NOT NULL AND {_trim_sql('n1')} <> '' THEN n1_no
+                     WHEN n2 IS NOT NULL AND {_trim_sql('n2')} <> '' THEN n2_no END AS o_no
+      FROM c WHERE name <> ''),
+q AS (SELECT *, regexp_extract(opener, '^(["'']{{3}}|["''])', 1) AS qt FROM d),
+r AS (SELECT *, substr(opener, length(qt) + 1) AS rest FROM q),
+s AS (SELECT r.*, strpos(rest, qt) AS close_at,
+             (SELECT min(l.line_no) FROM v_py_lines l WHERE l.project = r.project AND l.path = r.path
+                AND l.line_no > r.o_no AND strpos(l.line, r.qt) > 0) AS c_no FROM r),
+doc AS (SELECT s.*, CASE WHEN type = 'variable' OR coalesce(qt, '') = '' THEN NULL
+          WHEN close_at > 0 THEN nullif({_trim_sql('substr(rest, 1, close_at - 1)')}, '')
+          ELSE nullif({_trim_sql('''array_to_string(list_concat([rest],
+                 coalesce((SELECT list(l.line ORDER BY l.line_no) FROM v_py_lines l WHERE l.project = s.project AND l.path = s.path
+                             AND l.line_no > s.o_no AND l.line_no < coalesce(s.c_no, 9223372036854775807)), []),
+                 CASE WHEN s.c_no IS NULL THEN [] ELSE [(SELECT split_part(l.line, s.qt, 1) FROM v_py_lines l
+                     WHERE l.project = s.project AND l.path = s.path AND l.line_no = s.c_no)] END), chr(10))''')}, '') END AS doc_comment
+        FROM s)
+SELECT project, path, CAST(row_number() OVER (PARTITION BY project, path ORDER BY line_no, rule) AS BIGINT) AS elem_ord,
+       path || ':' || name AS id, name, type, CAST(line_no AS INTEGER) AS line, signature, doc_comment,
+       NOT starts_with(name, '_') AS exported
+FROM doc"""
+
+
+@register("py_elements", _PY_ELEMENTS_SQL)
+def q_py_elements(spark, sf):
+    return extract_python.python_elements(corpus.src_files(spark, sf))
+
+
+_PY_EDGES_SQL = with_views("v_py_lines") + f"""
+, t AS (SELECT *, {_trim_sql('line')} AS tl FROM v_py_lines),
+fi AS (SELECT project, path, line_no, regexp_extract(tl, '^from\\s+([\\w.]+)\\s+import\\s+(.+)', 1) AS module,
+              list_filter(list_transform(string_split(regexp_extract(tl, '^from\\s+([\\w.]+)\\s+import\\s+(.+)', 2), ','),
+                 lambda x: string_split_regex({_trim_sql('x')}, '\\s+as\\s+')[1]), lambda x: x <> '') AS names FROM t),
+fu AS (SELECT project, path, line_no, module, unnest(names) AS name, generate_subscripts(names, 1) - 1 AS pos FROM fi WHERE module <> ''),
+pi AS (SELECT project, path, line_no,
+              list_filter(list_transform(string_split(regexp_extract(tl, '^import\\s+(.+)', 1), ','),
+                 lambda x: string_split_regex({_trim_sql('x')}, '\\s+as\\s+')[1]), lambda x: x <> '') AS mods FROM t
+       WHERE regexp_extract(tl, '^from\\s+([\\w.]+)\\s+import\\s+(.+)', 1) = '' AND regexp_extract(tl, '^import\\s+(.+)', 1) <> ''),
+pu AS (SELECT project, path, line_no, unnest(mods) AS module, CAST(NULL AS VARCHAR) AS name, generate_subscripts(mods, 1) - 1 AS pos FROM pi),
+imp AS (SELECT * FROM fu UNION ALL SELECT * FROM pu),
+bi AS (SELECT project, path, line_no, regexp_extract(line, '^class\\s+([a-zA-Z_]\\w*)\\s*\\(([^)]+)\\)', 1) AS cls,
+              list_filter(list_transform(string_split(regexp_extract(line, '^class\\s+([a-zA-Z_]\\w*)\\s*\\(([^)]+)\\)', 2), ','),
+                 lambda b: {_trim_sql('b')}), lambda b: b <> '' AND b <> 'object') AS bases FROM v_py_lines),
+bu AS (SELECT project, path, line_no, cls, unnest(bases) AS base, generate_subscripts(bases, 1) - 1 AS pos FROM bi WHERE cls <> ''),
+mk AS (SELECT *, regexp_extract(line, '^(\\s*)def\\s+([a-zA-Z_]\\w*)\\s*\\(', 2) AS dn,
+              length(regexp_extract(line, '^(\\s*)def\\s+([a-zA-Z_]\\w*)\\s*\\(', 1)) AS di FROM v_py_lines),
+mk2 AS (SELECT *, CASE WHEN dn <> '' AND di IN (0, 4) THEN 1
+                       WHEN length(line) > 0 AND NOT starts_with(line, ' ') AND NOT starts_with(line, chr(9)) AND dn = ''
+                            AND NOT regexp_matches(line, '^class\\s+') THEN 2 END AS marker FROM mk),
+sc AS (SELECT *, max(CASE WHEN marker IS NOT NULL THEN line_no END) OVER (PARTITION BY project, path ORDER BY line_no
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mline FROM mk2),
+scoped AS (SELECT s.project, s.path, s.line_no, s.line, CASE WHEN m.marker = 1 THEN m.dn END AS caller
+           FROM sc s LEFT JOIN mk2 m ON m.project = s.project AND m.path = s.path AND m.line_no = s.mline),
+cl AS (SELECT project, path, line_no, caller, regexp_extract_all(line, '([a-zA-Z_][\\w.]*)\\s*\\(', 1) AS cs FROM scoped),
+cu AS (SELECT project, path, line_no, caller, unnest(cs) AS callee, generate_subscripts(cs, 1) - 1 AS pos FROM cl)
+SELECT project, CAST(line_no AS BIGINT) * 65536 + pos AS edge_ord, path AS src_path, replace(module, '.', '/') || '.py' AS dst_path,
+       'import' AS type, CAST(NULL AS VARCHAR) AS from_element, name AS to_element FROM imp
+UNION ALL
+SELECT project, CAST(1 AS BIGINT) * 4503599627370496 + CAST(line_no AS BIGINT) * 65536 + pos, path, path, 'extends', cls, base FROM bu
+UNION ALL
+SELECT project, CAST(2 AS BIGINT) * 4503599627370496 + CAST(line_no AS BIGINT) * 65536 + pos, path, path, 'call', caller, callee FROM cu
+WHERE callee NOT IN ('if', 'for', 'while', 'with', 'def', 'class', 'return', 'print', 'elif', 'except', 'lambda')"""
+
+
+@register("py_edges", _PY_EDGES_SQL)
+def q_py_edges(spark, sf):
+    return extract_python.python_edges(corpus.src_files(spark, sf))

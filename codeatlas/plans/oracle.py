@@ -81,6 +81,11 @@ SELECT project, path, p_partkey * 4 + j + 1 AS line_no, line FROM (
                 WHEN p_type = 'STANDARD' THEN 'import os, sys'
                 ELSE '' END]) AS line
   FROM part)'''),
+    "v_src_files": (["v_src_lines"], """
+SELECT project, path, string_agg(line, chr(10) ORDER BY line_no) AS content FROM v_src_lines GROUP BY project, path"""),
+    "v_py_lines": (["v_src_files"], """
+SELECT project, path, CAST(generate_subscripts(parts, 1) AS BIGINT) AS line_no, unnest(parts) AS line
+FROM (SELECT project, path, string_split(content, chr(10)) AS parts FROM v_src_files)"""),
     "v_links": ([], """
 SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS project,
        page_id * 100000 + pos AS edge_ord, url AS src_path, href AS dst_path, 'import' AS type,

@@ -193,3 +193,12 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("from_element"),
         F.lit(None).cast("string").alias("to_element"),
     )
+
+
+def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``source_files(project, path, content)`` assembled from :func:`src_lines`
+    (lines of one file joined in line order)."""
+    ln = src_lines(spark, sf_dir)
+    return (ln.groupBy("project", "path")
+            .agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
+            .select("project", "path", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("content")))
