@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions.text import module_to_path
+from codeatlas.plans.partitioning import spread
 
 # Matching rules and stop words.
 DEF_RE = r"^def\s+([a-zA-Z_]\w*)\s*\("
@@ -42,7 +43,7 @@ def _trim(c) -> F.Column:
 
 def lines_of(source_files: DataFrame) -> DataFrame:
     """(project, path, line_no, line): one row per ``\\n``-separated line, 1-based."""
-    return source_files.select("project", "path", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line")) \
+    return spread(source_files).select("project", "path", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line")) \
         .select("project", "path", (F.col("pos") + 1).alias("line_no"), "line")
 
 

@@ -107,14 +107,14 @@ def browse_edges(edges: DataFrame, text: str | None = None, edge_type: str | Non
 
 def file_edges(edges: DataFrame, paths: DataFrame, limit: int | None = 50) -> DataFrame:
     """Neighbourhood of many files at once (F12): edges with ``src_path = path`` or
-    ``dst_path = path``. Two disjoint equi-joins unioned (the second skips edges the
-    first already holds), so duplicate edges keep their multiplicity; never an OR join."""
-    p = paths.select(F.col("project").alias("_p"), F.col("path").alias("file"))
-    cols = [edges[c] for c in EDGE_COLS]
-    a = edges.join(p, (edges.project == p._p) & (edges.src_path == p.file)).select(p.file, *cols)
-    b = (edges.join(p, (edges.project == p._p) & (edges.dst_path == p.file))
-         .where(edges.src_path != p.file).select(p.file, *cols))
-    both = a.unionByName(b)
+    ``dst_path = path``. Each edge offers its two endpoint paths as keys; one equi-join
+    on (project, key) replaces an OR join, and an internal edge (src = dst) is kept
+    once, so duplicate edges keep their multiplicity."""
+    keys = edges.select(*EDGE_COLS, F.inline(F.array(
+        F.struct(F.lit(1).alias("kind"), F.col("src_path").alias("key")),
+        F.struct(F.lit(2).alias("kind"), F.when(F.col("dst_path") != F.col("src_path"), F.col("dst_path")).alias("key")))))
+    p = paths.select("project", F.col("path").alias("key"), F.col("path").alias("file"))
+    both = keys.where(F.col("key").isNotNull()).join(p, ["project", "key"]).select("file", *EDGE_COLS)
     if limit is None:
         return both
     return top_k(both, ["project", "file"], edge_order(), limit, "pos")
@@ -122,26 +122,31 @@ def file_edges(edges: DataFrame, paths: DataFrame, limit: int | None = 50) -> Da
 
 def element_edges(edges: DataFrame, elems: DataFrame, limit: int | None = 50) -> DataFrame:
     """Neighbourhood of many elements (F13): ``from_element = name``, ``to_element = name``,
-    or a file-level edge (null element) on the element's own path. Four disjoint
-    equi-joins unioned, each excluding what the earlier ones matched."""
-    el = elems.select(F.col("project").alias("_p"), F.col("id").alias("elem_id"),
-                      F.col("name").alias("el_name"), F.col("path").alias("el_path"))
-    cols = [edges[c] for c in EDGE_COLS]
-    on_p = edges.project == el._p
-    fe, te = edges.from_element, edges.to_element
-    from_hit = fe.eqNullSafe(el.el_name)
-    to_hit = te.eqNullSafe(el.el_name)
-    src_hit = fe.isNull() & (edges.src_path == el.el_path)
-    parts = [
-        edges.join(el, on_p & (fe == el.el_name)),
-        edges.join(el, on_p & (te == el.el_name)).where(~from_hit),
-        edges.where(fe.isNull()).join(el, on_p & (edges.src_path == el.el_path)).where(~to_hit),
-        edges.where(te.isNull()).join(el, on_p & (edges.dst_path == el.el_path)).where(~from_hit & ~src_hit),
-    ]
-    u = None
-    for x in parts:
-        x = x.select(el.elem_id, *cols)
-        u = x if u is None else u.unionByName(x)
+    or a file-level edge (null element) on the element's own path.
+
+    Each edge offers up to four (kind, key) pairs and each element the matching
+    four; a single equi-join on (project, kind, key) finds every hit, and a filter
+    keeps an edge only under the first kind that matches the element, so it is
+    listed once per element. No OR join, one shuffle of each side."""
+    fe, te = F.col("from_element"), F.col("to_element")
+    keys = edges.select(*EDGE_COLS, F.inline(F.array(
+        F.struct(F.lit(1).alias("kind"), fe.alias("key")),
+        F.struct(F.lit(2).alias("kind"), te.alias("key")),
+        F.struct(F.lit(3).alias("kind"), F.when(fe.isNull(), F.col("src_path")).alias("key")),
+        F.struct(F.lit(4).alias("kind"), F.when(te.isNull(), F.col("dst_path")).alias("key")))))
+    el = elems.select("project", F.col("id").alias("elem_id"), F.col("name").alias("el_name"),
+                      F.col("path").alias("el_path"),
+                      F.inline(F.array(F.struct(F.lit(1).alias("kind"), F.col("name").alias("key")),
+                                       F.struct(F.lit(2).alias("kind"), F.col("name").alias("key")),
+                                       F.struct(F.lit(3).alias("kind"), F.col("path").alias("key")),
+                                       F.struct(F.lit(4).alias("kind"), F.col("path").alias("key")))))
+    j = keys.where(F.col("key").isNotNull()).join(el, ["project", "kind", "key"])
+    from_hit = F.coalesce(fe == F.col("el_name"), F.lit(False))
+    to_hit = F.coalesce(te == F.col("el_name"), F.lit(False))
+    src_hit = fe.isNull() & (F.col("src_path") == F.col("el_path"))
+    first = ((F.col("kind") == 1) | ((F.col("kind") == 2) & ~from_hit) | ((F.col("kind") == 3) & ~to_hit)
+             | ((F.col("kind") == 4) & ~from_hit & ~src_hit))
+    u = j.where(first).select("elem_id", *EDGE_COLS)
     if limit is None:
         return u
     return top_k(u, ["project", "elem_id"], edge_order(), limit, "pos")

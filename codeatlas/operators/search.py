@@ -16,42 +16,60 @@ from codeatlas.functions.score import (MIN_SCORE, SCORE_CONTAINS, SCORE_EQUAL, S
                                        SCORE_FUZZY_TOKENS, fuzzy_threshold, score_match, tokenize,
                                        tokenize_py)
 from codeatlas.functions.text import location
+from codeatlas.plans.partitioning import spread
 from codeatlas.plans.topk import top_k
 
 
 class TokenIndex:
-    """(project, doc_ord, token) rows, one per distinct token of each document,
-    plus the distinct vocabulary. Build once, persist or write it, query many times."""
+    """(project, doc_ord, token) rows, one per distinct token of each document.
 
-    def __init__(self, docs: DataFrame, text_col: str = "content", key_cols=("project", "doc_ord")):
+    ``via_vocabulary=False`` (one-shot queries) matches the query tokens against
+    every index row in one codegen'd pass: no extra shuffle. ``True`` (an index
+    written once and queried often) first matches the distinct vocabulary, then
+    joins the small match table back to the index, so edit distance runs once per
+    vocabulary word."""
+
+    def __init__(self, docs: DataFrame, text_col: str = "content", key_cols=("project", "doc_ord"),
+                 via_vocabulary: bool = False):
         self.key_cols = list(key_cols)
+        self.via_vocabulary = via_vocabulary
+        docs = spread(docs.select(*self.key_cols, text_col))
         self.tokens = docs.select(*self.key_cols, F.explode(F.array_distinct(tokenize(text_col))).alias("token"))
-        self.vocab = self.tokens.select("token").distinct()
 
-    def matches(self, query: str) -> DataFrame:
-        """(q_pos, token, exact, fuzzy) for vocabulary words near some query token.
-        Query tokens are literals, so this is a projection over the vocabulary."""
-        qt = tokenize_py(query)
-        if not qt:
-            return self.vocab.where(F.lit(False)).select(
-                F.lit(0).alias("q_pos"), "token", F.lit(False).alias("exact"), F.lit(False).alias("fuzzy"))
+    @property
+    def vocab(self) -> DataFrame:
+        return self.tokens.select("token").distinct()
+
+    @staticmethod
+    def _near_query(query: str) -> F.Column:
+        """Array of (q_pos, exact, fuzzy) structs for the query tokens within edit
+        distance of ``token``; exact implies fuzzy (distance 0)."""
         t = F.col("token")
         arr = F.array(*[F.struct(F.lit(i).alias("q_pos"), (t == F.lit(q)).alias("exact"),
                                  (F.levenshtein(t, F.lit(q), fuzzy_threshold(q)) >= 0).alias("fuzzy"))
-                        for i, q in enumerate(qt)])
-        near = F.filter(arr, lambda s: s["fuzzy"])  # exact implies distance 0
-        return (self.vocab.select("token", F.explode(near).alias("m"))
-                .select(F.col("m.q_pos").alias("q_pos"), "token", F.col("m.exact").alias("exact"),
-                        F.col("m.fuzzy").alias("fuzzy")))
+                        for i, q in enumerate(tokenize_py(query))])
+        return F.filter(arr, lambda s: s["fuzzy"])
+
+    def matches(self, query: str) -> DataFrame:
+        """(q_pos, token, exact, fuzzy) for vocabulary words near some query token."""
+        return (self.vocab.select("token", F.explode(self._near_query(query)).alias("m"))
+                .select("m.q_pos", "token", "m.exact", "m.fuzzy"))
 
     def token_scores(self, query: str) -> DataFrame:
         """Per document: ``max(0.8*exact/n, 0.6*fuzzy/n)``; documents with no near
         token are absent (score 0)."""
-        n = float(len(tokenize_py(query)) or 1)
-        m = self.matches(query)
-        per_pos = (self.tokens.join(m, "token")
-                   .groupBy(*self.key_cols, "q_pos")
-                   .agg(F.max(F.col("exact").cast("int")).alias("e"), F.max(F.col("fuzzy").cast("int")).alias("f")))
+        qt = tokenize_py(query)
+        n = float(len(qt) or 1)
+        if not qt:
+            hits = self.tokens.where(F.lit(False)).select(*self.key_cols, F.lit(0).alias("q_pos"),
+                                                          F.lit(False).alias("exact"), F.lit(True).alias("fuzzy"))
+        elif self.via_vocabulary:
+            hits = self.tokens.join(self.matches(query), "token").select(*self.key_cols, "q_pos", "exact", "fuzzy")
+        else:
+            hits = (self.tokens.select(*self.key_cols, F.explode(self._near_query(query)).alias("m"))
+                    .select(*self.key_cols, "m.q_pos", "m.exact", "m.fuzzy"))
+        per_pos = hits.groupBy(*self.key_cols, "q_pos").agg(
+            F.max(F.col("exact").cast("int")).alias("e"), F.max(F.col("fuzzy").cast("int")).alias("f"))
         per_doc = per_pos.groupBy(*self.key_cols).agg(
             F.sum("e").alias("n_exact"), F.sum(F.when(F.col("e") == 0, F.col("f")).otherwise(0)).alias("n_fuzzy"))
         return per_doc.select(*self.key_cols, F.greatest(F.col("n_exact") * (SCORE_EXACT_TOKENS / n),

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeatlas.plans.partitioning import spread
+
 # Fixed values of the derivation (shared with the SQL oracle).
 N_PROJECTS = 4
 ORDER_FILES = 997
@@ -30,8 +32,14 @@ EDGE_OF_FLAG = {"A": "import", "N": "call", "R": "extends"}
 EPOCH_2024 = 1704067200  # 2024-01-01T00:00:00Z
 
 
+# Tables whose rows feed per-row text or explode work; a single unsplittable file
+# would otherwise pin that work to one task.
+_SPREAD = {"lineitem", "documents", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in _SPREAD else df
 
 
 def _map_col(mapping: dict, key):
