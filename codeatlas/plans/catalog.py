@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeatlas.operators import docs as docops
-from codeatlas.operators import extract_python, graph, nodes
+from codeatlas.operators import card, extract_python, graph, nodes
 from codeatlas.operators import search as search_ops
 from codeatlas.plans.oracle import sql_score, with_views
 from codeatlas.sources import corpus
@@ -476,3 +476,70 @@ WHERE callee NOT IN ('if', 'for', 'while', 'with', 'def', 'class', 'return', 'pr
 @register("py_edges", _PY_EDGES_SQL)
 def q_py_edges(spark, sf):
     return extract_python.python_edges(corpus.src_files(spark, sf))
+
+
+# ---------------------------------------------------------------- element card
+@register("card", with_views("v_files", "v_elements", "v_edges", "v_docs") + """
+, n AS (SELECT DISTINCT project, name FROM (
+    SELECT project, name FROM v_elements UNION ALL SELECT project, element FROM v_docs UNION ALL SELECT project, path FROM v_files)),
+k AS (
+  SELECT project, name AS key, 0 AS child, path AS p, CAST(0 AS BIGINT) AS e, 'file' AS type, path, CAST(NULL AS INTEGER) AS line,
+         CAST(NULL AS VARCHAR) AS signature, coalesce(exports, []) AS exports, true AS is_file FROM v_files
+  UNION ALL SELECT project, path, 0, path, 0, 'file', path, NULL, NULL, coalesce(exports, []), true FROM v_files WHERE path <> name
+  UNION ALL SELECT project, name, 1, path, elem_ord, type, path, line, signature,
+                   CASE WHEN exported THEN [name] ELSE CAST([] AS VARCHAR[]) END, false FROM v_elements
+  UNION ALL SELECT project, id, 1, path, elem_ord, type, path, line, signature,
+                   CASE WHEN exported THEN [name] ELSE CAST([] AS VARCHAR[]) END, false FROM v_elements WHERE id <> name),
+node AS (SELECT * FROM (SELECT n.project, n.name, k.type, k.path, k.line, k.signature, k.exports, k.is_file,
+                               row_number() OVER (PARTITION BY n.project, n.name ORDER BY k.child, k.p, k.e) AS rn
+                        FROM n JOIN k ON n.project = k.project AND n.name = k.key) WHERE rn = 1),
+kids AS (SELECT project, path, count(*) AS n_children FROM v_elements GROUP BY project, path),
+dk AS (SELECT project, element AS key, doc_ord FROM v_docs UNION ALL SELECT project, unnest(aliases), doc_ord FROM v_docs),
+dmin AS (SELECT n.project, n.name, min(dk.doc_ord) AS doc_ord FROM n JOIN dk ON n.project = dk.project AND n.name = dk.key GROUP BY 1, 2),
+doc AS (SELECT dmin.project, dmin.name, d.type, d.path, d.content FROM dmin JOIN v_docs d ON d.project = dmin.project AND d.doc_ord = dmin.doc_ord),
+md AS (SELECT project, element AS name, arg_min('# ' || element || chr(10) || chr(10) || content || chr(10), doc_ord) AS md
+       FROM v_docs GROUP BY project, element),
+c AS (SELECT e.project, e.from_element AS name, coalesce(nullif(e.to_element, ''), e.dst_path) AS target, e.type,
+             row_number() OVER (PARTITION BY e.project, e.from_element ORDER BY e.edge_ord, e.src_path, e.dst_path, e.type,
+                                coalesce(nullif(e.to_element, ''), e.dst_path)) AS pos
+      FROM v_edges e JOIN n ON n.project = e.project AND n.name = e.from_element),
+ca AS (SELECT project, name, count(*) AS n_calls, string_agg(target || '|' || type, ';' ORDER BY pos) FILTER (WHERE pos <= 30) AS calls
+       FROM c GROUP BY 1, 2),
+dp AS (SELECT e.project, e.to_element AS name, coalesce(nullif(e.from_element, ''), e.src_path) AS source, e.type,
+              row_number() OVER (PARTITION BY e.project, e.to_element ORDER BY e.edge_ord, e.src_path, e.dst_path, e.type,
+                                 coalesce(nullif(e.from_element, ''), e.src_path)) AS pos
+       FROM v_edges e JOIN n ON n.project = e.project AND n.name = e.to_element),
+da AS (SELECT project, name, count(*) AS n_dependents, string_agg(source || '|' || type, ';' ORDER BY pos) FILTER (WHERE pos <= 30) AS dependents
+       FROM dp GROUP BY 1, 2)
+SELECT n.project, n.name AS element,
+       CASE WHEN node.name IS NOT NULL OR doc.name IS NOT NULL OR coalesce(ca.n_calls, 0) > 0 OR coalesce(da.n_dependents, 0) > 0
+            THEN 'found' ELSE 'not_found' END AS status,
+       coalesce(node.type, doc.type, 'unknown') AS type,
+       coalesce(CASE WHEN coalesce(node.path, '') <> '' THEN node.path ||
+                     CASE WHEN coalesce(node.line, 0) <> 0 THEN ':' || CAST(node.line AS VARCHAR) ELSE '' END END,
+                nullif(doc.path, '')) AS location,
+       node.signature,
+       CASE WHEN len(node.exports) > 0 THEN array_to_string(node.exports, ',') END AS exports,
+       CASE WHEN node.is_file THEN coalesce(kids.n_children, 0) END AS n_children,
+       coalesce(ca.n_calls, 0) AS n_calls, coalesce(ca.calls, '') AS calls,
+       coalesce(da.n_dependents, 0) AS n_dependents, coalesce(da.dependents, '') AS dependents,
+       coalesce(md.md, doc.content) AS documentation
+FROM n LEFT JOIN node ON node.project = n.project AND node.name = n.name
+LEFT JOIN kids ON node.is_file AND kids.project = n.project AND kids.path = node.path
+LEFT JOIN doc ON doc.project = n.project AND doc.name = n.name
+LEFT JOIN md ON md.project = n.project AND md.name = n.name
+LEFT JOIN ca ON ca.project = n.project AND ca.name = n.name
+LEFT JOIN da ON da.project = n.project AND da.name = n.name""")
+def q_card(spark, sf):
+    files, el, docs = corpus.files(spark, sf), corpus.elements(spark, sf), corpus.docs(spark, sf)
+    names = (el.select("project", "name").unionByName(docs.select("project", F.col("element").alias("name")))
+             .unionByName(files.select("project", F.col("path").alias("name"))))
+    c = card.explain(files, el, corpus.edges(spark, sf), docs, names, shown=30)
+    return c.select(
+        "project", "element", "status", "type", "location", "signature",
+        F.array_join("exports", ",").alias("exports"),
+        F.size("children").cast("long").alias("n_children"),
+        "n_calls", F.array_join(F.transform("calls", lambda s: F.concat(s["to"], F.lit("|"), s["type"])), ";").alias("calls"),
+        "n_dependents",
+        F.array_join(F.transform("dependents", lambda s: F.concat(s["from"], F.lit("|"), s["type"])), ";").alias("dependents"),
+        "documentation")
