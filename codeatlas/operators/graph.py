@@ -152,6 +152,11 @@ def element_edges(edges: DataFrame, elems: DataFrame, limit: int | None = 50) ->
     return top_k(u, ["project", "elem_id"], edge_order(), limit, "pos")
 
 
+def edge_order_cols():
+    """The :func:`edge_order` keys as plain columns (struct comparison puts nulls first)."""
+    return [F.col(c) for c in ("edge_ord", "src_path", "dst_path", "type", "from_element", "to_element")]
+
+
 def edge_order():
     """Total order on edge rows: ``edge_ord`` then every endpoint column."""
     return [F.col("edge_ord"), F.col("src_path"), F.col("dst_path"), F.col("type"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeatlas.operators import docs as docops
-from codeatlas.operators import card, extract_python, graph, nodes
+from codeatlas.operators import card, extract_python, graph, nodes, render
 from codeatlas.operators import search as search_ops
 from codeatlas.plans.oracle import sql_score, with_views
 from codeatlas.sources import corpus
@@ -543,3 +543,76 @@ def q_card(spark, sf):
         "n_dependents",
         F.array_join(F.transform("dependents", lambda s: F.concat(s["from"], F.lit("|"), s["type"])), ";").alias("dependents"),
         "documentation")
+
+
+# ---------------------------------------------------------------- renderers
+_EXPORTS_TAG = "CASE WHEN len(coalesce({x}, [])) > 0 THEN ' (exports: ' || array_to_string({x}, ', ') || ')' ELSE '' END"
+
+
+@register("render_tree", with_views("v_files", "v_elements") + f"""
+, lf AS (SELECT project, max(path) AS last FROM v_files GROUP BY project),
+lc AS (SELECT project, path, max(elem_ord) AS last_el FROM v_elements GROUP BY project, path),
+f AS (SELECT v.*, v.path = lf.last AS is_last FROM v_files v JOIN lf ON v.project = lf.project)
+SELECT project, path, CAST(0 AS BIGINT) AS elem_ord,
+       CASE WHEN is_last THEN '└── ' ELSE '├── ' END || name || {_EXPORTS_TAG.format(x='exports')} AS line FROM f
+UNION ALL
+SELECT e.project, e.path, e.elem_ord,
+       CASE WHEN f.is_last THEN '    ' ELSE '│   ' END || CASE WHEN e.elem_ord = lc.last_el THEN '└── ' ELSE '├── ' END
+       || e.name || ' [' || e.type || ']' || CASE WHEN e.exported THEN ' (exports: ' || e.name || ')' ELSE '' END
+FROM v_elements e JOIN lc ON e.project = lc.project AND e.path = lc.path JOIN f ON e.project = f.project AND e.path = f.path""")
+def q_render_tree(spark, sf):
+    return render.render_tree(corpus.files(spark, sf), corpus.elements(spark, sf))
+
+
+def _sid(x: str) -> str:
+    return f"regexp_replace({x}, '[^a-zA-Z0-9_]', '_', 'g')"
+
+
+def _lbl(p: str, e: str) -> str:
+    return f"{p} || CASE WHEN coalesce({e}, '') <> '' THEN '.' || {e} ELSE '' END"
+
+
+@register("mermaid_tree", with_views("v_files", "v_elements") + f"""
+SELECT DISTINCT project, '' AS path, CAST(-1 AS BIGINT) AS elem_ord, 0 AS part, 'graph TD' AS line FROM v_files
+UNION ALL SELECT project, path, 0, 0, '  ' || {_sid('path')} || '["' || name || ' (file)"]' FROM v_files
+UNION ALL SELECT project, path, elem_ord, 0, '  ' || {_sid('path')} || ' --> ' || {_sid('id')} FROM v_elements
+UNION ALL SELECT project, path, elem_ord, 1, '  ' || {_sid('id')} || '["' || name || ' (' || type || ')"]' FROM v_elements""")
+def q_mermaid_tree(spark, sf):
+    return render.render_mermaid_tree(corpus.files(spark, sf), corpus.elements(spark, sf))
+
+
+_EDGE_KEYS = "project, section, edge_ord, src_path, dst_path, type, from_element, to_element, line"
+
+
+@register("mermaid_edges", with_views("v_edges") + f"""
+SELECT project, 1 AS section, edge_ord, src_path, dst_path, type, from_element, to_element,
+       '  ' || {_sid(_lbl('src_path', 'from_element'))} || ' -->|' || type || '| ' || {_sid(_lbl('dst_path', 'to_element'))} AS line
+FROM v_edges
+UNION ALL SELECT DISTINCT project, 0, CAST(0 AS BIGINT), NULL, NULL, NULL, NULL, NULL, 'graph LR' FROM v_edges""")
+def q_mermaid_edges(spark, sf):
+    return render.render_mermaid_edges(corpus.edges(spark, sf))
+
+
+def _dq(x: str) -> str:
+    return f"""'"' || replace({x}, '"', '\\"') || '"'"""
+
+
+@register("dot_edges", with_views("v_edges") + f"""
+SELECT project, 1 AS section, edge_ord, src_path, dst_path, type, from_element, to_element,
+       '  ' || {_dq(_lbl('src_path', 'from_element'))} || ' -> ' || {_dq(_lbl('dst_path', 'to_element'))}
+       || ' [label="' || type || '"];' AS line
+FROM v_edges
+UNION ALL SELECT DISTINCT project, 0, CAST(0 AS BIGINT), NULL, NULL, NULL, NULL, NULL, 'digraph dependencies {{' FROM v_edges
+UNION ALL SELECT DISTINCT project, 0, CAST(1 AS BIGINT), NULL, NULL, NULL, NULL, NULL, '  rankdir=LR;' FROM v_edges
+UNION ALL SELECT DISTINCT project, 2, CAST(0 AS BIGINT), NULL, NULL, NULL, NULL, NULL, '}}' FROM v_edges""")
+def q_dot_edges(spark, sf):
+    return render.render_dot(corpus.edges(spark, sf))
+
+
+@register("diagram_edges", with_views("v_links") + f"""
+, e AS (SELECT *, {_sid(_lbl('src_path', 'from_element'))} AS f, {_sid(_lbl('dst_path', 'to_element'))} AS t FROM v_links),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project, f, type, t ORDER BY {_ORDER_SQL}) AS rn FROM e) WHERE rn = 1),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY {_ORDER_SQL}) AS BIGINT) AS pos FROM firsts)
+SELECT project, pos, f AS from_id, type, t AS to_id, '  ' || f || ' -->|' || type || '| ' || t AS line FROM r WHERE pos <= 100""")
+def q_diagram_edges(spark, sf):
+    return render.diagram_edges(corpus.links(spark, sf), limit=100)
