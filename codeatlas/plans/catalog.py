@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeatlas.operators import docs as docops
-from codeatlas.operators import card, extract_python, graph, nodes, render
+from codeatlas.operators import card, extract_python, graph, maintain, nodes, render
 from codeatlas.operators import search as search_ops
 from codeatlas.plans.oracle import sql_score, with_views
 from codeatlas.sources import corpus
@@ -616,3 +616,147 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY {_ORDER_SQ
 SELECT project, pos, f AS from_id, type, t AS to_id, '  ' || f || ' -->|' || type || '| ' || t AS line FROM r WHERE pos <= 100""")
 def q_diagram_edges(spark, sf):
     return render.diagram_edges(corpus.links(spark, sf), limit=100)
+
+
+# ---------------------------------------------------------------- doc maintenance
+_NOW = "2025-01-01 00:00:00"
+_NAME_SQL = "replace(p_name, ' ', '_') || '_' || CAST(p_partkey % 97 AS VARCHAR)"
+_CHANGES_SQL = f"""
+ch AS (SELECT 'repo' || CAST(l.doc_id % 4 AS VARCHAR) AS project, l.doc_id AS change_ord, {_NAME_SQL} AS element,
+              CASE WHEN l.toxic = 1 THEN '' ELSE 'quality ' || CAST(l.quality AS VARCHAR) END AS content
+       FROM labels l JOIN part p ON l.doc_id = p.p_partkey)"""
+
+
+def _label_changes(spark, sf):
+    lab = corpus.table(spark, sf, "labels")
+    p = corpus.table(spark, sf, "part")
+    j = lab.join(p, lab.doc_id == p.p_partkey)
+    return j.select(F.concat(F.lit("repo"), (F.col("doc_id") % 4).cast("string")).alias("project"),
+                    F.col("doc_id").alias("change_ord"),
+                    F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), (F.col("p_partkey") % 97).cast("string")).alias("element"),
+                    F.when(F.col("toxic") == 1, F.lit("")).otherwise(F.concat(F.lit("quality "), F.col("quality").cast("string"))).alias("content"))
+
+
+@register("doc_add_status", with_views("v_docs") + f""", {_CHANGES_SQL},
+valid AS (SELECT * FROM ch WHERE coalesce(content, '') <> ''),
+last AS (SELECT project, element, min(change_ord) AS first_ord FROM valid GROUP BY project, element),
+ex AS (SELECT project, element, min(doc_ord) AS doc_ord FROM v_docs GROUP BY project, element)
+SELECT ch.project, ch.change_ord, ch.element,
+       CASE WHEN coalesce(ch.content, '') = '' THEN 'content_required'
+            WHEN ex.doc_ord IS NOT NULL OR ch.change_ord <> last.first_ord THEN 'updated' ELSE 'added' END AS status
+FROM ch LEFT JOIN ex ON ch.project = ex.project AND ch.element = ex.element
+LEFT JOIN last ON ch.project = last.project AND ch.element = last.element""")
+def q_doc_add_status(spark, sf):
+    _, st = maintain.doc_add(corpus.files(spark, sf), corpus.elements(spark, sf), corpus.docs(spark, sf),
+                             _label_changes(spark, sf), now=_NOW)
+    return st
+
+
+@register("doc_add_table", with_views("v_files", "v_elements", "v_docs") + f""", {_CHANGES_SQL},
+valid AS (SELECT * FROM ch WHERE coalesce(content, '') <> ''),
+last AS (SELECT project, element, arg_max(content, change_ord) AS content, min(change_ord) AS first_ord FROM valid GROUP BY project, element),
+keys AS (
+  SELECT project, name, path AS r_path, 'file' AS r_type, path AS p, 0 AS child, CAST(0 AS BIGINT) AS e FROM v_files
+  UNION ALL SELECT project, path, path, 'file', path, 0, 0 FROM v_files
+  UNION ALL SELECT project, name, path, type, path, 1, elem_ord FROM v_elements
+  UNION ALL SELECT project, id, path, type, path, 1, elem_ord FROM v_elements),
+h AS (SELECT * FROM (SELECT l.project, l.element, k.r_path, k.r_type,
+        row_number() OVER (PARTITION BY l.project, l.element ORDER BY k.p, k.child, k.e) AS rn
+      FROM last l JOIN keys k ON l.project = k.project AND l.element = k.name) WHERE rn = 1),
+ex AS (SELECT project, element, min(doc_ord) AS doc_ord FROM v_docs GROUP BY project, element),
+base AS (SELECT project, max(doc_ord) + 1 AS b FROM v_docs GROUP BY project),
+rows AS (
+  SELECT l.project, coalesce(ex.doc_ord, coalesce(base.b, 0) + l.first_ord) AS doc_ord, l.element,
+         coalesce(h.r_path, '') AS path, coalesce(h.r_type, 'unknown') AS type, l.content,
+         CAST(NULL AS VARCHAR[]) AS aliases, CAST(NULL AS VARCHAR) AS source,
+         coalesce(d.created_at, TIMESTAMP '{_NOW}') AS created_at, TIMESTAMP '{_NOW}' AS updated_at
+  FROM last l LEFT JOIN h ON l.project = h.project AND l.element = h.element
+  LEFT JOIN ex ON l.project = ex.project AND l.element = ex.element
+  LEFT JOIN v_docs d ON d.project = ex.project AND d.doc_ord = ex.doc_ord
+  LEFT JOIN base ON base.project = l.project),
+t AS (SELECT project, doc_ord, element, path, type, content, aliases, source, created_at, updated_at FROM v_docs
+      WHERE (project, doc_ord) NOT IN (SELECT (project, doc_ord) FROM rows)
+      UNION ALL SELECT * FROM rows)
+SELECT project, doc_ord, element, path, type, content, aliases, source,
+       strftime(created_at, {_ISO}) AS created_at, strftime(updated_at, {_ISO}) AS updated_at FROM t""")
+def q_doc_add_table(spark, sf):
+    nd, _ = maintain.doc_add(corpus.files(spark, sf), corpus.elements(spark, sf), corpus.docs(spark, sf),
+                             _label_changes(spark, sf), now=_NOW)
+    return nd.select("project", "doc_ord", "element", "path", "type", "content", "aliases", "source",
+                     F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"),
+                     F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("updated_at"))
+
+
+@register("seed_counts", with_views("v_elements", "v_docs") + """
+, base AS (SELECT project, element AS name, arg_max(source, doc_ord) AS src, arg_max(content, doc_ord) AS stored
+           FROM v_docs GROUP BY project, element),
+a AS (SELECT e.project, e.name, e.path, e.elem_ord, e.doc_comment AS c, b.src, b.stored, b.name IS NOT NULL AS ex,
+             lag(e.doc_comment) OVER (PARTITION BY e.project, e.name ORDER BY e.path, e.elem_ord) AS prev
+      FROM v_elements e LEFT JOIN base b ON e.project = b.project AND e.name = b.name
+      WHERE coalesce(e.doc_comment, '') <> ''),
+act AS (SELECT project, CASE WHEN ex AND coalesce(src <> 'auto', true) THEN 'skipped'
+                             WHEN coalesce(prev, CASE WHEN src = 'auto' THEN stored END) = c THEN 'skipped'
+                             ELSE 'created' END AS action FROM a)
+SELECT project, count(*) FILTER (WHERE action = 'created') AS created, count(*) FILTER (WHERE action = 'skipped') AS skipped
+FROM act GROUP BY project""")
+def q_seed_counts(spark, sf):
+    _, counts, _ = maintain.seed_docs(corpus.elements(spark, sf), corpus.docs(spark, sf), now=_NOW)
+    return counts
+
+
+@register("seed_table", with_views("v_elements", "v_docs") + f"""
+, base AS (SELECT project, element AS name, min(doc_ord) AS doc_ord, arg_max(source, doc_ord) AS src,
+                  arg_max(content, doc_ord) AS stored, arg_max(created_at, doc_ord) AS created,
+                  arg_max(path, doc_ord) AS bpath, arg_max(type, doc_ord) AS btype, arg_max(aliases, doc_ord) AS baliases
+           FROM v_docs GROUP BY project, element),
+a AS (SELECT e.project, e.name, e.path, e.elem_ord, e.type, e.doc_comment AS c, b.src, b.stored, b.name IS NOT NULL AS ex,
+             lag(e.doc_comment) OVER (PARTITION BY e.project, e.name ORDER BY e.path, e.elem_ord) AS prev
+      FROM v_elements e LEFT JOIN base b ON e.project = b.project AND e.name = b.name
+      WHERE coalesce(e.doc_comment, '') <> ''),
+act AS (SELECT *, CASE WHEN ex AND coalesce(src <> 'auto', true) THEN 'skipped'
+                       WHEN coalesce(prev, CASE WHEN src = 'auto' THEN stored END) = c THEN 'skipped'
+                       ELSE 'created' END AS action FROM a),
+fin AS (SELECT project, name, arg_max(path, (path, elem_ord)) AS path, arg_max(type, (path, elem_ord)) AS type,
+               arg_max(c, (path, elem_ord)) AS c FROM act WHERE action = 'created' GROUP BY project, name)
+SELECT b.project, b.name AS element, coalesce(f.path, b.bpath) AS path, coalesce(f.type, b.btype) AS type,
+       coalesce(f.c, b.stored) AS content,
+       CASE WHEN f.name IS NOT NULL THEN 'auto' ELSE b.src END AS source,
+       CASE WHEN f.name IS NOT NULL THEN NULL ELSE b.baliases END AS aliases,
+       strftime(coalesce(b.created, TIMESTAMP '{_NOW}'), {_ISO}) AS created_at, b.doc_ord IS NULL AS is_new
+FROM base b LEFT JOIN fin f ON b.project = f.project AND b.name = f.name
+UNION ALL
+SELECT f.project, f.name, f.path, f.type, f.c, 'auto', NULL, strftime(TIMESTAMP '{_NOW}', {_ISO}), true
+FROM fin f WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.project = f.project AND b.name = f.name)""")
+def q_seed_table(spark, sf):
+    docs = corpus.docs(spark, sf)
+    nd, _, _ = maintain.seed_docs(corpus.elements(spark, sf), docs, now=_NOW)
+    old = docs.groupBy("project", "element").agg(F.min("doc_ord").alias("doc_ord")).withColumn("_old", F.lit(True))
+    return (nd.join(old, ["project", "element", "doc_ord"], "left")
+            .select("project", "element", "path", "type", "content", "source", "aliases",
+                    F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"),
+                    F.col("_old").isNull().alias("is_new")))
+
+
+@register("alias_status", with_views("v_docs") + """
+, ch AS (SELECT 'repo' || CAST(doc_id % 4 AS VARCHAR) AS project, doc_id AS change_ord,
+                CASE WHEN quality = 1 THEN 'src' || CAST(doc_id % 20 AS VARCHAR) ELSE 'page_' || CAST(doc_id % 50 AS VARCHAR) END AS element,
+                CASE WHEN toxic = 1 THEN 'flagged' ELSE 'lang_ECONOMY' END AS alias FROM labels),
+keys AS (SELECT project, element AS name, doc_ord FROM v_docs UNION ALL SELECT project, unnest(aliases), doc_ord FROM v_docs),
+tgt AS (SELECT ch.project, ch.element, min(k.doc_ord) AS doc_ord FROM (SELECT DISTINCT project, element FROM ch) ch
+        JOIN keys k ON ch.project = k.project AND ch.element = k.name GROUP BY 1, 2),
+c AS (SELECT ch.*, t.doc_ord, coalesce(d.aliases, []) AS old,
+             row_number() OVER (PARTITION BY ch.project, t.doc_ord, ch.alias ORDER BY ch.change_ord) AS rn
+      FROM ch LEFT JOIN tgt t ON ch.project = t.project AND ch.element = t.element
+      LEFT JOIN v_docs d ON d.project = t.project AND d.doc_ord = t.doc_ord)
+SELECT project, change_ord, element, alias,
+       CASE WHEN doc_ord IS NULL THEN 'not_found' WHEN list_contains(old, alias) OR rn > 1 THEN 'already_exists' ELSE 'added' END AS status
+FROM c""")
+def q_alias_status(spark, sf):
+    lab = corpus.table(spark, sf, "labels")
+    ch = lab.select(F.concat(F.lit("repo"), (F.col("doc_id") % 4).cast("string")).alias("project"),
+                    F.col("doc_id").alias("change_ord"),
+                    F.when(F.col("quality") == 1, F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")))
+                    .otherwise(F.concat(F.lit("page_"), (F.col("doc_id") % 50).cast("string"))).alias("element"),
+                    F.when(F.col("toxic") == 1, F.lit("flagged")).otherwise(F.lit("lang_ECONOMY")).alias("alias"))
+    _, st = maintain.doc_alias(corpus.docs(spark, sf), ch, now=_NOW)
+    return st
