@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from codeatlas.operators import docs as docops
 from codeatlas.operators import card, extract_python, graph, maintain, nodes, render
 from codeatlas.operators import search as search_ops
+from codeatlas.plans import briefing
 from codeatlas.plans.oracle import sql_score, with_views
-from codeatlas.sources import corpus
+from codeatlas.sources import corpus, runs
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -760,3 +761,86 @@ def q_alias_status(spark, sf):
                     F.when(F.col("toxic") == 1, F.lit("flagged")).otherwise(F.lit("lang_ECONOMY")).alias("alias"))
     _, st = maintain.doc_alias(corpus.docs(spark, sf), ch, now=_NOW)
     return st
+
+
+# ---------------------------------------------------------------- briefing
+@register("briefing", with_views("v_files", "v_elements", "v_edges", "v_docs").rstrip("\n") + ",\n"
+          + _ENDS.format(edges="v_edges") + f"""
+, hot AS (SELECT project, element, inbound + outbound AS total,
+                 row_number() OVER (PARTITION BY project ORDER BY inbound + outbound DESC, element) AS rank FROM deg),
+per AS (SELECT f.project, f.path, count(e.name) AS n FROM v_files f
+        LEFT JOIN v_elements e ON e.project = f.project AND e.path = f.path GROUP BY f.project, f.path),
+tf AS (SELECT project, path, row_number() OVER (PARTITION BY project ORDER BY n DESC, path) AS rank FROM per),
+api AS (SELECT project, name, row_number() OVER (PARTITION BY project ORDER BY path, elem_ord) AS rank, count(*) OVER (PARTITION BY project) AS n
+        FROM v_elements WHERE exported OR type IN ('class', 'function', 'interface')),
+es AS (SELECT project, count(*) AS total, count(*) FILTER (WHERE type = 'import') AS imports,
+              count(*) FILTER (WHERE type = 'call') AS calls, count(*) FILTER (WHERE type = 'extends') AS extends,
+              count(*) FILTER (WHERE type = 'implements') AS implements FROM v_edges GROUP BY project),
+rd AS (SELECT project, element, row_number() OVER (PARTITION BY project ORDER BY updated_at DESC, doc_ord) AS rank FROM v_docs)
+SELECT s.project, (SELECT count(*) FROM v_files x WHERE x.project = s.project) AS files,
+       (SELECT count(*) FROM v_elements x WHERE x.project = s.project) AS elements,
+       es.total AS edges, es.imports, es.calls, es.extends, es.implements,
+       (SELECT count(*) FROM v_docs x WHERE x.project = s.project) AS docs,
+       (SELECT count(DISTINCT type) FROM v_docs x WHERE x.project = s.project) AS doc_types,
+       (SELECT element FROM hot WHERE hot.project = s.project AND rank = 1) AS top_hotspot,
+       (SELECT string_agg(element, ',' ORDER BY rank) FROM hot WHERE hot.project = s.project AND rank <= 10) AS hotspots,
+       (SELECT string_agg(path, ',' ORDER BY rank) FROM tf WHERE tf.project = s.project AND rank <= 10) AS top_files,
+       (SELECT string_agg(element, ',' ORDER BY rank) FROM rd WHERE rd.project = s.project AND rank <= 5) AS recent,
+       (SELECT max(n) FROM api WHERE api.project = s.project) AS public_api_count,
+       (SELECT string_agg(name, ',' ORDER BY rank) FROM api WHERE api.project = s.project AND rank <= 10) AS public_api
+FROM (SELECT DISTINCT project FROM v_files) s JOIN es ON es.project = s.project""")
+def q_briefing(spark, sf):
+    b = briefing.context(corpus.files(spark, sf), corpus.elements(spark, sf), corpus.edges(spark, sf), corpus.docs(spark, sf))
+    return b.select(
+        "project", F.col("architecture.files").alias("files"), F.col("architecture.elements").alias("elements"),
+        F.col("dependencies.total").alias("edges"), F.col("dependencies.imports").alias("imports"),
+        F.col("dependencies.calls").alias("calls"), F.col("dependencies.extends").alias("extends"),
+        F.col("dependencies.implements").alias("implements"),
+        F.col("documentation.total").alias("docs"), F.size("documentation.by_type").cast("long").alias("doc_types"),
+        F.col("dependencies.hotspots")[0]["element"].alias("top_hotspot"),
+        F.array_join(F.transform("dependencies.hotspots", lambda s: s["element"]), ",").alias("hotspots"),
+        F.array_join(F.transform("architecture.top_files", lambda s: s["path"]), ",").alias("top_files"),
+        F.array_join(F.transform("documentation.recent", lambda s: s["element"]), ",").alias("recent"),
+        "public_api_count",
+        F.array_join(F.transform("public_api", lambda s: s["name"]), ",").alias("public_api"))
+
+
+# ---------------------------------------------------------------- benchmark run records
+_RUNS_SQL = """
+r AS (SELECT 'case' || CAST(user_id % 5 AS VARCHAR) AS "case",
+             CASE event_type WHEN 'view' THEN 'zero' WHEN 'click' THEN 'tool' WHEN 'purchase' THEN 'terse'
+                             WHEN 'signup' THEN 'terse-tool' ELSE 'other' END AS mode,
+             value AS wall_s, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 1000 END AS input_tokens,
+             user_id AS output_tokens, CAST(NULL AS BIGINT) AS cache_creation_tokens, event_id % 13 AS cache_read_tokens,
+             value / 10 AS cost_usd, event_id AS seq, props AS result FROM events)"""
+
+
+def _runs(spark, sf):
+    ev = corpus.table(spark, sf, "events")
+    mode = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "zero", "click", "tool", "purchase", "terse",
+                                                          "signup", "terse-tool")]), F.col("event_type"))
+    return ev.select(
+        F.concat(F.lit("case"), (F.col("user_id") % 5).cast("string")).alias("case"),
+        F.coalesce(mode, F.lit("other")).alias("mode"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("kind"),
+        F.col("value").alias("wall_s"), F.lit(0).alias("rc"),
+        F.when(F.col("event_id") % 7 == 0, F.lit(None)).otherwise(F.col("event_id") % 1000).alias("input_tokens"),
+        F.col("user_id").alias("output_tokens"), F.lit(None).cast("long").alias("cache_creation_tokens"),
+        (F.col("event_id") % 13).alias("cache_read_tokens"), (F.col("value") / 10).alias("cost_usd"),
+        F.lit(None).cast("int").alias("num_turns"), F.col("props").alias("result"), F.col("event_id").alias("seq"))
+
+
+@register("run_totals", f"WITH {_RUNS_SQL}" + """
+SELECT seq, "case", mode, coalesce(input_tokens, 0) + coalesce(output_tokens, 0) + coalesce(cache_creation_tokens, 0)
+       + coalesce(cache_read_tokens, 0) AS total_tokens, substr(coalesce(result, ''), 1, 280) AS result_excerpt FROM r""")
+def q_run_totals(spark, sf):
+    return runs.run_totals(_runs(spark, sf)).select("seq", "case", "mode", "total_tokens", "result_excerpt")
+
+
+@register("run_deltas", f"WITH {_RUNS_SQL}" + """
+, t AS (SELECT "case", mode, seq, wall_s, cost_usd, coalesce(input_tokens, 0) + coalesce(output_tokens, 0)
+               + coalesce(cache_creation_tokens, 0) + coalesce(cache_read_tokens, 0) AS total_tokens FROM r),
+l AS (SELECT "case", mode, arg_max(wall_s, seq) AS w, arg_max(total_tokens, seq) AS tt, arg_max(cost_usd, seq) AS c FROM t GROUP BY 1, 2)
+SELECT o."case", o.mode, round(o.w - b.w, 2) AS d_wall_s, o.tt - b.tt AS d_total_tokens, round(o.c - b.c, 4) AS d_cost_usd
+FROM l o JOIN l b ON o."case" = b."case" AND b.mode = 'zero' WHERE o.mode IN ('tool', 'terse', 'terse-tool')""")
+def q_run_deltas(spark, sf):
+    return runs.run_deltas(runs.run_totals(_runs(spark, sf)), baseline="zero", modes=["tool", "terse", "terse-tool"])
