@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeatlas.operators import docs as docops
-from codeatlas.operators import card, extract_python, graph, maintain, nodes, render
+from codeatlas.operators import card, extract_python, extract_ts, graph, maintain, nodes, render
 from codeatlas.operators import search as search_ops
 from codeatlas.plans import briefing
 from codeatlas.plans.oracle import sql_score, with_views
@@ -844,3 +844,50 @@ SELECT o."case", o.mode, round(o.w - b.w, 2) AS d_wall_s, o.tt - b.tt AS d_total
 FROM l o JOIN l b ON o."case" = b."case" AND b.mode = 'zero' WHERE o.mode IN ('tool', 'terse', 'terse-tool')""")
 def q_run_deltas(spark, sf):
     return runs.run_deltas(runs.run_totals(_runs(spark, sf)), baseline="zero", modes=["tool", "terse", "terse-tool"])
+
+
+# ---------------------------------------------------------------- TS/JS extraction (expected rows follow from the derivation)
+_TS_PARTS = """
+tp AS (SELECT 'repo' || CAST(p_partkey % 4 AS VARCHAR) AS project,
+              'web/b' || replace(p_brand, 'Brand#', '') || '/m' || CAST(p_size % 10 AS VARCHAR) || '.ts' AS path,
+              p_partkey AS pk, p_type AS t, p_size AS size, p_name,
+              lower(replace(p_name, ' ', '_')) || '_' || CAST(p_partkey AS VARCHAR) AS fname,
+              'C' || upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2)
+                  || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2)
+                  || CAST(p_partkey AS VARCHAR) AS cname,
+              CASE WHEN p_size % 3 = 0 THEN lower(p_type) || ' part.' END AS doc FROM part),
+tr AS (SELECT *, coalesce(sum(CASE WHEN size % 3 = 0 THEN 7 ELSE 5 END) OVER (PARTITION BY project, path ORDER BY pk
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                  + CASE WHEN size % 3 = 0 THEN 3 ELSE 1 END + 1 AS line FROM tp)"""
+
+
+@register("ts_elements", f"WITH {_TS_PARTS}" + """,
+el AS (
+  SELECT project, path, 0 AS kind, line, 0 AS dpos, fname AS name, 'function' AS type,
+         fname || '(x: number, y = "a,b"): number' AS signature, doc, true AS exported FROM tr WHERE t IN ('ECONOMY', 'PROMO')
+  UNION ALL SELECT project, path, 1, line, 0, cname, 'class', 'class ' || cname || ' extends Base' || CAST(size % 5 AS VARCHAR),
+         doc, true FROM tr WHERE t IN ('SMALL', 'MEDIUM')
+  UNION ALL SELECT project, path, 2, line, 0, 'I' || fname, 'interface', 'interface I' || fname, doc, false FROM tr WHERE t = 'STANDARD'
+  UNION ALL SELECT project, path, 5, line, 0, 'LIMIT_' || CAST(pk AS VARCHAR), 'variable', NULL, doc, true FROM tr WHERE t = 'LARGE'
+  UNION ALL SELECT project, path, 5, line, 1, 'alt' || CAST(pk AS VARCHAR), 'variable', NULL, doc, true FROM tr WHERE t = 'LARGE')
+SELECT project, path, CAST(row_number() OVER (PARTITION BY project, path ORDER BY kind, line, dpos) AS BIGINT) AS elem_ord,
+       name, type, CAST(line AS INTEGER) AS line, signature, doc AS doc_comment, exported FROM el""")
+def q_ts_elements(spark, sf):
+    return extract_ts.ts_elements(corpus.ts_src_files(spark, sf)).select(
+        "project", "path", "elem_ord", "name", "type", "line", "signature", "doc_comment", "exported")
+
+
+@register("ts_edges", f"WITH {_TS_PARTS}" + """
+SELECT project, path AS src_path, path AS dst_path, 'import' AS type, CAST(NULL AS VARCHAR) AS from_element,
+       'h' || CAST(pk AS VARCHAR) AS to_element FROM tr WHERE t IN ('PROMO', 'STANDARD')
+UNION ALL SELECT project, path, path, 'import', NULL, 'T' || CAST(pk AS VARCHAR) FROM tr WHERE t IN ('PROMO', 'STANDARD')
+UNION ALL SELECT project, path, 'lib' || CAST(size AS VARCHAR), 'import', NULL, 'default' FROM tr WHERE t = 'SMALL'
+UNION ALL SELECT project, path, path, 'extends', cname, 'Base' || CAST(size % 5 AS VARCHAR) FROM tr WHERE t IN ('SMALL', 'MEDIUM')
+UNION ALL SELECT project, path, path, 'implements', cname, 'I' || CAST(pk % 3 AS VARCHAR) FROM tr WHERE t IN ('SMALL', 'MEDIUM')
+UNION ALL SELECT project, path, path, 'implements', cname, 'J' FROM tr WHERE t IN ('SMALL', 'MEDIUM')
+UNION ALL SELECT project, path, path, 'call', fname, 'helper' || CAST(size AS VARCHAR) FROM tr WHERE t IN ('ECONOMY', 'PROMO')
+UNION ALL SELECT project, path, path, 'call', fname, 'util.scale' FROM tr WHERE t IN ('ECONOMY', 'PROMO')
+UNION ALL SELECT project, path, path, 'call', NULL, 'this.run' FROM tr WHERE t IN ('SMALL', 'MEDIUM')""")
+def q_ts_edges(spark, sf):
+    return extract_ts.ts_edges(corpus.ts_src_files(spark, sf)).select(
+        "project", "src_path", "dst_path", "type", "from_element", "to_element")

@@ -210,3 +210,47 @@ def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (ln.groupBy("project", "path")
             .agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
             .select("project", "path", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("content")))
+
+
+def ts_src_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TypeScript text: five lines per part in ``web/b<brand>/m<size % 10>.ts``.
+
+    ECONOMY/PROMO parts become functions, SMALL/MEDIUM classes, STANDARD
+    interfaces, LARGE a two-declarator ``const``; PROMO/STANDARD parts add a named
+    import, SMALL parts a default import. Every third size gets a JSDoc block."""
+    p = table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    name = F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), key)
+    cls = F.concat(F.lit("C"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), key)
+    size = F.col("p_size").cast("string")
+    brand = F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit(""))
+    t = F.col("p_type")
+    doc = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("/** "), F.lower(t), F.lit(" part.\n * @since 1\n */"))) \
+        .otherwise(F.concat(F.lit("// plain "), key))
+    header = (F.when(t.isin("ECONOMY", "PROMO"), F.concat(F.lit("export function "), name, F.lit('(x: number, y = "a,b"): number {')))
+              .when(t.isin("SMALL", "MEDIUM"), F.concat(F.lit("export class "), cls, F.lit(" extends Base"),
+                                                        (F.col("p_size") % 5).cast("string"), F.lit(" implements I"),
+                                                        (F.col("p_partkey") % 3).cast("string"), F.lit(", J {")))
+              .when(t == "STANDARD", F.concat(F.lit("interface I"), name, F.lit(" {")))
+              .otherwise(F.concat(F.lit("export const LIMIT_"), key, F.lit(" = "), size, F.lit(", alt"), key, F.lit(' = "{";'))))
+    body = (F.when(t.isin("ECONOMY", "PROMO"), F.concat(F.lit("  return helper"), size, F.lit("(x) + util.scale(y); // }")))
+            .when(t.isin("SMALL", "MEDIUM"), F.concat(F.lit("  method"), key, F.lit("() { return this.run("), size, F.lit("); }")))
+            .when(t == "STANDARD", F.concat(F.lit("  field"), key, F.lit(": string;")))
+            .otherwise(F.lit("")))
+    close = F.when(t == "LARGE", F.lit("")).otherwise(F.lit("}"))
+    imp = (F.when(t.isin("PROMO", "STANDARD"), F.concat(F.lit("import { h"), key, F.lit(", type T"), key, F.lit(" as U } from './m"),
+                                                         (F.col("p_size") % SRC_FILES_PER_BRAND).cast("string"), F.lit("';")))
+           .when(t == "SMALL", F.concat(F.lit("import Def"), key, F.lit(" from 'lib"), size, F.lit("';")))
+           .otherwise(F.lit("")))
+    x = p.select(
+        _project(F.col("p_partkey")).alias("project"),
+        F.concat(F.lit("web/b"), brand, F.lit("/m"), (F.col("p_size") % SRC_FILES_PER_BRAND).cast("string"), F.lit(".ts")).alias("path"),
+        F.col("p_partkey"), F.posexplode(F.array(doc, header, body, close, imp)).alias("j", "line"))
+    return x.select("project", "path", (F.col("p_partkey") * 5 + F.col("j") + 1).alias("line_no"), "line")
+
+
+def ts_src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ln = ts_src_lines(spark, sf_dir)
+    return (ln.groupBy("project", "path")
+            .agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
+            .select("project", "path", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("content")))
