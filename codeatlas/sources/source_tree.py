@@ -41,7 +41,7 @@ def walk(root: str, ignore, extensions) -> list[str]:
     seen: set[str] = set()
     exts = set(extensions)
 
-    def kept(name: str) -> bool:
+    def wanted(name: str) -> bool:
         # TS/JS rules look at the extension (a bare ".ts" has none); the Python rule at the suffix
         return os.path.splitext(name)[1] in exts or (".py" in exts and name.endswith(".py"))
 
@@ -56,7 +56,7 @@ def walk(root: str, ignore, extensions) -> list[str]:
         dirnames[:] = kept
         for f in sorted(filenames):
             rel = f"{rel_dir}/{f}" if rel_dir else f
-            if is_ignored_py(rel, ignore) or not kept(f):
+            if is_ignored_py(rel, ignore) or not wanted(f):
                 continue
             if rel not in seen:
                 seen.add(rel)
