@@ -67,6 +67,9 @@ def doc_coverage(elements: DataFrame, docs: DataFrame) -> DataFrame:
     flagged = api.join(names, ["project", "name"], "left")
     agg = flagged.groupBy("project").agg(F.count(F.lit(1)).alias("total"),
                                          F.count("_doc").alias("covered"))
+    built = elements.select("project").distinct()
+    agg = built.join(agg, "project", "left").select(
+        "project", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("covered", F.lit(0)).alias("covered"))
     return agg.select("project", "total", "covered",
                       F.when(F.col("total") == 0, F.lit(100))
                       .otherwise(F.round(F.col("covered") * 100.0 / F.col("total")).cast("long")).alias("percent"))

@@ -216,10 +216,11 @@ def q_undocumented(spark, sf):
 
 @register("doc_coverage", with_views("v_elements", "v_docs") + f"""
 , a AS ({_API_SQL}),
-f AS (SELECT a.project, EXISTS (SELECT 1 FROM v_docs d WHERE d.project = a.project AND d.element = a.name) AS covered FROM a)
-SELECT project, count(*) AS total, count(*) FILTER (WHERE covered) AS covered,
-       CASE WHEN count(*) = 0 THEN 100 ELSE CAST(round(count(*) FILTER (WHERE covered) * 100.0 / count(*)) AS BIGINT) END AS percent
-FROM f GROUP BY project""")
+f AS (SELECT a.project, EXISTS (SELECT 1 FROM v_docs d WHERE d.project = a.project AND d.element = a.name) AS covered FROM a),
+g AS (SELECT p.project, count(f.project) AS total, count(*) FILTER (WHERE f.covered) AS covered
+      FROM (SELECT DISTINCT project FROM v_elements) p LEFT JOIN f ON f.project = p.project GROUP BY p.project)
+SELECT project, total, covered,
+       CASE WHEN total = 0 THEN 100 ELSE CAST(round(covered * 100.0 / total) AS BIGINT) END AS percent FROM g""")
 def q_doc_coverage(spark, sf):
     return docops.doc_coverage(corpus.elements(spark, sf), corpus.docs(spark, sf))
 
