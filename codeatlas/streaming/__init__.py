@@ -1,0 +1,6 @@
+"""Streaming: nothing to build.
+
+The reference has no event, watermark, window, state or late-data semantics: every
+build rescans and overwrites. Incremental rebuilds are plain batch jobs over new
+table versions (see ``codeatlas.sources.tables``).
+"""
