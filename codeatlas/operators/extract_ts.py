@@ -19,6 +19,7 @@ resolution tests the scanned files only.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,10 +44,12 @@ VAR_RE = r"^(\s*)(export\s+)?(declare\s+)?(const|let|var)\s+(.*)$"
 def lexed(source_files: DataFrame) -> DataFrame:
     """(project, path, content, masked, jsdocs), hash-partitioned by file.
 
-    The lexer runs once per file: every later branch reads the same exchange (Spark
-    reuses it), and the per-file windows downstream need no further shuffle."""
+    Every rule below reads this table several times (brackets, lines, JSDoc,
+    parameter text). A Python UDF inside a plan is not shared between branches, so
+    the lexed table is persisted (memory, then local disk; a lost block is
+    recomputed from its lineage) and the lexer runs once per file."""
     x = spread(source_files).select(*FILE, "content", ts_lex(F.col("content")).alias("lx"))
-    return x.select(*FILE, "content", "lx.masked", "lx.jsdocs").repartition(*FILE)
+    return x.select(*FILE, "content", "lx.masked", "lx.jsdocs").repartition(*FILE).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def lines(lx: DataFrame) -> DataFrame:
@@ -81,7 +84,7 @@ def brackets(lx: DataFrame) -> DataFrame:
         F.coalesce(F.lag("text").over(w), F.lit("")).alias("prev"),
         F.coalesce(F.sum(bd).over(before), F.lit(0)).alias("brace"),
         F.coalesce(F.sum(pd_).over(before), F.lit(0)).alias("paren"),
-    ).repartition(*FILE)  # shared by every consumer through one reused exchange
+    ).persist(StorageLevel.MEMORY_AND_DISK)  # read by every rule below
 
 
 def matches(br: DataFrame) -> DataFrame:
@@ -96,7 +99,7 @@ def matches(br: DataFrame) -> DataFrame:
     b = b.withColumn("k", F.row_number().over(w))
     o = b.where("is_open").select(*FILE, "kind", "lvl", "k", F.col("idx").alias("open_idx"), F.col("off").alias("open_off"))
     c = b.where(~F.col("is_open")).select(*FILE, "kind", "lvl", "k", F.col("idx").alias("close_idx"), F.col("off").alias("close_off"))
-    return o.join(c, [*FILE, "kind", "lvl", "k"]).drop("k").repartition(*FILE)
+    return o.join(c, [*FILE, "kind", "lvl", "k"]).drop("k").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _line_of(prev_line: F.Column, prev_text: F.Column, upto_len: F.Column) -> F.Column:
@@ -125,7 +128,7 @@ def functions(lx: DataFrame, br: DataFrame, pairs: DataFrame) -> DataFrame:
     f = f.join(body, [*FILE, "body_idx"], "left")
     has_body = (F.col("next_ch") == "{") & F.col("after").rlike(r"^\s*(:[^;{}]*)?$")
     name = F.regexp_extract("stmt", FUNC_TAIL, 2)
-    return f.join(lx.select(*FILE, "content"), FILE).repartition(*FILE).select(
+    return f.join(lx.select(*FILE, "content"), FILE).select(
         *FILE, F.when(name == "", F.lit("<anonymous>")).otherwise(name).alias("name"), "brace", "stmt_off", "line",
         F.col("stmt").rlike(r"^export\b").alias("exported"),
         F.substr(F.col("content"), F.col("open_off") + 2, F.col("close_off") - F.col("open_off") - 1).alias("params"),

@@ -109,3 +109,27 @@ def diagram_edges(edges: DataFrame, limit: int = 100) -> DataFrame:
     ranked = top_k(first, "project", [F.col("o")], limit, "pos")
     return ranked.select("project", "pos", F.col("_from").alias("from_id"), "type", F.col("_to").alias("to_id"),
                          F.concat(F.lit("  "), "_from", F.lit(" -->|"), "type", F.lit("| "), "_to").alias("line"))
+
+
+def render_arch(files: DataFrame, elements: DataFrame, fmt: str = "json") -> DataFrame:
+    """Architecture output by format (R6): ``tree``, ``mermaid`` or ``json`` (one JSON
+    document per file with its children, S12)."""
+    from codeatlas.operators.nodes import nest
+    from codeatlas.sources.tables import to_json_lines
+
+    if fmt == "tree":
+        return render_tree(files, elements)
+    if fmt == "mermaid":
+        return render_mermaid_tree(files, elements)
+    return to_json_lines(nest(files, elements))
+
+
+def render_deps(edges: DataFrame, fmt: str = "json") -> DataFrame:
+    """Dependency output by format (R6): ``mermaid``, ``dot`` or ``json`` (one JSON document per edge)."""
+    from codeatlas.sources.tables import to_json_lines
+
+    if fmt == "mermaid":
+        return render_mermaid_edges(edges)
+    if fmt == "dot":
+        return render_dot(edges)
+    return to_json_lines(edges)

@@ -892,3 +892,60 @@ UNION ALL SELECT project, path, path, 'call', NULL, 'this.run' FROM tr WHERE t I
 def q_ts_edges(spark, sf):
     return extract_ts.ts_edges(corpus.ts_src_files(spark, sf)).select(
         "project", "src_path", "dst_path", "type", "from_element", "to_element")
+
+
+@register("doc_create_table", with_views("v_docs") + f"""
+, ch AS (SELECT 'repo' || CAST(item_id % 4 AS VARCHAR) AS project, item_id AS change_ord,
+                'page_' || CAST(item_id % 60 AS VARCHAR) AS element,
+                CASE WHEN item_id % 3 = 0 THEN NULL ELSE 'Revised: ' || text END AS content FROM benchmark),
+last AS (SELECT project, element, arg_max(coalesce(nullif(content, ''), '# ' || element || chr(10) || chr(10)
+                || 'Add documentation here.' || chr(10)), change_ord) AS content, min(change_ord) AS first_ord
+         FROM ch GROUP BY project, element),
+ex AS (SELECT project, element, min(doc_ord) AS doc_ord FROM v_docs GROUP BY project, element),
+base AS (SELECT project, max(doc_ord) + 1 AS b FROM v_docs GROUP BY project),
+rows AS (SELECT l.project, coalesce(ex.doc_ord, coalesce(base.b, 0) + l.first_ord) AS doc_ord, l.element, '' AS path,
+                'page' AS type, l.content, CAST(NULL AS VARCHAR[]) AS aliases, CAST(NULL AS VARCHAR) AS source,
+                TIMESTAMP '{_NOW}' AS created_at, TIMESTAMP '{_NOW}' AS updated_at
+         FROM last l LEFT JOIN ex ON l.project = ex.project AND l.element = ex.element LEFT JOIN base ON base.project = l.project),
+t AS (SELECT project, doc_ord, element, path, type, content, aliases, source, created_at, updated_at FROM v_docs
+      WHERE (project, doc_ord) NOT IN (SELECT (project, doc_ord) FROM rows)
+      UNION ALL SELECT * FROM rows)
+SELECT project, doc_ord, element, path, type, content, aliases, source,
+       strftime(created_at, {_ISO}) AS created_at, strftime(updated_at, {_ISO}) AS updated_at FROM t""")
+def q_doc_create_table(spark, sf):
+    b = corpus.table(spark, sf, "benchmark")
+    ch = b.select(F.concat(F.lit("repo"), (F.col("item_id") % 4).cast("string")).alias("project"),
+                  F.col("item_id").alias("change_ord"),
+                  F.concat(F.lit("page_"), (F.col("item_id") % 60).cast("string")).alias("name"),
+                  F.when(F.col("item_id") % 3 == 0, F.lit(None).cast("string"))
+                  .otherwise(F.concat(F.lit("Revised: "), F.col("text"))).alias("content"))
+    nd, _ = maintain.doc_create(corpus.docs(spark, sf), ch, now=_NOW)
+    return nd.select("project", "doc_ord", "element", "path", "type", "content", "aliases", "source",
+                     F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"),
+                     F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("updated_at"))
+
+
+@register("doc_save_table", with_views("v_docs") + f""", {_CHANGES_SQL},
+last AS (SELECT project, element, arg_max(content, change_ord) AS content, min(change_ord) AS first_ord FROM ch GROUP BY project, element),
+ex AS (SELECT project, element, min(doc_ord) AS doc_ord FROM v_docs GROUP BY project, element),
+base AS (SELECT project, max(doc_ord) + 1 AS b FROM v_docs GROUP BY project),
+upd AS (SELECT d.project, d.doc_ord, d.element, d.path, d.type, l.content, d.aliases, d.source, d.created_at,
+               TIMESTAMP '{_NOW}' AS updated_at
+        FROM last l JOIN ex ON l.project = ex.project AND l.element = ex.element
+        JOIN v_docs d ON d.project = ex.project AND d.doc_ord = ex.doc_ord),
+new AS (SELECT l.project, coalesce(base.b, 0) + l.first_ord AS doc_ord, l.element, '' AS path, 'page' AS type, l.content,
+               CAST(NULL AS VARCHAR[]) AS aliases, CAST(NULL AS VARCHAR) AS source, TIMESTAMP '{_NOW}' AS created_at,
+               TIMESTAMP '{_NOW}' AS updated_at
+        FROM last l LEFT JOIN base ON base.project = l.project
+        WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.project = l.project AND ex.element = l.element)),
+rows AS (SELECT * FROM upd UNION ALL SELECT * FROM new),
+t AS (SELECT project, doc_ord, element, path, type, content, aliases, source, created_at, updated_at FROM v_docs
+      WHERE (project, doc_ord) NOT IN (SELECT (project, doc_ord) FROM rows)
+      UNION ALL SELECT * FROM rows)
+SELECT project, doc_ord, element, path, type, content, aliases, source,
+       strftime(created_at, {_ISO}) AS created_at, strftime(updated_at, {_ISO}) AS updated_at FROM t""")
+def q_doc_save_table(spark, sf):
+    nd, _ = maintain.doc_save(corpus.docs(spark, sf), _label_changes(spark, sf), now=_NOW)
+    return nd.select("project", "doc_ord", "element", "path", "type", "content", "aliases", "source",
+                     F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"),
+                     F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("updated_at"))

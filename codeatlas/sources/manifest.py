@@ -24,8 +24,10 @@ def manifests(source_files: DataFrame) -> DataFrame:
     bins = F.when(raw_bin.isNull(), F.array().cast("array<string>")) \
         .when(F.ltrim(raw_bin).startswith("{"), F.map_values(bin_map)) \
         .otherwise(F.array(raw_bin))
-    deps = F.map_concat(F.coalesce(parsed["dependencies"], F.create_map().cast("map<string,string>")),
-                        F.coalesce(parsed["devDependencies"], F.create_map().cast("map<string,string>")))
+    dev = F.coalesce(parsed["devDependencies"], F.create_map().cast("map<string,string>"))
+    prod = F.coalesce(parsed["dependencies"], F.create_map().cast("map<string,string>"))
+    # dev entries win on a shared key: drop those keys from the first map before concatenating
+    deps = F.map_concat(F.map_filter(prod, lambda k, v: ~F.array_contains(F.map_keys(dev), k)), dev)
     return pkg.select("project", parsed["main"].alias("main"), bins.alias("bins"), deps.alias("deps"))
 
 
