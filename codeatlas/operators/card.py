@@ -36,6 +36,18 @@ def find_nodes(files: DataFrame, elements: DataFrame, names: DataFrame) -> DataF
             .groupBy("project", "name").agg(F.min_by("node", "o").alias("node")))
 
 
+def card_links(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Outbound (``role`` = call) and inbound (``role`` = dependent) edges of each name
+    in one pass: every edge offers its two element ends, one equi-join with the names."""
+    ends = edges.select("*", F.inline(F.array(
+        F.struct(F.lit("call").alias("role"), F.col("from_element").alias("name"),
+                 node_key("to_element", "dst_path").alias("other")),
+        F.struct(F.lit("dependent").alias("role"), F.col("to_element").alias("name"),
+                 node_key("from_element", "src_path").alias("other")))))
+    n = names.select("project", "name").distinct()
+    return ends.where(F.col("name").isNotNull()).join(n, ["project", "name"])
+
+
 def card_calls(edges: DataFrame, names: DataFrame) -> DataFrame:
     """Every outbound edge of each name, exact match on ``from_element``."""
     n = names.select("project", F.col("name").alias("from_element")).distinct()
@@ -80,8 +92,10 @@ def explain(files: DataFrame, elements: DataFrame, edges: DataFrame, docs: DataF
     doc = doc_lookup(docs, n).select("project", "name", F.struct("type", "path", "content").alias("doc"))
     exact_md = (docs.select("project", F.col("element").alias("name"), "doc_ord", "markdown")
                 .join(n, ["project", "name"]).groupBy("project", "name").agg(F.min_by("markdown", "doc_ord").alias("md")))
-    calls = _top_list(card_calls(edges, n), ["to", "type"], shown, "calls")
-    deps = _top_list(card_dependents(edges, n), ["from", "type"], shown, "dependents")
+    links = card_links(edges, n)
+    calls = _top_list(links.where(F.col("role") == "call").withColumnRenamed("other", "to"), ["to", "type"], shown, "calls")
+    deps = _top_list(links.where(F.col("role") == "dependent").withColumnRenamed("other", "from"), ["from", "type"], shown,
+                     "dependents")
     node = node.withColumn("_kpath", F.when(F.col("node.is_file"), F.col("node.path")))
     c = (n.join(node, ["project", "name"], "left")
          .join(kids.withColumnRenamed("path", "_kpath"), ["project", "_kpath"], "left")

@@ -122,31 +122,36 @@ def file_edges(edges: DataFrame, paths: DataFrame, limit: int | None = 50) -> Da
 
 def element_edges(edges: DataFrame, elems: DataFrame, limit: int | None = 50) -> DataFrame:
     """Neighbourhood of many elements (F13): ``from_element = name``, ``to_element = name``,
-    or a file-level edge (null element) on the element's own path.
-
-    Each edge offers up to four (kind, key) pairs and each element the matching
-    four; a single equi-join on (project, kind, key) finds every hit, and a filter
-    keeps an edge only under the first kind that matches the element, so it is
-    listed once per element. No OR join, one shuffle of each side."""
+    or a file-level edge (null element) on the element's own path; each edge listed
+    once per element, first ``limit`` in edge order.
+
+    Name matches depend only on (project, name) and path matches only on
+    (project, path), so with a limit each side is first cut to its own top ``limit``
+    (a partial group limit before any shuffle), and only those few rows meet the
+    elements: a common name such as ``main`` shared by thousands of elements never
+    multiplies a hub's edges. The cut is exact: an edge in an element's top ``limit``
+    is in the top ``limit`` of its name side or of its path side."""
     fe, te = F.col("from_element"), F.col("to_element")
-    keys = edges.select(*EDGE_COLS, F.inline(F.array(
+    by_name = edges.select(*EDGE_COLS, F.inline(F.array(
         F.struct(F.lit(1).alias("kind"), fe.alias("key")),
-        F.struct(F.lit(2).alias("kind"), te.alias("key")),
+        F.struct(F.lit(2).alias("kind"), F.when(~F.coalesce(fe == te, F.lit(False)), te).alias("key")))))
+    by_name = by_name.where(F.col("key").isNotNull())
+    by_path = edges.select(*EDGE_COLS, F.inline(F.array(
         F.struct(F.lit(3).alias("kind"), F.when(fe.isNull(), F.col("src_path")).alias("key")),
-        F.struct(F.lit(4).alias("kind"), F.when(te.isNull(), F.col("dst_path")).alias("key")))))
-    el = elems.select("project", F.col("id").alias("elem_id"), F.col("name").alias("el_name"),
-                      F.col("path").alias("el_path"),
-                      F.inline(F.array(F.struct(F.lit(1).alias("kind"), F.col("name").alias("key")),
-                                       F.struct(F.lit(2).alias("kind"), F.col("name").alias("key")),
-                                       F.struct(F.lit(3).alias("kind"), F.col("path").alias("key")),
-                                       F.struct(F.lit(4).alias("kind"), F.col("path").alias("key")))))
-    j = keys.where(F.col("key").isNotNull()).join(el, ["project", "kind", "key"])
-    from_hit = F.coalesce(fe == F.col("el_name"), F.lit(False))
-    to_hit = F.coalesce(te == F.col("el_name"), F.lit(False))
-    src_hit = fe.isNull() & (F.col("src_path") == F.col("el_path"))
-    first = ((F.col("kind") == 1) | ((F.col("kind") == 2) & ~from_hit) | ((F.col("kind") == 3) & ~to_hit)
-             | ((F.col("kind") == 4) & ~from_hit & ~src_hit))
-    u = j.where(first).select("elem_id", *EDGE_COLS)
+        F.struct(F.lit(4).alias("kind"), F.when(te.isNull() & ~(fe.isNull() & (F.col("src_path") == F.col("dst_path"))),
+                                                F.col("dst_path")).alias("key")))))
+    by_path = by_path.where(F.col("key").isNotNull())
+    if limit is not None:
+        by_name = top_k(by_name, ["project", "key"], edge_order(), limit, "_r").drop("_r")
+        by_path = top_k(by_path, ["project", "key"], edge_order(), limit, "_r").drop("_r")
+    el_n = elems.select("project", F.col("id").alias("elem_id"), F.col("name").alias("key"))
+    el_p = elems.select("project", F.col("id").alias("elem_id"), F.col("name").alias("el_name"), F.col("path").alias("key"))
+    hits_n = by_name.join(el_n, ["project", "key"]).select("elem_id", *EDGE_COLS)
+    # a path-side edge whose from/to element is the element's own name is already on the name side
+    hits_p = (by_path.join(el_p, ["project", "key"])
+              .where(~F.coalesce(fe == F.col("el_name"), F.lit(False)) & ~F.coalesce(te == F.col("el_name"), F.lit(False)))
+              .select("elem_id", *EDGE_COLS))
+    u = hits_n.unionByName(hits_p)
     if limit is None:
         return u
     return top_k(u, ["project", "elem_id"], edge_order(), limit, "pos")

@@ -108,3 +108,28 @@ def test_mermaid_and_dot(spark):
     assert '  "src/main.ts.main" -> "src/main.ts.console.log" [label="call"];' in d
     u = render.diagram_edges(edges, limit=100).count()
     assert u == 7
+
+
+def test_element_edges_limit_exact_with_shared_hub_name(spark):
+    import random
+
+    rnd = random.Random(7)
+    names = ["main", "main", "main", "util", "x"]
+    paths = ["a.ts", "b.ts", "c.ts", "a.ts", "d.ts"]
+    elems = spark.createDataFrame([("p", f"{pa}:{n}{i}", n, pa) for i, (n, pa) in enumerate(zip(names, paths))],
+                                  "project string, id string, name string, path string")
+    rows = []
+    for i in range(400):
+        fe = rnd.choice(["main", "util", None, "x", "other"])
+        te = rnd.choice(["main", "util", None, "other"])
+        rows.append(("p", rnd.randrange(50), rnd.choice(paths), rnd.choice(paths), rnd.choice(["call", "import"]), fe, te))
+    edges = spark.createDataFrame(rows, "project string, edge_ord long, src_path string, dst_path string, type string, "
+                                        "from_element string, to_element string")
+    got = {}
+    for r in graph.element_edges(edges, elems, limit=3).collect():
+        got.setdefault(r.elem_id, []).append((r.pos, r.edge_ord, r.src_path, r.dst_path, r.type, r.from_element, r.to_element))
+    key = lambda e: (e[1], e[2], e[3], e[4], e[5] is not None, e[5] or "", e[6] is not None, e[6] or "")
+    for el in elems.collect():
+        hits = sorted((e for e in rows if e[5] == el.name or e[6] == el.name or (e[5] is None and e[2] == el.path)
+                       or (e[6] is None and e[3] == el.path)), key=key)[:3]
+        assert [g[1:] for g in sorted(got.get(el.id, []))] == [h[1:] for h in hits]
