@@ -114,3 +114,17 @@ def test_token_index_modes_agree(spark):
 def test_doc_search_ranks(spark):
     r = S.doc_search(_docs(spark), "greet").collect()
     assert r[0].element == "formatGreeting" and r[0].score == 1.0
+
+
+def test_markdown_sink_and_moves(spark):
+    import glob
+    import tempfile
+
+    out = tempfile.mkdtemp(prefix="codeatlas-md-", dir="/tmp") + "/md"
+    d = _docs(spark)
+    D.write_markdown(d, out)
+    dirs = sorted({p.split("type_dir=")[1].split("/")[0] for p in glob.glob(out + "/project=ts/type_dir=*")})
+    assert dirs == ["classes", "functions", "pages"]
+    moved = d.withColumn("type", F.when(F.col("element") == "UserService", F.lit("interface")).otherwise(F.col("type")))
+    mv = M.markdown_moves(d, moved).collect()
+    assert [(r.old_md_path, r.new_md_path) for r in mv] == [("classes/UserService.md", "types/UserService.md")]

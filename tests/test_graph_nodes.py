@@ -133,3 +133,15 @@ def test_element_edges_limit_exact_with_shared_hub_name(spark):
         hits = sorted((e for e in rows if e[5] == el.name or e[6] == el.name or (e[5] is None and e[2] == el.path)
                        or (e[6] is None and e[3] == el.path)), key=key)[:3]
         assert [g[1:] for g in sorted(got.get(el.id, []))] == [h[1:] for h in hits]
+
+
+def test_render_formats_and_browser_tree(spark):
+    import json
+
+    files, el, edges = ts_tables(spark)
+    arch = [json.loads(r.json) for r in render.render_arch(files, el, "json").collect()]
+    assert sorted(a["path"] for a in arch) == ["src/main.ts", "src/utils.ts"]
+    assert render.render_deps(edges, "json").count() == 7
+    inline = [r.line for r in render.render_mermaid_tree(files, el, inline_children=True)
+              .orderBy("path", "elem_ord", "part").collect()]
+    assert inline[:3] == ["graph TD", '  src_main_ts["main.ts"]', '  src_main_ts --> src_main_ts_main["main (function)"]']
