@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions.text import markdown_body
 from codeatlas.operators.docs import DOC_COLS, doc_lookup, resolve_targets
+from codeatlas.plans.partitioning import lag_in_order
 
 # Default body of a new free page.
 DEFAULT_PAGE_BODY = "Add documentation here."
@@ -146,7 +147,8 @@ def doc_save(docs: DataFrame, changes: DataFrame, now=None):
 
 def seed_docs(elements: DataFrame, docs: DataFrame, now=None):
     """Seed docs from doc comments (M4, A10). Per element name, in (path, elem_ord)
-    order: a manual entry (source not ``auto``) skips every row; otherwise a row is
+    order (a range-partitioned lag, so one very common name is not one task): a
+    manual entry (source not ``auto``) skips every row; otherwise a row is
     ``created`` when its comment differs from the previous state (the stored auto
     content, then the previous row's comment), else ``skipped``. The final entry of a
     name is its last created row (path and type from it), source ``auto``,
@@ -163,10 +165,9 @@ def seed_docs(elements: DataFrame, docs: DataFrame, now=None):
                      F.col("content").alias("_stored"), F.col("created_at").alias("_created"), F.lit(True).alias("_exists"))
     el = elements.where(F.coalesce(F.col("doc_comment"), F.lit("")) != "").select(
         "project", "name", "path", "elem_ord", "type", F.col("doc_comment").alias("c"))
-    w = Window.partitionBy("project", "name").orderBy("path", "elem_ord")
-    a = el.join(st, ["project", "name"], "left")
+    a = lag_in_order(el.join(st, ["project", "name"], "left"), ["project", "name"], ["path", "elem_ord"], "c", "_lag")
     manual = F.coalesce(F.col("_exists"), F.lit(False)) & F.coalesce(F.col("_src") != "auto", F.lit(True))
-    prev = F.coalesce(F.lag("c").over(w), F.when(F.col("_src") == "auto", F.col("_stored")))
+    prev = F.coalesce(F.col("_lag"), F.when(F.col("_src") == "auto", F.col("_stored")))
     a = a.withColumn("action", F.when(manual, F.lit("skipped"))
                      .when(prev.isNotNull() & (prev == F.col("c")), F.lit("skipped")).otherwise(F.lit("created")))
     counts = a.groupBy("project").agg(F.count_if(F.col("action") == "created").alias("created"),

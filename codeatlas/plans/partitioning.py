@@ -12,3 +12,32 @@ def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     shuffle is added at scale."""
     target = df.sparkSession.sparkContext.defaultParallelism * per_core
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def lag_in_order(df: DataFrame, group_cols, order_cols, value_col: str, out_col: str) -> DataFrame:
+    """``lag(value) over (partition by group order by order)`` without putting a
+    whole group into one task.
+
+    Rows are range-partitioned on (group, order), so a group holding a third of all
+    rows spreads over many partitions. Each partition takes the lag of its own rows;
+    the first row of a partition takes the last row of the previous non-empty
+    partition when it belongs to the same group. The boundary table has one row per
+    partition (a size bound), so joining it back is cheap."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    keys = group_cols + order_cols
+    s = df.repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid").orderBy(*keys)
+    g = F.struct(*[F.col(c) for c in group_cols])
+    s = (s.withColumn("_g", g).withColumn("_rn", F.row_number().over(w))
+         .withColumn("_prev", F.lag(F.struct(F.col("_g").alias("g"), F.col(value_col).alias("v"))).over(w)))
+    last = (s.groupBy("_pid").agg(F.max_by(F.struct(F.col("_g").alias("g"), F.col(value_col).alias("v")),
+                                           F.struct(*[F.col(c) for c in keys])).alias("_last")))
+    wb = Window.orderBy("_pid")  # one row per partition
+    carry = last.select("_pid", F.lag("_last").over(wb).alias("_carry"))
+    out = s.join(carry, "_pid", "left")
+    prev = F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_prev"))
+    out = out.withColumn(out_col, F.when(prev["g"] == F.col("_g"), prev["v"]))
+    return out.drop("_pid", "_g", "_rn", "_prev", "_carry")

@@ -128,3 +128,21 @@ def test_markdown_sink_and_moves(spark):
     moved = d.withColumn("type", F.when(F.col("element") == "UserService", F.lit("interface")).otherwise(F.col("type")))
     mv = M.markdown_moves(d, moved).collect()
     assert [(r.old_md_path, r.new_md_path) for r in mv] == [("classes/UserService.md", "types/UserService.md")]
+
+
+def test_lag_in_order_matches_window(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    from codeatlas.plans.partitioning import lag_in_order
+
+    rnd = random.Random(3)
+    rows = [("p", "hot" if rnd.random() < 0.6 else f"n{rnd.randrange(5)}", f"f{rnd.randrange(40):02d}", i, f"c{rnd.randrange(3)}")
+            for i in range(2000)]
+    df = spark.createDataFrame(rows, "project string, name string, path string, elem_ord long, c string").repartition(7)
+    got = {(r.name, r.path, r.elem_ord): r.prev for r in
+           lag_in_order(df, ["project", "name"], ["path", "elem_ord"], "c", "prev").collect()}
+    w = Window.partitionBy("project", "name").orderBy("path", "elem_ord")
+    want = {(r.name, r.path, r.elem_ord): r.prev for r in df.withColumn("prev", F.lag("c").over(w)).collect()}
+    assert got == want
