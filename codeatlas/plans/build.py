@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,9 @@ def ignored_by(path_col: str = "path", patterns_col: str = "ignore") -> F.Column
 
 def select_sources(source_files: DataFrame, projects: DataFrame) -> DataFrame:
     """Source files each project's rules read: not ignored (F1), right suffix (F2)."""
-    pj = projects.select("project", F.coalesce("language", F.lit("unknown")).alias("language"),
-                         F.coalesce("ignore", F.array(*[F.lit(x) for x in DEFAULT_IGNORE])).alias("ignore"))
+    default_ignore = F.array(*[F.lit(x) for x in DEFAULT_IGNORE])
+    ign = F.coalesce("ignore", default_ignore) if "ignore" in projects.columns else default_ignore
+    pj = projects.select("project", F.coalesce("language", F.lit("unknown")).alias("language"), ign.alias("ignore"))
     if "source_paths" in projects.columns:
         pj = pj.join(projects.select("project", "source_paths"), "project")
     else:
@@ -54,7 +56,8 @@ def select_sources(source_files: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def build(source_files: DataFrame, projects: DataFrame) -> Tables:
-    src = select_sources(source_files, projects)
+    # read by both language branches and by the files table: computed once
+    src = select_sources(source_files, projects).persist(StorageLevel.MEMORY_AND_DISK)
     py = src.where(F.col("language") == "python").select("project", "path", "content")
     ts = src.where(F.col("language") != "python").select("project", "path", "content")
     elements = extract_python.python_elements(py).unionByName(extract_ts.ts_elements(ts))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codeatlas.operators import docs as docops
 from codeatlas.operators import card, extract_python, extract_ts, graph, maintain, nodes, render
 from codeatlas.operators import search as search_ops
-from codeatlas.plans import briefing
+from codeatlas.plans import briefing, build
 from codeatlas.plans.oracle import sql_score, with_views
 from codeatlas.sources import corpus, runs
 
@@ -949,3 +949,33 @@ def q_doc_save_table(spark, sf):
     return nd.select("project", "doc_ord", "element", "path", "type", "content", "aliases", "source",
                      F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"),
                      F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("updated_at"))
+
+
+# ---------------------------------------------------------------- build with language dispatch
+def _build_inputs(spark, sf):
+    src = corpus.src_files(spark, sf).unionByName(corpus.ts_src_files(spark, sf))
+    projects = spark.createDataFrame([("repo0", "python"), ("repo1", "python"), ("repo2", "typescript"), ("repo3", "javascript")],
+                                     "project string, language string")
+    return src, projects
+
+
+_EL_COLS = "project, path, elem_ord, name, type, line, signature, doc_comment, exported"
+_ED_COLS = "project, src_path, dst_path, type, from_element, to_element"
+
+
+@register("build_elements", f"""
+SELECT {_EL_COLS} FROM ({_PY_ELEMENTS_SQL}) p WHERE project IN ('repo0', 'repo1')
+UNION ALL
+SELECT {_EL_COLS} FROM ({ORACLE['ts_elements']}) t WHERE project IN ('repo2', 'repo3')""")
+def q_build_elements(spark, sf):
+    src, projects = _build_inputs(spark, sf)
+    return build.build(src, projects).elements.select(*[c.strip() for c in _EL_COLS.split(",")])
+
+
+@register("build_edges", f"""
+SELECT {_ED_COLS} FROM ({_PY_EDGES_SQL}) p WHERE project IN ('repo0', 'repo1')
+UNION ALL
+SELECT {_ED_COLS} FROM ({ORACLE['ts_edges']}) t WHERE project IN ('repo2', 'repo3')""")
+def q_build_edges(spark, sf):
+    src, projects = _build_inputs(spark, sf)
+    return build.build(src, projects).edges.select(*[c.strip() for c in _ED_COLS.split(",")])
