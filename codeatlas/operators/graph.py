@@ -13,10 +13,13 @@ EDGE_COLS = ["project", "edge_ord", "src_path", "dst_path", "type", "from_elemen
 
 
 def _any_of(elements, el_col: str, path_col: str) -> F.Column:
-    cond = F.lit(False)
+    # plain OR of equality / substring tests: a WHERE drops NULL like false, and this
+    # form pushes down to the Parquet scan (EqualTo / StringContains)
+    cond = None
     for x in elements:
-        cond = cond | F.coalesce(F.col(el_col) == F.lit(x), F.lit(False)) | F.col(path_col).contains(x)
-    return cond
+        c = (F.col(el_col) == F.lit(x)) | F.col(path_col).contains(x)
+        cond = c if cond is None else cond | c
+    return cond if cond is not None else F.lit(False)
 
 
 def deps(edges: DataFrame, *elements: str) -> DataFrame:
