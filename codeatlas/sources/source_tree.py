@@ -2,10 +2,13 @@
 
 Spark's own file readers hide names starting with ``_`` or ``.`` (``__init__.py``
 would vanish), so this source lists the tree itself. ``partitions()`` walks each
-project root once, pruning ignored directories during the walk (their contents are
-never listed), and splits the kept paths into partitions; ``read()`` runs on the
-executors and loads text and modification time. Unreadable files give a row with
-null content (filtered by :func:`scan_sources`).
+project root once on the driver, pruning ignored directories during the walk (their
+contents are never listed), and keeps only *directories* with a count of their kept
+files; directories are packed into partitions of about ``files_per_partition``
+files, and a directory holding more is split into index ranges. ``read()`` runs on
+the executors: it re-lists its directories, applies the same filters, and loads
+text and modification time. Unreadable files give a row with null content
+(filtered by :func:`scan_sources`). Roots must be on a filesystem the executors see.
 
 Options: ``roots`` (JSON object project -> root directory), ``ignore`` (JSON list,
 default list when absent), ``extensions`` (JSON list of suffixes, case-sensitive),
@@ -34,63 +37,87 @@ class _Batch(InputPartition):
         self.items = items
 
 
-def walk(root: str, ignore, extensions) -> list[str]:
-    """Relative paths under ``root`` with a kept extension; ignored directories are
-    pruned, unreadable directories skipped, paths de-duplicated."""
-    out: list[str] = []
-    seen: set[str] = set()
-    exts = set(extensions)
-
+def _wanted(exts: set[str]):
     def wanted(name: str) -> bool:
         # TS/JS rules look at the extension (a bare ".ts" has none); the Python rule at the suffix
         return os.path.splitext(name)[1] in exts or (".py" in exts and name.endswith(".py"))
+    return wanted
+
+
+def _dir_files(root: str, rel_dir: str, ignore, wanted) -> list[str]:
+    """Kept file names (relative paths) directly inside one directory, sorted."""
+    full = os.path.join(root, rel_dir) if rel_dir else root
+    try:
+        names = sorted(e.name for e in os.scandir(full) if e.is_file())
+    except OSError:
+        return []
+    out = []
+    for f in names:
+        rel = f"{rel_dir}/{f}" if rel_dir else f
+        if wanted(f) and not is_ignored_py(rel, ignore):
+            out.append(rel)
+    return out
+
 
+def walk_dirs(root: str, ignore, extensions) -> list[tuple[str, int]]:
+    """(relative directory, number of kept files) for every directory under ``root``
+    not pruned by the ignore rules; unreadable directories are skipped."""
+    wanted = _wanted(set(extensions))
+    out = []
     for dirpath, dirnames, filenames in os.walk(root, onerror=lambda e: None):
         rel_dir = os.path.relpath(dirpath, root)
         rel_dir = "" if rel_dir == "." else rel_dir.replace(os.sep, "/")
-        kept = []
-        for d in sorted(dirnames):
-            rel = f"{rel_dir}/{d}" if rel_dir else d
-            if not is_ignored_py(rel, ignore):
-                kept.append(d)
-        dirnames[:] = kept
-        for f in sorted(filenames):
-            rel = f"{rel_dir}/{f}" if rel_dir else f
-            if is_ignored_py(rel, ignore) or not wanted(f):
-                continue
-            if rel not in seen:
-                seen.add(rel)
-                out.append(rel)
+        dirnames[:] = [d for d in sorted(dirnames) if not is_ignored_py(f"{rel_dir}/{d}" if rel_dir else d, ignore)]
+        n = sum(1 for f in filenames if wanted(f) and not is_ignored_py(f"{rel_dir}/{f}" if rel_dir else f, ignore))
+        if n:
+            out.append((rel_dir, n))
     return out
 
 
+def walk(root: str, ignore, extensions) -> list[str]:
+    """All kept relative file paths under ``root`` (driver-side helper for small trees and tests)."""
+    wanted = _wanted(set(extensions))
+    return [p for d, _ in walk_dirs(root, ignore, extensions) for p in _dir_files(root, d, ignore, wanted)]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.roots = json.loads(options.get("roots", "{}"))
         self.ignore = json.loads(options["ignore"]) if "ignore" in options else DEFAULT_IGNORE
         self.exts = json.loads(options["extensions"]) if "extensions" in options else SOURCE_EXTENSIONS + PYTHON_EXTENSIONS
-        self.per = int(options.get("files_per_partition", "64"))
+        self.per = max(1, int(options.get("files_per_partition", "64")))
 
     def partitions(self):
-        parts = []
+        parts, cur, size = [], [], 0
         for project, root in sorted(self.roots.items()):
-            paths = walk(root, self.ignore, self.exts)
-            for i in range(0, len(paths), self.per):
-                parts.append(_Batch([(project, root, p) for p in paths[i:i + self.per]]))
+            for rel_dir, n in walk_dirs(root, self.ignore, self.exts):
+                start = 0
+                while start < n:
+                    take = min(n - start, self.per - size)
+                    cur.append((project, root, rel_dir, start, start + take))
+                    size += take
+                    start += take
+                    if size >= self.per:
+                        parts.append(_Batch(cur))
+                        cur, size = [], 0
+        if cur:
+            parts.append(_Batch(cur))
         return parts or [_Batch([])]
 
     def read(self, partition):
         import datetime
 
-        for project, root, rel in partition.items:
-            full = os.path.join(root, rel)
-            try:
-                with open(full, encoding="utf-8", errors="strict") as fh:
-                    content = fh.read()
-                mtime = datetime.datetime.fromtimestamp(os.stat(full).st_mtime, tz=datetime.timezone.utc)
-            except (OSError, UnicodeDecodeError):
-                content, mtime = None, None
-            yield (project, rel, content, mtime)
+        wanted = _wanted(set(self.exts))
+        for project, root, rel_dir, lo, hi in partition.items:
+            for rel in _dir_files(root, rel_dir, self.ignore, wanted)[lo:hi]:
+                full = os.path.join(root, rel)
+                try:
+                    with open(full, encoding="utf-8", errors="strict") as fh:
+                        content = fh.read()
+                    mtime = datetime.datetime.fromtimestamp(os.stat(full).st_mtime, tz=datetime.timezone.utc)
+                except (OSError, UnicodeDecodeError):
+                    content, mtime = None, None
+                yield (project, rel, content, mtime)
 
 
 class SourceTreeDataSource(DataSource):
