@@ -4,7 +4,6 @@ with the DuckDB SQL that must return the same rows."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from codeatlas.operators import docs as docops

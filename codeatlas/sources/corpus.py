@@ -84,13 +84,11 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per file: ``file_ord`` is the path itself (rank by path is implied by
-    ordering on ``path``), exports gathered from the file's exported elements."""
-    el = elements(spark, sf_dir)
-    return (el.groupBy("project", "path")
-            .agg(F.sort_array(F.collect_list(F.when(F.col("exported"), F.struct("elem_ord", "name")))).alias("_ex"))
-            .select("project", "path", F.element_at(F.split("path", "/"), -1).alias("name"),
-                    F.transform("_ex", lambda s: s["name"]).alias("exports")))
+    """One row per file (file order is path order), exports gathered from the
+    file's exported elements."""
+    from codeatlas.operators.nodes import file_exports
+
+    return file_exports(elements(spark, sf_dir))
 
 
 def file_mtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
