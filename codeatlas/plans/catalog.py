@@ -849,7 +849,8 @@ def q_run_deltas(spark, sf):
 # ---------------------------------------------------------------- TS/JS extraction (expected rows follow from the derivation)
 _TS_PARTS = """
 tp AS (SELECT 'repo' || CAST(p_partkey % 4 AS VARCHAR) AS project,
-              'web/b' || replace(p_brand, 'Brand#', '') || '/m' || CAST(p_size % 10 AS VARCHAR) || '.ts' AS path,
+              'web/b' || replace(p_brand, 'Brand#', '') || '/m' || CAST(p_size % 10 AS VARCHAR) || '_'
+                  || CAST(p_partkey // 5000 AS VARCHAR) || '.ts' AS path,
               p_partkey AS pk, p_type AS t, p_size AS size, p_name,
               lower(replace(p_name, ' ', '_')) || '_' || CAST(p_partkey AS VARCHAR) AS fname,
               'C' || upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2)

@@ -64,7 +64,8 @@ FROM benchmark"""),
     "v_src_lines": ([], r'''
 SELECT project, path, p_partkey * 4 + j + 1 AS line_no, line FROM (
   SELECT 'repo' || CAST(p_partkey % 4 AS VARCHAR) AS project,
-         'pkg/b' || replace(p_brand, 'Brand#', '') || '/m' || CAST(p_size % 10 AS VARCHAR) || '.py' AS path,
+         'pkg/b' || replace(p_brand, 'Brand#', '') || '/m' || CAST(p_size % 10 AS VARCHAR) || '_'
+             || CAST(p_partkey // 5000 AS VARCHAR) || '.py' AS path,
          p_partkey,
          unnest([0, 1, 2, 3]) AS j,
          unnest([

@@ -26,6 +26,7 @@ N_PROJECTS = 4
 ORDER_FILES = 997
 NAME_SUFFIXES = 97
 SRC_FILES_PER_BRAND = 10
+PARTS_PER_SRC_BUCKET = 5000  # keeps generated source files bounded at any scale factor
 TYPE_OF_PTYPE = {"ECONOMY": "function", "SMALL": "class", "MEDIUM": "interface",
                  "PROMO": "type", "STANDARD": "enum", "LARGE": "variable"}
 EDGE_OF_FLAG = {"A": "import", "N": "call", "R": "extends"}
@@ -156,8 +157,14 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("markdown", F.concat(F.lit("# "), F.col("element"), F.lit("\n\n"), F.col("content"), F.lit("\n")))
 
 
+def _src_stem() -> F.Column:
+    """``<size % 10>_<partkey bucket>``: generated files hold at most a bounded number of parts."""
+    return F.concat((F.col("p_size") % SRC_FILES_PER_BRAND).cast("string"), F.lit("_"),
+                    (F.col("p_partkey") / PARTS_PER_SRC_BUCKET).cast("long").cast("string"))
+
+
 def src_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Python text: four lines per part in ``pkg/b<brand>/m<size % 10>.py``.
+    """Python text: four lines per part in ``pkg/b<brand>/m<size % 10>_<bucket>.py``.
 
     Line numbers come from the key (``p_partkey * 4 + j + 1``), so they are unique
     and ordered within a file without a window."""
@@ -178,7 +185,7 @@ def src_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.lit("")))
     x = p.select(
         _project(F.col("p_partkey")).alias("project"),
-        F.concat(F.lit("pkg/b"), brand, F.lit("/m"), (F.col("p_size") % SRC_FILES_PER_BRAND).cast("string"), F.lit(".py")).alias("path"),
+        F.concat(F.lit("pkg/b"), brand, F.lit("/m"), _src_stem(), F.lit(".py")).alias("path"),
         F.col("p_partkey"),
         F.posexplode(F.array(header, doc, body, tail)).alias("j", "line"),
     )
@@ -211,7 +218,7 @@ def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ts_src_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TypeScript text: five lines per part in ``web/b<brand>/m<size % 10>.ts``.
+    """TypeScript text: five lines per part in ``web/b<brand>/m<size % 10>_<bucket>.ts``.
 
     ECONOMY/PROMO parts become functions, SMALL/MEDIUM classes, STANDARD
     interfaces, LARGE a two-declarator ``const``; PROMO/STANDARD parts add a named
@@ -237,12 +244,12 @@ def ts_src_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.lit("")))
     close = F.when(t == "LARGE", F.lit("")).otherwise(F.lit("}"))
     imp = (F.when(t.isin("PROMO", "STANDARD"), F.concat(F.lit("import { h"), key, F.lit(", type T"), key, F.lit(" as U } from './m"),
-                                                         (F.col("p_size") % SRC_FILES_PER_BRAND).cast("string"), F.lit("';")))
+                                                         _src_stem(), F.lit("';")))
            .when(t == "SMALL", F.concat(F.lit("import Def"), key, F.lit(" from 'lib"), size, F.lit("';")))
            .otherwise(F.lit("")))
     x = p.select(
         _project(F.col("p_partkey")).alias("project"),
-        F.concat(F.lit("web/b"), brand, F.lit("/m"), (F.col("p_size") % SRC_FILES_PER_BRAND).cast("string"), F.lit(".ts")).alias("path"),
+        F.concat(F.lit("web/b"), brand, F.lit("/m"), _src_stem(), F.lit(".ts")).alias("path"),
         F.col("p_partkey"), F.posexplode(F.array(doc, header, body, close, imp)).alias("j", "line"))
     return x.select("project", "path", (F.col("p_partkey") * 5 + F.col("j") + 1).alias("line_no"), "line")
 
