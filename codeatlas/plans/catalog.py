@@ -416,17 +416,26 @@ d AS (SELECT *, CASE WHEN n1 IS NOT NULL AND {_trim_sql('n1')} <> '' THEN {_trim
       FROM c WHERE name <> ''),
 q AS (SELECT *, regexp_extract(opener, '^(["'']{{3}}|["''])', 1) AS qt FROM d),
 r AS (SELECT *, substr(opener, length(qt) + 1) AS rest FROM q),
+nq AS (SELECT project, path, line_no,
+              min(CASE WHEN strpos(line, repeat('"', 3)) > 0 THEN line_no END) OVER nw AS q1,
+              min(CASE WHEN strpos(line, repeat('''', 3)) > 0 THEN line_no END) OVER nw AS q2,
+              min(CASE WHEN strpos(line, '"') > 0 THEN line_no END) OVER nw AS q3,
+              min(CASE WHEN strpos(line, '''') > 0 THEN line_no END) OVER nw AS q4
+       FROM v_py_lines WINDOW nw AS (PARTITION BY project, path ORDER BY line_no
+                                     ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
 s AS (SELECT r.*, strpos(rest, qt) AS close_at,
-             (SELECT min(l.line_no) FROM v_py_lines l WHERE l.project = r.project AND l.path = r.path
-                AND l.line_no > r.o_no AND strpos(l.line, r.qt) > 0) AS c_no FROM r),
-doc AS (SELECT s.*, CASE WHEN type = 'variable' OR coalesce(qt, '') = '' THEN NULL
-          WHEN close_at > 0 THEN nullif({_trim_sql('substr(rest, 1, close_at - 1)')}, '')
-          ELSE nullif({_trim_sql('''array_to_string(list_concat([rest],
-                 coalesce((SELECT list(l.line ORDER BY l.line_no) FROM v_py_lines l WHERE l.project = s.project AND l.path = s.path
-                             AND l.line_no > s.o_no AND l.line_no < coalesce(s.c_no, 9223372036854775807)), []),
-                 CASE WHEN s.c_no IS NULL THEN [] ELSE [(SELECT split_part(l.line, s.qt, 1) FROM v_py_lines l
-                     WHERE l.project = s.project AND l.path = s.path AND l.line_no = s.c_no)] END), chr(10))''')}, '') END AS doc_comment
-        FROM s)
+             CASE qt WHEN repeat('"', 3) THEN nq.q1 WHEN repeat('''', 3) THEN nq.q2 WHEN '"' THEN nq.q3 WHEN '''' THEN nq.q4 END AS c_no
+      FROM r LEFT JOIN nq ON nq.project = r.project AND nq.path = r.path AND nq.line_no = r.o_no),
+mid AS (SELECT s.project, s.path, s.line_no, s.rule, list(l.line ORDER BY l.line_no) AS mid
+        FROM s JOIN v_py_lines l ON l.project = s.project AND l.path = s.path AND l.line_no > s.o_no
+             AND l.line_no < coalesce(s.c_no, 9223372036854775807)
+        WHERE s.close_at = 0 AND coalesce(s.qt, '') <> '' AND s.type <> 'variable'
+        GROUP BY s.project, s.path, s.line_no, s.rule),
+doc AS (SELECT s.*, CASE WHEN s.type = 'variable' OR coalesce(s.qt, '') = '' THEN NULL
+          WHEN s.close_at > 0 THEN nullif({_trim_sql('substr(s.rest, 1, s.close_at - 1)')}, '')
+          ELSE nullif({_trim_sql("array_to_string(list_concat([s.rest], coalesce(m.mid, []), CASE WHEN s.c_no IS NULL THEN [] ELSE [split_part(cl.line, s.qt, 1)] END), chr(10))")}, '') END AS doc_comment
+        FROM s LEFT JOIN mid m ON m.project = s.project AND m.path = s.path AND m.line_no = s.line_no AND m.rule = s.rule
+        LEFT JOIN v_py_lines cl ON cl.project = s.project AND cl.path = s.path AND cl.line_no = s.c_no)
 SELECT project, path, CAST(row_number() OVER (PARTITION BY project, path ORDER BY line_no, rule) AS BIGINT) AS elem_ord,
        path || ':' || name AS id, name, type, CAST(line_no AS INTEGER) AS line, signature, doc_comment,
        NOT starts_with(name, '_') AS exported
