@@ -5,12 +5,16 @@ from __future__ import annotations
 from .common import documents
 from .exact_dedup import exact_dedup
 from .mixing import mixed_counts
+from .packing import pack
 from .quality_rules import quality_report
+from .token_files import round_trip
 
 QUERIES = {
     "op1_quality_rules": lambda spark, d: quality_report(documents(spark, d)),
+    "op2_best_fit_packing": lambda spark, d: pack(documents(spark, d)),
     "op3_mix_sources": lambda spark, d: mixed_counts(documents(spark, d)),
     "op7_exact_dedup": lambda spark, d: exact_dedup(documents(spark, d)),
+    "op9_token_files": lambda spark, d: round_trip(documents(spark, d)),
 }
 
 ORACLE: dict[str, str] = {}
