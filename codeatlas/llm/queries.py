@@ -7,6 +7,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mixed_counts
 from .packing import pack
 from .quality_rules import quality_report
+from .simhash import near_groups
 from .token_files import round_trip
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_best_fit_packing": lambda spark, d: pack(documents(spark, d)),
     "op3_mix_sources": lambda spark, d: mixed_counts(documents(spark, d)),
     "op7_exact_dedup": lambda spark, d: exact_dedup(documents(spark, d)),
+    "op8_simhash_dedup": lambda spark, d: near_groups(documents(spark, d)),
     "op9_token_files": lambda spark, d: round_trip(documents(spark, d)),
 }
 
