@@ -8,8 +8,9 @@ The labels table marks toxic texts as a whole. The two finer categories that ope
 a labelled toxic text that holds a word of the category's list belongs to it. The lists serve only to label
 training rows; the models see hashed words. The last category is the label itself.
 
-A model's words: of the hashed words, those whose share differs most surely between classes (two-proportion z),
-at most ``MAX_WORDS``; a text's feature is presence, so a word counts the same in a text of any length.
+A model's features are hashed words and word beginnings (4 to 7 bytes, so that forms of one stem meet): those
+whose presence differs most surely between classes (two-proportion z), at most ``MAX_WORDS``. Each gives two
+inputs, its presence, so that one plain word counts in a text of any length, and its rate among all words.
 
 Only the fit is bounded: at most ``PER_CLASS`` labelled rows of each class, chosen by hash of the id. Every whole
 text is scored, in Arrow batches.
@@ -22,6 +23,7 @@ no rows; other columns are not carried.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,25 +35,24 @@ from pyspark.sql import functions as F
 from .quality_ranker import held_out, labelled_sample
 from .tokens import slices
 
-PER_CLASS = 6000
+PER_CLASS = 3000
 #: Words that label the chain's first categories, from which its training labels are made.
 CATEGORIES = {"insult": ("idiot", "moron", "stupid", "clown", "loser"), "contempt": ("worthless", "pathetic", "scum", "trash", "disgusting")}
 HASHES = 1 << 20
-MAX_WORDS = 512
+#: Words of which a worker remembers the features.
+MEMO = 300_000
+MAX_WORDS = 192
+BEGINNINGS = (4, 5, 6, 7)
 FOLDS = 3
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 _LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz")) | (np.arange(256) > 127)
 
 
-def _hash(words: list[bytes]) -> np.ndarray:
+def _hashes(word: bytes) -> list[int]:
+    """The features of a word: itself, and its beginnings."""
     from xxhash import xxh32_intdigest
 
-    return np.fromiter((xxh32_intdigest(w) for w in words), dtype=np.int64, count=len(words)) % HASHES
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """The hashes of a text's different words: runs of letters, A-Z lower-cased."""
-    return np.unique(_hash(list(set(_WORD.findall((text or "").encode().lower())))))
+    return [xxh32_intdigest(w) % HASHES for w in (word, *(word[:k] + b"*" for k in BEGINNINGS if len(word) > k))]
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -71,7 +72,22 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return np.searchsorted(bounds, runs[word], side="right") - 1, np.asarray(coded.indices), coded.dictionary.to_pylist()
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+def feature_counts(of: np.ndarray, which: np.ndarray, n_words: int, n_texts: int, pairs: list[tuple[int, int]], n_features: int) -> np.ndarray:
+    """How often each text has each feature."""
+    out = np.zeros(n_texts * max(n_features, 1))
+    marked = np.zeros(n_words, dtype=bool)
+    marked[[k for k, _ in pairs]] = True
+    here = np.flatnonzero(marked[which]) if len(which) else np.zeros(0, np.int64)
+    features: dict[int, list[int]] = {}
+    for k, f in pairs:
+        features.setdefault(k, []).append(f)
+    for text, word in zip(of[here].tolist(), which[here].tolist(), strict=True):
+        for f in features[word]:
+            out[text * n_features + f] += 1
+    return out.reshape(n_texts, -1)[:, :n_features]
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
     """Weights and intercept (last) by Newton's method with a ridge on the weights."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -80,7 +96,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
         w = w + step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-3:
             break
     return w
 
@@ -103,17 +119,23 @@ def select_words(present: list[np.ndarray], y: np.ndarray, most: int = MAX_WORDS
     return np.sort(chosen[best[chosen] >= 5])
 
 
-def fit_chain(rows: list, categories: dict[str, tuple[str, ...]]) -> dict:
-    """{"words": hashes, "chain": weights per category} from (doc_id, text, y) rows."""
+def inputs(counts: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """Presence and rate (on a log scale) of each feature in each text."""
+    return np.hstack([counts > 0, np.log1p(200 * counts / np.maximum(n_words, 1)[:, None])]).astype(float)
+
+
+def fit_chain(rows: list, n_lists: int) -> dict:
+    """{"words": hashes, "chain": weights per category} from (doc_id, hashes, counts, n_words, in_list, y) rows."""
     rows = sorted(rows, key=lambda r: r["doc_id"])
-    present = [word_hashes(r["text"]) for r in rows]
+    present = [np.frombuffer(r["hashes"], dtype=np.int32) for r in rows]
     toxic = np.array([r["y"] for r in rows], dtype=float)
-    lists = [set(_hash([w.encode() for w in ws]).tolist()) for ws in categories.values()]
-    y = np.stack([*(np.array([bool(t) and not s.isdisjoint(p.tolist()) for p, t in zip(present, toxic, strict=True)], dtype=float) for s in lists), toxic], axis=1) if rows else np.zeros((0, len(lists) + 1))
+    y = np.stack([*(np.array([r["in_list"][k] for r in rows], dtype=float) * toxic for k in range(n_lists)), toxic], axis=1)
     words = select_words(present, y) if rows else np.zeros(0, np.int64)
-    x = np.zeros((len(rows), len(words)))
-    for k, p in enumerate(present):
-        x[k, np.searchsorted(words, np.intersect1d(p, words, assume_unique=True))] = 1
+    counts = np.zeros((len(rows), len(words)))
+    for k, (p, r) in enumerate(zip(present, rows, strict=True)):
+        _, own, at = np.intersect1d(p, words, assume_unique=True, return_indices=True)
+        counts[k, at] = np.frombuffer(r["counts"], dtype=np.int32)[own]
+    x = inputs(counts, np.array([r["n_words"] for r in rows], dtype=float))
     fold, chain = np.arange(len(rows)) % FOLDS, []
     for c in y.T:
         if not len(c) or c.min() == c.max():
@@ -128,33 +150,52 @@ def fit_chain(rows: list, categories: dict[str, tuple[str, ...]]) -> dict:
     return {"words": words, "chain": chain}
 
 
+def sampled_features(lists: list[set[bytes]]):
+    """For training rows: the different features of a text with their counts, and which lists its words meet."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {"hashes": [], "counts": [], "n_words": [], "in_list": []}
+            for t in batch.column("text"):
+                words = Counter(_WORD.findall((t.as_py() or "").encode().lower()))
+                got = [(h, n) for w, n in words.items() for h in _hashes(w)]
+                hashes, which = np.unique(np.array([h for h, _ in got], dtype=np.int32), return_inverse=True)
+                counts = np.bincount(which, [n for _, n in got], len(hashes)).astype(np.int32)
+                for k, v in zip(out, (hashes.tobytes(), counts.tobytes(), sum(words.values()), [not s.isdisjoint(words) for s in lists]), strict=True):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(out["hashes"], pa.binary()), pa.array(out["counts"], pa.binary()), pa.array(out["n_words"], pa.int64()),
+                 pa.array(out["in_list"], pa.list_(pa.bool_())), batch.column("y")], names=["doc_id", *out, "y"])
+
+    return rows
+
+
 def classify_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", categories: dict[str, tuple[str, ...]] | None = None, per_class: int = PER_CLASS) -> DataFrame:
     """One row per document: doc_id, held_out, p_<category>..., score (of ``label``), predicted int, is_toxic boolean."""
     categories = CATEGORIES if categories is None else categories
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # Of each sampled text, its different words are enough.
-    sample = labelled_sample(docs, labels, label, per_class)
-
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b" ".join(sorted(set(_WORD.findall((t.as_py() or "").encode().lower())))).decode(errors="ignore") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("y")], names=["doc_id", "text", "y"])
-
-    model = fit_chain(sample.mapInArrow(shorten, f"doc_id {kind}, text string, y int").collect(), categories)
+    sample = labelled_sample(docs, labels, label, per_class).mapInArrow(
+        sampled_features([{w.encode() for w in ws} for ws in categories.values()]),
+        f"doc_id {kind}, hashes binary, counts binary, n_words long, in_list array<boolean>, y int")
+    model = fit_chain(sample.collect(), len(categories))  # at most 2 * per_class rows
     words, chain, names = model["words"], model["chain"], [f"p_{c}" for c in categories] + ["score"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, memo = {int(h): k for k, h in enumerate(words)}, {}
         for part in slices(batches, "text"):
             of, which, different = words_of(part.column("text"))
-            hashes = _hash(different)
-            place = np.searchsorted(words, hashes)
-            place = np.where((place < len(words)) & (words[np.minimum(place, len(words) - 1)] == hashes), place, -1) if len(words) else np.full(len(hashes), -1)
-            own = place[which]
-            x = np.zeros((part.num_rows, len(words)))
-            x[of[own >= 0], own[own >= 0]] = 1
+            pairs = []  # (different word, feature)
+            for k, w in enumerate(different):
+                if (hit := memo.get(w)) is None:
+                    hit = memo[w] = tuple({number[h] for h in _hashes(w) if h in number})
+                pairs += [(k, f) for f in hit]
+            if len(memo) > MEMO:
+                memo = {}
+            occurs = feature_counts(of, which, len(different), part.num_rows, pairs, len(words))
+            x = inputs(occurs, np.bincount(of, minlength=part.num_rows))
             for w in chain:
                 x = np.hstack([x, _probability(x, w)[:, None]])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x[:, len(words) + k]) for k in range(len(chain)))], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x[:, 2 * len(words) + k]) for k in range(len(chain)))], names=["doc_id", *names])
 
     scored = docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, " + ", ".join(f"{n} double" for n in names))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *names, F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), (F.col("score") >= 0.5).alias("is_toxic"))
