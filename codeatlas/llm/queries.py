@@ -10,6 +10,7 @@ from .packing import pack
 from .quality_ranker import classify
 from .quality_rules import quality_report
 from .simhash import near_groups
+from .suffix_dedup import suffix_dedup
 from .token_files import round_trip
 from .toxicity import classify_toxic
 
@@ -23,6 +24,7 @@ QUERIES = {
     "op7_exact_dedup": lambda spark, d: exact_dedup(documents(spark, d)),
     "op8_simhash_dedup": lambda spark, d: near_groups(documents(spark, d)),
     "op9_token_files": lambda spark, d: round_trip(documents(spark, d)),
+    "op10_suffix_dedup": lambda spark, d: suffix_dedup(documents(spark, d)),
 }
 
 ORACLE: dict[str, str] = {}
