@@ -6,6 +6,7 @@ from .common import documents, labels
 from .exact_dedup import exact_dedup
 from .licenses import scan
 from .mixing import mixed_counts
+from .oracle import ORACLE
 from .packing import pack
 from .quality_ranker import classify
 from .quality_rules import quality_report
@@ -27,4 +28,4 @@ QUERIES = {
     "op10_suffix_dedup": lambda spark, d: suffix_dedup(documents(spark, d)),
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
