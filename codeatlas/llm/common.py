@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 RANK_CHUNK = 4096
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,12 +33,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+def save(df: DataFrame, path: str, compression: str = "zstd") -> None:
+    """Write ``df`` as Parquet. Spark deletes what the job shuffled as soon as the files are there."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, None)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        conf.unset(SHUFFLE_CLEANUP) if before is None else conf.set(SHUFFLE_CLEANUP, before)
+
+
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: its lineage is cut, a lost
     executor costs nothing, and the planner knows its size."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = shared_folder(df.sparkSession)
+    save(df, path, compression)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(name: str = "text") -> Column:
