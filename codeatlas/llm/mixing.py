@@ -66,14 +66,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     starts = classes.withColumn("first", F.coalesce(F.sum("n").over(in_source), F.lit(0)))
     targets = source_targets(classes, weights, cap, seed).withColumnRenamed("source", "t_source")
     plan = starts.join(targets, F.col("source").eqNullSafe(F.col("t_source"))).select(
-        F.col("source").alias("__p_source"), F.col("size").alias("__p_size"), "first", "source_size", "target", "offset")
+        F.col("source").alias("__p_source"), F.col("size").alias("__p_size"), *[F.col(c).alias(f"__{c}") for c in ("first", "source_size", "target", "offset")])
     ranked = rank_in_group(rows, ["__source", "__size"], doc_id, [], "__rank")
     joined = ranked.join(plan, F.col("__source").eqNullSafe(F.col("__p_source")) & (F.col("__size") == F.col("__p_size")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    end = lambda j: F.floor(j.cast("double") * rate + F.col("offset"))
-    place = F.col("first") + F.col("__rank")
-    return joined.select(*columns, "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
-                         (end(place + 1) - end(place)).cast("long").alias("__copies"))
+    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
+    end = lambda j: F.floor(j.cast("double") * rate + F.col("__offset"))
+    place = F.col("__first") + F.col("__rank")
+    return joined.select(*columns, "__size", "__source_size", "__target", (end(place + 1) - end(place)).cast("long").alias("__copies"))
 
 
 def mixed_counts(docs: DataFrame, **options) -> DataFrame:

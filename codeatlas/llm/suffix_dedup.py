@@ -45,6 +45,8 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 SAMPLE = LENGTH - PERIOD + 1
 ROUNDS = 2
+#: Bytes of text that a block has on average at least, and at most.
+LEAST_BLOCK, MOST_BLOCK = 2 << 20, 64 << 20
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _MARKER, _SAMPLE_BITS, _SUFFIX_BITS, _TEXT = range(4)
 _ROW = "block int, kind int, id long, part int, data binary"
@@ -261,7 +263,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ro
     thin = written(thin.join(first, "sha"))
     total = thin.agg(F.sum("n_bytes")).first()[0] or 0
     # Blocks and buckets grow with the root of the input, up to 64 MB each, so that rows between them stay few.
-    parts = max(1, math.ceil(total / min(64 << 20, max(2 << 20, 64 * math.isqrt(total)))))
+    parts = max(1, math.ceil(total / min(MOST_BLOCK, max(LEAST_BLOCK, 64 * math.isqrt(total)))))
     block = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("block")
     nothing = F.lit(None).cast("int").alias("part")
     texts = docs.select(id_.alias("id"), raw.alias("data")).select(block, F.lit(_TEXT).alias("kind"), "id", nothing, "data")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import huffman
-from .common import shared_folder, written
+from .common import save, shared_folder, written
 from .tokens import TOKENIZER, encoded
 
 END_ID = 2
@@ -77,7 +77,7 @@ def write_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     table = written(token_table(docs, doc_id, text, tokenizer, end_id))
     lengths = huffman.code_lengths(id_counts(table))
     book = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
-    spark.createDataFrame(book, "id int, length int").coalesce(1).write.parquet(f"{path}/codebook")
+    save(spark.createDataFrame(book, "id int, length int").coalesce(1), f"{path}/codebook")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, number, done = huffman.codes(lengths), TaskContext.get().partitionId(), 0, 0
@@ -108,7 +108,7 @@ def write_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = table.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     schema = f"part int, segment int, start long, n_ids long, doc_ids array<{kind}>, sizes array<long>, bit_offsets array<long>, bits binary"
-    dealt.mapInArrow(segments, schema).write.option("compression", "none").parquet(f"{path}/blocks")
+    save(dealt.mapInArrow(segments, schema), f"{path}/blocks", "none")
 
 
 def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
