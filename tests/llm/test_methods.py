@@ -202,7 +202,7 @@ def test_packing_against_the_library(spark, texts, ids):
     for (k, _), own in zip(texts, ids, strict=True):
         own = np.array([*own, 0], "<u4")
         assert sorted(got[k]) == [(n, a, len(own[a:a + 2048]), zlib.crc32(own[a:a + 2048].tobytes())) for n, a in enumerate(range(0, len(own), 2048))]
-    assert len({r.sequence_id for r in rows}) == -(-sum(r.length for r in rows) // 2048)
+    assert len({r.sequence_id for r in rows}) <= 1.02 * -(-sum(r.length for r in rows) // 2048)
 
 
 def test_simhash_against_brute_force(spark, texts):
