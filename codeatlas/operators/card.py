@@ -1,9 +1,9 @@
 """Element card for a batch of names.
 
-The card's unbounded parts -- every outbound call and every dependent -- stay
-rows (:func:`card_calls`, :func:`card_dependents`); :func:`explain` returns one
-row per name with counts and the first ``shown`` of each list (the card's display
-cap), so a hub element never gathers a third of the graph into one array.
+The card's unbounded parts -- every outbound call and every dependent -- are rows
+of their own (:func:`card_calls`, :func:`card_dependents`); :func:`explain` returns
+one row per name with their numbers, so a hub element never gathers a third of the
+graph into one array.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions.text import node_key
 from codeatlas.operators.docs import doc_lookup
-from codeatlas.operators.graph import edge_order
-from codeatlas.plans.topk import top_k
 
 
 def find_nodes(files: DataFrame, elements: DataFrame, names: DataFrame) -> DataFrame:
@@ -36,18 +34,6 @@ def find_nodes(files: DataFrame, elements: DataFrame, names: DataFrame) -> DataF
             .groupBy("project", "name").agg(F.min_by("node", "o").alias("node")))
 
 
-def card_links(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """Outbound (``role`` = call) and inbound (``role`` = dependent) edges of each name
-    in one pass: every edge offers its two element ends, one equi-join with the names."""
-    ends = edges.select("*", F.inline(F.array(
-        F.struct(F.lit("call").alias("role"), F.col("from_element").alias("name"),
-                 node_key("to_element", "dst_path").alias("other")),
-        F.struct(F.lit("dependent").alias("role"), F.col("to_element").alias("name"),
-                 node_key("from_element", "src_path").alias("other")))))
-    n = names.select("project", "name").distinct()
-    return ends.where(F.col("name").isNotNull()).join(n, ["project", "name"])
-
-
 def card_calls(edges: DataFrame, names: DataFrame) -> DataFrame:
     """Every outbound edge of each name, exact match on ``from_element``."""
     n = names.select("project", F.col("name").alias("from_element")).distinct()
@@ -64,20 +50,17 @@ def card_dependents(edges: DataFrame, names: DataFrame) -> DataFrame:
         *[c for c in ("edge_ord", "src_path", "dst_path", "from_element")])
 
 
-def _top_list(rows: DataFrame, fields, shown: int, alias: str) -> DataFrame:
-    """Count per name plus the first ``shown`` rows (edge order) as an array."""
-    cnt = rows.groupBy("project", "name").agg(F.count(F.lit(1)).alias(f"n_{alias}"))
-    order = [F.col(c) if c != "from_element" and c != "to_element" else F.col(c).asc_nulls_first()
-             for c in ("edge_ord", "src_path", "dst_path", "type")]
-    top = top_k(rows, ["project", "name"], order + [F.col(fields[0])], shown, "_pos")
-    arr = top.groupBy("project", "name").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_pos", *fields))),
-                    lambda s: F.struct(*[s[f].alias(f) for f in fields])).alias(alias))
-    return cnt.join(arr, ["project", "name"])
+def link_counts(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Numbers of outbound and inbound edges of each name. Every edge offers its two ends; they are
+    counted per name before the shuffle, and only counts meet the names."""
+    ends = edges.select("project", F.inline(F.array(
+        F.struct(F.col("from_element").alias("name"), F.lit(1).alias("c"), F.lit(0).alias("d")),
+        F.struct(F.col("to_element").alias("name"), F.lit(0).alias("c"), F.lit(1).alias("d")))))
+    per = ends.where(F.col("name").isNotNull()).groupBy("project", "name").agg(F.sum("c").alias("n_calls"), F.sum("d").alias("n_dependents"))
+    return per.join(names.select("project", "name").distinct(), ["project", "name"])
 
 
-def explain(files: DataFrame, elements: DataFrame, edges: DataFrame, docs: DataFrame, names: DataFrame,
-            shown: int = 30) -> DataFrame:
+def explain(files: DataFrame, elements: DataFrame, edges: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
     """One card per (project, name).
 
     type: node type, else doc type, else ``unknown``; location: ``path[:line]`` of the
@@ -92,17 +75,13 @@ def explain(files: DataFrame, elements: DataFrame, edges: DataFrame, docs: DataF
     doc = doc_lookup(docs, n).select("project", "name", F.struct("type", "path", "content").alias("doc"))
     exact_md = (docs.select("project", F.col("element").alias("name"), "doc_ord", "markdown")
                 .join(n, ["project", "name"]).groupBy("project", "name").agg(F.min_by("markdown", "doc_ord").alias("md")))
-    links = card_links(edges, n)
-    calls = _top_list(links.where(F.col("role") == "call").withColumnRenamed("other", "to"), ["to", "type"], shown, "calls")
-    deps = _top_list(links.where(F.col("role") == "dependent").withColumnRenamed("other", "from"), ["from", "type"], shown,
-                     "dependents")
+    links = link_counts(edges, n)
     node = node.withColumn("_kpath", F.when(F.col("node.is_file"), F.col("node.path")))
     c = (n.join(node, ["project", "name"], "left")
          .join(kids.withColumnRenamed("path", "_kpath"), ["project", "_kpath"], "left")
          .join(doc, ["project", "name"], "left")
          .join(exact_md, ["project", "name"], "left")
-         .join(calls, ["project", "name"], "left")
-         .join(deps, ["project", "name"], "left"))
+         .join(links, ["project", "name"], "left"))
     loc = F.when(F.coalesce(F.col("node.path"), F.lit("")) != "",
                  F.concat(F.col("node.path"), F.when(F.coalesce(F.col("node.line"), F.lit(0)) != 0,
                                                      F.concat(F.lit(":"), F.col("node.line").cast("string"))).otherwise(F.lit(""))))
@@ -110,8 +89,6 @@ def explain(files: DataFrame, elements: DataFrame, edges: DataFrame, docs: DataF
     n_calls = F.coalesce("n_calls", F.lit(0))
     n_deps = F.coalesce("n_dependents", F.lit(0))
     found = F.col("node").isNotNull() | F.col("doc").isNotNull() | (n_calls > 0) | (n_deps > 0)
-    empty_calls = F.array().cast("array<struct<to:string,type:string>>")
-    empty_deps = F.array().cast("array<struct<from:string,type:string>>")
     return c.select(
         "project", F.col("name").alias("element"),
         F.when(found, F.lit("found")).otherwise(F.lit("not_found")).alias("status"),
@@ -120,6 +97,5 @@ def explain(files: DataFrame, elements: DataFrame, edges: DataFrame, docs: DataF
         F.col("node.signature").alias("signature"),
         F.when(F.size(F.col("node.exports")) > 0, F.col("node.exports")).alias("exports"),
         F.when(F.col("node.is_file"), F.coalesce("children", F.array().cast(kids.schema["children"].dataType))).alias("children"),
-        n_calls.alias("n_calls"), F.coalesce("calls", empty_calls).alias("calls"),
-        n_deps.alias("n_dependents"), F.coalesce("dependents", empty_deps).alias("dependents"),
+        n_calls.alias("n_calls"), n_deps.alias("n_dependents"),
         F.coalesce(F.col("md"), F.col("doc.content")).alias("documentation"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions.text import detect_type, doc_file_path, iso_date, markdown_body, type_dir
 from codeatlas.operators.nodes import known_names, public_api
+from codeatlas.plans.partitioning import place_in_group
 from codeatlas.plans.topk import top_k
 
 DOC_COLS = ["project", "doc_ord", "element", "path", "type", "content", "markdown", "aliases",
@@ -31,8 +32,9 @@ def write_markdown(docs: DataFrame, out_dir: str) -> None:
 
 
 def doc_list(docs: DataFrame) -> DataFrame:
-    """Docs grouped by folder (A7): order by type folder, then table order."""
-    return docs.select("project", type_dir("type").alias("type_dir"), "doc_ord", "element", "type", "path")
+    """Docs grouped by folder (A7): (project, type folder), and ``pos`` in table order within it."""
+    rows = docs.select("project", type_dir("type").alias("type_dir"), "doc_ord", "element", "type", "path")
+    return place_in_group(rows, ["project", "type_dir"], "doc_ord", "pos")
 
 
 def docs_by_type(docs: DataFrame) -> DataFrame:
@@ -149,6 +151,3 @@ def resolve_targets(files: DataFrame, elements: DataFrame, names: DataFrame) ->
                     F.coalesce(F.col("r.r_path"), det["path"]).alias("path"),
                     F.coalesce(F.col("r.r_type"), det["type"]).alias("type")))
 
-
-def markdown_of(element, content) -> F.Column:
-    return markdown_body(element, content)

@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions.text import SOURCE_EXTENSIONS, dirname, normalise_path
 from codeatlas.functions.tslex import split_top_level, ts_lex
-from codeatlas.plans.partitioning import spread
 
 FILE = ["project", "path"]
 # Callee words that are statements or operators, never calls.
@@ -48,8 +47,8 @@ def lexed(source_files: DataFrame) -> DataFrame:
     parameter text). A Python UDF inside a plan is not shared between branches, so
     the lexed table is persisted (memory, then local disk; a lost block is
     recomputed from its lineage) and the lexer runs once per file."""
-    x = spread(source_files).select(*FILE, "content", ts_lex(F.col("content")).alias("lx"))
-    return x.select(*FILE, "content", "lx.masked", "lx.jsdocs").repartition(*FILE).persist(StorageLevel.MEMORY_AND_DISK)
+    x = source_files.select(*FILE, "content", ts_lex(F.col("content")).alias("lx"))
+    return x.select(*FILE, "content", "lx.masked", "lx.jsdocs").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def lines(lx: DataFrame) -> DataFrame:

@@ -34,18 +34,6 @@ def calls(edges: DataFrame, *elements: str) -> DataFrame:
     return edges.where(_any_of(elements, "from_element", "src_path"))
 
 
-def calls_of(edges: DataFrame, element: str) -> DataFrame:
-    """Exact outbound edges of an element, projected to (to, type)."""
-    return edges.where(F.col("from_element") == F.lit(element)).select(
-        "project", node_key("to_element", "dst_path").alias("to"), "type", "edge_ord")
-
-
-def dependents_of(edges: DataFrame, element: str) -> DataFrame:
-    """Exact inbound edges of an element, projected to (from, type)."""
-    return edges.where(F.col("to_element") == F.lit(element)).select(
-        "project", node_key("from_element", "src_path").alias("from"), "type", "edge_ord")
-
-
 def degrees(edges: DataFrame) -> DataFrame:
     """In- and out-degree per graph node and project in one pass.
 
@@ -78,11 +66,6 @@ def edge_summary(edges: DataFrame) -> DataFrame:
     )
 
 
-def edges_of_type(edges: DataFrame, edge_type: str) -> DataFrame:
-    """Edge-type filter."""
-    return edges.where(F.col("type") == F.lit(edge_type))
-
-
 def browse_edges(edges: DataFrame, text: str | None = None, edge_type: str | None = None,
                  limit: int | None = 200) -> DataFrame:
     """Edge browser (F10): optional type tab and case-insensitive substring over the
@@ -124,7 +107,7 @@ def file_edges(edges: DataFrame, paths: DataFrame, limit: int | None = 50) -> Da
 
 
 def element_edges(edges: DataFrame, elems: DataFrame, limit: int | None = 50) -> DataFrame:
-    """Neighbourhood of many elements (F13): ``from_element = name``, ``to_element = name``,
+    """Neighbourhood of many elements, one per (project, path, elem_ord) -- ids may repeat -- (F13): ``from_element = name``, ``to_element = name``,
     or a file-level edge (null element) on the element's own path; each edge listed
     once per element, first ``limit`` in edge order.
 
@@ -147,17 +130,19 @@ def element_edges(edges: DataFrame, elems: DataFrame, limit: int | None = 50) ->
     if limit is not None:
         by_name = top_k(by_name, ["project", "key"], edge_order(), limit, "_r").drop("_r")
         by_path = top_k(by_path, ["project", "key"], edge_order(), limit, "_r").drop("_r")
-    el_n = elems.select("project", F.col("id").alias("elem_id"), F.col("name").alias("key"))
-    el_p = elems.select("project", F.col("id").alias("elem_id"), F.col("name").alias("el_name"), F.col("path").alias("key"))
-    hits_n = by_name.join(el_n, ["project", "key"]).select("elem_id", *EDGE_COLS)
+    own = [F.col("id").alias("elem_id"), F.col("path").alias("elem_path"), "elem_ord"]
+    el_n = elems.select("project", *own, F.col("name").alias("key"))
+    el_p = elems.select("project", *own, F.col("name").alias("el_name"), F.col("path").alias("key"))
+    elem = ["elem_id", "elem_path", "elem_ord"]
+    hits_n = by_name.join(el_n, ["project", "key"]).select(*elem, *EDGE_COLS)
     # a path-side edge whose from/to element is the element's own name is already on the name side
     hits_p = (by_path.join(el_p, ["project", "key"])
               .where(~F.coalesce(fe == F.col("el_name"), F.lit(False)) & ~F.coalesce(te == F.col("el_name"), F.lit(False)))
-              .select("elem_id", *EDGE_COLS))
+              .select(*elem, *EDGE_COLS))
     u = hits_n.unionByName(hits_p)
     if limit is None:
         return u
-    return top_k(u, ["project", "elem_id"], edge_order(), limit, "pos")
+    return top_k(u, ["project", "elem_path", "elem_ord"], edge_order(), limit, "pos")
 
 
 def edge_order_cols():

@@ -45,30 +45,28 @@ def file_exports(elements: DataFrame) -> DataFrame:
 def arch_show(files: DataFrame, elements: DataFrame, target: str | None = None) -> DataFrame:
     """Architecture filter (F3). Per project: files whose path or name contains
     ``target`` (case-sensitive); only when no file of the project matches, files having
-    a child whose name or id contains it, with ``children`` narrowed to those."""
-    tree = nest(files, elements)
+    a child whose name or id contains it, with ``children`` narrowed to those.
+
+    Files and elements are filtered before anything is nested, so only what is shown is gathered."""
     if not target:
-        return tree
+        return nest(files, elements)
     t = F.lit(target)
-    by_file = F.col("path").contains(t) | F.col("name").contains(t)
-    tagged = tree.withColumn("_file_hit", by_file)
-    hit_projects = tagged.groupBy("project").agg(F.max(F.col("_file_hit").cast("int")).alias("_any"))
-    narrowed = F.filter("children", lambda c: c["name"].contains(t) | c["id"].contains(t))
-    out = (tagged.join(hit_projects, "project")
-           .withColumn("children", F.when(F.col("_any") == 1, F.col("children")).otherwise(narrowed))
-           .where(F.when(F.col("_any") == 1, F.col("_file_hit")).otherwise(F.size("children") > 0)))
-    return out.drop("_file_hit", "_any")
+    by_file = files.where(F.col("path").contains(t) | F.col("name").contains(t))
+    whole = nest(by_file, elements.join(by_file.select("project", "path"), ["project", "path"], "left_semi"))
+    hits = elements.where(F.col("name").contains(t) | F.col("id").contains(t))
+    hits = hits.join(by_file.select("project").distinct(), "project", "left_anti")
+    return whole.unionByName(nest(files.join(hits.select("project", "path"), ["project", "path"], "left_semi"), hits))
 
 
 def arch_browse(files: DataFrame, elements: DataFrame, text: str | None = None) -> DataFrame:
     """Case-insensitive tree filter (F9): a file stays if its name or a child's name
-    contains the text; children are always narrowed by name."""
-    tree = nest(files, elements)
+    contains the text; children are always narrowed by name, before they are nested."""
     if not text:
-        return tree
+        return nest(files, elements)
     f = F.lit(text.lower())
-    keep = F.lower("name").contains(f) | F.exists("children", lambda c: F.lower(c["name"]).contains(f))
-    return tree.where(keep).withColumn("children", F.filter("children", lambda c: F.lower(c["name"]).contains(f)))
+    hits = elements.where(F.lower("name").contains(f))
+    tree = nest(files, hits)
+    return tree.where(F.lower("name").contains(f) | (F.size("children") > 0))
 
 
 def public_api(elements: DataFrame) -> DataFrame:

@@ -71,16 +71,12 @@ def _edge_ids(edges: DataFrame) -> DataFrame:
 
 
 def _with_header(edges: DataFrame, body: DataFrame, head: list[str], foot: list[str]) -> DataFrame:
-    projects = edges.select("project").distinct()
-    cols = ["project", "section", "edge_ord", "src_path", "dst_path", "type", "from_element", "to_element", "line"]
-    out = body.select(F.lit(1).alias("section"), *[c for c in cols if c != "section"])
-    for sec, lines in ((0, head), (2, foot)):
-        for i, text in enumerate(lines):
-            out = out.unionByName(projects.select(
-                "project", F.lit(sec).alias("section"), F.lit(i).cast("long").alias("edge_ord"),
-                *[F.lit(None).cast("string").alias(c) for c in ("src_path", "dst_path", "type", "from_element", "to_element")],
-                F.lit(text).alias("line")))
-    return out
+    """``body`` with the diagram's first and last lines, once per project (one scan for all of them)."""
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("src_path", "dst_path", "type", "from_element", "to_element")]
+    lines = F.array(*[F.struct(F.lit(sec).alias("section"), F.lit(i).cast("long").alias("edge_ord"), *nothing, F.lit(text).alias("line"))
+                      for sec, texts in ((0, head), (2, foot)) for i, text in enumerate(texts)])
+    frame = edges.select("project").distinct().select("project", F.inline(lines))
+    return body.withColumn("section", F.lit(1)).select(*frame.columns).unionByName(frame)
 
 
 def render_mermaid_edges(edges: DataFrame) -> DataFrame:

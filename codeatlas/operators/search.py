@@ -9,14 +9,13 @@ counts come from an aggregate over the (small) match table joined to the index.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions.score import (MIN_SCORE, SCORE_CONTAINS, SCORE_EQUAL, SCORE_EXACT_TOKENS,
                                        SCORE_FUZZY_TOKENS, fuzzy_threshold, score_match, tokenize,
                                        tokenize_py)
 from codeatlas.functions.text import location
-from codeatlas.plans.partitioning import spread
 from codeatlas.plans.topk import top_k
 
 
@@ -33,7 +32,6 @@ class TokenIndex:
                  via_vocabulary: bool = False):
         self.key_cols = list(key_cols)
         self.via_vocabulary = via_vocabulary
-        docs = spread(docs.select(*self.key_cols, text_col))
         self.tokens = docs.select(*self.key_cols, F.explode(F.array_distinct(tokenize(text_col))).alias("token"))
 
     @property
@@ -78,20 +76,21 @@ class TokenIndex:
 
 def long_text_score(docs: DataFrame, query: str, index: TokenIndex | None = None,
                     text_col: str = "content", key_cols=("project", "doc_ord")) -> DataFrame:
-    """``docs`` plus ``content_score`` = score_match(query, text) computed with the index."""
+    """``docs`` without its text, plus ``content_score`` = score_match(query, text) computed with the index."""
     key_cols = list(key_cols)
     if not query:
-        return docs.withColumn("content_score", F.lit(0.0))
+        return docs.withColumn("content_score", F.lit(0.0)).drop(text_col)
     index = index or TokenIndex(docs, text_col, key_cols)
     q = query.lower().strip()
     t = F.col(text_col)
     ts = index.token_scores(query)
-    j = docs.join(ts, key_cols, "left")
-    score = (F.when(t.isNull() | (t == ""), F.lit(0.0))
+    # What the whole text decides is decided in the scan; only a number goes on to the join.
+    whole = (F.when(t.isNull() | (t == ""), F.lit(0.0))
              .when(F.lower(t) == F.lit(q), F.lit(SCORE_EQUAL))
-             .when(F.lower(t).contains(F.lit(q)), F.lit(SCORE_CONTAINS))
-             .otherwise(F.coalesce("tok_score", F.lit(0.0))))
-    return j.withColumn("content_score", score).drop("tok_score")
+             .when(F.lower(t).contains(F.lit(q)), F.lit(SCORE_CONTAINS)))
+    thin = docs.withColumn("_whole", whole).drop(text_col)
+    j = thin.join(ts, key_cols, "left")
+    return j.withColumn("content_score", F.coalesce("_whole", "tok_score", F.lit(0.0))).drop("tok_score", "_whole")
 
 
 def _alias_score(query: str) -> F.Column:
@@ -129,6 +128,7 @@ def search(files: DataFrame, elements: DataFrame, docs: DataFrame, query: str, k
     one row per (element, location) keeping the best score (code first on ties),
     top ``k`` per project by score, rounded to 3 decimals."""
     code = code_hits(files, elements, query)
+    docs = docs.select("project", "doc_ord", "element", "type", "path", "aliases", "content")
     d = doc_hits(docs, query, index=index).select(
         "project", "element", "type",
         F.when(F.coalesce("path", F.lit("")) == "", F.lit(None).cast("string")).otherwise(F.col("path")).alias("location"),
@@ -150,5 +150,7 @@ def doc_search(docs: DataFrame, query: str, min_score: float = MIN_SCORE,
                index: TokenIndex | None = None) -> DataFrame:
     """Doc search (C6, T2): every doc scoring >= 0.3 on max(element, alias,
     0.7*path, 0.5*content), ranked by score then table order; score rounded."""
+    docs = docs.select("project", "doc_ord", "element", "type", "path", "aliases", "content")
     d = doc_hits(docs, query, with_path=True, index=index).where(F.col("score") >= min_score)
-    return d.select("project", "doc_ord", "element", "type", "path", "aliases", F.round("score", 3).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("project").orderBy(F.col("score").desc(), "doc_ord")).cast("long")
+    return d.select("project", rank.alias("rank"), "doc_ord", "element", "type", "path", "aliases", F.round("score", 3).alias("score"))

@@ -44,15 +44,16 @@ def select_sources(source_files: DataFrame, projects: DataFrame) -> DataFrame:
         pj = pj.join(projects.select("project", "source_paths"), "project")
     else:
         pj = pj.withColumn("source_paths", F.lit(None).cast("array<string>"))
-    j = source_files.join(pj, "project")
+    # Chosen on thin rows; the texts then meet the chosen paths on the file key, so no project is one task.
+    j = source_files.where(F.col("content").isNotNull()).select("project", "path").join(pj, "project")
     under = F.coalesce(F.exists("source_paths", lambda sp: (sp == ".") | (sp == "") | F.col("path").startswith(F.concat(sp, F.lit("/")))),
                        F.lit(True))
     j = j.where(under)
     ext = F.regexp_extract(basename("path"), r"^.+(\.[^.]*)$", 1)
     is_py = F.col("language") == "python"
     keep = F.when(is_py, F.col("path").endswith(".py")).otherwise(ext.isin(SOURCE_EXTENSIONS))
-    return j.where(keep & ~ignored_by("path", "ignore") & F.col("content").isNotNull()) \
-        .dropDuplicates(["project", "path"]).drop("ignore", "source_paths")
+    chosen = j.where(keep & ~ignored_by("path", "ignore")).select("project", "path", "language").distinct()
+    return source_files.where(F.col("content").isNotNull()).join(chosen, ["project", "path"]).dropDuplicates(["project", "path"])
 
 
 def build(source_files: DataFrame, projects: DataFrame) -> Tables:
@@ -86,10 +87,3 @@ def build_from_trees(spark: SparkSession, roots: dict[str, str], languages: dict
     if ignore is not None:
         projects = projects.withColumn("ignore", F.array(*[F.lit(x) for x in ignore]))
     return build(src, projects)
-
-
-def analysis_summary(edges: DataFrame) -> DataFrame:
-    """Total, import and call counts per project (A2)."""
-    return edges.groupBy("project").agg(F.count(F.lit(1)).alias("total"),
-                                        F.count_if(F.col("type") == "import").alias("imports"),
-                                        F.count_if(F.col("type") == "call").alias("calls"))

@@ -113,19 +113,19 @@ def q_file_edges(spark, sf):
 
 @register("element_edges", with_views("v_edges", "v_elements") + f"""
 , u AS (
-  SELECT l.id AS elem_id, e.* FROM v_edges e JOIN v_elements l ON e.project = l.project AND e.from_element = l.name
+  SELECT l.id AS elem_id, l.path AS elem_path, l.elem_ord, e.* FROM v_edges e JOIN v_elements l ON e.project = l.project AND e.from_element = l.name
   UNION ALL
-  SELECT l.id, e.* FROM v_edges e JOIN v_elements l ON e.project = l.project AND e.to_element = l.name
+  SELECT l.id, l.path, l.elem_ord, e.* FROM v_edges e JOIN v_elements l ON e.project = l.project AND e.to_element = l.name
   WHERE e.from_element IS DISTINCT FROM l.name
   UNION ALL
-  SELECT l.id, e.* FROM v_edges e JOIN v_elements l ON e.project = l.project AND e.src_path = l.path
+  SELECT l.id, l.path, l.elem_ord, e.* FROM v_edges e JOIN v_elements l ON e.project = l.project AND e.src_path = l.path
   WHERE e.from_element IS NULL AND e.to_element IS DISTINCT FROM l.name
   UNION ALL
-  SELECT l.id, e.* FROM v_edges e JOIN v_elements l ON e.project = l.project AND e.dst_path = l.path
+  SELECT l.id, l.path, l.elem_ord, e.* FROM v_edges e JOIN v_elements l ON e.project = l.project AND e.dst_path = l.path
   WHERE e.to_element IS NULL AND e.from_element IS DISTINCT FROM l.name
     AND NOT (e.from_element IS NULL AND e.src_path = l.path)),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY project, elem_id ORDER BY {_ORDER_SQL}) AS BIGINT) AS pos FROM u)
-SELECT elem_id, project, edge_ord, src_path, dst_path, type, from_element, to_element, pos FROM r WHERE pos <= 50""")
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY project, elem_path, elem_ord ORDER BY {_ORDER_SQL}) AS BIGINT) AS pos FROM u)
+SELECT elem_id, elem_path, elem_ord, project, edge_ord, src_path, dst_path, type, from_element, to_element, pos FROM r WHERE pos <= 50""")
 def q_element_edges(spark, sf):
     return graph.element_edges(corpus.edges(spark, sf), corpus.elements(spark, sf), limit=50)
 
@@ -317,7 +317,9 @@ _DIR_SQL = ("CASE type WHEN 'file' THEN 'files' WHEN 'function' THEN 'functions'
             "WHEN 'module' THEN 'modules' WHEN 'page' THEN 'pages' WHEN 'unknown' THEN 'other' ELSE 'other' END")
 
 
-@register("doc_list", with_views("v_docs") + f"SELECT project, {_DIR_SQL} AS type_dir, doc_ord, element, type, path FROM v_docs")
+@register("doc_list", with_views("v_docs") + f"""
+SELECT project, {_DIR_SQL} AS type_dir, doc_ord, element, type, path,
+       CAST(row_number() OVER (PARTITION BY project, {_DIR_SQL} ORDER BY doc_ord) AS BIGINT) AS pos FROM v_docs""")
 def q_doc_list(spark, sf):
     return docops.doc_list(corpus.docs(spark, sf))
 
@@ -365,7 +367,8 @@ def _doc_search_sql(query: str) -> str:
     S = lambda e: sql_score(query, e)
     alias = f"coalesce(list_max(list_transform(aliases, lambda a: {S('a')})), 0.0::DOUBLE)"
     return with_views("v_docs") + f"""
-SELECT project, doc_ord, element, type, path, aliases, round(score, 3) AS score FROM (
+SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY score DESC, doc_ord) AS BIGINT) AS rank,
+       doc_ord, element, type, path, aliases, round(score, 3) AS score FROM (
   SELECT *, greatest({S('element')}, {alias}, {S('path')} * 0.7::DOUBLE, {S('content')} * 0.5::DOUBLE) AS score FROM v_docs)
 WHERE score >= 0.3"""
 
@@ -509,18 +512,8 @@ dmin AS (SELECT n.project, n.name, min(dk.doc_ord) AS doc_ord FROM n JOIN dk ON
 doc AS (SELECT dmin.project, dmin.name, d.type, d.path, d.content FROM dmin JOIN v_docs d ON d.project = dmin.project AND d.doc_ord = dmin.doc_ord),
 md AS (SELECT project, element AS name, arg_min('# ' || element || chr(10) || chr(10) || content || chr(10), doc_ord) AS md
        FROM v_docs GROUP BY project, element),
-c AS (SELECT e.project, e.from_element AS name, coalesce(nullif(e.to_element, ''), e.dst_path) AS target, e.type,
-             row_number() OVER (PARTITION BY e.project, e.from_element ORDER BY e.edge_ord, e.src_path, e.dst_path, e.type,
-                                coalesce(nullif(e.to_element, ''), e.dst_path)) AS pos
-      FROM v_edges e JOIN n ON n.project = e.project AND n.name = e.from_element),
-ca AS (SELECT project, name, count(*) AS n_calls, string_agg(target || '|' || type, ';' ORDER BY pos) FILTER (WHERE pos <= 30) AS calls
-       FROM c GROUP BY 1, 2),
-dp AS (SELECT e.project, e.to_element AS name, coalesce(nullif(e.from_element, ''), e.src_path) AS source, e.type,
-              row_number() OVER (PARTITION BY e.project, e.to_element ORDER BY e.edge_ord, e.src_path, e.dst_path, e.type,
-                                 coalesce(nullif(e.from_element, ''), e.src_path)) AS pos
-       FROM v_edges e JOIN n ON n.project = e.project AND n.name = e.to_element),
-da AS (SELECT project, name, count(*) AS n_dependents, string_agg(source || '|' || type, ';' ORDER BY pos) FILTER (WHERE pos <= 30) AS dependents
-       FROM dp GROUP BY 1, 2)
+ca AS (SELECT project, from_element AS name, count(*) AS n_calls FROM v_edges WHERE from_element IS NOT NULL GROUP BY 1, 2),
+da AS (SELECT project, to_element AS name, count(*) AS n_dependents FROM v_edges WHERE to_element IS NOT NULL GROUP BY 1, 2)
 SELECT n.project, n.name AS element,
        CASE WHEN node.name IS NOT NULL OR doc.name IS NOT NULL OR coalesce(ca.n_calls, 0) > 0 OR coalesce(da.n_dependents, 0) > 0
             THEN 'found' ELSE 'not_found' END AS status,
@@ -531,8 +524,7 @@ SELECT n.project, n.name AS element,
        node.signature,
        CASE WHEN len(node.exports) > 0 THEN array_to_string(node.exports, ',') END AS exports,
        CASE WHEN node.is_file THEN coalesce(kids.n_children, 0) END AS n_children,
-       coalesce(ca.n_calls, 0) AS n_calls, coalesce(ca.calls, '') AS calls,
-       coalesce(da.n_dependents, 0) AS n_dependents, coalesce(da.dependents, '') AS dependents,
+       coalesce(ca.n_calls, 0) AS n_calls, coalesce(da.n_dependents, 0) AS n_dependents,
        coalesce(md.md, doc.content) AS documentation
 FROM n LEFT JOIN node ON node.project = n.project AND node.name = n.name
 LEFT JOIN kids ON node.is_file AND kids.project = n.project AND kids.path = node.path
@@ -542,17 +534,37 @@ LEFT JOIN ca ON ca.project = n.project AND ca.name = n.name
 LEFT JOIN da ON da.project = n.project AND da.name = n.name""")
 def q_card(spark, sf):
     files, el, docs = corpus.files(spark, sf), corpus.elements(spark, sf), corpus.docs(spark, sf)
-    names = (el.select("project", "name").unionByName(docs.select("project", F.col("element").alias("name")))
-             .unionByName(files.select("project", F.col("path").alias("name"))))
-    c = card.explain(files, el, corpus.edges(spark, sf), docs, names, shown=30)
+    c = card.explain(files, el, corpus.edges(spark, sf), docs, _card_names(files, el, docs))
     return c.select(
         "project", "element", "status", "type", "location", "signature",
         F.array_join("exports", ",").alias("exports"),
-        F.size("children").cast("long").alias("n_children"),
-        "n_calls", F.array_join(F.transform("calls", lambda s: F.concat(s["to"], F.lit("|"), s["type"])), ";").alias("calls"),
-        "n_dependents",
-        F.array_join(F.transform("dependents", lambda s: F.concat(s["from"], F.lit("|"), s["type"])), ";").alias("dependents"),
-        "documentation")
+        F.size("children").cast("long").alias("n_children"), "n_calls", "n_dependents", "documentation")
+
+
+def _card_names(files, el, docs):
+    return (el.select("project", "name").unionByName(docs.select("project", F.col("element").alias("name")))
+            .unionByName(files.select("project", F.col("path").alias("name"))))
+
+
+_CARD_NAMES_SQL = """
+, n AS (SELECT DISTINCT project, name FROM (
+    SELECT project, name FROM v_elements UNION ALL SELECT project, element FROM v_docs UNION ALL SELECT project, path FROM v_files))"""
+
+
+@register("card_calls", with_views("v_files", "v_elements", "v_edges", "v_docs") + _CARD_NAMES_SQL + """
+SELECT e.project, n.name, coalesce(nullif(e.to_element, ''), e.dst_path) AS "to", e.type, e.edge_ord, e.src_path, e.dst_path, e.to_element
+FROM v_edges e JOIN n ON n.project = e.project AND n.name = e.from_element""")
+def q_card_calls(spark, sf):
+    files, el, docs = corpus.files(spark, sf), corpus.elements(spark, sf), corpus.docs(spark, sf)
+    return card.card_calls(corpus.edges(spark, sf), _card_names(files, el, docs))
+
+
+@register("card_dependents", with_views("v_files", "v_elements", "v_edges", "v_docs") + _CARD_NAMES_SQL + """
+SELECT e.project, n.name, coalesce(nullif(e.from_element, ''), e.src_path) AS "from", e.type, e.edge_ord, e.src_path, e.dst_path, e.from_element
+FROM v_edges e JOIN n ON n.project = e.project AND n.name = e.to_element""")
+def q_card_dependents(spark, sf):
+    files, el, docs = corpus.files(spark, sf), corpus.elements(spark, sf), corpus.docs(spark, sf)
+    return card.card_dependents(corpus.edges(spark, sf), _card_names(files, el, docs))
 
 
 # ---------------------------------------------------------------- renderers
@@ -727,22 +739,25 @@ act AS (SELECT *, CASE WHEN ex AND coalesce(src <> 'auto', true) THEN 'skipped'
                        WHEN coalesce(prev, CASE WHEN src = 'auto' THEN stored END) = c THEN 'skipped'
                        ELSE 'created' END AS action FROM a),
 fin AS (SELECT project, name, arg_max(path, (path, elem_ord)) AS path, arg_max(type, (path, elem_ord)) AS type,
-               arg_max(c, (path, elem_ord)) AS c FROM act WHERE action = 'created' GROUP BY project, name)
-SELECT b.project, b.name AS element, coalesce(f.path, b.bpath) AS path, coalesce(f.type, b.btype) AS type,
+               arg_max(c, (path, elem_ord)) AS c, min((path, elem_ord)) AS first FROM act WHERE action = 'created' GROUP BY project, name),
+next AS (SELECT project, max(doc_ord) + 1 AS next FROM v_docs GROUP BY project),
+fresh AS (SELECT f.*, coalesce(next, 0) + row_number() OVER (PARTITION BY f.project ORDER BY first) - 1 AS doc_ord
+          FROM fin f LEFT JOIN next ON next.project = f.project WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.project = f.project AND b.name = f.name))
+SELECT b.project, b.doc_ord, b.name AS element, coalesce(f.path, b.bpath) AS path, coalesce(f.type, b.btype) AS type,
        coalesce(f.c, b.stored) AS content,
        CASE WHEN f.name IS NOT NULL THEN 'auto' ELSE b.src END AS source,
        CASE WHEN f.name IS NOT NULL THEN NULL ELSE b.baliases END AS aliases,
        strftime(coalesce(b.created, TIMESTAMP '{_NOW}'), {_ISO}) AS created_at, b.doc_ord IS NULL AS is_new
 FROM base b LEFT JOIN fin f ON b.project = f.project AND b.name = f.name
 UNION ALL
-SELECT f.project, f.name, f.path, f.type, f.c, 'auto', NULL, strftime(TIMESTAMP '{_NOW}', {_ISO}), true
-FROM fin f WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.project = f.project AND b.name = f.name)""")
+SELECT f.project, f.doc_ord, f.name, f.path, f.type, f.c, 'auto', NULL, strftime(TIMESTAMP '{_NOW}', {_ISO}), true
+FROM fresh f""")
 def q_seed_table(spark, sf):
     docs = corpus.docs(spark, sf)
     nd, _, _ = maintain.seed_docs(corpus.elements(spark, sf), docs, now=_NOW)
     old = docs.groupBy("project", "element").agg(F.min("doc_ord").alias("doc_ord")).withColumn("_old", F.lit(True))
     return (nd.join(old, ["project", "element", "doc_ord"], "left")
-            .select("project", "element", "path", "type", "content", "source", "aliases",
+            .select("project", "doc_ord", "element", "path", "type", "content", "source", "aliases",
                     F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"),
                     F.col("_old").isNull().alias("is_new")))
 
@@ -780,8 +795,6 @@ def q_alias_status(spark, sf):
 per AS (SELECT f.project, f.path, count(e.name) AS n FROM v_files f
         LEFT JOIN v_elements e ON e.project = f.project AND e.path = f.path GROUP BY f.project, f.path),
 tf AS (SELECT project, path, row_number() OVER (PARTITION BY project ORDER BY n DESC, path) AS rank FROM per),
-api AS (SELECT project, name, row_number() OVER (PARTITION BY project ORDER BY path, elem_ord) AS rank, count(*) OVER (PARTITION BY project) AS n
-        FROM v_elements WHERE exported OR type IN ('class', 'function', 'interface')),
 es AS (SELECT project, count(*) AS total, count(*) FILTER (WHERE type = 'import') AS imports,
               count(*) FILTER (WHERE type = 'call') AS calls, count(*) FILTER (WHERE type = 'extends') AS extends,
               count(*) FILTER (WHERE type = 'implements') AS implements FROM v_edges GROUP BY project),
@@ -795,8 +808,7 @@ SELECT s.project, (SELECT count(*) FROM v_files x WHERE x.project = s.project) A
        (SELECT string_agg(element, ',' ORDER BY rank) FROM hot WHERE hot.project = s.project AND rank <= 10) AS hotspots,
        (SELECT string_agg(path, ',' ORDER BY rank) FROM tf WHERE tf.project = s.project AND rank <= 10) AS top_files,
        (SELECT string_agg(element, ',' ORDER BY rank) FROM rd WHERE rd.project = s.project AND rank <= 5) AS recent,
-       (SELECT max(n) FROM api WHERE api.project = s.project) AS public_api_count,
-       (SELECT string_agg(name, ',' ORDER BY rank) FROM api WHERE api.project = s.project AND rank <= 10) AS public_api
+       (SELECT count(*) FROM v_elements x WHERE x.project = s.project AND (exported OR type IN ('class', 'function', 'interface'))) AS public_api_count
 FROM (SELECT DISTINCT project FROM v_files) s JOIN es ON es.project = s.project""")
 def q_briefing(spark, sf):
     b = briefing.context(corpus.files(spark, sf), corpus.elements(spark, sf), corpus.edges(spark, sf), corpus.docs(spark, sf))
@@ -810,8 +822,7 @@ def q_briefing(spark, sf):
         F.array_join(F.transform("dependencies.hotspots", lambda s: s["element"]), ",").alias("hotspots"),
         F.array_join(F.transform("architecture.top_files", lambda s: s["path"]), ",").alias("top_files"),
         F.array_join(F.transform("documentation.recent", lambda s: s["element"]), ",").alias("recent"),
-        "public_api_count",
-        F.array_join(F.transform("public_api", lambda s: s["name"]), ",").alias("public_api"))
+        "public_api_count")
 
 
 # ---------------------------------------------------------------- benchmark run records

@@ -2,42 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from codeatlas.session import ensure_checkpoint_dir
 
-def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
-    """Round-robin the rows over at least ``defaultParallelism * per_core`` partitions
-    when the input has fewer (e.g. one unsplittable file feeding a CPU-heavy text
-    stage). A large input already has more partitions and is left untouched, so no
-    shuffle is added at scale."""
-    target = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+RANK_CHUNK = 4096
+
+
+def place_in_group(df: DataFrame, group_cols, ord_col: str, out_col: str) -> DataFrame:
+    """1-based place of each row in its group by the integer ``ord_col``, for groups of any size.
+
+    Rows are numbered within chunks of consecutive order values; the chunks' sizes, counted
+    before any shuffle, say how many rows come before a chunk. The join is null-safe."""
+    group_cols = list(group_cols)
+    rows = df.withColumn("_chunk", F.floor(F.col(ord_col) / RANK_CHUNK).cast("long"))
+    keys = [*group_cols, "_chunk"]
+    before = Window.partitionBy(*group_cols).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    sizes = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_before")
+    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*keys).orderBy(ord_col)))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return rows.join(sizes, same).withColumn(out_col, (F.col("_before") + F.col("_in")).cast("long")).select(*df.columns, out_col)
 
 
 def lag_in_order(df: DataFrame, group_cols, order_cols, value_col: str, out_col: str) -> DataFrame:
     """``lag(value) over (partition by group order by order)`` without putting a
     whole group into one task.
 
-    Rows are range-partitioned on (group, order), so a group holding a third of all
-    rows spreads over many partitions. Each partition takes the lag of its own rows;
-    the first row of a partition takes the last row of the previous non-empty
-    partition when it belongs to the same group. The boundary table has one row per
-    partition (a size bound), so joining it back is cheap."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
+    Rows are dealt by ranges of (group, order), so a group holding a third of all rows
+    spreads over many tasks. The number of a row's range becomes a stored column: the
+    dealt rows are checkpointed before anything reads them, so every branch below sees
+    the same ranges. Each range takes the lag of its own rows; the first row of a range
+    takes the last row of the range before when that belongs to the same group. The
+    table of last rows has one row per range."""
     group_cols, order_cols = list(group_cols), list(order_cols)
     keys = group_cols + order_cols
-    s = df.repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy(*keys)
-    g = F.struct(*[F.col(c) for c in group_cols])
-    s = (s.withColumn("_g", g).withColumn("_rn", F.row_number().over(w))
-         .withColumn("_prev", F.lag(F.struct(F.col("_g").alias("g"), F.col(value_col).alias("v"))).over(w)))
-    last = (s.groupBy("_pid").agg(F.max_by(F.struct(F.col("_g").alias("g"), F.col(value_col).alias("v")),
-                                           F.struct(*[F.col(c) for c in keys])).alias("_last")))
-    wb = Window.orderBy("_pid")  # one row per partition
-    carry = last.select("_pid", F.lag("_last").over(wb).alias("_carry"))
-    out = s.join(carry, "_pid", "left")
+    ensure_checkpoint_dir(df.sparkSession)
+    s = df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()).checkpoint()
+    w = Window.partitionBy("_range").orderBy(*keys)
+    here = F.struct(F.struct(*[F.col(c) for c in group_cols]).alias("g"), F.col(value_col).alias("v"))
+    s = s.withColumns({"_rn": F.row_number().over(w), "_prev": F.lag(here).over(w)})
+    last = s.groupBy("_range").agg(F.max_by(here, F.struct(*[F.col(c) for c in keys])).alias("_last"))
+    carry = last.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_carry"))
+    out = s.join(carry, "_range", "left")
     prev = F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_prev"))
-    out = out.withColumn(out_col, F.when(prev["g"] == F.col("_g"), prev["v"]))
-    return out.drop("_pid", "_g", "_rn", "_prev", "_carry")
+    same = F.lit(True)
+    for c in group_cols:
+        same = same & prev["g"][c].eqNullSafe(F.col(c))
+    return out.withColumn(out_col, F.when(same, prev["v"])).select(*df.columns, out_col)

@@ -19,8 +19,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.plans.partitioning import spread
-
 # Fixed values of the derivation (shared with the SQL oracle).
 N_PROJECTS = 4
 ORDER_FILES = 997
@@ -33,14 +31,22 @@ EDGE_OF_FLAG = {"A": "import", "N": "call", "R": "extends"}
 EPOCH_2024 = 1704067200  # 2024-01-01T00:00:00Z
 
 
-# Tables whose rows feed per-row text or explode work; a single unsplittable file
-# would otherwise pin that work to one task.
-_SPREAD = {"lineitem", "documents", "pages"}
+# Schemas of the given tables: stating them saves a job per table that would read file footers.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "benchmark": "item_id bigint, text string",
+    "pages": "page_id bigint, url string, html string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in _SPREAD else df
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _map_col(mapping: dict, key):

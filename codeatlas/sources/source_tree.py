@@ -44,42 +44,18 @@ def _wanted(exts: set[str]):
     return wanted
 
 
-def _dir_files(root: str, rel_dir: str, ignore, wanted) -> list[str]:
-    """Kept file names (relative paths) directly inside one directory, sorted."""
-    full = os.path.join(root, rel_dir) if rel_dir else root
-    try:
-        names = sorted(e.name for e in os.scandir(full) if e.is_file())
-    except OSError:
-        return []
-    out = []
-    for f in names:
-        rel = f"{rel_dir}/{f}" if rel_dir else f
-        if wanted(f) and not is_ignored_py(rel, ignore):
-            out.append(rel)
-    return out
-
-
-def walk_dirs(root: str, ignore, extensions) -> list[tuple[str, int]]:
-    """(relative directory, number of kept files) for every directory under ``root``
-    not pruned by the ignore rules; unreadable directories are skipped."""
-    wanted = _wanted(set(extensions))
-    out = []
+def walk(root: str, ignore, extensions) -> list[str]:
+    """Relative paths of the kept files under ``root``, directory by directory; what the ignore rules
+    name is not entered, unreadable directories are skipped."""
+    wanted, out = _wanted(set(extensions)), []
     for dirpath, dirnames, filenames in os.walk(root, onerror=lambda e: None):
-        rel_dir = os.path.relpath(dirpath, root)
-        rel_dir = "" if rel_dir == "." else rel_dir.replace(os.sep, "/")
-        dirnames[:] = [d for d in sorted(dirnames) if not is_ignored_py(f"{rel_dir}/{d}" if rel_dir else d, ignore)]
-        n = sum(1 for f in filenames if wanted(f) and not is_ignored_py(f"{rel_dir}/{f}" if rel_dir else f, ignore))
-        if n:
-            out.append((rel_dir, n))
+        rel_dir = os.path.relpath(dirpath, root).replace(os.sep, "/")
+        under = "" if rel_dir == "." else rel_dir + "/"
+        dirnames[:] = [d for d in sorted(dirnames) if not is_ignored_py(under + d, ignore)]
+        out += [under + f for f in sorted(filenames) if wanted(f) and not is_ignored_py(under + f, ignore)]
     return out
 
 
-def walk(root: str, ignore, extensions) -> list[str]:
-    """All kept relative file paths under ``root`` (driver-side helper for small trees and tests)."""
-    wanted = _wanted(set(extensions))
-    return [p for d, _ in walk_dirs(root, ignore, extensions) for p in _dir_files(root, d, ignore, wanted)]
-
-
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.roots = json.loads(options.get("roots", "{}"))
@@ -88,36 +64,23 @@ class _Reader(DataSourceReader):
         self.per = max(1, int(options.get("files_per_partition", "64")))
 
     def partitions(self):
-        parts, cur, size = [], [], 0
-        for project, root in sorted(self.roots.items()):
-            for rel_dir, n in walk_dirs(root, self.ignore, self.exts):
-                start = 0
-                while start < n:
-                    take = min(n - start, self.per - size)
-                    cur.append((project, root, rel_dir, start, start + take))
-                    size += take
-                    start += take
-                    if size >= self.per:
-                        parts.append(_Batch(cur))
-                        cur, size = [], 0
-        if cur:
-            parts.append(_Batch(cur))
-        return parts or [_Batch([])]
+        """Slices of ``per`` files. They carry the files' names, so a folder is listed once and a file that
+        appears meanwhile moves no other between slices."""
+        names = [(project, root, rel) for project, root in sorted(self.roots.items()) for rel in walk(root, self.ignore, self.exts)]
+        return [_Batch(names[k:k + self.per]) for k in range(0, len(names), self.per)] or [_Batch([])]
 
     def read(self, partition):
         import datetime
 
-        wanted = _wanted(set(self.exts))
-        for project, root, rel_dir, lo, hi in partition.items:
-            for rel in _dir_files(root, rel_dir, self.ignore, wanted)[lo:hi]:
-                full = os.path.join(root, rel)
-                try:
-                    with open(full, encoding="utf-8", errors="strict") as fh:
-                        content = fh.read()
-                    mtime = datetime.datetime.fromtimestamp(os.stat(full).st_mtime, tz=datetime.timezone.utc)
-                except (OSError, UnicodeDecodeError):
-                    content, mtime = None, None
-                yield (project, rel, content, mtime)
+        for project, root, rel in partition.items:
+            full = os.path.join(root, rel)
+            try:  # newline="": line ends stay as they are; bytes that are no UTF-8 are replaced
+                with open(full, encoding="utf-8", errors="replace", newline="") as fh:
+                    content = fh.read()
+                mtime = datetime.datetime.fromtimestamp(os.stat(full).st_mtime, tz=datetime.timezone.utc)
+            except OSError:
+                content, mtime = None, None
+            yield (project, rel, content, mtime)
 
 
 class SourceTreeDataSource(DataSource):
@@ -146,12 +109,4 @@ def scan_sources(spark: SparkSession, roots: dict[str, str], ignore=None, extens
         r = r.option("ignore", json.dumps(list(ignore)))
     if extensions is not None:
         r = r.option("extensions", json.dumps(list(extensions)))
-    return r.load().where(F.col("content").isNotNull()).dropDuplicates(["project", "path"])
-
-
-def source_language_filter(source_files: DataFrame, language_col: str = "language") -> DataFrame:
-    """Keep the files each project's language rule reads (F2): ``.py`` for python,
-    the eight TS/JS suffixes for anything else (X19)."""
-    ext = F.regexp_extract("path", r"(\.[^./]+)$", 1)
-    is_py = F.col(language_col) == "python"
-    return source_files.where(F.when(is_py, ext == ".py").otherwise(ext.isin(SOURCE_EXTENSIONS)))
+    return r.load().where(F.col("content").isNotNull())  # a walk meets each path of a root once

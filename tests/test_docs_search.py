@@ -10,8 +10,8 @@ from tests.helpers import T0, T1, docs_of, ts_tables
 
 def _docs(spark):
     return docs_of(spark, [
-        ("ts", 1, "formatGreeting", "src/utils.ts", "function", "Formats a friendly greeting.", ["greet"], "manual", T0, T1),
-        ("ts", 2, "UserService", "src/main.ts", "class", "Holds users.", None, "auto", T0, T0),
+        ("ts", 1, "roundTo", "src/money.ts", "function", "Rounds a price to whole coins.", ["coins"], "manual", T0, T1),
+        ("ts", 2, "Cart", "src/index.ts", "class", "Holds users.", None, "auto", T0, T0),
         ("ts", 3, "gone", "src/old.ts", "function", "Removed thing.", None, "manual", T0, T0),
         ("ts", 4, "Guide", "", "page", "A free page.", None, None, T0, T0),
     ])
@@ -33,24 +33,24 @@ def test_coverage_without_api_is_100(spark):
 
 def test_stale(spark):
     files, el, _ = ts_tables(spark)
-    mt = spark.createDataFrame([("ts", "src/utils.ts", datetime.datetime(2024, 3, 1)),
-                                ("ts", "src/main.ts", datetime.datetime(2024, 3, 1))], "project string, path string, mtime timestamp")
+    mt = spark.createDataFrame([("ts", "src/money.ts", datetime.datetime(2024, 3, 1)),
+                                ("ts", "src/index.ts", datetime.datetime(2024, 3, 1))], "project string, path string, mtime timestamp")
     got = {(r.element, r.status) for r in D.doc_stale(files, el, _docs(spark), mt).collect()}
-    assert got == {("gone", "orphaned"), ("UserService", "outdated")}
+    assert got == {("gone", "orphaned"), ("Cart", "outdated")}
 
 
 def test_doc_lookup_alias_and_show(spark):
-    names = spark.createDataFrame([("ts", "greet"), ("ts", "nope")], "project string, name string")
+    names = spark.createDataFrame([("ts", "coins"), ("ts", "nope")], "project string, name string")
     r = D.doc_lookup(_docs(spark), names).collect()
-    assert [(x.name, x.element) for x in r] == [("greet", "formatGreeting")]
+    assert [(x.name, x.element) for x in r] == [("coins", "roundTo")]
 
 
 def test_upsert_keeps_created_drops_aliases(spark):
     files, el, _ = ts_tables(spark)
-    ch = spark.createDataFrame([("ts", 1, "formatGreeting", "New text"), ("ts", 2, "x.rs", "rust"), ("ts", 3, "y", "")],
+    ch = spark.createDataFrame([("ts", 1, "roundTo", "New text"), ("ts", 2, "x.rs", "rust"), ("ts", 3, "y", "")],
                                "project string, change_ord long, element string, content string")
     nd, st = M.doc_add(files, el, _docs(spark), ch, now=datetime.datetime(2025, 1, 1))
-    fg = nd.where("element = 'formatGreeting'").collect()[0]
+    fg = nd.where("element = 'roundTo'").collect()[0]
     assert (fg.content, fg.created_at, fg.aliases, fg.source) == ("New text", T0, None, None)
     rs = nd.where("element = 'x.rs'").collect()[0]
     assert (rs.type, rs.path) == ("file", "x.rs")
@@ -65,12 +65,12 @@ def test_create_page_resets_created(spark):
 
 
 def test_save_keeps_aliases(spark):
-    ch = spark.createDataFrame([("ts", 1, "formatGreeting", "edited"), ("ts", 2, "Fresh", "new page")],
+    ch = spark.createDataFrame([("ts", 1, "roundTo", "edited"), ("ts", 2, "Fresh", "new page")],
                                "project string, change_ord long, element string, content string")
     nd, _ = M.doc_save(_docs(spark), ch, now=datetime.datetime(2025, 1, 1))
-    fg = nd.where("element = 'formatGreeting'").collect()[0]
-    assert (fg.content, fg.aliases, fg.source) == ("edited", ["greet"], "manual")
-    assert "**Path:** src/utils.ts" in fg.markdown
+    fg = nd.where("element = 'roundTo'").collect()[0]
+    assert (fg.content, fg.aliases, fg.source) == ("edited", ["coins"], "manual")
+    assert "**Path:** src/money.ts" in fg.markdown
     assert nd.where("element = 'Fresh' and type = 'page' and path = ''").count() == 1
 
 
@@ -94,16 +94,16 @@ def test_seed_rules(spark):
 
 def test_search_fixture(spark):
     files, el, _ = ts_tables(spark)
-    hits = S.search(files, el, _docs(spark), "greeting").collect()
+    hits = S.search(files, el, _docs(spark), "round").collect()
     top = hits[0]
-    assert (top.element, top.score) == ("formatGreeting", 0.9)
+    assert (top.element, top.score) == ("roundTo", 0.9)
     assert {h.source for h in hits} == {"code", "doc"}
     assert S.search(files, el, _docs(spark), "").count() == 0
 
 
 def test_token_index_modes_agree(spark):
     d = _docs(spark)
-    for q in ["frendly greting", "holds", "zzz qqq", "A free page."]:
+    for q in ["whle prise", "holds", "zzz qqq", "A free page."]:
         a = {(r.doc_ord, r.content_score) for r in S.long_text_score(d, q, S.TokenIndex(d)).collect()}
         b = {(r.doc_ord, r.content_score) for r in S.long_text_score(d, q, S.TokenIndex(d, via_vocabulary=True)).collect()}
         from codeatlas.functions.score import score_match
@@ -112,8 +112,9 @@ def test_token_index_modes_agree(spark):
 
 
 def test_doc_search_ranks(spark):
-    r = S.doc_search(_docs(spark), "greet").collect()
-    assert r[0].element == "formatGreeting" and r[0].score == 1.0
+    r = S.doc_search(_docs(spark), "coins").collect()
+    assert [x.rank for x in r] == list(range(1, len(r) + 1))
+    assert r[0].element == "roundTo" and r[0].score == 1.0
 
 
 def test_markdown_sink_and_moves(spark):
@@ -125,9 +126,9 @@ def test_markdown_sink_and_moves(spark):
     D.write_markdown(d, out)
     dirs = sorted({p.split("type_dir=")[1].split("/")[0] for p in glob.glob(out + "/project=ts/type_dir=*")})
     assert dirs == ["classes", "functions", "pages"]
-    moved = d.withColumn("type", F.when(F.col("element") == "UserService", F.lit("interface")).otherwise(F.col("type")))
+    moved = d.withColumn("type", F.when(F.col("element") == "Cart", F.lit("interface")).otherwise(F.col("type")))
     mv = M.markdown_moves(d, moved).collect()
-    assert [(r.old_md_path, r.new_md_path) for r in mv] == [("classes/UserService.md", "types/UserService.md")]
+    assert [(r.old_md_path, r.new_md_path) for r in mv] == [("classes/Cart.md", "types/Cart.md")]
 
 
 def test_lag_in_order_matches_window(spark):
@@ -141,8 +142,19 @@ def test_lag_in_order_matches_window(spark):
     rows = [("p", "hot" if rnd.random() < 0.6 else f"n{rnd.randrange(5)}", f"f{rnd.randrange(40):02d}", i, f"c{rnd.randrange(3)}")
             for i in range(2000)]
     df = spark.createDataFrame(rows, "project string, name string, path string, elem_ord long, c string").repartition(7)
-    got = {(r.name, r.path, r.elem_ord): r.prev for r in
-           lag_in_order(df, ["project", "name"], ["path", "elem_ord"], "c", "prev").collect()}
+    df = df.withColumn("spare", F.lit("unused"))
     w = Window.partitionBy("project", "name").orderBy("path", "elem_ord")
     want = {(r.name, r.path, r.elem_ord): r.prev for r in df.withColumn("prev", F.lag("c").over(w)).collect()}
-    assert got == want
+    for settings in ({"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"},
+                     {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.shuffle.partitions": "31"}):
+        before = {k: spark.conf.get(k) for k in settings}
+        try:
+            for k, v in settings.items():
+                spark.conf.set(k, v)
+            for _ in range(3):
+                got = {(r.name, r.path, r.elem_ord): r.prev for r in
+                       lag_in_order(df, ["project", "name"], ["path", "elem_ord"], "c", "prev").select("name", "path", "elem_ord", "prev").collect()}
+                assert got == want
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)

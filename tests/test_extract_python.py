@@ -8,13 +8,13 @@ def test_python_elements_fixture(spark):
     el = xp.python_elements(py_project(spark)).orderBy("path", "elem_ord").collect()
     got = [(r.path, r.elem_ord, r.name, r.type, r.line, r.signature, r.exported) for r in el]
     assert got == [
-        ("main.py", 1, "UserService", "class", 3, "class UserService", True),
-        ("main.py", 2, "AdminService", "class", 10, "class AdminService(UserService)", True),
-        ("main.py", 3, "main", "function", 16, "main()", True),
-        ("utils.py", 1, "MAX_RETRIES", "variable", 1, None, True),
-        ("utils.py", 2, "format_greeting", "function", 3, "format_greeting(name)", True),
-        ("utils.py", 3, "create_user", "function", 6, "create_user(name)", True),
-        ("utils.py", 4, "_internal_helper", "function", 9, "_internal_helper()", False),
+        ("cli.py", 1, "run", "function", 4, "run()", True),
+        ("cli.py", 2, "Desk", "class", 9, "class Desk", True),
+        ("cli.py", 3, "NightDesk", "class", 17, "class NightDesk(Desk)", True),
+        ("tariff.py", 1, "BASE_FEE", "variable", 1, None, True),
+        ("tariff.py", 2, "fee_for", "function", 4, "fee_for(key)", True),
+        ("tariff.py", 3, "shown", "function", 8, "shown(key)", True),
+        ("tariff.py", 4, "_half", "function", 12, "_half()", False),
     ]
 
 
@@ -23,19 +23,18 @@ def test_python_edges_fixture(spark):
     counts = {r.type: r["count"] for r in e.groupBy("type").count().collect()}
     assert counts == {"import": 2, "call": 14, "extends": 1}
     imports = sorted((r.src_path, r.dst_path, r.to_element) for r in e.where("type = 'import'").collect())
-    assert imports == [("main.py", "utils.py", "create_user"), ("main.py", "utils.py", "format_greeting")]
+    assert imports == [("cli.py", "tariff.py", "fee_for"), ("cli.py", "tariff.py", "shown")]
     ext = e.where("type = 'extends'").collect()[0]
-    assert (ext.from_element, ext.to_element) == ("AdminService", "UserService")
+    assert (ext.from_element, ext.to_element) == ("NightDesk", "Desk")
     calls = xp.python_calls(xp.lines_of(py_project(spark))).orderBy("path", "line_no", "pos").collect()
     got = [(r.path, r.line_no, r.caller, r.callee) for r in calls]
     assert got == [
-        ("main.py", 4, "get_user", "get_user"), ("main.py", 5, "get_user", "create_user"),
-        ("main.py", 7, "greet", "greet"), ("main.py", 8, "greet", "format_greeting"),
-        ("main.py", 10, "greet", "AdminService"), ("main.py", 11, "get_admin", "get_admin"),
-        ("main.py", 12, "get_admin", "self.get_user"), ("main.py", 16, "main", "main"),
-        ("main.py", 17, "main", "AdminService"), ("main.py", 18, "main", "service.get_admin"),
-        ("utils.py", 3, "format_greeting", "format_greeting"), ("utils.py", 6, "create_user", "create_user"),
-        ("utils.py", 7, "create_user", "format_greeting"), ("utils.py", 9, "_internal_helper", "_internal_helper"),
+        ("cli.py", 4, "run", "run"), ("cli.py", 5, "run", "NightDesk"), ("cli.py", 6, "run", "desk.charge_all"),
+        ("cli.py", 10, "charge", "charge"), ("cli.py", 11, "charge", "fee_for"),
+        ("cli.py", 13, "label", "label"), ("cli.py", 14, "label", "shown"),
+        ("cli.py", 17, "label", "NightDesk"), ("cli.py", 18, "charge_all", "charge_all"), ("cli.py", 19, "charge_all", "self.charge"),
+        ("tariff.py", 4, "fee_for", "fee_for"), ("tariff.py", 5, "fee_for", "shown"),
+        ("tariff.py", 8, "shown", "shown"), ("tariff.py", 12, "_half", "_half"),
     ]
 
 

@@ -7,12 +7,12 @@ def test_ts_elements_fixture(spark):
     el = xt.ts_elements(ts_project(spark)).orderBy("path", "elem_ord").collect()
     got = [(r.path, r.elem_ord, r.name, r.type, r.line, r.signature, r.exported) for r in el]
     assert got == [
-        ("src/main.ts", 1, "main", "function", 13, "main()", True),
-        ("src/main.ts", 2, "UserService", "class", 3, "class UserService", True),
-        ("src/utils.ts", 1, "formatGreeting", "function", 3, "formatGreeting(name: string): string", True),
-        ("src/utils.ts", 2, "createUser", "function", 7, "createUser(name: string)", True),
-        ("src/utils.ts", 3, "_internalHelper", "function", 11, "_internalHelper()", False),
-        ("src/utils.ts", 4, "MAX_RETRIES", "variable", 1, None, True),
+        ("src/index.ts", 1, "checkout", "function", 3, "checkout(lines: number[])", True),
+        ("src/index.ts", 2, "Cart", "class", 8, "class Cart", True),
+        ("src/money.ts", 1, "addTax", "function", 3, "addTax(amount: number, rate: number)", True),
+        ("src/money.ts", 2, "_half", "function", 7, "_half(x: number)", False),
+        ("src/money.ts", 3, "roundTo", "function", 9, "roundTo(amount: number): number", True),
+        ("src/money.ts", 4, "CURRENCY", "variable", 1, None, True),
     ]
 
 
@@ -20,13 +20,13 @@ def test_ts_edges_fixture(spark):
     e = xt.ts_edges(ts_project(spark)).orderBy("src_path", "edge_ord").collect()
     got = [(r.src_path, r.from_element, r.type, r.dst_path, r.to_element) for r in e]
     assert got == [
-        ("src/main.ts", None, "import", "src/utils.ts", "createUser"),
-        ("src/main.ts", None, "import", "src/utils.ts", "formatGreeting"),
-        ("src/main.ts", None, "call", "src/main.ts", "createUser"),
-        ("src/main.ts", None, "call", "src/main.ts", "formatGreeting"),
-        ("src/main.ts", "main", "call", "src/main.ts", "console.log"),
-        ("src/main.ts", "main", "call", "src/main.ts", "service.getUser"),
-        ("src/utils.ts", "createUser", "call", "src/utils.ts", "formatGreeting"),
+        ("src/index.ts", None, "import", "src/money.ts", "addTax"),
+        ("src/index.ts", None, "import", "src/money.ts", "roundTo"),
+        ("src/index.ts", "checkout", "call", "src/index.ts", "report.send"),
+        ("src/index.ts", "checkout", "call", "src/index.ts", "cart.sum"),
+        ("src/index.ts", None, "call", "src/index.ts", "addTax"),
+        ("src/index.ts", None, "call", "src/index.ts", "roundTo"),
+        ("src/money.ts", "addTax", "call", "src/money.ts", "roundTo"),
     ]
 
 

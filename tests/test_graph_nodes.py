@@ -7,8 +7,8 @@ from tests.helpers import py_tables, ts_tables
 def test_hotspots_ts_fixture(spark):
     files, el, edges = ts_tables(spark)
     got = {r.element: r.total for r in graph.hotspots(edges, k=10).collect()}
-    assert got == {"src/main.ts": 4, "createUser": 3, "formatGreeting": 3, "main": 2, "console.log": 1,
-                   "service.getUser": 1}
+    assert got == {"src/index.ts": 4, "addTax": 3, "roundTo": 3, "checkout": 2, "report.send": 1,
+                   "cart.sum": 1}
 
 
 def test_hotspots_skewed_hub_matches_brute_force(spark):
@@ -26,11 +26,12 @@ def test_hotspots_skewed_hub_matches_brute_force(spark):
 
 def test_deps_and_calls_quirks(spark):
     _, _, edges = ts_tables(spark)
-    d = graph.deps(edges, "formatGreeting").collect()
+    d = graph.deps(edges, "roundTo").collect()
     assert len(d) == 3  # import + two calls, exact element match
     # a file name also returns that file's own internal calls (calls point at their own file)
-    assert graph.deps(edges, "utils.ts").count() == 3
-    assert graph.calls(edges, "main").count() == 2 + 4  # element match + src path contains 'main'
+    assert graph.deps(edges, "money.ts").count() == 3
+    assert graph.calls(edges, "checkout").count() == 2  # element match
+    assert graph.calls(edges, "index").count() == 6  # src path contains 'index'
 
 
 def test_edge_summary_and_counts(spark):
@@ -50,62 +51,62 @@ def test_neighbourhoods_match_brute_force(spark):
     for x in el.collect():
         want = sum(1 for r in e_rows if r.from_element == x.name or r.to_element == x.name
                    or (r.src_path == x.path and r.from_element is None) or (r.dst_path == x.path and r.to_element is None))
-        assert sum(1 for r in ee if r.elem_id == x.id) == want
+        assert sum(1 for r in ee if (r.elem_path, r.elem_ord) == (x.path, x.elem_ord)) == want
 
 
 def test_browse_edges_remaining_is_true_count(spark):
     _, _, edges = py_tables(spark)
-    b = graph.browse_edges(edges, text="USER", edge_type="call", limit=2).collect()
-    assert len(b) == 2 and b[0].remaining == 5 - 2
+    b = graph.browse_edges(edges, text="FEE", edge_type="call", limit=2).collect()
+    assert len(b) == 2 and b[0].remaining == 3 - 2
 
 
 def test_public_api_coverage_inputs(spark):
     files, el, _ = ts_tables(spark)
     api = {r.name for r in nodes.public_api(el).collect()}
-    assert api == {"main", "UserService", "formatGreeting", "createUser", "_internalHelper", "MAX_RETRIES"}
+    assert api == {"checkout", "Cart", "roundTo", "addTax", "_half", "CURRENCY"}
     s = nodes.build_summary(files, el).collect()[0]
     assert (s.files, s.elements) == (2, 6)
 
 
 def test_arch_show_falls_back_to_children(spark):
     files, el, _ = ts_tables(spark)
-    by_file = nodes.arch_show(files, el, "utils").collect()
-    assert [r.path for r in by_file] == ["src/utils.ts"] and len(by_file[0].children) == 4
-    by_child = nodes.arch_show(files, el, "Greeting").collect()
-    assert [(r.path, [c.name for c in r.children]) for r in by_child] == [("src/utils.ts", ["formatGreeting"])]
+    by_file = nodes.arch_show(files, el, "money").collect()
+    assert [r.path for r in by_file] == ["src/money.ts"] and len(by_file[0].children) == 4
+    by_child = nodes.arch_show(files, el, "round").collect()
+    assert [(r.path, [c.name for c in r.children]) for r in by_child] == [("src/money.ts", ["roundTo"])]
 
 
 def test_entry_points_and_known_names(spark):
     files, el, _ = ts_tables(spark)
-    man = spark.createDataFrame([("ts", "dist/index.js", ["bin/cli.js", "src/main.ts"])], "project string, main string, bins array<string>")
+    man = spark.createDataFrame([("ts", "dist/index.js", ["bin/cli.js", "src/index.ts"])], "project string, main string, bins array<string>")
     eps = [r.entry for r in nodes.entry_points(files.withColumn("project", F.lit("ts")), man).orderBy("ord").collect()]
-    assert eps == ["src/main.ts", "dist/index.js", "bin/cli.js"]
+    assert eps == ["src/index.ts", "dist/index.js", "bin/cli.js"]
     k = {r.known for r in nodes.known_names(files, el).collect()}
-    assert {"main.ts", "src/main.ts", "main", "src/main.ts:main"} <= k
+    assert {"index.ts", "src/index.ts", "checkout", "src/index.ts:checkout"} <= k
 
 
 def test_render_tree_ts(spark):
     files, el, _ = ts_tables(spark)
     lines = [r.line for r in render.render_tree(files, el).orderBy("path", "elem_ord").collect()]
     assert lines == [
-        "├── main.ts (exports: main, UserService)",
-        "│   ├── main [function] (exports: main)",
-        "│   └── UserService [class] (exports: UserService)",
-        "└── utils.ts (exports: formatGreeting, createUser, MAX_RETRIES)",
-        "    ├── formatGreeting [function] (exports: formatGreeting)",
-        "    ├── createUser [function] (exports: createUser)",
-        "    ├── _internalHelper [function]",
-        "    └── MAX_RETRIES [variable] (exports: MAX_RETRIES)",
+        "├── index.ts (exports: checkout, Cart)",
+        "│   ├── checkout [function] (exports: checkout)",
+        "│   └── Cart [class] (exports: Cart)",
+        "└── money.ts (exports: addTax, roundTo, CURRENCY)",
+        "    ├── addTax [function] (exports: addTax)",
+        "    ├── _half [function]",
+        "    ├── roundTo [function] (exports: roundTo)",
+        "    └── CURRENCY [variable] (exports: CURRENCY)",
     ]
 
 
 def test_mermaid_and_dot(spark):
     _, _, edges = ts_tables(spark)
     m = [r.line for r in render.render_mermaid_edges(edges).orderBy("section", "edge_ord").collect()]
-    assert m[0] == "graph LR" and "  src_main_ts -->|import| src_utils_ts_createUser" in m
+    assert m[0] == "graph LR" and "  src_index_ts -->|import| src_money_ts_addTax" in m
     d = [r.line for r in render.render_dot(edges).orderBy("section", "edge_ord").collect()]
     assert d[:2] == ["digraph dependencies {", "  rankdir=LR;"] and d[-1] == "}"
-    assert '  "src/main.ts.main" -> "src/main.ts.console.log" [label="call"];' in d
+    assert '  "src/index.ts.checkout" -> "src/index.ts.report.send" [label="call"];' in d
     u = render.diagram_edges(edges, limit=100).count()
     assert u == 7
 
@@ -116,8 +117,9 @@ def test_element_edges_limit_exact_with_shared_hub_name(spark):
     rnd = random.Random(7)
     names = ["main", "main", "main", "util", "x"]
     paths = ["a.ts", "b.ts", "c.ts", "a.ts", "d.ts"]
-    elems = spark.createDataFrame([("p", f"{pa}:{n}{i}", n, pa) for i, (n, pa) in enumerate(zip(names, paths))],
-                                  "project string, id string, name string, path string")
+    names, paths = names + ["main"], paths + ["a.ts"]  # the id a.ts:main twice
+    elems = spark.createDataFrame([("p", f"{pa}:{n}", n, pa, i) for i, (n, pa) in enumerate(zip(names, paths, strict=True))],
+                                  "project string, id string, name string, path string, elem_ord long")
     rows = []
     for i in range(400):
         fe = rnd.choice(["main", "util", None, "x", "other"])
@@ -127,12 +129,12 @@ def test_element_edges_limit_exact_with_shared_hub_name(spark):
                                         "from_element string, to_element string")
     got = {}
     for r in graph.element_edges(edges, elems, limit=3).collect():
-        got.setdefault(r.elem_id, []).append((r.pos, r.edge_ord, r.src_path, r.dst_path, r.type, r.from_element, r.to_element))
+        got.setdefault(r.elem_ord, []).append((r.pos, r.edge_ord, r.src_path, r.dst_path, r.type, r.from_element, r.to_element))
     key = lambda e: (e[1], e[2], e[3], e[4], e[5] is not None, e[5] or "", e[6] is not None, e[6] or "")
     for el in elems.collect():
         hits = sorted((e for e in rows if e[5] == el.name or e[6] == el.name or (e[5] is None and e[2] == el.path)
                        or (e[6] is None and e[3] == el.path)), key=key)[:3]
-        assert [g[1:] for g in sorted(got.get(el.id, []))] == [h[1:] for h in hits]
+        assert [g[1:] for g in sorted(got.get(el.elem_ord, []))] == [h[1:] for h in hits]
 
 
 def test_render_formats_and_browser_tree(spark):
@@ -140,8 +142,8 @@ def test_render_formats_and_browser_tree(spark):
 
     files, el, edges = ts_tables(spark)
     arch = [json.loads(r.json) for r in render.render_arch(files, el, "json").collect()]
-    assert sorted(a["path"] for a in arch) == ["src/main.ts", "src/utils.ts"]
+    assert sorted(a["path"] for a in arch) == ["src/index.ts", "src/money.ts"]
     assert render.render_deps(edges, "json").count() == 7
     inline = [r.line for r in render.render_mermaid_tree(files, el, inline_children=True)
               .orderBy("path", "elem_ord", "part").collect()]
-    assert inline[:3] == ["graph TD", '  src_main_ts["main.ts"]', '  src_main_ts --> src_main_ts_main["main (function)"]']
+    assert inline[:3] == ["graph TD", '  src_index_ts["index.ts"]', '  src_index_ts --> src_index_ts_checkout["checkout (function)"]']

@@ -11,18 +11,18 @@ from codeatlas.plans.build import build_from_trees
 from codeatlas.sources import runs, tables
 from codeatlas.sources.manifest import detect_language, manifests
 from codeatlas.sources.source_tree import scan_sources, walk
-from tests.fixtures import PY_MAIN, PY_UTILS, TS_MAIN, TS_UTILS
+from tests.fixtures import PY_CLI, PY_TARIFF, TS_INDEX, TS_MONEY
 from tests.helpers import T0, docs_of, ts_tables
 
 
 def _tree():
     d = tempfile.mkdtemp(prefix="codeatlas-tree-", dir="/tmp")
     for p, text in {
-        "ts/src/main.ts": TS_MAIN, "ts/src/utils.ts": TS_UTILS, "ts/src/distance.ts": "export const d = 1;",
+        "ts/src/index.ts": TS_INDEX, "ts/src/money.ts": TS_MONEY, "ts/src/distance.ts": "export const d = 1;",
         "ts/dist/a.ts": "x", "ts/node_modules/m/i.ts": "x", "ts/src/_hidden.ts": "export function h() {}",
         "ts/types.d.ts": "export type Q = 1;", "ts/.ts": "x", "ts/tsconfig.json": "{}",
-        "ts/package.json": json.dumps({"main": "src/main.ts", "bin": "bin/run.js", "devDependencies": {"next": "1"}}),
-        "py/main.py": PY_MAIN, "py/utils.py": PY_UTILS, "py/pkg/__init__.py": "X = 1\n", "py/x.egg-info/a.py": "y = 1\n",
+        "ts/package.json": json.dumps({"main": "src/index.ts", "bin": "bin/run.js", "devDependencies": {"next": "1"}}),
+        "py/cli.py": PY_CLI, "py/tariff.py": PY_TARIFF, "py/pkg/__init__.py": "X = 1\n", "py/x.egg-info/a.py": "y = 1\n",
         "py/pyproject.toml": "",
     }.items():
         full = os.path.join(d, p)
@@ -35,9 +35,9 @@ def _tree():
 def test_walk_prunes_and_keeps_hidden_names():
     d = _tree()
     ts = walk(f"{d}/ts", ["dist", "node_modules"], [".ts"])
-    assert ts == ["types.d.ts", "src/_hidden.ts", "src/distance.ts", "src/main.ts", "src/utils.ts"]
+    assert ts == ["types.d.ts", "src/_hidden.ts", "src/distance.ts", "src/index.ts", "src/money.ts"]
     py = walk(f"{d}/py", ["*.egg-info"], [".py"])
-    assert sorted(py) == ["main.py", "pkg/__init__.py", "utils.py"]
+    assert sorted(py) == ["cli.py", "pkg/__init__.py", "tariff.py"]
 
 
 def test_scan_detect_and_build(spark):
@@ -49,7 +49,7 @@ def test_scan_detect_and_build(spark):
     lang = {r.project: (r.language, r.framework, r.source_paths) for r in detect_language(src).collect()}
     assert lang == {"ts": ("typescript", "next.js", ["src"]), "py": ("python", None, ["."])}
     m = manifests(src).collect()[0]
-    assert (m.main, m.bins) == ("src/main.ts", ["bin/run.js"])
+    assert (m.main, m.bins) == ("src/index.ts", ["bin/run.js"])
     t = build_from_trees(spark, roots)
     paths = {(r.project, r.path) for r in t.files.collect()}
     assert ("ts", "types.d.ts") not in paths  # outside the detected source root
@@ -72,20 +72,20 @@ def test_versioned_tables(spark):
 
 def test_card_and_briefing(spark):
     files, el, edges = ts_tables(spark)
-    docs = docs_of(spark, [("ts", 1, "formatGreeting", "src/utils.ts", "function", "Formats.", ["fmt"], "manual", T0, T0)])
-    names = spark.createDataFrame([("ts", n) for n in ("formatGreeting", "fmt", "src/main.ts", "nothing")],
+    docs = docs_of(spark, [("ts", 1, "roundTo", "src/money.ts", "function", "Formats.", ["fmt"], "manual", T0, T0)])
+    names = spark.createDataFrame([("ts", n) for n in ("roundTo", "fmt", "src/index.ts", "nothing")],
                                   "project string, name string")
     c = {r.element: r for r in card.explain(files, el, edges, docs, names).collect()}
-    fg = c["formatGreeting"]
-    assert (fg.type, fg.location, fg.n_dependents, fg.n_calls) == ("function", "src/utils.ts:3", 3, 0)
-    assert fg.documentation == "# formatGreeting\n\nFormats.\n"
-    assert (c["fmt"].status, c["fmt"].documentation, c["fmt"].location) == ("found", "Formats.", "src/utils.ts")
-    assert [x.name for x in c["src/main.ts"].children] == ["main", "UserService"]
+    fg = c["roundTo"]
+    assert (fg.type, fg.location, fg.n_dependents, fg.n_calls) == ("function", "src/money.ts:9", 3, 0)
+    assert fg.documentation == "# roundTo\n\nFormats.\n"
+    assert (c["fmt"].status, c["fmt"].documentation, c["fmt"].location) == ("found", "Formats.", "src/money.ts")
+    assert [x.name for x in c["src/index.ts"].children] == ["checkout", "Cart"]
     assert c["nothing"].status == "not_found"
     b = briefing.context(files, el, edges, docs).collect()[0]
     assert (b.architecture.files, b.architecture.elements, b.dependencies.total, b.documentation.total) == (2, 6, 7, 1)
-    assert b.dependencies.hotspots[0].element == "src/main.ts"
-    assert b.entry_points == ["src/main.ts"] and b.public_api_count == 6
+    assert b.dependencies.hotspots[0].element == "src/index.ts"
+    assert b.entry_points_count == 1 and b.public_api_count == 6 and b.generated_at is not None
 
 
 def test_run_records(spark):
