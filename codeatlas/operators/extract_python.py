@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions.text import module_to_path
+from codeatlas.plans.partitioning import file_major
 
 # Matching rules and stop words.
 DEF_RE = r"^def\s+([a-zA-Z_]\w*)\s*\("
@@ -191,24 +192,16 @@ def python_calls(lines: DataFrame) -> DataFrame:
             .where(~F.col("callee").isin(CALL_STOP_WORDS)))
 
 
-# section ordinals inside a file: imports, then inheritance, then calls
-_SECTION = {"import": 0, "extends": 1, "call": 2}
-
-
-def _edge_ord(section: int) -> F.Column:
-    return (F.lit(section).cast("long") * (1 << 52)) + F.col("line_no").cast("long") * (1 << 16) + F.col("pos").cast("long")
-
-
 def python_edges(source_files: DataFrame) -> DataFrame:
-    """Edges of Python files (X5-X7, X18): per file imports, then inheritance, then calls."""
+    """Edges of Python files (X5-X7, X18): file by file; in a file imports, then inheritance, then calls."""
     lines = lines_of(source_files)
-    imp = python_imports(lines).select(
-        "project", _edge_ord(0).alias("edge_ord"), F.col("path").alias("src_path"), module_to_path("module").alias("dst_path"),
-        F.lit("import").alias("type"), F.lit(None).cast("string").alias("from_element"), F.col("name").alias("to_element"))
-    ext = python_bases(lines).select(
-        "project", _edge_ord(1).alias("edge_ord"), F.col("path").alias("src_path"), F.col("path").alias("dst_path"),
-        F.lit("extends").alias("type"), F.col("class_name").alias("from_element"), F.col("base").alias("to_element"))
-    cal = python_calls(lines).select(
-        "project", _edge_ord(2).alias("edge_ord"), F.col("path").alias("src_path"), F.col("path").alias("dst_path"),
-        F.lit("call").alias("type"), F.col("caller").alias("from_element"), F.col("callee").alias("to_element"))
-    return imp.unionByName(ext).unionByName(cal)
+
+    def part(rows: DataFrame, section: int, kind: str, dst, from_, to) -> DataFrame:
+        return rows.select("project", F.col("path").alias("src_path"), dst.alias("dst_path"), F.lit(kind).alias("type"),
+                           from_.alias("from_element"), to.alias("to_element"), F.lit(section).alias("_section"), "line_no", "pos")
+
+    own, none = F.col("path"), F.lit(None).cast("string")
+    rows = (part(python_imports(lines), 0, "import", module_to_path("module"), none, F.col("name"))
+            .unionByName(part(python_bases(lines), 1, "extends", own, F.col("class_name"), F.col("base")))
+            .unionByName(part(python_calls(lines), 2, "call", own, F.col("caller"), F.col("callee"))))
+    return file_major(rows, ["_section", "line_no", "pos"])

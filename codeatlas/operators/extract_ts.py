@@ -12,8 +12,8 @@
    a running depth of function bodies and ``last(ignorenulls)`` per depth.
 
 Known differences from a full parser: declarations are recognised at statement
-starts; generic calls ``f<T>()`` and heritage clauses containing brackets are not
-seen; a function's return type is read up to the end of its line; import
+starts, of variables those on the statement's first line; heritage clauses
+containing brackets are not seen; a function's return type is read up to the end of its line; import
 resolution tests the scanned files only.
 """
 
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions.text import SOURCE_EXTENSIONS, dirname, normalise_path
 from codeatlas.functions.tslex import split_top_level, ts_lex
+from codeatlas.plans.partitioning import file_major
 
 FILE = ["project", "path"]
 # Callee words that are statements or operators, never calls.
@@ -32,8 +33,9 @@ NOT_CALLEES = ["if", "for", "while", "switch", "catch", "with", "function", "ret
                "await", "yield", "in", "of", "instanceof", "new", "do", "else", "case", "throw"]
 ID = r"[A-Za-z_$][\w$]*"
 FUNC_TAIL = rf"((?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\b\s*\*?\s*({ID})?\s*(?:<[^()]*>)?\s*)$"
-CLASS_RE = (rf"^(\s*)(export\s+)?(default\s+)?(declare\s+)?(abstract\s+)?class\b\s*({ID})?\s*(<[^>]*>)?"
-            r"(?:\s+extends\s+(.+?))?(?:\s+implements\s+(.+?))?\s*\{?\s*$")
+CLASS_HEAD = (rf"((?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?class\b(?:\s+(?!extends\b|implements\b)({ID}))?\s*(?:<.*?>)?"
+              r"(?:\s+extends\s+(.+?))?(?:\s+implements\s+(.+?))?\s*)$")
+TYPE_ARGS = r"(?:<[^<>(){};]*(?:<[^<>(){};]*>[^<>(){};]*)*>)?"
 IFACE_RE = rf"^(\s*)(export\s+)?(declare\s+)?interface\s+({ID})"
 TYPE_RE = rf"^(\s*)(export\s+)?(declare\s+)?type\s+({ID})\s*(<[^=]*>)?\s*="
 ENUM_RE = rf"^(\s*)(export\s+)?(declare\s+)?(const\s+)?enum\s+({ID})"
@@ -135,6 +137,35 @@ def functions(lx: DataFrame, br: DataFrame, pairs: DataFrame) -> DataFrame:
         F.when(has_body, F.col("body_open")).alias("body_open"), F.when(has_body, F.col("body_close")).alias("body_close"))
 
 
+def classes(lx: DataFrame, br: DataFrame) -> DataFrame:
+    """Top-level class declarations (X9, X15): the header is the text between the bracket before and the
+    class's own brace, on one line or several; name, statement offset and line, exported, heritage text."""
+    w = Window.partitionBy(*FILE).orderBy("idx")
+    head = F.regexp_extract("prev", r"(?s)(?:^|[;\n])\s*" + CLASS_HEAD, 1)
+    c = (br.withColumn("prev_line", F.lag("line").over(w)).where((F.col("ch") == "{") & (F.col("brace") == 0) & (F.col("paren") == 0))
+         .withColumn("head", head).where(F.col("head") != ""))
+    c = c.select(*FILE, (F.col("off") - F.length("head")).alias("stmt_off"), F.length("head").alias("n"),
+                 _line_of(F.coalesce("prev_line", F.lit(1)), F.col("prev"), F.length("prev") - F.length("head") + 1).alias("line"))
+    c = c.join(lx.select(*FILE, "content"), FILE).withColumn("head", F.substr("content", F.col("stmt_off") + 1, F.col("n")))
+    group = lambda k: F.trim(F.regexp_replace(F.regexp_extract("head", "(?s)^" + CLASS_HEAD, k), r"\s+", " "))
+    return c.select(*FILE, "stmt_off", "line", group(2).alias("cls"), group(3).alias("ext"), group(4).alias("impl"),
+                    F.col("head").rlike(r"^export\b").alias("exported"))
+
+
+def exported_names(lx: DataFrame, br: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(project, path, name) of declarations that an ``export { ... }`` list or ``export default name`` exports."""
+    opens = br.where((F.col("ch") == "{") & (F.col("brace") == 0) & F.col("prev").rlike(r"(^|[;\n])\s*export\s*(type\s*)?$"))
+    opens = opens.select(*FILE, F.col("idx").alias("open_idx"))
+    closes = br.select(*FILE, F.col("idx").alias("close_idx"), F.col("text").alias("after"))
+    lists = (opens.join(pairs.where(F.col("kind") == "b"), [*FILE, "open_idx"]).join(closes, [*FILE, "close_idx"])
+             .where(~F.col("after").rlike(r"^\s*from\b")).join(lx.select(*FILE, "masked"), FILE)
+             .select(*FILE, F.explode(F.split(F.substr(F.col("masked"), F.col("open_off") + 2, F.col("close_off") - F.col("open_off") - 1), ",")).alias("n"))
+             .select(*FILE, F.regexp_extract("n", rf"^\s*(?:type\s+)?({ID})", 1).alias("name")))
+    default = br.where(F.col("brace") <= 1).select(
+        *FILE, F.explode(F.regexp_extract_all("text", F.lit(rf"(?:^|[;\n])\s*export\s+default\s+({ID})\s*(?=;|\n|$)"), 1)).alias("name"))
+    return lists.unionByName(default).where(F.col("name") != "").distinct()
+
+
 def _jsdoc_join(decls: DataFrame, lx: DataFrame) -> DataFrame:
     docs = lx.select(*FILE, F.explode("jsdocs").alias("d")).select(
         *FILE, F.col("d.attach").alias("stmt_off"), F.col("d.start").alias("_s"), F.col("d.text").alias("_t"))
@@ -158,15 +189,11 @@ def ts_elements(source_files: DataFrame) -> DataFrame:
     orig = lx.select(*FILE, F.posexplode(F.split("content", "\n", -1)).alias("pos", "orig"))
     ln = ln.join(orig.select(*FILE, (F.col("pos") + 1).alias("line_no"), "orig"), [*FILE, "line_no"])
     ws = lambda g: F.col("off") + F.length(F.regexp_extract("line", g, 1))
-    cls_name = F.regexp_extract("line", CLASS_RE, 6)
-    cls_ext = F.trim(F.regexp_extract("orig", CLASS_RE, 8))
-    cls = ln.where(F.col("line").rlike(CLASS_RE) & F.col("line").rlike(r"\bclass\b")).select(
-        *FILE, F.lit(1).alias("kind"), ws(CLASS_RE).alias("stmt_off"),
-        F.when(cls_name == "", F.lit("<anonymous>")).otherwise(cls_name).alias("name"), F.lit("class").alias("type"),
-        F.col("line_no").alias("line"),
-        F.concat(F.lit("class "), F.when(cls_name == "", F.lit("<anonymous>")).otherwise(cls_name),
-                 F.when(cls_ext != "", F.concat(F.lit(" extends "), cls_ext)).otherwise(F.lit(""))).alias("signature"),
-        (F.regexp_extract("line", CLASS_RE, 2) != "").alias("exported"))
+    cls_name = F.when(F.col("cls") == "", F.lit("<anonymous>")).otherwise(F.col("cls"))
+    cls = classes(lx, br).select(
+        *FILE, F.lit(1).alias("kind"), "stmt_off", cls_name.alias("name"), F.lit("class").alias("type"), "line",
+        F.concat(F.lit("class "), cls_name, F.when(F.col("ext") != "", F.concat(F.lit(" extends "), "ext")).otherwise(F.lit(""))).alias("signature"),
+        "exported")
     iface = ln.where(F.col("line").rlike(IFACE_RE)).select(
         *FILE, F.lit(2).alias("kind"), ws(IFACE_RE).alias("stmt_off"), F.regexp_extract("line", IFACE_RE, 4).alias("name"),
         F.lit("interface").alias("type"), F.col("line_no").alias("line"),
@@ -193,6 +220,8 @@ def ts_elements(source_files: DataFrame) -> DataFrame:
     for r in rows[1:]:
         u = u.unionByName(r)
     u = _jsdoc_join(u, lx)
+    listed = exported_names(lx, br, pairs).withColumn("_listed", F.lit(True))
+    u = u.join(listed, [*FILE, "name"], "left").withColumn("exported", F.col("exported") | F.coalesce("_listed", F.lit(False)))
     w = Window.partitionBy(*FILE).orderBy("kind", "stmt_off", "dpos")
     return u.select(*FILE, F.row_number().over(w).cast("long").alias("elem_ord"),
                     F.concat("path", F.lit(":"), "name").alias("id"), "name", "type", F.col("line").cast("int").alias("line"),
@@ -200,7 +229,7 @@ def ts_elements(source_files: DataFrame) -> DataFrame:
 
 
 def _import_rows(lx: DataFrame, br: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(project, path, stmt_off, pos, spec, element): named imports then default."""
+    """(project, path, off, sub, pos, spec, element): of a statement the named imports, then the default."""
     spec_re = r"""^\s*from\s*['"]([^'"]*)['"]"""
     head = rf"(?:^|[;\n])\s*import\s+(?:type\s+)?(?:({ID})\s*,\s*)?$"
     opens = br.where((F.col("ch") == "{") & F.col("prev").rlike(head)).select(
@@ -212,18 +241,15 @@ def _import_rows(lx: DataFrame, br: DataFrame, pairs: DataFrame) -> DataFrame:
              .join(lx.select(*FILE, "masked"), FILE)
              .select(*FILE, "off", "dflt", F.regexp_extract("after", spec_re, 1).alias("spec"),
                      F.split(F.substr(F.col("masked"), F.col("off") + 2, F.col("close_off") - F.col("off") - 1), ",").alias("names")))
-    nm = named.select(*FILE, (F.col("off").cast("long") * (1 << 20)).alias("stmt_off"), "spec",
-                      F.posexplode("names").alias("pos", "n")).select(
-        *FILE, "stmt_off", "pos", "spec",
+    nm = named.select(*FILE, "off", F.lit(0).alias("sub"), "spec", F.posexplode("names").alias("pos", "n")).select(
+        *FILE, "off", "sub", "pos", "spec",
         F.regexp_extract(F.col("n"), rf"^\s*(?:type\s+)?({ID})", 1).alias("element")).where(F.col("element") != "")
-    dn = named.where(F.col("dflt") != "").select(*FILE, (F.col("off").cast("long") * (1 << 20)).alias("stmt_off"),
-                                                  F.lit(1 << 19).alias("pos"), "spec",
+    dn = named.where(F.col("dflt") != "").select(*FILE, "off", F.lit(1).alias("sub"), F.lit(0).alias("pos"), "spec",
                                                   F.lit("default").alias("element"))
     # default-only imports: no braces in the statement
     solo = rf"""(?:^|[;\n])\s*import\s+(?:type\s+)?({ID})\s*(?:,\s*\*\s*as\s+{ID}\s*)?from\s*['"]([^'"]*)['"]"""
     seg = br.select(*FILE, "off", F.posexplode(F.regexp_extract_all("text", F.lit(solo), 2)).alias("pos", "spec"))
-    dsolo = seg.select(*FILE, (F.col("off").cast("long") * (1 << 20) + (1 << 19)).alias("stmt_off"), F.col("pos"), "spec",
-                       F.lit("default").alias("element"))
+    dsolo = seg.select(*FILE, "off", F.lit(1).alias("sub"), "pos", "spec", F.lit("default").alias("element"))
     return nm.unionByName(dn).unionByName(dsolo)
 
 
@@ -246,22 +272,24 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def _calls(lx: DataFrame, br: DataFrame, pairs: DataFrame, fns: DataFrame) -> DataFrame:
-    chain = F.regexp_extract("prev", rf"(^|[^\w$.\])?!])\s*([A-Za-z_$][\w$.]*)\s*$", 2)
+    chain = F.regexp_extract("prev", rf"(^|[^\w$.\])?!])\s*([A-Za-z_$][\w$.]*)\s*{TYPE_ARGS}\s*$", 2)
     w = Window.partitionBy(*FILE).orderBy("idx")
     nxt = br.withColumn("next_ch", F.lead("ch").over(w))
     c = br.where((F.col("ch") == "(") & (chain != "")).select(*FILE, "idx", "off", "prev", chain.alias("callee"))
     c = c.where(F.col("callee").rlike(r"^[a-zA-Z_][\w.]*$") & ~F.col("callee").isin(NOT_CALLEES)
-                & ~F.col("prev").rlike(rf"\bnew\s+[\w$.]+\s*$") & ~F.col("prev").rlike(rf"\bfunction\b\s*\*?\s*[\w$]*\s*$"))
+                & ~F.col("prev").rlike(rf"\bnew\s+[\w$.]+\s*{TYPE_ARGS}\s*$")
+                & ~F.col("prev").rlike(rf"\bfunction\b\s*\*?\s*[\w$]*\s*{TYPE_ARGS}\s*$"))
     p = pairs.where(F.col("kind") == "p").select(*FILE, F.col("open_idx").alias("idx"), "close_idx")
     after = nxt.select(*FILE, F.col("idx").alias("close_idx"), F.col("text").alias("after"), "next_ch")
     c = c.join(p, [*FILE, "idx"], "left").join(after, [*FILE, "close_idx"], "left")
     is_decl = ((F.col("next_ch") == "{") & F.coalesce(F.col("after"), F.lit("")).rlike(r"^\s*(:[^;{}]*)?$")) | (
         F.coalesce(F.col("after"), F.lit("")).rlike(r"^\s*:") & F.col("prev").rlike(
-            r"(^|[;{}\n])\s*(?:(?:public|private|protected|static|readonly|abstract|async|get|set|declare|override)\s+)*[\w$]+\??\s*$"))
-    calls = c.where(~is_decl).select(*FILE, "off", "callee")
+            rf"(^|[;{{}}\n])\s*(?:(?:public|private|protected|static|readonly|abstract|async|get|set|declare|override)\s+)*[\w$]+\??\s*{TYPE_ARGS}\s*$"))
+    arrow = (F.col("callee") == "async") & F.coalesce(F.col("after"), F.lit("")).rlike(r"^\s*(:[^=;]*)?=>")  # async (...) => is no call
+    calls = c.where(~is_decl & ~arrow).select(*FILE, "off", "callee")
     # caller: innermost enclosing function declaration body
     ev = (fns.where(F.col("body_open").isNotNull())
-          .select(*FILE, F.col("body_open").alias("off"), F.lit(0).alias("ek"), F.lit(1).alias("d"), "name")
+          .select(*FILE, F.col("body_open").alias("off"), F.lit(0).alias("ek"), F.lit(1).alias("d"), F.nullif("name", F.lit("<anonymous>")).alias("name"))
           .unionByName(fns.where(F.col("body_close").isNotNull())
                        .select(*FILE, F.col("body_close").alias("off"), F.lit(2).alias("ek"), F.lit(-1).alias("d"),
                                F.lit(None).cast("string").alias("name")))
@@ -269,12 +297,13 @@ def _calls(lx: DataFrame, br: DataFrame, pairs: DataFrame, fns: DataFrame) -> Da
     wd = Window.partitionBy(*FILE).orderBy("off", "ek").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ev = ev.withColumn("fd", F.sum("d").over(wd))
     wl = Window.partitionBy(*FILE, "fd").orderBy("off", "ek").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ev = ev.withColumn("caller", F.when(F.col("fd") > 0, F.last(F.when(F.col("ek") == 0, F.col("name")), ignorenulls=True).over(wl)))
-    return ev.where(F.col("ek") == 1).select(*FILE, "off", F.col("name").alias("callee"), "caller")
+    # in a struct, as an unnamed function is a caller without a name, not the function around it
+    ev = ev.withColumn("caller", F.when(F.col("fd") > 0, F.last(F.when(F.col("ek") == 0, F.struct("name")), ignorenulls=True).over(wl)))
+    return ev.where(F.col("ek") == 1).select(*FILE, "off", F.col("name").alias("callee"), F.col("caller.name").alias("caller"))
 
 
 def ts_edges(source_files: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Edges of TS/JS files (X13-X16, X18): per file imports, then inheritance
+    """Edges of TS/JS files (X13-X16, X18): file by file; in a file imports, then inheritance
     (extends, implements), then calls. ``files`` (project, path) are the resolution
     targets; default: the input files."""
     lx = lexed(source_files)
@@ -283,26 +312,16 @@ def ts_edges(source_files: DataFrame, files: DataFrame | None = None) -> DataFra
     fns = functions(lx, br, pairs)
     files = files if files is not None else source_files.select(*FILE)
     imp = resolve_imports(_import_rows(lx, br, pairs), files)
-    big = F.lit(1 << 40).cast("long")
-    e_imp = imp.select("project", (F.col("stmt_off") + F.col("pos")).alias("edge_ord"),
-                       F.col("path").alias("src_path"), "dst_path", F.lit("import").alias("type"),
-                       F.lit(None).cast("string").alias("from_element"), F.col("element").alias("to_element"))
-    ln = lines(lx).where(F.col("depth") == 0)
-    orig = lx.select(*FILE, F.posexplode(F.split("content", "\n", -1)).alias("pos", "orig"))
-    ln = ln.join(orig.select(*FILE, (F.col("pos") + 1).alias("line_no"), "orig"), [*FILE, "line_no"])
-    cl = ln.where(F.col("line").rlike(CLASS_RE) & F.col("line").rlike(r"\bclass\b")).select(
-        *FILE, "off", F.regexp_extract("line", CLASS_RE, 6).alias("cls"),
-        F.trim(F.regexp_extract("orig", CLASS_RE, 8)).alias("ext"),
-        split_top_level(F.regexp_extract("orig", CLASS_RE, 9)).alias("impl"))
-    ext = cl.where(F.col("ext") != "").select(*FILE, (big + F.col("off") * 4096).alias("edge_ord"), "cls",
-                                             F.lit("extends").alias("type"), F.col("ext").alias("to"))
-    imps = cl.select(*FILE, "off", "cls", F.posexplode("impl").alias("ip", "to")).select(
-        *FILE, (big + F.col("off") * 4096 + 1 + F.col("ip")).alias("edge_ord"), "cls", F.lit("implements").alias("type"), "to")
-    e_inh = ext.unionByName(imps).select(
-        "project", "edge_ord", F.col("path").alias("src_path"), F.col("path").alias("dst_path"), "type",
-        F.nullif(F.col("cls"), F.lit("")).alias("from_element"), F.col("to").alias("to_element"))
-    calls = _calls(lx, br, pairs, fns)
-    e_call = calls.select("project", (big * 2 + F.col("off")).alias("edge_ord"), F.col("path").alias("src_path"),
-                          F.col("path").alias("dst_path"), F.lit("call").alias("type"),
-                          F.col("caller").alias("from_element"), F.col("callee").alias("to_element"))
-    return e_imp.unionByName(e_inh).unionByName(e_call)
+    e_imp = imp.select(*FILE, "dst_path", F.lit("import").alias("type"), F.lit(None).cast("string").alias("from_element"),
+                       F.col("element").alias("to_element"), F.lit(0).alias("_section"), "off", "sub", "pos")
+    cl = classes(lx, br).withColumn("cls", F.nullif(F.col("cls"), F.lit("")))
+    heritage = lambda rows, kind, to, sub: rows.select(
+        *FILE, F.col("path").alias("dst_path"), F.lit(kind).alias("type"), F.col("cls").alias("from_element"), to.alias("to_element"),
+        F.lit(1).alias("_section"), F.col("stmt_off").alias("off"), F.lit(sub).alias("sub"), "pos")
+    ext = heritage(cl.where(F.col("ext") != "").withColumn("pos", F.lit(0)), "extends", F.col("ext"), 0)
+    impl = heritage(cl.select(*FILE, "stmt_off", "cls", F.posexplode(split_top_level("impl")).alias("pos", "to")), "implements", F.col("to"), 1)
+    e_call = _calls(lx, br, pairs, fns).select(
+        *FILE, F.col("path").alias("dst_path"), F.lit("call").alias("type"), F.col("caller").alias("from_element"), F.col("callee").alias("to_element"),
+        F.lit(2).alias("_section"), "off", F.lit(0).alias("sub"), F.lit(0).alias("pos"))
+    rows = e_imp.unionByName(ext).unionByName(impl).unionByName(e_call)
+    return file_major(rows.withColumnRenamed("path", "src_path"), ["_section", "off", "sub", "pos"])

@@ -477,13 +477,15 @@ scoped AS (SELECT s.project, s.path, s.line_no, s.line, CASE WHEN m.marker = 1 T
            FROM sc s LEFT JOIN mk2 m ON m.project = s.project AND m.path = s.path AND m.line_no = s.mline),
 cl AS (SELECT project, path, line_no, caller, regexp_extract_all(line, '([a-zA-Z_][\\w.]*)\\s*\\(', 1) AS cs FROM scoped),
 cu AS (SELECT project, path, line_no, caller, unnest(cs) AS callee, generate_subscripts(cs, 1) - 1 AS pos FROM cl)
-SELECT project, CAST(line_no AS BIGINT) * 65536 + pos AS edge_ord, path AS src_path, replace(module, '.', '/') || '.py' AS dst_path,
+SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY src_path, section, line_no, pos) AS BIGINT) AS edge_ord,
+       src_path, dst_path, type, from_element, to_element FROM (
+SELECT project, 0 AS section, line_no, pos, path AS src_path, replace(module, '.', '/') || '.py' AS dst_path,
        'import' AS type, CAST(NULL AS VARCHAR) AS from_element, name AS to_element FROM imp
 UNION ALL
-SELECT project, CAST(1 AS BIGINT) * 4503599627370496 + CAST(line_no AS BIGINT) * 65536 + pos, path, path, 'extends', cls, base FROM bu
+SELECT project, 1, line_no, pos, path, path, 'extends', cls, base FROM bu
 UNION ALL
-SELECT project, CAST(2 AS BIGINT) * 4503599627370496 + CAST(line_no AS BIGINT) * 65536 + pos, path, path, 'call', caller, callee FROM cu
-WHERE callee NOT IN ('if', 'for', 'while', 'with', 'def', 'class', 'return', 'print', 'elif', 'except', 'lambda')"""
+SELECT project, 2, line_no, pos, path, path, 'call', caller, callee FROM cu
+WHERE callee NOT IN ('if', 'for', 'while', 'with', 'def', 'class', 'return', 'print', 'elif', 'except', 'lambda'))"""
 
 
 @register("py_edges", _PY_EDGES_SQL)
@@ -898,20 +900,22 @@ def q_ts_elements(spark, sf):
         "project", "path", "elem_ord", "name", "type", "line", "signature", "doc_comment", "exported")
 
 
-@register("ts_edges", f"WITH {_TS_PARTS}" + """
-SELECT project, path AS src_path, path AS dst_path, 'import' AS type, CAST(NULL AS VARCHAR) AS from_element,
+@register("ts_edges", f"WITH {_TS_PARTS}" + """,
+ed AS (
+SELECT project, 0 AS section, pk, 0 AS pos, path AS src_path, path AS dst_path, 'import' AS type, CAST(NULL AS VARCHAR) AS from_element,
        'h' || CAST(pk AS VARCHAR) AS to_element FROM tr WHERE t IN ('PROMO', 'STANDARD')
-UNION ALL SELECT project, path, path, 'import', NULL, 'T' || CAST(pk AS VARCHAR) FROM tr WHERE t IN ('PROMO', 'STANDARD')
-UNION ALL SELECT project, path, 'lib' || CAST(size AS VARCHAR), 'import', NULL, 'default' FROM tr WHERE t = 'SMALL'
-UNION ALL SELECT project, path, path, 'extends', cname, 'Base' || CAST(size % 5 AS VARCHAR) FROM tr WHERE t IN ('SMALL', 'MEDIUM')
-UNION ALL SELECT project, path, path, 'implements', cname, 'I' || CAST(pk % 3 AS VARCHAR) FROM tr WHERE t IN ('SMALL', 'MEDIUM')
-UNION ALL SELECT project, path, path, 'implements', cname, 'J' FROM tr WHERE t IN ('SMALL', 'MEDIUM')
-UNION ALL SELECT project, path, path, 'call', fname, 'helper' || CAST(size AS VARCHAR) FROM tr WHERE t IN ('ECONOMY', 'PROMO')
-UNION ALL SELECT project, path, path, 'call', fname, 'util.scale' FROM tr WHERE t IN ('ECONOMY', 'PROMO')
-UNION ALL SELECT project, path, path, 'call', NULL, 'this.run' FROM tr WHERE t IN ('SMALL', 'MEDIUM')""")
+UNION ALL SELECT project, 0, pk, 1, path, path, 'import', NULL, 'T' || CAST(pk AS VARCHAR) FROM tr WHERE t IN ('PROMO', 'STANDARD')
+UNION ALL SELECT project, 0, pk, 0, path, 'lib' || CAST(size AS VARCHAR), 'import', NULL, 'default' FROM tr WHERE t = 'SMALL'
+UNION ALL SELECT project, 1, pk, 0, path, path, 'extends', cname, 'Base' || CAST(size % 5 AS VARCHAR) FROM tr WHERE t IN ('SMALL', 'MEDIUM')
+UNION ALL SELECT project, 1, pk, 1, path, path, 'implements', cname, 'I' || CAST(pk % 3 AS VARCHAR) FROM tr WHERE t IN ('SMALL', 'MEDIUM')
+UNION ALL SELECT project, 1, pk, 2, path, path, 'implements', cname, 'J' FROM tr WHERE t IN ('SMALL', 'MEDIUM')
+UNION ALL SELECT project, 2, pk, 0, path, path, 'call', fname, 'helper' || CAST(size AS VARCHAR) FROM tr WHERE t IN ('ECONOMY', 'PROMO')
+UNION ALL SELECT project, 2, pk, 1, path, path, 'call', fname, 'util.scale' FROM tr WHERE t IN ('ECONOMY', 'PROMO')
+UNION ALL SELECT project, 2, pk, 0, path, path, 'call', NULL, 'this.run' FROM tr WHERE t IN ('SMALL', 'MEDIUM'))
+SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY src_path, section, pk, pos) AS BIGINT) AS edge_ord,
+       src_path, dst_path, type, from_element, to_element FROM ed""")
 def q_ts_edges(spark, sf):
-    return extract_ts.ts_edges(corpus.ts_src_files(spark, sf)).select(
-        "project", "src_path", "dst_path", "type", "from_element", "to_element")
+    return extract_ts.ts_edges(corpus.ts_src_files(spark, sf))
 
 
 @register("doc_create_table", with_views("v_docs") + f"""
@@ -980,7 +984,7 @@ def _build_inputs(spark, sf):
 
 
 _EL_COLS = "project, path, elem_ord, name, type, line, signature, doc_comment, exported"
-_ED_COLS = "project, src_path, dst_path, type, from_element, to_element"
+_ED_COLS = "project, edge_ord, src_path, dst_path, type, from_element, to_element"
 
 
 @register("build_elements", f"""

@@ -27,6 +27,21 @@ def place_in_group(df: DataFrame, group_cols, ord_col: str, out_col: str) -> Dat
     return rows.join(sizes, same).withColumn(out_col, (F.col("_before") + F.col("_in")).cast("long")).select(*df.columns, out_col)
 
 
+def file_major(rows: DataFrame, order_cols, out_col: str = "edge_ord") -> DataFrame:
+    """Number the rows of a project file by file (path order), within a file by ``order_cols``.
+
+    Rows are numbered inside their file; what earlier files hold is a prefix sum over one
+    row per file. ``order_cols`` are dropped."""
+    order_cols = list(order_cols)
+    per = rows.groupBy("project", "src_path").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("project").orderBy("src_path").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("project", "src_path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("project", "src_path").orderBy(*order_cols))
+    numbered = rows.withColumn("_in", within).join(per, ["project", "src_path"])
+    keep = [c for c in rows.columns if c not in order_cols and c != "project"]
+    return numbered.select("project", (F.col("_before") + F.col("_in")).cast("long").alias(out_col), *keep)
+
+
 def lag_in_order(df: DataFrame, group_cols, order_cols, value_col: str, out_col: str) -> DataFrame:
     """``lag(value) over (partition by group order by order)`` without putting a
     whole group into one task.

@@ -95,3 +95,32 @@ def test_lexer_masks_but_keeps_offsets():
     assert "{" not in masked.replace("${", "")
     assert "f(" in masked and docs == []
     assert split_top_level_py('a, b = "x,y", c: Map<K, V>') == ["a", 'b = "x,y"', "c: Map<K, V>"]
+
+
+def test_class_headers_on_one_line_or_several(spark):
+    src = source_files(spark, [("p", "a.ts", "export class A { run() { return 1; } }\nclass B extends Base { x = 1; }\n"
+                                             "class C\n  extends D<X>\n  implements I, J {\n}\nconst k = class { };\nexport default class { }\n")])
+    el = [(r.name, r.line, r.signature, r.exported) for r in xt.ts_elements(src).where("type = 'class'").orderBy("elem_ord").collect()]
+    assert el == [("A", 1, "class A", True), ("B", 2, "class B extends Base", False), ("C", 3, "class C extends D<X>", False),
+                  ("<anonymous>", 8, "class <anonymous>", True)]
+    inh = [(r.type, r.from_element, r.to_element) for r in xt.ts_edges(src).where("type in ('extends', 'implements')").orderBy("edge_ord").collect()]
+    assert inh == [("extends", "B", "Base"), ("extends", "C", "D<X>"), ("implements", "C", "I"), ("implements", "C", "J")]
+
+
+def test_export_lists_mark_declarations(spark):
+    src = source_files(spark, [("p", "a.ts", "function hid() { }\nfunction own() { }\nconst v = 1;\nclass K { }\nexport { hid, v as w };\n"
+                                             "export { other } from './b';\nexport default K;\n")])
+    assert {r.name: r.exported for r in xt.ts_elements(src).collect()} == {"hid": True, "own": False, "v": True, "K": True}
+
+
+def test_generic_and_arrow_calls_and_unnamed_callers(spark):
+    src = source_files(spark, [("p", "a.ts", "export default function () { inside(); }\nfunction named() { useState<string>(''); make<Map<A, B>>(1); }\n"
+                                             "const go = async () => { tail(); };\nconst t = new Box<number>(1);\n")])
+    calls = [(r.from_element, r.to_element) for r in xt.ts_edges(src).where("type = 'call'").orderBy("edge_ord").collect()]
+    assert calls == [(None, "inside"), ("named", "useState"), ("named", "make"), (None, "tail")]
+
+
+def test_edges_go_file_by_file(spark):
+    src = source_files(spark, [("p", "b.ts", "import { x } from './c';\nf();\n"), ("p", "a.ts", "import { y } from './c';\ng();\n")])
+    got = [(r.edge_ord, r.src_path, r.type) for r in xt.ts_edges(src).orderBy("edge_ord").collect()]
+    assert got == [(1, "a.ts", "import"), (2, "a.ts", "call"), (3, "b.ts", "import"), (4, "b.ts", "call")]
