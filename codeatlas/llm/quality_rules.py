@@ -106,13 +106,16 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     fences = fences.withColumns({"lo": F.col("q1") - REACH * (F.col("q3") - F.col("q1")) - slack, "hi": F.col("q3") + REACH * (F.col("q3") - F.col("q1")) + slack})
     wide = fences.groupBy("level", "lang", "source").agg(
         F.max("total").alias("total"), *[F.max(F.when(F.col("statistic") == s, F.col(k))).alias(f"{k}_{s}") for s in STATISTICS for k in ("lo", "hi")])
-    values = F.struct(*[f"{k}_{s}" for s in STATISTICS for k in ("lo", "hi")]).alias("fence")
-    own = wide.where("level = 2").select("lang", "source", "total", values)
-    per_lang = wide.where("level = 1").select(F.col("lang").alias("l1"), F.col("total").alias("total1"), values.alias("fence1"))
-    over_all = wide.where("level = 0").select(values.alias("fence0"))
-    joined = own.join(per_lang, F.col("lang").eqNullSafe(F.col("l1")), "left").join(over_all, F.lit(True), "left")
-    pick = F.when(F.col("total") >= MIN_GROUP, F.col("fence")).when(F.col("total1") >= MIN_GROUP, F.col("fence1")).otherwise(F.col("fence0"))
-    return joined.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), pick.alias("__fence"))
+    wide = wide.select("level", F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "total",
+                       F.struct(*[f"{k}_{s}" for s in STATISTICS for k in ("lo", "hi")]).alias("fence"))
+    # Each group asks for its own fence, its lang's and that over all, and takes the nearest that has enough documents.
+    nothing = F.lit(None).cast("string")
+    ask = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), (F.col("of_lang") if i else nothing).alias("a_lang"),
+                                       (F.col("of_source") if i > 1 else nothing).alias("a_source")) for i in range(3)]))
+    asked = wide.where("level = 2").select(F.col("of_lang").alias("__lang"), F.col("of_source").alias("__source"), ask.alias("q")).select("__lang", "__source", "q.*")
+    met = asked.join(wide, (F.col("at") == F.col("level")) & F.col("a_lang").eqNullSafe(F.col("of_lang")) & F.col("a_source").eqNullSafe(F.col("of_source")))
+    met = met.where((F.col("total") >= MIN_GROUP) | (F.col("level") == 0))
+    return met.groupBy("__lang", "__source").agg(F.max_by("fence", "level").alias("__fence"))
 
 
 def judge(measured: DataFrame, table: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
