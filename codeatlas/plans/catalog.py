@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeatlas.functions.text import basename
 from codeatlas.operators import docs as docops
 from codeatlas.operators import card, extract_python, extract_ts, graph, maintain, nodes, render
 from codeatlas.operators import search as search_ops
 from codeatlas.plans import briefing, build
 from codeatlas.plans.oracle import sql_score, with_views
-from codeatlas.sources import corpus, runs
+from codeatlas.sources import corpus, manifest, runs
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -779,16 +780,19 @@ SELECT project, change_ord, element, alias,
        CASE WHEN doc_ord IS NULL THEN 'not_found' WHEN list_contains(old, alias) OR rn > 1 THEN 'already_exists' ELSE 'added' END AS status
 FROM c""")
 def q_alias_status(spark, sf):
-    lab = corpus.table(spark, sf, "labels")
-    ch = lab.select(F.concat(F.lit("repo"), (F.col("doc_id") % 4).cast("string")).alias("project"),
-                    F.col("doc_id").alias("change_ord"),
-                    F.when(F.col("quality") == 1, F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")))
-                    .otherwise(F.concat(F.lit("page_"), (F.col("doc_id") % 50).cast("string"))).alias("element"),
-                    F.when(F.col("toxic") == 1, F.lit("flagged")).otherwise(F.lit("lang_ECONOMY")).alias("alias"))
-    _, st = maintain.doc_alias(corpus.docs(spark, sf), ch, now=_NOW)
+    _, st = maintain.doc_alias(corpus.docs(spark, sf), _alias_changes(spark, sf), now=_NOW)
     return st
 
 
+def _alias_changes(spark, sf):
+    lab = corpus.table(spark, sf, "labels")
+    return lab.select(F.concat(F.lit("repo"), (F.col("doc_id") % 4).cast("string")).alias("project"),
+                      F.col("doc_id").alias("change_ord"),
+                      F.when(F.col("quality") == 1, F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")))
+                      .otherwise(F.concat(F.lit("page_"), (F.col("doc_id") % 50).cast("string"))).alias("element"),
+                      F.when(F.col("toxic") == 1, F.lit("flagged")).otherwise(F.lit("lang_ECONOMY")).alias("alias"))
+
+
 # ---------------------------------------------------------------- briefing
 @register("briefing", with_views("v_files", "v_elements", "v_edges", "v_docs").rstrip("\n") + ",\n"
           + _ENDS.format(edges="v_edges") + f"""
@@ -1003,3 +1007,94 @@ SELECT {_ED_COLS} FROM ({ORACLE['ts_edges']}) t WHERE project IN ('repo2', 'repo
 def q_build_edges(spark, sf):
     src, projects = _build_inputs(spark, sf)
     return build.build(src, projects).edges.select(*[c.strip() for c in _ED_COLS.split(",")])
+
+
+# ---------------------------------------------------------------- manifests and projects
+_PACKAGES = """
+pk AS (SELECT 'sup' || CAST(s_suppkey AS VARCHAR) AS project, s_suppkey AS k, s_nationkey AS n, s_suppkey % 5 <> 0 AS has, s_suppkey % 11 = 0 AS bad FROM supplier),
+man AS (SELECT project, k, CASE WHEN NOT bad THEN 'dist/m' || CAST(k % 9 AS VARCHAR) || '.js' END AS main,
+               CASE WHEN bad THEN CAST([] AS VARCHAR[]) WHEN k % 2 = 0 THEN ['bin/n' || CAST(n AS VARCHAR) || '.js'] ELSE ['bin/a.js', 'bin/b.js'] END AS bins,
+               CASE WHEN bad THEN '' ELSE array_to_string(list_sort(
+                   [x for x in ['lib' || CAST(k % 4 AS VARCHAR) || '=1', CASE WHEN k % 7 = 0 THEN 'next=14' END,
+                                CASE WHEN k % 2 = 0 THEN 'react=18' WHEN k % 7 <> 0 THEN 'react=17' END,
+                                CASE WHEN k % 2 = 1 THEN 'vue=3' END] if x IS NOT NULL]), ',') END AS deps FROM pk WHERE has)"""
+
+
+@register("manifests", f"WITH {_PACKAGES} SELECT project, main, array_to_string(bins, ',') AS bins, deps FROM man")
+def q_manifests(spark, sf):
+    m = manifest.manifests(corpus.package_files(spark, sf))
+    entries = F.array_sort(F.transform(F.map_entries("deps"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return m.select("project", "main", F.array_join("bins", ",").alias("bins"), F.array_join(entries, ",").alias("deps"))
+
+
+@register("detect_language", f"""WITH {_PACKAGES}
+SELECT pk.project, CASE WHEN k % 3 = 0 THEN 'typescript' WHEN has THEN 'javascript' WHEN k % 3 = 1 THEN 'python' ELSE 'unknown' END AS language,
+       CASE WHEN has AND NOT bad THEN CASE WHEN k % 7 = 0 THEN 'next.js' ELSE 'react' END END AS framework,
+       CASE WHEN k % 4 = 0 THEN '.' ELSE 'src' END AS source_paths FROM pk""")
+def q_detect_language(spark, sf):
+    d = manifest.detect_language(corpus.package_files(spark, sf))
+    return d.withColumn("source_paths", F.array_join("source_paths", ","))
+
+
+@register("entry_points", f"""WITH {_PACKAGES}
+SELECT project, 'src/index.ts' AS entry, 0 AS section, 0 AS pos FROM pk WHERE k % 4 <> 0
+UNION ALL SELECT project, main, 1, 0 FROM man WHERE main IS NOT NULL
+UNION ALL SELECT project, unnest(bins), 1, unnest(range(1, len(bins) + 1)) FROM man""")
+def q_entry_points(spark, sf):
+    src = corpus.package_files(spark, sf)
+    files = src.where(F.col("path").endswith(".ts") | F.col("path").endswith(".js")).select("project", "path", basename("path").alias("name"))
+    e = nodes.entry_points(files, manifest.manifests(src))
+    return e.select("project", "entry", F.col("ord.s").alias("section"), F.col("ord.i").alias("pos"))
+
+
+@register("alias_table", ORACLE["alias_status"].rsplit("SELECT project, change_ord, element, alias,", 1)[0].rstrip() + """,
+news AS (SELECT project, doc_ord, string_agg(alias, ',' ORDER BY change_ord, alias) AS added FROM c
+         WHERE doc_ord IS NOT NULL AND NOT list_contains(old, alias) AND rn = 1 GROUP BY project, doc_ord)
+SELECT d.project, d.doc_ord, d.element, array_to_string(coalesce(d.aliases, []), ',') || CASE WHEN added IS NULL THEN ''
+       WHEN len(coalesce(d.aliases, [])) = 0 THEN added ELSE ',' || added END AS aliases, added IS NOT NULL AS touched
+FROM v_docs d LEFT JOIN news n ON n.project = d.project AND n.doc_ord = d.doc_ord""")
+def q_alias_table(spark, sf):
+    new, _ = maintain.doc_alias(corpus.docs(spark, sf), _alias_changes(spark, sf), now=_NOW)
+    return new.select("project", "doc_ord", "element", F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), ",").alias("aliases"),
+                      (F.col("updated_at") == F.lit(_NOW).cast("timestamp")).alias("touched"))
+
+
+@register("markdown_moves", with_views("v_docs") + """
+SELECT project, doc_ord, element, 'functions/' || element || '.md' AS old_md_path, 'classes/' || element || '.md' AS new_md_path FROM v_docs WHERE type = 'function'""")
+def q_markdown_moves(spark, sf):
+    docs = corpus.docs(spark, sf)
+    return maintain.markdown_moves(docs, docs.withColumn("type", F.when(F.col("type") == "function", F.lit("class")).otherwise(F.col("type"))))
+
+
+@register("mermaid_tree_inline", with_views("v_files", "v_elements") + f"""
+SELECT DISTINCT project, '' AS path, CAST(-1 AS BIGINT) AS elem_ord, 0 AS part, 'graph TD' AS line FROM v_files
+UNION ALL SELECT project, path, 0, 0, '  ' || {_sid('path')} || '["' || name || '"]' FROM v_files
+UNION ALL SELECT project, path, elem_ord, 0, '  ' || {_sid('path')} || ' --> ' || {_sid('id')} || '["' || name || ' (' || type || ')"]' FROM v_elements""")
+def q_mermaid_tree_inline(spark, sf):
+    return render.render_mermaid_tree(corpus.files(spark, sf), corpus.elements(spark, sf), inline_children=True)
+
+
+@register("deps_json", with_views("v_edges") + " SELECT project, edge_ord, src_path, dst_path, type, from_element, to_element FROM v_edges")
+def q_deps_json(spark, sf):
+    edges = corpus.edges(spark, sf)
+    return render.render_deps(edges, "json").select(F.from_json("json", edges.schema).alias("e")).select("e.*")
+
+
+@register("arch_json", with_views("v_files", "v_elements") + """
+, kids AS (SELECT project, path, count(*) AS n, string_agg(name, ',' ORDER BY elem_ord) AS names FROM v_elements GROUP BY project, path)
+SELECT f.project, f.path, f.name, coalesce(k.n, 0) AS n_children, coalesce(k.names, '') AS children
+FROM v_files f LEFT JOIN kids k ON k.project = f.project AND k.path = f.path""")
+def q_arch_json(spark, sf):
+    js = render.render_arch(corpus.files(spark, sf), corpus.elements(spark, sf), "json")
+    tree = F.from_json("json", "project string, path string, name string, children array<struct<name:string>>")
+    return js.select(tree.alias("t")).select("t.project", "t.path", "t.name", F.size("t.children").cast("long").alias("n_children"),
+                                             F.array_join(F.transform("t.children", lambda c: c["name"]), ",").alias("children"))
+
+
+@register("arch_show_file", with_views("v_files", "v_elements") + """
+, kids AS (SELECT project, path, count(*) AS n FROM v_elements GROUP BY project, path)
+SELECT f.project, f.path, coalesce(k.n, 0) AS n_children FROM v_files f LEFT JOIN kids k ON k.project = f.project AND k.path = f.path
+WHERE contains(f.path, 'm7.ts') OR contains(f.name, 'm7.ts')""")
+def q_arch_show_file(spark, sf):
+    t = nodes.arch_show(corpus.files(spark, sf), corpus.elements(spark, sf), "m7.ts")
+    return t.select("project", "path", F.size("children").cast("long").alias("n_children"))

@@ -265,3 +265,22 @@ def ts_src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (ln.groupBy("project", "path")
             .agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
             .select("project", "path", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("content")))
+
+
+def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``source_files`` of one small project per supplier: a source file, marker files and, for most, a
+    ``package.json`` (every eleventh is no JSON)."""
+    k = F.col("s_suppkey")
+    text = k.cast("string")
+    deps = F.concat(F.when(k % 7 == 0, F.lit('{"next":"14",')).otherwise(F.lit('{"react":"17",')), F.lit('"lib'), (k % 4).cast("string"), F.lit('":"1"}'))
+    dev = F.when(k % 2 == 0, F.lit('{"react":"18"}')).otherwise(F.lit('{"vue":"3"}'))
+    bins = F.when(k % 2 == 0, F.concat(F.lit('"bin/n'), F.col("s_nationkey").cast("string"), F.lit('.js"'))).otherwise(F.lit('{"a":"bin/a.js","b":"bin/b.js"}'))
+    package = F.when(k % 11 == 0, F.lit("not json")).otherwise(F.concat(
+        F.lit('{"main":"dist/m'), (k % 9).cast("string"), F.lit('.js","bin":'), bins, F.lit(',"dependencies":'), deps, F.lit(',"devDependencies":'), dev, F.lit("}")))
+    one = lambda path, content, when: F.when(when, F.struct(path.alias("path"), content.alias("content")))
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("sup"), text).alias("project"), F.explode(F.array_compact(F.array(
+        one(F.when(k % 4 == 0, F.lit("lib/x.js")).otherwise(F.lit("src/index.ts")), F.concat(F.lit("export const v = "), text, F.lit(";")), F.lit(True)),
+        one(F.lit("package.json"), package, k % 5 != 0),
+        one(F.lit("tsconfig.json"), F.lit("{}"), k % 3 == 0),
+        one(F.lit("pyproject.toml"), F.lit(""), (k % 3 == 1) & (k % 5 == 0))))).alias("f"))
+    return rows.select("project", "f.path", "f.content")
