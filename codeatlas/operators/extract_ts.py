@@ -19,13 +19,13 @@ resolution tests the scanned files only.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions.text import SOURCE_EXTENSIONS, dirname, normalise_path
 from codeatlas.functions.tslex import split_top_level, ts_lex
 from codeatlas.plans.partitioning import file_major
+from codeatlas.session import ensure_checkpoint_dir
 
 FILE = ["project", "path"]
 # Callee words that are statements or operators, never calls.
@@ -43,14 +43,16 @@ VAR_RE = r"^(\s*)(export\s+)?(declare\s+)?(const|let|var)\s+(.*)$"
 
 
 def lexed(source_files: DataFrame) -> DataFrame:
-    """(project, path, content, masked, jsdocs), hash-partitioned by file.
+    """(project, path, content, masked, jsdocs).
 
     Every rule below reads this table several times (brackets, lines, JSDoc,
     parameter text). A Python UDF inside a plan is not shared between branches, so
-    the lexed table is persisted (memory, then local disk; a lost block is
-    recomputed from its lineage) and the lexer runs once per file."""
+    the lexed table is checkpointed in the shared folder: the lexer runs once per
+    file, nothing stays in executors' memory or on their disks, and a lost executor
+    costs no lexing."""
+    ensure_checkpoint_dir(source_files.sparkSession)
     x = source_files.select(*FILE, "content", ts_lex(F.col("content")).alias("lx"))
-    return x.select(*FILE, "content", "lx.masked", "lx.jsdocs").persist(StorageLevel.MEMORY_AND_DISK)
+    return x.select(*FILE, "content", "lx.masked", "lx.jsdocs").checkpoint()
 
 
 def lines(lx: DataFrame) -> DataFrame:
@@ -85,7 +87,7 @@ def brackets(lx: DataFrame) -> DataFrame:
         F.coalesce(F.lag("text").over(w), F.lit("")).alias("prev"),
         F.coalesce(F.sum(bd).over(before), F.lit(0)).alias("brace"),
         F.coalesce(F.sum(pd_).over(before), F.lit(0)).alias("paren"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)  # read by every rule below
+    )
 
 
 def matches(br: DataFrame) -> DataFrame:
@@ -100,7 +102,7 @@ def matches(br: DataFrame) -> DataFrame:
     b = b.withColumn("k", F.row_number().over(w))
     o = b.where("is_open").select(*FILE, "kind", "lvl", "k", F.col("idx").alias("open_idx"), F.col("off").alias("open_off"))
     c = b.where(~F.col("is_open")).select(*FILE, "kind", "lvl", "k", F.col("idx").alias("close_idx"), F.col("off").alias("close_off"))
-    return o.join(c, [*FILE, "kind", "lvl", "k"]).drop("k").persist(StorageLevel.MEMORY_AND_DISK)
+    return o.join(c, [*FILE, "kind", "lvl", "k"]).drop("k")
 
 
 def _line_of(prev_line: F.Column, prev_text: F.Column, upto_len: F.Column) -> F.Column:

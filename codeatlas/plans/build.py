@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from codeatlas.functions.ignore import DEFAULT_IGNORE
 from codeatlas.functions.text import SOURCE_EXTENSIONS, basename
 from codeatlas.operators import extract_python, extract_ts
 from codeatlas.operators.nodes import file_exports
+from codeatlas.session import ensure_checkpoint_dir
 
 
 class Tables(NamedTuple):
@@ -57,8 +57,9 @@ def select_sources(source_files: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def build(source_files: DataFrame, projects: DataFrame) -> Tables:
-    # read by both language branches and by the files table: computed once
-    src = select_sources(source_files, projects).persist(StorageLevel.MEMORY_AND_DISK)
+    # read by both language branches and by the files table: made once, kept in the shared folder
+    ensure_checkpoint_dir(source_files.sparkSession)
+    src = select_sources(source_files, projects).checkpoint()
     py = src.where(F.col("language") == "python").select("project", "path", "content")
     ts = src.where(F.col("language") != "python").select("project", "path", "content")
     elements = extract_python.python_elements(py).unionByName(extract_ts.ts_elements(ts))

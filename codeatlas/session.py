@@ -39,6 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only when unset (local tests)
     point it at a fresh scratch folder."""
     sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     conf = sc.getConf().get("spark.checkpoint.dir", None)
     if conf:
         sc.setCheckpointDir(conf)
@@ -48,3 +50,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="codeatlas-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return path
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters on which it isn't installed."""
+    import pathlib
+    import zipfile
+
+    root = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="codeatlas-ship-")) / "codeatlas.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(target))
