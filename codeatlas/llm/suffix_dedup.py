@@ -53,8 +53,9 @@ _ROW = "block int, kind int, id long, part int, data binary"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ x >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def names(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -62,13 +63,18 @@ def names(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     eight = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))
     out = np.zeros(len(at), dtype=np.uint64)
     for offset in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        out = _mixed(out ^ eight[at + offset])
-    return out ^ out >> np.uint64(32)
+        out = _mixed(_mixed(out ^ eight[at + offset]))
+    return out
+
+
+def part_of(name: np.ndarray, parts: int) -> np.ndarray:
+    """The bucket of a name; buckets are ranges of names, so names in order are buckets in order."""
+    return (name >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
 
 
 @dataclass
 class Groups:
-    """Distinct (part, name) pairs in order, the first and last document of each, and each place's pair."""
+    """The distinct names in order with their buckets, the first and last document of each, and each place's name."""
 
     part: np.ndarray
     name: np.ndarray
@@ -83,14 +89,15 @@ def runs(part: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-def grouped(part: np.ndarray, name: np.ndarray, doc: np.ndarray) -> Groups:
-    """``doc`` ascends."""
-    order = np.lexsort((name, part))
-    p, n, d = part[order], name[order], doc[order]
-    new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (n[1:] != n[:-1]))) if len(p) else np.zeros(0, np.int64)
-    of = np.empty(len(p), dtype=np.int64)
-    of[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(p))))
-    return Groups(p[new], n[new], d[new], d[np.append(new[1:], len(p)) - 1] if len(new) else d[:0], of)
+def grouped(name: np.ndarray, doc: np.ndarray, parts: int) -> Groups:
+    if not len(name):
+        return Groups(name, name, doc, doc, np.zeros(0, np.int64))
+    order = np.argsort(name)
+    n, d = name[order], doc[order]
+    new = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
+    of = np.empty(len(n), dtype=np.int64)
+    of[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(n))))
+    return Groups(part_of(n[new], parts), n[new], np.minimum.reduceat(d, new), np.maximum.reduceat(d, new), of)
 
 
 class Block:
@@ -124,27 +131,32 @@ class Block:
         return out
 
     def samples(self) -> tuple[np.ndarray, Groups]:
-        doc = np.repeat(np.arange(len(self.size)), self.size)
-        place = np.arange(len(doc)) - self.begin[doc]
-        at = np.flatnonzero(_IN_COVER[place % PERIOD] & (place + SAMPLE <= self.size[doc]) & (self.size[doc] >= LENGTH))
-        name = names(self.data, at, SAMPLE)
-        return at, grouped((name >> np.uint64(32)) % np.uint64(self.parts), name & np.uint64(0xFFFFFFFF), doc[at])
-
-    def suffixes(self) -> tuple[np.ndarray, np.ndarray, Groups]:
-        """Starts and documents of the suffixes that have a shared sample, and their names."""
+        """The places of the cover in texts that hold a suffix, as far as a sample fits, and their names."""
+        most = int(self.size.max(initial=0))
+        cover, none = np.resize(_IN_COVER, most), np.zeros(max(most, SAMPLE), dtype=bool)
+        count = np.append(0, np.cumsum(cover))
+        fits = np.where(self.size >= LENGTH, self.size - SAMPLE + 1, 0)
+        masks = [m for f, n in zip(fits.tolist(), self.size.tolist(), strict=True) for m in (cover[:f], none[:n - f])]
+        at = np.flatnonzero(np.concatenate(masks)) if masks else np.zeros(0, np.int64)
+        return at, grouped(names(self.data, at, SAMPLE), np.repeat(np.arange(len(fits)), count[fits]), self.parts)
+
+    def suffixes(self, rounds: int = 1, turn: int = 0) -> tuple[np.ndarray, np.ndarray, Groups]:
+        """Starts and documents of the suffixes that have a shared sample, and their names; of every ``rounds``-th bucket."""
         at, groups = self.samples()
-        shared = (self.said(_SAMPLE_BITS, groups) | (groups.first != groups.last))[groups.of] if len(at) else np.zeros(0, bool)
+        shared = (self.said(_SAMPLE_BITS, groups) | (groups.first != groups.last))[groups.of]
         at = at[shared]
-        doc = np.searchsorted(self.begin + self.size, at, side="right")
-        lo, hi = np.maximum(at - PERIOD + 1, self.begin[doc]), np.minimum(at, self.begin[doc] + self.size[doc] - LENGTH)
+        end = self.begin + self.size
+        doc = np.searchsorted(end, at, side="right")
+        lo, hi = np.maximum(at - PERIOD + 1, self.begin[doc]), np.minimum(at, end[doc] - LENGTH)
         some = lo <= hi
-        steps = np.zeros(len(self.data) + 1, dtype=np.int32)
-        np.add.at(steps, lo[some], 1)
-        np.add.at(steps, hi[some] + 1, -1)
-        start = np.flatnonzero(np.cumsum(steps) > 0)
-        doc = np.searchsorted(self.begin + self.size, start, side="right")
+        n = len(self.data) + 1
+        start = np.flatnonzero(np.cumsum(np.bincount(lo[some], minlength=n) - np.bincount(hi[some] + 1, minlength=n)) > 0)
         name = names(self.data, start, LENGTH)
-        return start, doc, grouped((_mixed(name) >> np.uint64(20)) % np.uint64(self.parts), name, doc)
+        if rounds > 1:
+            now = part_of(name, self.parts) % np.uint64(rounds) == turn
+            start, name = start[now], name[now]
+        doc = np.searchsorted(end, start, side="right")
+        return start, doc, grouped(name, doc, self.parts)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple[int, Block]]:
@@ -177,7 +189,7 @@ def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 
 def _sent(block: int, groups: Groups, kind: str, ids: np.ndarray | None) -> pa.RecordBatch:
     cuts = runs(groups.part)
-    data = [groups.name[a:b].astype(kind).tobytes() for a, b in cuts]
+    data = [groups.name[a:b].astype(kind).tobytes() for a, b in cuts]  # of samples the lower half of the name is sent
     own = [None if ids is None else ids[a:b].tobytes() for a, b in cuts]
     return pa.RecordBatch.from_arrays([pa.array([int(groups.part[a]) for a, _ in cuts], pa.int32()), pa.array([block] * len(cuts), pa.int32()), pa.array(data, pa.binary()), pa.array(own, pa.binary())],
                                       names=["part", "block", "names", "ids"])
@@ -203,7 +215,7 @@ def answer_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for part, rows in buckets(batches):
         sizes = [len(r[2]) // 4 for r in rows]
         name = np.frombuffer(b"".join(r[2] for r in rows), dtype="<u4")
-        order = np.argsort(name, kind="stable")
+        order = np.argsort(name)
         same = np.diff(name[order]) == 0
         bits = np.zeros(len(name), dtype=bool)
         bits[order] = np.append(same, False) | np.append(False, same) if len(name) else bits
@@ -213,9 +225,8 @@ def answer_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def send_suffixes(parts: int, rounds: int, turn: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in blocks(batches, parts):
-            groups = block.suffixes()[2]
-            now = groups.part % np.uint64(rounds) == turn
-            yield _sent(number, Groups(groups.part[now], groups.name[now], groups.first[now], groups.last[now], groups.of), "<u8", block.ids[groups.first[now]])
+            groups = block.suffixes(rounds, turn)[2]
+            yield _sent(number, groups, "<u8", block.ids[groups.first])
     return run
 
 
@@ -224,11 +235,11 @@ def answer_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for part, rows in buckets(batches):
         sizes = [len(r[2]) // 8 for r in rows]
         name, id_ = np.frombuffer(b"".join(r[2] for r in rows), dtype="<u8"), np.frombuffer(b"".join(r[3] for r in rows), dtype="<i8")
-        order = np.lexsort((id_, name))
-        new = np.append(True, name[order][1:] != name[order][:-1]) if len(name) else np.zeros(0, bool)
-        least = id_[order][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))] if len(name) else id_
-        bits = np.zeros(len(name), dtype=bool)
-        bits[order] = least < id_[order]
+        order = np.argsort(name)
+        n, d = name[order], id_[order]
+        new = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
+        bits = np.empty(len(name), dtype=bool)
+        bits[order] = np.repeat(np.minimum.reduceat(d, new), np.diff(np.append(new, len(n)))) < d
         yield _answered(part, rows, _SUFFIX_BITS, bits, sizes)
 
 
@@ -239,8 +250,8 @@ def cut(parts: int) -> Callable:
             start, doc, groups = block.suffixes()
             goes = (block.said(_SUFFIX_BITS, groups)[groups.of] | (doc > groups.first[groups.of])) if len(start) else np.zeros(0, bool)
             steps = np.zeros(len(block.data) + 1, dtype=np.int32)
-            np.add.at(steps, start[goes], 1)
-            np.add.at(steps, start[goes] + LENGTH, -1)
+            steps[start[goes]] += 1  # starts are distinct
+            steps[start[goes] + LENGTH] -= 1
             gone = np.cumsum(steps)[: len(block.data)] > 0
             out = {"id": [], "sha": [], "n_removed": [], "n_spans": [], "kept": [], "kept_sha256": []}
             for k, (a, n) in enumerate(zip(block.begin.tolist(), block.size.tolist(), strict=True)):
