@@ -27,7 +27,6 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="codeatlas-ckpt-", dir="/tmp"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -36,8 +35,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (local tests)
-    point it at a fresh scratch folder."""
+    """The checkpoint folder: what is set already, else the cluster's ``spark.checkpoint.dir``;
+    only when that is unset too (local tests), a fresh scratch folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
