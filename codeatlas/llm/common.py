@@ -3,12 +3,13 @@ tables in the cluster's shared folder, and ranks within groups that may be very
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeatlas.session import ensure_checkpoint_dir
+
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 RANK_CHUNK = 4096
@@ -25,12 +26,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under ``spark.checkpoint.dir``; only a local session may lack that setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        root = tempfile.mkdtemp(prefix="codeatlas-llm-", dir="/tmp")
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
 def save(df: DataFrame, path: str, compression: str = "zstd") -> None:
