@@ -21,6 +21,9 @@ LEX_SCHEMA = T.StructType([
     T.StructField("jsdocs", T.ArrayType(T.StructType([
         T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
         T.StructField("attach", T.IntegerType()), T.StructField("text", T.StringType())]))),
+    T.StructField("variables", T.ArrayType(T.StructType([
+        T.StructField("start", T.IntegerType()), T.StructField("line", T.IntegerType()), T.StructField("exported", T.BooleanType()),
+        T.StructField("pos", T.IntegerType()), T.StructField("text", T.StringType())]))),
 ])
 
 _ID = re.compile(r"[A-Za-z0-9_$]")
@@ -171,10 +174,59 @@ def lex(src: str):
     return masked, jsdocs
 
 
+_TOKEN = re.compile(r"[(){}\[\];\n]|\b(?:const|let|var)\b")
+_PREFIX = re.compile(r"(?:export\s+)?(?:declare\s+)?$")
+_GOES_ON = set(",=+-*/%&|^?:(<.!~")
+
+
+def variables(src: str | None, masked: str | None) -> list[dict]:
+    """Declarators of top-level ``const`` / ``let`` / ``var`` statements: the statement's offset, the
+    declarator's line, whether the keyword says export, its place in the statement, its text.
+
+    A statement ends at its semicolon, or at a line end after which nothing can go on."""
+    if not masked:
+        return []
+    out, depth, begin, body, edge = [], 0, None, 0, 0
+
+    def close(end: int) -> None:
+        at = body
+        for pos, part in enumerate(split_top_level_py(src[body:end])):
+            at = src.index(part, at)
+            out.append({"start": begin, "line": src.count("\n", 0, at) + 1, "exported": src.startswith("export", begin), "pos": pos, "text": part})
+            at += len(part)
+
+    for m in _TOKEN.finditer(masked):
+        t = m.group()
+        if t in "({[":
+            depth += 1
+        elif t in ")}]":
+            depth = max(0, depth - 1)
+            if depth == 0 and t == "}" and begin is None:
+                edge = m.end()
+        elif depth:
+            continue
+        elif t == ";" or t == "\n":
+            if begin is not None:
+                before, after = masked[body:m.start()].rstrip()[-1:], masked[m.end():m.end() + 400].lstrip()[:1]
+                if t == ";" or not (before in _GOES_ON or after and after in ",=+*/%&|^?:.)]}"):
+                    close(m.start())
+                    begin = None
+            if begin is None:
+                edge = m.end()
+        elif begin is None and not re.match(r"\s+enum\b", masked[m.end():m.end() + 20]):
+            lead = masked[edge:m.start()].lstrip()
+            if _PREFIX.fullmatch(lead):
+                begin, body = m.start() - len(lead), m.end()
+    if begin is not None:
+        close(len(masked))
+    return out
+
+
 @F.pandas_udf(LEX_SCHEMA)
 def ts_lex(content: pd.Series) -> pd.DataFrame:
     res = [lex(s) for s in content]
-    return pd.DataFrame({"masked": [r[0] for r in res], "jsdocs": [r[1] for r in res]})
+    return pd.DataFrame({"masked": [r[0] for r in res], "jsdocs": [r[1] for r in res],
+                         "variables": [variables(s, r[0]) for s, r in zip(content, res, strict=True)]})
 
 
 def split_top_level_py(text: str | None) -> list[str]:

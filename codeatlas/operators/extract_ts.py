@@ -12,8 +12,7 @@
    a running depth of function bodies and ``last(ignorenulls)`` per depth.
 
 Known differences from a full parser: declarations are recognised at statement
-starts, of variables those on the statement's first line; heritage clauses
-containing brackets are not seen; a function's return type is read up to the end of its line; import
+starts; heritage clauses containing brackets are not seen; a function's return type is read up to the end of its line; import
 resolution tests the scanned files only.
 """
 
@@ -39,11 +38,10 @@ TYPE_ARGS = r"(?:<[^<>(){};]*(?:<[^<>(){};]*>[^<>(){};]*)*>)?"
 IFACE_RE = rf"^(\s*)(export\s+)?(declare\s+)?interface\s+({ID})"
 TYPE_RE = rf"^(\s*)(export\s+)?(declare\s+)?type\s+({ID})\s*(<[^=]*>)?\s*="
 ENUM_RE = rf"^(\s*)(export\s+)?(declare\s+)?(const\s+)?enum\s+({ID})"
-VAR_RE = r"^(\s*)(export\s+)?(declare\s+)?(const|let|var)\s+(.*)$"
 
 
 def lexed(source_files: DataFrame) -> DataFrame:
-    """(project, path, content, masked, jsdocs).
+    """(project, path, content, masked, jsdocs, variables).
 
     Every rule below reads this table several times (brackets, lines, JSDoc,
     parameter text). A Python UDF inside a plan is not shared between branches, so
@@ -52,7 +50,7 @@ def lexed(source_files: DataFrame) -> DataFrame:
     costs no lexing."""
     ensure_checkpoint_dir(source_files.sparkSession)
     x = source_files.select(*FILE, "content", ts_lex(F.col("content")).alias("lx"))
-    return x.select(*FILE, "content", "lx.masked", "lx.jsdocs").checkpoint()
+    return x.select(*FILE, "content", "lx.masked", "lx.jsdocs", "lx.variables").checkpoint()
 
 
 def lines(lx: DataFrame) -> DataFrame:
@@ -209,14 +207,11 @@ def ts_elements(source_files: DataFrame) -> DataFrame:
         *FILE, F.lit(4).alias("kind"), ws(ENUM_RE).alias("stmt_off"), F.regexp_extract("line", ENUM_RE, 5).alias("name"),
         F.lit("enum").alias("type"), F.col("line_no").alias("line"), F.lit(None).cast("string").alias("signature"),
         (F.regexp_extract("line", ENUM_RE, 2) != "").alias("exported"))
-    decl_list = split_top_level(F.regexp_replace(F.regexp_extract("orig", VAR_RE, 5), r";\s*$", ""))
-    var = (ln.where(F.col("line").rlike(VAR_RE))
-           .select(*FILE, F.lit(5).alias("kind"), ws(VAR_RE).alias("stmt_off"), F.col("line_no").alias("line"),
-                   (F.regexp_extract("line", VAR_RE, 2) != "").alias("exported"),
-                   F.posexplode(decl_list).alias("dpos", "decl"))
-           .select(*FILE, "kind", "stmt_off", F.trim(F.regexp_extract("decl", r"^([^=:]+|\{[^}]*\}|\[[^\]]*\])", 1)).alias("name"),
-                   F.lit("variable").alias("type"), "line", F.lit(None).cast("string").alias("signature"), "exported",
-                   "dpos"))
+    var = lx.select(*FILE, F.explode("variables").alias("v")).select(
+        *FILE, F.lit(5).alias("kind"), F.col("v.start").alias("stmt_off"),
+        F.trim(F.regexp_replace(F.regexp_extract("v.text", r"(?s)^(\{.*?\}|\[.*?\]|[^=:]+)", 1), r"\s+", " ")).alias("name"),
+        F.lit("variable").alias("type"), F.col("v.line").alias("line"), F.lit(None).cast("string").alias("signature"), "v.exported",
+        F.col("v.pos").alias("dpos"))
     rows = [x.withColumn("dpos", F.lit(0)) for x in (fn_rows, cls, iface, typ, enum)] + [var]
     u = rows[0]
     for r in rows[1:]:

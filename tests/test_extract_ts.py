@@ -124,3 +124,11 @@ def test_edges_go_file_by_file(spark):
     src = source_files(spark, [("p", "b.ts", "import { x } from './c';\nf();\n"), ("p", "a.ts", "import { y } from './c';\ng();\n")])
     got = [(r.edge_ord, r.src_path, r.type) for r in xt.ts_edges(src).orderBy("edge_ord").collect()]
     assert got == [(1, "a.ts", "import"), (2, "a.ts", "call"), (3, "b.ts", "import"), (4, "b.ts", "call")]
+
+
+def test_several_declarators(spark):
+    src = source_files(spark, [("p", "a.ts", "const p = 1,\n  q = f(2, 3)\nconst a = 1; let b: Map<K, V> = x;\nexport const { m, n } = o, [u] = w;\n"
+                                             "for (const i of xs) { const inner = 1; }\nconst enum E { A }\nvar long =\n  1 +\n  2, last\nif (x) { y(); }\nlet z\n")])
+    got = [(r.name, r.line, r.exported) for r in xt.ts_elements(src).where("type = 'variable'").orderBy("elem_ord").collect()]
+    assert got == [("p", 1, False), ("q", 2, False), ("a", 3, False), ("b", 3, False), ("{ m, n }", 4, True), ("[u]", 4, True),
+                   ("long", 7, False), ("last", 9, False), ("z", 11, False)]
