@@ -139,7 +139,6 @@ def test_links_lose_no_pair(spark, shard):
     number = {int(x): k for k, x in enumerate(fp.view(np.int64))}
     got = links(spark.createDataFrame([(x,) for x in number], "fp long"), 2, shard).collect()
     near = np.triu(np.bitwise_count(fp[:, None] ^ fp[None]) <= 2, 1)
-    assert all(near[min(number[r.a], number[r.b]), max(number[r.a], number[r.b])] or True for r in got)
     assert _roots(len(fp), [(number[r.a], number[r.b]) for r in got]) == _roots(len(fp), zip(*np.nonzero(near), strict=True))
 
 
