@@ -5,19 +5,22 @@ scratch folder, read back, and each operator's formatted plan is printed: look f
 PushedFilters / ReadSchema on the scans, partial HashAggregate before exchanges, and
 WindowGroupLimit before the shuffle of every top-k.
 
-usage: python scripts/show_plans.py [sf_dir] > plans.txt
+usage: python scripts/show_plans.py [sf_dir] > PLANS.md
 """
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
+import re
 import sys
 import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from codeatlas.operators import docs as D  # noqa: E402
-from codeatlas.operators import graph, search  # noqa: E402
+from codeatlas.operators import card, graph, nodes, render, search  # noqa: E402
 from codeatlas.session import get_session  # noqa: E402
 from codeatlas.sources import corpus, tables  # noqa: E402
 
@@ -41,12 +44,19 @@ def main() -> None:
         "element_edges(limit=50)": graph.element_edges(edges, elements, 50),
         "doc_coverage": D.doc_coverage(elements, docs),
         "doc_search('thhe redd anat')": search.doc_search(docs, "thhe redd anat"),
+        "card": card.explain(files, elements, edges, docs, elements.select("project", "name")),
+        "dot_edges": render.render_dot(edges),
+        "arch_browse('widget')": nodes.arch_browse(files, elements, "widget"),
     }
+    print("# Plans of headline operators over stored tables\n\nPrinted by `scripts/show_plans.py`: initial plans (adaptive execution on), long lines cut.")
     for title, df in shows.items():
-        print("=" * 100)
-        print(title)
-        print("=" * 100)
-        df.explain("formatted")
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            df.explain()
+        lines = [re.sub(r"Location: \S+ ?\([^)]*\)\[[^\]]*\]|, \[plan_id=\d+\]|#\d+L?", "", x) for x in text.getvalue().strip().splitlines()]
+        print(f"\n## {title}\n\n```")
+        print("\n".join(x[:200] for x in lines))
+        print("```")
     spark.stop()
 
 
