@@ -109,6 +109,19 @@ def doc_show(docs: DataFrame, element: str) -> DataFrame:
     return docs.where(F.col("element") == F.lit(element))
 
 
+def doc_show_all(docs: DataFrame, stored: DataFrame, names: DataFrame) -> DataFrame:
+    """Documentation of a batch of names (J7): the index entry; else the markdown stored under the name in
+    any type folder (``stored``: project, md_path, markdown; the first path wins); else ``not_found``."""
+    n = names.select("project", "name").distinct()
+    first = docs.groupBy("project", F.col("element").alias("name")).agg(F.min_by(F.struct("type", "path", "content"), "doc_ord").alias("entry"))
+    n = n.withColumn("_file", F.regexp_replace(doc_file_path("name", F.lit("page")), "^[^/]*/", ""))
+    kept = stored.groupBy("project", F.regexp_replace("md_path", "^[^/]*/", "").alias("_file")).agg(F.min_by("markdown", "md_path").alias("markdown"))
+    j = n.join(first, ["project", "name"], "left").join(kept, ["project", "_file"], "left")
+    status = F.when(F.col("entry").isNotNull(), F.lit("entry")).when(F.col("markdown").isNotNull(), F.lit("markdown")).otherwise(F.lit("not_found"))
+    return j.select("project", F.col("name").alias("element"), status.alias("status"), F.col("entry.type").alias("type"), F.col("entry.path").alias("path"),
+                    F.when(F.col("entry").isNotNull(), F.col("entry.content")).otherwise(F.col("markdown")).alias("content"))
+
+
 def browse_docs(docs: DataFrame, text: str | None = None) -> DataFrame:
     """Case-insensitive substring over type, element and path (or the free-page label)."""
     if not text:

@@ -344,6 +344,21 @@ def q_doc_show(spark, sf):
     return d.select("project", "doc_ord", "element", "path", "type", "markdown", "md_path")
 
 
+@register("doc_show_all", with_views("v_docs", "v_elements") + """
+, idx AS (SELECT * FROM v_docs WHERE doc_ord % 3 <> 0),
+n AS (SELECT project, element AS name FROM v_docs UNION SELECT project, name FROM v_elements),
+first AS (SELECT project, element AS name, arg_min(type, doc_ord) AS type, arg_min(path, doc_ord) AS path, arg_min(content, doc_ord) AS content FROM idx GROUP BY 1, 2),
+kept AS (SELECT project, element AS name, arg_min('# ' || element || chr(10) || chr(10) || content || chr(10), """ + _DIR_SQL + """) AS md FROM v_docs GROUP BY 1, 2)
+SELECT n.project, n.name AS element, CASE WHEN f.name IS NOT NULL THEN 'entry' WHEN k.name IS NOT NULL THEN 'markdown' ELSE 'not_found' END AS status,
+       f.type, f.path, CASE WHEN f.name IS NOT NULL THEN f.content ELSE k.md END AS content
+FROM n LEFT JOIN first f ON f.project = n.project AND f.name = n.name LEFT JOIN kept k ON k.project = n.project AND k.name = n.name""")
+def q_doc_show_all(spark, sf):
+    docs = corpus.docs(spark, sf)
+    stored = docops.with_markdown(docs).select("project", "md_path", "markdown")
+    names = docs.select("project", F.col("element").alias("name")).unionByName(corpus.elements(spark, sf).select("project", "name"))
+    return docops.doc_show_all(docs.where("doc_ord % 3 <> 0"), stored, names)
+
+
 # ---------------------------------------------------------------- search
 def _search_sql(query: str, k: int = 25) -> str:
     S = lambda e: sql_score(query, e)
