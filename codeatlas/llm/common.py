@@ -13,7 +13,7 @@ from codeatlas.session import ensure_checkpoint_dir
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 RANK_CHUNK = 4096
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,14 +30,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame, path: str, compression: str = "zstd") -> None:
-    """Write ``df`` as Parquet. Spark deletes what the job shuffled as soon as the files are there."""
+    """Write ``df`` as Parquet. Spark deletes what the job shuffled as soon as the files are there, and hands
+    Python whole texts in batches of a few MB."""
     conf = df.sparkSession.conf
-    before = conf.get(SHUFFLE_CLEANUP, None)
-    conf.set(SHUFFLE_CLEANUP, "true")
+    before = {k: conf.get(k, None) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            conf.set(k, v)
         df.write.option("compression", compression).parquet(path)
     finally:
-        conf.unset(SHUFFLE_CLEANUP) if before is None else conf.set(SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:

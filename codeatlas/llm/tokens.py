@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 
 TOKENIZER = "word_bpe_49k.json"
 #: A worker remembers the ids of at most twice so many pieces.
-REMEMBERED = 300_000
-SLICE_BYTES = 4 << 20
+REMEMBERED = 200_000
+SLICE_BYTES = 2 << 20
 _BYTES = np.arange(256)
 ALNUM = np.isin(_BYTES, list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
 PUNCTUATION = (_BYTES > 32) & (_BYTES < 127) & ~ALNUM
@@ -114,13 +114,14 @@ class WordEncoder:
         # The normalizer lower-cases; doing so for A-Z beforehand changes nothing but an added token.
         lower = pc.if_else(pc.match_substring(seen, "<|"), seen, pc.ascii_lower(seen))
         blobs = self.ids_of(lower.to_pylist())
-        sizes = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 2
+        sizes = np.fromiter(map(len, blobs), dtype=np.int32, count=len(blobs)) // 2  # a slice has no 2**31 ids
         table = np.frombuffer(b"".join(blobs), dtype=np.uint16)
-        starts = np.cumsum(sizes) - sizes
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         per_piece = sizes[which]
-        ends = np.concatenate([[0], np.cumsum(per_piece)])
-        where = np.repeat(starts[which] - ends[:-1], per_piece) + np.arange(ends[-1])
-        return table[where], np.diff(ends[2 * (bounds - bounds[0])])
+        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(per_piece, dtype=np.int32)])
+        where = np.repeat(starts[which] - ends[:-1], per_piece)
+        where += np.arange(ends[-1], dtype=np.int32)
+        return table[where], np.diff(ends[2 * (bounds - bounds[0])]).astype(np.int64)
 
 
 def encoder(name: str = TOKENIZER) -> WordEncoder:
