@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 
 TOKENIZER = "word_bpe_49k.json"
 #: A worker remembers the ids of at most twice so many pieces.
-REMEMBERED = 200_000
-SLICE_BYTES = 2 << 20
+REMEMBERED = 300_000
+SLICE_BYTES = 8 << 20
 _BYTES = np.arange(256)
 ALNUM = np.isin(_BYTES, list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
 PUNCTUATION = (_BYTES > 32) & (_BYTES < 127) & ~ALNUM
