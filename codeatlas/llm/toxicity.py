@@ -4,9 +4,11 @@ Categories are predicted one after another by linear models on the words of a te
 probabilities that the earlier ones gave. While training, those probabilities are out-of-fold: a row's come from
 models that never saw it, so later models learn how far earlier ones can be trusted on new texts.
 
-The labels table marks toxic texts as a whole. The two finer categories that open the chain are labelled from it:
-a labelled toxic text that holds a word of the category's list belongs to it. The lists serve only to label
-training rows; the models see hashed words. The last category is the label itself.
+The labels table marks toxic texts as a whole. The two finer categories that open the chain are labelled from it,
+without word lists: in each language, the features most typical of its toxic training rows are dealt to the
+categories so that each covers about as many of these rows, and a toxic text with a feature of a category belongs to
+it. Features typical of all toxic training rows count in every language, so that languages with few labels are not
+left out. A toxic text without any typical feature is in neither. The last category is the label itself.
 
 A model's features are hashed words and word beginnings (4 to 7 bytes, so that forms of one stem meet): those
 whose presence differs most surely between classes (two-proportion z), at most ``MAX_WORDS``. Each gives two
@@ -36,8 +38,10 @@ from .quality_ranker import held_out, labelled_sample
 from .tokens import slices
 
 PER_CLASS = 3000
-#: Words that label the chain's first categories, from which its training labels are made.
-CATEGORIES = {"insult": ("idiot", "moron", "stupid", "clown", "loser"), "contempt": ("worthless", "pathetic", "scum", "trash", "disgusting")}
+#: The chain's first categories, made of the features typical of toxic training rows.
+CATEGORIES = ("typical_1", "typical_2")
+#: Typical features of a language at most.
+MAX_TYPICAL = 32
 HASHES = 1 << 20
 #: Words of which a worker remembers the features.
 MEMO = 300_000
@@ -105,31 +109,56 @@ def _probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
+def surest(present: list[np.ndarray], c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How surely each hash's presence differs between the classes of ``c`` (two-proportion z, positive in class 1), and how many rows have it."""
+    seen, n = np.bincount(np.concatenate(present), minlength=HASHES).astype(float), len(present)
+    inside = np.bincount(np.concatenate([p for p, on in zip(present, c, strict=True) if on]), minlength=HASHES)
+    a, b, share = inside / c.sum(), (seen - inside) / (n - c.sum()), seen / n
+    return (a - b) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / c.sum() + 1 / (n - c.sum()))), seen
+
+
 def select_words(present: list[np.ndarray], y: np.ndarray, most: int = MAX_WORDS) -> np.ndarray:
     """Hashes whose presence differs most surely between the classes of any category (columns of ``y``)."""
-    seen = np.bincount(np.concatenate(present), minlength=HASHES).astype(float)
-    best, n = np.zeros(HASHES), len(present)
+    best, seen = np.zeros(HASHES), np.zeros(HASHES)
     for c in y.T:
-        if 0 < c.sum() < n:
-            inside = np.bincount(np.concatenate([p for p, on in zip(present, c, strict=True) if on]), minlength=HASHES)
-            a, b, share = inside / c.sum(), (seen - inside) / (n - c.sum()), seen / n
-            best = np.maximum(best, np.abs(a - b) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / c.sum() + 1 / (n - c.sum()))))
+        if 0 < c.sum() < len(present):
+            z, seen = surest(present, c)
+            best = np.maximum(best, np.abs(z))
     best[seen < 3] = 0
     chosen = np.argsort(-best, kind="stable")[:most]
     return np.sort(chosen[best[chosen] >= 5])
 
 
+def typical_groups(present: list[np.ndarray], langs: list, toxic: np.ndarray, n_groups: int) -> np.ndarray:
+    """Which rows (by n_groups) are toxic and hold a feature of a group, groups being made per language and once over all."""
+    out = np.zeros((len(present), n_groups), dtype=bool)
+    of = {lang: np.array([k for k, x in enumerate(langs) if x == lang]) for lang in set(langs)}
+    for rows in [*of.values(), *([np.arange(len(langs))] if len(of) > 1 else [])]:
+        c = toxic[rows]
+        if not 0 < c.sum() < len(rows):
+            continue
+        z, seen = surest([present[k] for k in rows], c)
+        z[seen < 3] = 0
+        chosen = np.argsort(-z, kind="stable")[:MAX_TYPICAL]
+        chosen = chosen[z[chosen] >= 5]
+        own, covered = rows[c == 1], np.zeros((int(c.sum()), n_groups), dtype=bool)
+        for has in np.array([np.isin(chosen, present[k]) for k in own]).T:
+            covered[:, covered.sum(axis=0).argmin()] |= has
+        out[own] |= covered
+    return out
+
+
 def inputs(counts: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     """Presence and rate (on a log scale) of each feature in each text."""
     return np.hstack([counts > 0, np.log1p(200 * counts / np.maximum(n_words, 1)[:, None])]).astype(float)
 
 
-def fit_chain(rows: list, n_lists: int) -> dict:
-    """{"words": hashes, "chain": weights per category} from (doc_id, hashes, counts, n_words, in_list, y) rows."""
+def fit_chain(rows: list, n_groups: int) -> dict:
+    """{"words": hashes, "chain": weights per category} from (doc_id, hashes, counts, n_words, lang, y) rows."""
     rows = sorted(rows, key=lambda r: r["doc_id"])
     present = [np.frombuffer(r["hashes"], dtype=np.int32) for r in rows]
     toxic = np.array([r["y"] for r in rows], dtype=float)
-    y = np.stack([*(np.array([r["in_list"][k] for r in rows], dtype=float) * toxic for k in range(n_lists)), toxic], axis=1)
+    y = np.column_stack([typical_groups(present, [r["lang"] for r in rows], toxic, n_groups), toxic]).astype(float)
     words = select_words(present, y) if rows else np.zeros(0, np.int64)
     counts = np.zeros((len(rows), len(words)))
     for k, (p, r) in enumerate(zip(present, rows, strict=True)):
@@ -150,33 +179,27 @@ def fit_chain(rows: list, n_lists: int) -> dict:
     return {"words": words, "chain": chain}
 
 
-def sampled_features(lists: list[set[bytes]]):
-    """For training rows: the different features of a text with their counts, and which lists its words meet."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = {"hashes": [], "counts": [], "n_words": [], "in_list": []}
-            for t in batch.column("text"):
-                words = Counter(_WORD.findall((t.as_py() or "").encode().lower()))
-                got = [(h, n) for w, n in words.items() for h in _hashes(w)]
-                hashes, which = np.unique(np.array([h for h, _ in got], dtype=np.int32), return_inverse=True)
-                counts = np.bincount(which, [n for _, n in got], len(hashes)).astype(np.int32)
-                for k, v in zip(out, (hashes.tobytes(), counts.tobytes(), sum(words.values()), [not s.isdisjoint(words) for s in lists]), strict=True):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(out["hashes"], pa.binary()), pa.array(out["counts"], pa.binary()), pa.array(out["n_words"], pa.int64()),
-                 pa.array(out["in_list"], pa.list_(pa.bool_())), batch.column("y")], names=["doc_id", *out, "y"])
-
-    return rows
+def sampled_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For training rows: the different features of a text with their counts."""
+    for batch in batches:
+        out = {"hashes": [], "counts": [], "n_words": []}
+        for t in batch.column("text"):
+            words = Counter(_WORD.findall((t.as_py() or "").encode().lower()))
+            got = [(h, n) for w, n in words.items() for h in _hashes(w)]
+            hashes, which = np.unique(np.array([h for h, _ in got], dtype=np.int32), return_inverse=True)
+            counts = np.bincount(which, [n for _, n in got], len(hashes)).astype(np.int32)
+            for k, v in zip(out, (hashes.tobytes(), counts.tobytes(), sum(words.values())), strict=True):
+                out[k].append(v)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(out["hashes"], pa.binary()), pa.array(out["counts"], pa.binary()), pa.array(out["n_words"], pa.int64()),
+             batch.column("lang"), batch.column("y")], names=["doc_id", *out, "lang", "y"])
 
 
-def classify_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", categories: dict[str, tuple[str, ...]] | None = None, per_class: int = PER_CLASS) -> DataFrame:
+def classify_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", categories: tuple[str, ...] = CATEGORIES, per_class: int = PER_CLASS) -> DataFrame:
     """One row per document: doc_id, held_out, p_<category>..., score (of ``label``), predicted int, is_toxic boolean."""
-    categories = CATEGORIES if categories is None else categories
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = labelled_sample(docs, labels, label, per_class).mapInArrow(
-        sampled_features([{w.encode() for w in ws} for ws in categories.values()]),
-        f"doc_id {kind}, hashes binary, counts binary, n_words long, in_list array<boolean>, y int")
+    sample = labelled_sample(docs, labels, label, per_class, ("lang",)).mapInArrow(
+        sampled_features, f"doc_id {kind}, hashes binary, counts binary, n_words long, lang string, y int")
     model = fit_chain(sample.collect(), len(categories))  # at most 2 * per_class rows
     words, chain, names = model["words"], model["chain"], [f"p_{c}" for c in categories] + ["score"]
 

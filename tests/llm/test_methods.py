@@ -260,3 +260,41 @@ def test_held_out_accuracy(spark, query, label):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r, _ in rows)
     tested = [(r.predicted, y) for r, y in rows if r.held_out]
     assert sum(p == y for p, y in tested) / len(tested) > 0.93
+
+
+def test_toxicity_categories_reach_every_language():
+    from codeatlas.llm.toxicity import typical_groups
+
+    rng = np.random.default_rng(5)
+    present, langs, toxic = [], [], []
+    for k in range(800):
+        lang, bad = ("en", "de", "fr", "es")[k % 4], k % 20 < 4
+        marks = {"en": [1, 2, 3], "de": [11, 12], "fr": [21, 22], "es": [31, 32]}[lang] if bad else []
+        present.append(np.unique(np.append(rng.integers(100, 400, 30), marks)).astype(np.int32))
+        langs.append(lang)
+        toxic.append(float(bad))
+    toxic, langs = np.array(toxic), np.array(langs)
+    got = typical_groups(present, list(langs), toxic, 2)
+    assert not got[toxic == 0].any()
+    for lang in set(langs.tolist()):
+        assert got[(langs == lang) & (toxic == 1)].all()
+    assert typical_groups([], [], np.zeros(0), 2).shape == (0, 2)
+
+
+def test_toxicity_labels_toxic_rows_of_every_language(spark, monkeypatch):
+    from codeatlas.llm import toxicity
+    from codeatlas.llm.common import labels
+
+    sf, seen = "/root/testdata/sf0.1", {}
+    whole = toxicity.typical_groups
+
+    def watched(present, langs, toxic, n_groups):
+        seen["langs"], seen["toxic"], seen["got"] = np.array(langs), toxic, whole(present, langs, toxic, n_groups)
+        return seen["got"]
+
+    monkeypatch.setattr(toxicity, "typical_groups", watched)
+    toxicity.classify_toxic(documents(spark, sf), labels(spark, sf))
+    for lang in ("en", "de", "fr", "es"):
+        rows = seen["got"][(seen["langs"] == lang) & (seen["toxic"] == 1)]
+        print(lang, len(rows), rows.sum(axis=0), rows.any(axis=1).sum())
+        assert (rows.mean(axis=0) > 0.5).all()
