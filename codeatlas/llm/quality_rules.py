@@ -11,6 +11,13 @@ the interquartile range plus a fixed slack (and, for word length, the same below
 Quartiles of a group move with its typical documents and not with its outliers, so clean documents of an
 unusual source stay.
 
+With more than a quarter of junk the third quartile lies in the junk, so a fence stops at the larger of two bounds:
+one from the group's first quartile and first decile alone, which less than three quarters of junk above don't move
+(``TAIL`` of their distances are the same reach in a normal distribution), and one from all documents, the smaller of
+their own fence and that from the lower half of their values. The fence below word length is bounded likewise from
+above. So a source with up to three quarters of junk loses it, as long as less than half of all documents,
+unusual clean ones included, stand out in that statistic.
+
 Pass 1 builds the sketches (counts are combined before the shuffle) and writes the thresholds, one row per
 (lang, source). Pass 2 joins them to the documents: Spark broadcasts that table if its size on disk is below
 the broadcast limit, and else splits skewed keys of a shuffled join.
@@ -34,6 +41,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_GROUP = 100
 REACH = 4
+#: Distances between first decile and first quartile from there to the fence; half of quartile ranges from the median to it.
+TAIL, HALF = 12, 9
 #: statistic -> (slack, fence below too); in thousandths, word length in hundredths of a character.
 STATISTICS = {"word_length": (100, True), "symbol_share": (50, False), "dup_line_share": (400, False),
               "repeat_share": (300, False), "capital_share": (100, False)}
@@ -100,14 +109,17 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     group = ["level", "lang", "source", "statistic"]
     up_to = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = sketch.withColumns({"upto": F.sum("n").over(up_to), "total": F.sum("n").over(Window.partitionBy(*group))})
-    quartile = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("bucket")))
-    fences = ranked.groupBy(*group).agg(F.max("total").alias("total"), quartile(1).alias("q1"), quartile(3).alias("q3"))
+    at = lambda part: F.min(F.when(100 * F.col("upto") >= part * F.col("total"), F.col("bucket")))
+    fences = ranked.groupBy(*group).agg(F.max("total").alias("total"), *[at(part).alias(k) for k, part in (("p10", 10), ("q1", 25), ("q2", 50), ("q3", 75), ("p90", 90))])
     slack = F.element_at(F.create_map(*[F.lit(x) for s, (v, _) in STATISTICS.items() for x in (s, v)]), F.col("statistic"))
-    fences = fences.withColumns({"lo": F.col("q1") - REACH * (F.col("q3") - F.col("q1")) - slack, "hi": F.col("q3") + REACH * (F.col("q3") - F.col("q1")) + slack})
+    p10, q1, q2, q3, p90 = map(F.col, ("p10", "q1", "q2", "q3", "p90"))
+    lo, hi = q1 - REACH * (q3 - q1), q3 + REACH * (q3 - q1)
+    fences = fences.withColumns({"lo": lo - slack, "hi": hi + slack, "own_lo": q3 - TAIL * (p90 - q3) - slack, "own_hi": q1 + TAIL * (q1 - p10) + slack,
+                                 "half_lo": F.greatest(lo, q2 - HALF * (q3 - q2)) - slack, "half_hi": F.least(hi, q2 + HALF * (q2 - q1)) + slack})
+    kinds = [f"{k}{side}" for k in ("", "own_", "half_") for side in ("lo", "hi")]
     wide = fences.groupBy("level", "lang", "source").agg(
-        F.max("total").alias("total"), *[F.max(F.when(F.col("statistic") == s, F.col(k))).alias(f"{k}_{s}") for s in STATISTICS for k in ("lo", "hi")])
-    wide = wide.select("level", F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "total",
-                       F.struct(*[f"{k}_{s}" for s in STATISTICS for k in ("lo", "hi")]).alias("fence"))
+        F.max("total").alias("total"), *[F.max(F.when(F.col("statistic") == s, F.col(k))).alias(f"{k}_{s}") for s in STATISTICS for k in kinds])
+    wide = wide.select("level", F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "total", F.struct(*[f"{k}_{s}" for s in STATISTICS for k in kinds]).alias("fence"))
     # Each group asks for its own fence, its lang's and that over all, and takes the nearest that has enough documents.
     nothing = F.lit(None).cast("string")
     ask = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), (F.col("of_lang") if i else nothing).alias("a_lang"),
@@ -115,7 +127,11 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     asked = wide.where("level = 2").select(F.col("of_lang").alias("__lang"), F.col("of_source").alias("__source"), ask.alias("q")).select("__lang", "__source", "q.*")
     met = asked.join(wide, (F.col("at") == F.col("level")) & F.col("a_lang").eqNullSafe(F.col("of_lang")) & F.col("a_source").eqNullSafe(F.col("of_source")))
     met = met.where((F.col("total") >= MIN_GROUP) | (F.col("level") == 0))
-    return met.groupBy("__lang", "__source").agg(F.max_by("fence", "level").alias("__fence"))
+    met = met.groupBy("__lang", "__source").agg(F.max_by("fence", "level").alias("near"), F.min_by("fence", "level").alias("all"))
+    bounded = [x for s in STATISTICS for x in (
+        F.greatest(f"near.lo_{s}", F.least(f"near.own_lo_{s}", f"all.half_lo_{s}")).alias(f"lo_{s}"),
+        F.least(f"near.hi_{s}", F.greatest(f"near.own_hi_{s}", f"all.half_hi_{s}")).alias(f"hi_{s}"))]
+    return met.select("__lang", "__source", F.struct(*bounded).alias("__fence"))
 
 
 def judge(measured: DataFrame, table: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:

@@ -78,6 +78,33 @@ def test_quality_rules_many_repeats(spark):
         assert got[k] == len({j for i in range(len(w) - 2) if seen[w[i], w[i + 1], w[i + 2]] > 1 for j in (i, i + 1, i + 2)}), k
 
 
+@pytest.mark.parametrize("share", [30, 60])
+@pytest.mark.parametrize("kind", ["symbols", "capitals", "repeats", "lines"])
+def test_quality_rules_of_a_junk_heavy_source(spark, kind, share):
+    """A source with a third of all rows, mostly junk, loses it; an unusual clean source and the others stay."""
+    def text(k, junk, marks=0):
+        w = [f"word{k % 97}x{j} other{j * 7 % 1000 + k % 13}" for j in range(45)]
+        if junk == "symbols":
+            w = [f"{x} {'#$%|' * 2}" for x in w]
+        elif junk == "capitals":
+            w = [x.upper() for x in w]
+        elif junk == "repeats":
+            w += ["the same three words"] * 20
+        elif junk == "lines":
+            return "\n".join(w[:15] + ["again"] * 17 + [" ".join(w[15:])])
+        return " ".join(w) + " #" * marks
+
+    rows = []
+    for k in range(400):
+        rows.append((k, text(k, kind if k % 100 < share else None), "en", "hot", "junk" if k % 100 < share else "clean"))
+        rows.append((1000 + k, text(k, None), "en", f"s{k % 2}", "clean"))
+        rows.append((2000 + k, text(k, None, 20 + k % 30), "en", "unusual", "clean") if k % 2 else (2000 + k, text(k, None), "en", "s2", "clean"))
+    df = spark.createDataFrame([(i, t, la, so) for i, t, la, so, _ in rows], "doc_id long, text string, lang string, source string")
+    got, what = {r.doc_id: r for r in quality_report(df).collect()}, {r[0]: r[4] for r in rows}
+    assert all(got[i].kept for i in what if what[i] == "clean")
+    assert not any(got[i].kept for i in what if what[i] == "junk")
+
+
 def test_exact_dedup(docs, none):
     got = [r.asDict() for r in exact_dedup(docs).collect()]
     assert len(got) == len(ROWS)
