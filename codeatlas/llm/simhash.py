@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_or_empty, written
 from .components import components
 
 WORDS = 3
@@ -58,9 +58,10 @@ def _majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, ``carried``): the fingerprint as a signed long."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -92,9 +93,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
                 if held > 1 << 18:
                     flush()
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(doc_id), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(doc_id), pa.array(out.view(np.int64)), *map(batch.column, carried)], names=["doc_id", "fp", *carried])
 
-    return docs.select(doc_id, text).mapInArrow(compute, f"doc_id {kind}, fp long")
+    return docs.select(doc_id, text, *carried).mapInArrow(compute, f"doc_id {kind}, fp long{more}")
 
 
 class Forest:
@@ -208,22 +209,36 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
     return dealt.mapInArrow(search, "a long, b long")
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One row per document: doc_id, fingerprint, component_id (the smallest doc_id reachable over links)."""
-    prints = written(fingerprints(docs, doc_id, text, words))
+def _grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, component_id): the group of each fingerprint, named by one of them and by the smallest doc_id."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct, radius)) if radius else None
     if roots is None:
-        groups = distinct.select("fp", F.col("least").alias("component_id"))
-    else:
-        linked = written(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-        least = written(linked.groupBy("root").agg(F.min("least").alias("component_id")))
-        groups = written(linked.join(least, "root").select("fp", "component_id"))
-    found = prints.join(groups, "fp")
+        return distinct.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    linked = written(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = written(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    return written(linked.join(least, "root").select("fp", "root", "component_id"))
+
+
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """One row per document: doc_id, fingerprint, component_id (the smallest doc_id reachable over links)."""
+    prints = written(fingerprints(docs, doc_id, text, words))
+    found = prints.join(_grouped(prints, radius), "fp")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The documents of ``docs`` that are the first (by doc_id) of their group; the columns of ``docs``."""
-    first = near_groups(docs, doc_id, text, words, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first"))
-    return docs.join(first, docs[doc_id].eqNullSafe(F.col("__first")), "left_semi")
+    """One document of each group, with the columns of ``docs``: that of the smallest doc_id, null ids last; of several
+    rows with that id, the one whose text has the smallest SHA-256; of rows equal in both, any one."""
+    sha = F.sha2(text_or_empty(text).cast("binary"), 256)
+    prints = written(fingerprints(docs.withColumn("__sha", sha), doc_id, text, words, ("__sha",)))
+    # Combined before the shuffles, so a group of any size, or a row that repeats, fills no task.
+    rows = prints.groupBy("fp", "doc_id", "__sha").agg(F.count(F.lit(1)).alias("n")).join(_grouped(prints, radius).select("fp", "root"), "fp")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "__sha")
+    first = written(rows.groupBy("root").agg(F.min_by(F.struct(F.col("doc_id").alias("__first"), F.col("__sha").alias("__its_sha"), F.col("n").alias("__n")), place).alias("x")).select("x.*"))
+    same = F.col(doc_id).eqNullSafe(F.col("__first")) & (F.col("__sha") == F.col("__its_sha"))
+    kept = lambda some: docs.withColumn("__sha", sha).join(first.where(some), same, "left_semi")
+    single = kept(F.col("__n") == 1)
+    if not first.where("__n > 1").isEmpty():
+        single = single.unionByName(kept(F.col("__n") > 1).dropDuplicates([doc_id, "__sha"]))
+    return single.select(*docs.columns)

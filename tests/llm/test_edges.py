@@ -200,6 +200,22 @@ def test_simhash(docs, none):
     assert near_groups(none).count() == keep_first(none).count() == 0
 
 
+def test_keep_first_leaves_one_of_each_group(spark):
+    def text(k, end=""):
+        return " ".join(f"g{k}w{j}x{j * k % 13}" for j in range(200)) + end
+
+    rows = [(None, text(1)), (None, text(1).upper()), (None, text(1)),                 # null ids alone, one row twice
+            (None, text(2)), (5, text(2).upper()),                                     # a null id and another
+            (7, text(3)), (7, text(3).upper()), (8, text(3).replace(" ", "  ")),       # an id with two texts of a group
+            (9, text(4)), (9, text(5)), (6, text(5).upper()), (10, None), (None, "")]  # an id in two groups
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for radius in (0, 2):
+        kept = [(r.doc_id, r.text) for r in keep_first(df, radius=radius).collect()]
+        assert sorted(str(t or "").lower().split()[:1] for _, t in kept) == [[], *([f"g{k}w0x0"] for k in (1, 2, 3, 4, 5))]
+        assert Counter(k for k, _ in kept) == Counter([None, 5, 7, 9, 6, 10])
+        assert min((t for k, t in rows if k == 7), key=lambda t: hashlib.sha256(t.encode()).hexdigest()) in [t for k, t in kept if k == 7]
+
+
 def test_token_files(docs, none):
     got = sorted(round_trip(docs).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((r[0] for r in ROWS), key=lambda i: (i is not None, i))
