@@ -81,3 +81,55 @@ FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id
 """
 
 ORACLE = {"op1_quality_rules": QUALITY, "op3_mix_sources": MIX, "op7_exact_dedup": EXACT_DEDUP, "op10_suffix_dedup": SUFFIX_DEDUP}
+
+# -- centroid clustering: rounds are unrolled ------------------------------------------------------------------------
+_ROUND = """
+a{k} AS MATERIALIZED (SELECT vec_id, x, c, d FROM (SELECT v.vec_id, v.x, c.c, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d,
+    row_number() OVER (PARTITION BY v.vec_id ORDER BY d, c.c) AS place FROM v CROSS JOIN c{k} c) WHERE place = 1),
+c{n} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS x FROM (
+    SELECT c, j, sum(x[j])::BIGINT AS s, count(*)::BIGINT AS n FROM a{k}, range(1, 65) AS r(j) GROUP BY c, j) GROUP BY c) m ON c.c = m.c)"""
+CENTROIDS = """
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e::DOUBLE))) = 64),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1)::INTEGER AS c, x FROM v ORDER BY sha256('3:' || vec_id) LIMIT 8),""" + ",".join(
+    _ROUND.format(k=k, n=k + 1) for k in range(11)) + """
+SELECT a.vec_id, a.c AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+    sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a10 a JOIN c10 c ON a.c = c.c
+"""
+
+_ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+DECONTAMINATION = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, w, least(10, len(w)) AS t FROM (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+iw AS MATERIALIZED (SELECT DISTINCT item, t, array_to_string(w[k:k + t - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - t + 2)) AS k FROM i)),
+word AS MATERIALIZED (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d),
+dw AS (SELECT doc_id, k, t, string_agg(x, ' ') OVER (PARTITION BY doc_id, t ORDER BY k ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ten FROM word, (SELECT DISTINCT t FROM iw)),
+found AS MATERIALIZED (SELECT dw.doc_id, dw.k, dw.t, iw.item FROM dw JOIN iw ON dw.t = iw.t AND array_to_string(string_split(dw.ten, ' ')[1:dw.t], ' ') = iw.g),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + t)) AS p FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id),
+run AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM (SELECT DISTINCT doc_id, unnest(range(k, k + t)) AS p FROM found)) WHERE q IS NULL OR p > q + 1 GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+    coalesce(hit.n, 0) > 0 AS contaminated, coalesce(run.n, 0)::BIGINT AS n_spans
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id LEFT JOIN run ON d.doc_id = run.doc_id
+"""
+
+_ORDERS = "SELECT " + " || ".join(f"s{k}.f" for k in range(5)) + " AS o FROM " + ", ".join(f"f AS s{k}" for k in range(5)) + " WHERE " + " AND ".join(
+    f"s{j}.f <> s{k}.f" for k in range(5) for j in range(k))
+FILTER_AUDIT = rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+failed AS (SELECT part, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]+', '', 'g')) > 5 * length(x) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY x) THEN 'E' ELSE '' END AS fails,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = t.doc_id AND quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = t.doc_id AND toxic = 1) AS toxic FROM t),
+n AS MATERIALIZED (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY part, fails),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f), orders AS ({_ORDERS}),
+steps AS (SELECT part, fails, n, good, toxic, o, step, o[step] AS f, contains(fails, o[step]) AS fails_it,
+    EXISTS (SELECT 1 FROM f WHERE contains(fails, f.f) AND contains(o[1:step - 1], f.f)) AS before FROM n, orders, range(1, 6) AS r(step)),
+counted AS (SELECT part, o AS filter_order, step::INTEGER AS step, f AS filter, coalesce(sum(n) FILTER (NOT fails_it AND NOT before), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (fails_it AND NOT before), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails_it AND before), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (fails_it AND NOT before), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (fails_it AND NOT before), 0)::BIGINT AS toxic_lost FROM steps GROUP BY part, o, step, f)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM counted
+"""
+
+ORACLE |= {"op11_centroid_clusters": CENTROIDS, "op12_benchmark_decontamination": DECONTAMINATION, "op13_filter_audit": FILTER_AUDIT}

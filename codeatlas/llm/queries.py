@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from .common import documents, labels
+from .centroids import cluster_report
+from .common import benchmark, documents, embeddings, labels
+from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .filter_audit import audit
 from .licenses import scan
 from .mixing import mixed_counts
 from .oracle import ORACLE
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_simhash_dedup": lambda spark, d: near_groups(documents(spark, d)),
     "op9_token_files": lambda spark, d: round_trip(documents(spark, d)),
     "op10_suffix_dedup": lambda spark, d: suffix_dedup(documents(spark, d)),
+    "op11_centroid_clusters": lambda spark, d: cluster_report(embeddings(spark, d)),
+    "op12_benchmark_decontamination": lambda spark, d: contamination(documents(spark, d), benchmark(spark, d)),
+    "op13_filter_audit": lambda spark, d: audit(documents(spark, d), labels(spark, d)),
 }
 
 __all__ = ["ORACLE", "QUERIES"]
