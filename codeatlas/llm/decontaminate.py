@@ -18,7 +18,7 @@ which keeps every run up to ``length`` words. Their matches are merged per docum
 Defined results: null and empty texts have no words and no matches; an item without words is in no document; a null
 item id is listed as the empty string; items that repeat an id count once, by the texts of all its rows; rows that
 repeat a doc_id are documents of their own; without items nothing matches; empty input gives no rows; other columns
-are not carried and unchanged by ````matches`` with text
+are not carried.
 """
 
 from __future__ import annotations
