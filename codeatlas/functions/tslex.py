@@ -1,260 +1,358 @@
-"""Small per-file lexer helpers for TS/JS text, run as Arrow-batched pandas UDFs.
-
-``ts_lex`` returns the *masked* text -- same length, newlines kept -- in which
-comments become spaces and the inside of string, template and regex literals
-becomes ``_`` (template ``${...}`` code and module specifiers after ``from`` /
-``import`` / ``require(`` stay as written), plus the JSDoc blocks with the offset
-of the code they attach to. Everything structural (brace depth, matching,
-declarations, calls) is then computed by Spark expressions on the masked text.
+"""Lexer helper for TS/JS text, run per Arrow batch: statements and calls as tokens, in one pass over a text.
+
+``scan`` keeps a stack of open brackets (type arguments count as brackets where a type can stand) and returns
+
+* the statements that declare, import or export, each as written (``raw``) and as a ``skeleton`` of the same
+  length, in which comments are blank and whatever lies inside nested brackets, strings and literals is ``FILL``.
+  A skeleton has the shape of the statement's head and nothing else, so rules over it are plain patterns;
+* the called names with the name of the function declaration around them.
+
+What the statements declare is decided by Spark expressions over the skeletons (``operators/extract_ts.py``).
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+FILL = "\x01"
+SCAN_SCHEMA = ("project string, path string, statements array<struct<kind:string,start:int,line:int,raw:string,skeleton:string,doc:string,top:boolean>>, "
+               "calls array<struct<callee:string,caller:string>>")
 
-LEX_SCHEMA = T.StructType([
-    T.StructField("masked", T.StringType()),
-    T.StructField("jsdocs", T.ArrayType(T.StructType([
-        T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
-        T.StructField("attach", T.IntegerType()), T.StructField("text", T.StringType())]))),
-    T.StructField("variables", T.ArrayType(T.StructType([
-        T.StructField("start", T.IntegerType()), T.StructField("line", T.IntegerType()), T.StructField("exported", T.BooleanType()),
-        T.StructField("pos", T.IntegerType()), T.StructField("text", T.StringType())]))),
-])
+_LEX = re.compile(r"(?P<space>\s+)|(?P<comment>//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/)?)|(?P<string>'(?:\\.|[^'\\\n])*'?|\"(?:\\.|[^\"\\\n])*\"?)"
+                  r"|(?P<word>[\w$¡-\U0010ffff]+)|(?P<op>=>|\?\.(?!\d)|\.\.\.|&&|\|\||\?\?|\+\+|--|.)", re.S)
+_TEMPLATE = re.compile(r"(?:\\.|[^`\\$]|\$(?!\{))*(`|\$\{)?", re.S)
+_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[\w$]*")
+_ATOM = r"(?:(?!&&|\|\|)[^<>(){};=]|=>|\{[^{}]*\}|\([^()]*\)|%s)*"
+_TYPE_ARGS = re.compile(rf"<{_ATOM % (rf'<{_ATOM % rf"<{_ATOM % r'<>'}>"}>')}>(?=\s*(?:\?\.)?\()")
+_ARROW = re.compile(r"\s*(?::[^;{}]*?)?=>")
+_CALLEE = re.compile(r"[a-zA-Z_][\w.]*", re.A)
 
-_ID = re.compile(r"[A-Za-z0-9_$]")
-_REGEX_PREV_WORDS = {"return", "typeof", "instanceof", "in", "of", "new", "delete", "void", "throw", "case", "do", "else", "yield", "await"}
-_SPEC_PREV = re.compile(r"(?:\bfrom|\bimport|\brequire\s*\()\s*$")
+# Words of the language.
+_NOT_CALLED = {"if", "for", "while", "switch", "catch", "with", "function", "return", "typeof", "void", "delete", "await", "yield", "in", "of",
+               "instanceof", "new", "do", "else", "case", "throw", "extends", "implements", "as", "is", "keyof", "infer", "class", "const", "let",
+               "var", "export", "default", "satisfies"}
+_MODIFIERS = {"export", "default", "declare", "async", "abstract"}
+_MEMBER_MODIFIERS = {"public", "private", "protected", "static", "readonly", "abstract", "async", "get", "set", "declare", "override", "accessor"}
+_DECLARING = {"function": "function", "class": "class", "interface": "interface", "type": "type", "enum": "enum", "const": "variable",
+              "let": "variable", "var": "variable", "import": "import"}
+_REGEX_AFTER = {"return", "typeof", "instanceof", "in", "of", "new", "delete", "void", "throw", "case", "do", "else", "yield", "await"}
+_GOES_ON_AFTER = set(",=+-*/%&|^?:(<.!~{[") | {"=>", "&&", "||", "??", "?.", "..."} | _NOT_CALLED - {"void", "return", "function", "class"} | {"type", "interface", "enum", "import", "from"}
+_GOES_ON_WITH = set(",=+-*/%&|^?:.)]}>(<[`") | {"=>", "&&", "||", "??", "?."} | {"in", "of", "instanceof", "as", "satisfies", "extends", "implements", "from"}
+_OBJECT_AFTER = set("=(,:[?|&<+!~^*%") | {"??", "||", "&&", "...", "return", "in", "of", "typeof", "await", "yield", "default", "throw", "new", "extends", "is", "case", "keyof"}
+_CLOSES = {")": "(", "]": "[", "}": "{", ">": "<"}
 
 
-def _jsdoc_text(raw: str) -> str | None:
+def _doc(raw: str) -> str | None:
     """Description of a ``/** ... */`` block: gutters stripped, cut at the first tag line."""
-    body = raw[3:-2]
     lines = []
-    for ln in body.split("\n"):
-        s = re.sub(r"^\s*\*? ?", "", ln.rstrip())
-        if re.match(r"^\s*@\w", s):
+    for line in raw[3:-2].split("\n"):
+        text = re.sub(r"^\s*\*? ?", "", line.rstrip())
+        if re.match(r"^\s*@\w", text):
             break
-        lines.append(s)
-    text = "\n".join(lines).strip()
-    return text or None
-
-
-def lex(src: str):
-    """(masked, jsdocs) for one file."""
-    if src is None:
-        return None, []
-    out = list(src)
-    n = len(src)
-    docs = []
-    i = 0
-    prev_sig = ""      # last significant char outside literals
-    prev_word = ""     # last identifier-like word
-    brace_stack = []   # for template ${ } nesting: True when the brace opened a template expression
-
-    def blank(a, b, fill):
-        for k in range(a, b):
-            if out[k] != "\n":
-                out[k] = fill
-
-    def scan_string(k, q):
-        k += 1
-        while k < n and src[k] != q:
-            if src[k] == "\\":
-                k += 1
-            elif src[k] == "\n":
-                break
-            k += 1
-        return min(k + 1, n)
-
-    def scan_template(k):
-        # from just after a backtick or a closing "}" of ${...}; returns (end, opened_expr)
-        while k < n:
-            c = src[k]
-            if c == "\\":
-                k += 2
-                continue
-            if c == "`":
-                return k + 1, False
-            if c == "$" and k + 1 < n and src[k + 1] == "{":
-                return k + 2, True
-            k += 1
-        return n, False
-
-    while i < n:
-        c = src[i]
-        if c == "/" and i + 1 < n and src[i + 1] == "/":
-            j = src.find("\n", i)
-            j = n if j < 0 else j
-            blank(i, j, " ")
-            i = j
-            continue
-        if c == "/" and i + 1 < n and src[i + 1] == "*":
-            j = src.find("*/", i + 2)
-            j = n if j < 0 else j + 2
-            if src.startswith("/**", i) and j - i >= 5:
-                docs.append((i, j))
-            blank(i, j, " ")
-            i = j
-            continue
-        if c in "'\"":
-            j = scan_string(i, c)
-            if not _SPEC_PREV.search(src[max(0, i - 20):i]):
-                blank(i + 1, j - 1, "_")
-            i = j
-            prev_sig, prev_word = "a", ""
+        lines.append(text)
+    return "\n".join(lines).strip() or None
+
+
+class _Frame:
+    """An open bracket: its kind of content, the function around it, and the statement that is being read in it."""
+
+    __slots__ = ("bracket", "at", "kind", "fn", "quiet", "fresh", "first", "doc", "decorated", "case", "statement", "call", "parent_statement", "named_class", "dropped")
+
+    def __init__(self, bracket: str, at: int, kind: str, fn, quiet: bool):
+        self.bracket, self.at, self.kind, self.fn, self.quiet = bracket, at, kind, fn, quiet
+        self.fresh, self.first, self.doc, self.decorated, self.case = True, None, None, False, False
+        self.statement = self.call = self.parent_statement = self.dropped = None
+        self.named_class = False
+
+
+class _Statement:
+    """``state`` of a function: head, params, tail; ``typed``: a type may stand here."""
+
+    __slots__ = ("kind", "start", "doc", "top", "name", "state", "typed", "cuts", "exports")
+
+    def __init__(self, kind: str, start: int, doc: str | None, top: bool, exports: bool):
+        self.kind, self.start, self.doc, self.top, self.exports = kind, start, doc, top, exports
+        self.name, self.state, self.typed, self.cuts = None, "head", kind != "variable", []
+
+
+def scan(src: str | None) -> tuple[list[tuple], list[tuple]]:
+    """Statements (kind, start, line, raw, skeleton, doc, top) and calls (callee, caller) of a text, in order."""
+    if not src:
+        return [], []
+    statements, calls = [], []
+    breaks = [m.start() for m in re.finditer("\n", src)]
+    stack = [_Frame("", -1, "block", None, False)]
+    at, n = 0, len(src)
+    last, last_end, newline, doc = "", 0, True, None  # the token before, its end, whether a line ended since, the JSDoc since
+    chain = None  # (start, end, whether the whole expression) of the dotted name just read
+
+    def finish(frame: _Frame, end: int) -> None:
+        s = frame.statement
+        frame.statement = None
+        if s.kind == "type?" or s.kind == "export" and not s.exports:
+            return
+        raw = src[s.start:end]
+        skeleton, done = [], s.start
+        for a, b, fill in sorted(s.cuts):
+            b = min(b, end)
+            if a >= done and b > a:
+                skeleton.append(src[done:a] + fill * (b - a))
+                done = b
+        skeleton.append(src[done:end])
+        statements.append((s.kind, s.start, bisect_left(breaks, s.start) + 1, raw, "".join(skeleton), s.doc, s.top))
+
+    def cut(a: int, b: int, fill: str = FILL) -> None:
+        """Blank a stretch in the statements that are being read around it."""
+        for f in stack:
+            if f.statement:
+                f.statement.cuts.append((a, b, fill))
+
+    while at < n:
+        frame = stack[-1]
+        if frame.bracket == "`":  # the text of a template, up to its end or the next ${
+            m = _TEMPLATE.match(src, at)
+            cut(at, m.end() - (0 if m[1] is None else len(m[1])))
+            at = m.end()
+            if m[1] == "${":
+                stack.append(_Frame("{", at - 1, "group", frame.fn, frame.quiet))
+                stack[-1].call = "template"
+                stack[-1].fresh = False
+                last, newline = "(", False
+            else:
+                stack.pop()
+                last, last_end, chain = "`", at, None
             continue
-        if c == "`":
-            j, opened = scan_template(i + 1)
-            blank(i + 1, j - (2 if opened else 1), "_")
-            if opened:
-                brace_stack.append(True)
-            i = j
-            prev_sig, prev_word = "a", ""
+        m = _LEX.match(src, at)
+        kind, token, start = m.lastgroup, m.group(), at
+        at = m.end()
+        if kind == "space":
+            newline = newline or "\n" in token
             continue
-        if c == "/":
-            if prev_sig in "" or prev_sig in "(,=:[!&|?{};+-*%<>~^" or prev_word in _REGEX_PREV_WORDS:
-                j = i + 1
-                in_class = False
-                while j < n and src[j] != "\n":
-                    if src[j] == "\\":
-                        j += 2
-                        continue
-                    if src[j] == "[":
-                        in_class = True
-                    elif src[j] == "]":
-                        in_class = False
-                    elif src[j] == "/" and not in_class:
-                        break
-                    j += 1
-                if j < n and src[j] == "/":
-                    blank(i + 1, j, "_")
-                    j += 1
-                    while j < n and _ID.match(src[j]):
-                        j += 1
-                    i = j
-                    prev_sig, prev_word = "a", ""
-                    continue
-        if c == "{":
-            brace_stack.append(False)
-        elif c == "}":
-            if brace_stack and brace_stack[-1]:
-                brace_stack.pop()
-                j, opened = scan_template(i + 1)
-                blank(i + 1, j - (2 if opened else 1), "_")
-                if opened:
-                    brace_stack.append(True)
-                i = j
-                prev_sig, prev_word = "a", ""
-                continue
-            if brace_stack:
-                brace_stack.pop()
-        if not c.isspace():
-            if _ID.match(c):
-                j = i
-                while j < n and _ID.match(src[j]):
-                    j += 1
-                prev_word = src[i:j]
-                prev_sig = "a"
-                i = j
-                continue
-            prev_sig, prev_word = c, ""
-        i += 1
-    masked = "".join(out)
-    jsdocs = []
-    for a, b in docs:
-        k = b
-        while k < n and masked[k].isspace():
-            k += 1
-        jsdocs.append({"start": a, "end": b, "attach": k, "text": _jsdoc_text(src[a:b])})
-    return masked, jsdocs
-
-
-_TOKEN = re.compile(r"[(){}\[\];\n]|\b(?:const|let|var)\b")
-_PREFIX = re.compile(r"(?:export\s+)?(?:declare\s+)?$")
-_GOES_ON = set(",=+-*/%&|^?:(<.!~")
-
-
-def variables(src: str | None, masked: str | None) -> list[dict]:
-    """Declarators of top-level ``const`` / ``let`` / ``var`` statements: the statement's offset, the
-    declarator's line, whether the keyword says export, its place in the statement, its text.
-
-    A statement ends at its semicolon, or at a line end after which nothing can go on."""
-    if not masked:
-        return []
-    out, depth, begin, body, edge = [], 0, None, 0, 0
-
-    def close(end: int) -> None:
-        at = body
-        for pos, part in enumerate(split_top_level_py(src[body:end])):
-            at = src.index(part, at)
-            out.append({"start": begin, "line": src.count("\n", 0, at) + 1, "exported": src.startswith("export", begin), "pos": pos, "text": part})
-            at += len(part)
-
-    for m in _TOKEN.finditer(masked):
-        t = m.group()
-        if t in "({[":
-            depth += 1
-        elif t in ")}]":
-            depth = max(0, depth - 1)
-            if depth == 0 and t == "}" and begin is None:
-                edge = m.end()
-        elif depth:
+        if kind == "comment":
+            newline = newline or "\n" in token
+            if token.startswith("/**") and token.endswith("*/") and len(token) > 4:
+                doc = (_doc(token),)
+            cut(start, at, " ")
             continue
-        elif t == ";" or t == "\n":
-            if begin is not None:
-                before, after = masked[body:m.start()].rstrip()[-1:], masked[m.end():m.end() + 400].lstrip()[:1]
-                if t == ";" or not (before in _GOES_ON or after and after in ",=+*/%&|^?:.)]}"):
-                    close(m.start())
-                    begin = None
-            if begin is None:
-                edge = m.end()
-        elif begin is None and not re.match(r"\s+enum\b", masked[m.end():m.end() + 20]):
-            lead = masked[edge:m.start()].lstrip()
-            if _PREFIX.fullmatch(lead):
-                begin, body = m.start() - len(lead), m.end()
-    if begin is not None:
-        close(len(masked))
-    return out
-
-
-@F.pandas_udf(LEX_SCHEMA)
-def ts_lex(content: pd.Series) -> pd.DataFrame:
-    res = [lex(s) for s in content]
-    return pd.DataFrame({"masked": [r[0] for r in res], "jsdocs": [r[1] for r in res],
-                         "variables": [variables(s, r[0]) for s, r in zip(content, res, strict=True)]})
-
-
-def split_top_level_py(text: str | None) -> list[str]:
-    """Split on commas outside (), [], {}, <> nesting and quotes; parts trimmed, empties dropped."""
-    if text is None:
-        return []
-    parts, depth, cur, quote = [], 0, [], None
-    prev = ""
-    for ch in text:
-        if quote:
-            if ch == quote and prev != "\\":
-                quote = None
-        elif ch in "'\"`":
-            quote = ch
-        elif ch in "([{<":
-            depth += 1
-        elif ch in ")]}>" and not (ch == ">" and prev == "="):
-            depth = max(0, depth - 1)
-        prev = ch
-        if ch == "," and depth == 0 and not quote:
-            parts.append("".join(cur))
-            cur = []
+        if token == "/" and (not last or last in _REGEX_AFTER or last in "(,=:[!&|?{};+-*%<>~^" or last in ("=>", "&&", "||", "??", "...")):
+            r = _REGEX.match(src, start)
+            if r:
+                kind, at = "string", r.end()
+        # -- does the statement before end here?
+        s = frame.statement
+        if newline and s and last not in _GOES_ON_AFTER and token not in _GOES_ON_WITH and not (token == "{" and s.kind in ("function", "class", "interface", "enum")):
+            finish(frame, last_end)
+            s = None
+        if newline and not s and not frame.decorated and last not in _GOES_ON_AFTER and token not in _GOES_ON_WITH:
+            frame.fresh, frame.first, frame.decorated = True, None, False
+        if last == "class" and token in ":=":
+            frame.named_class = False
+        if last == ":" and frame.case:
+            frame.fresh, frame.case = True, False
+        newline = False
+        starts = frame.fresh and frame.kind == "block"
+        if kind == "string":
+            cut(start + 1, at - 1) if not (s and s.kind == "import" and len(stack) == 1) else None
+            frame.fresh, chain, doc = False, None, None
+        elif kind == "word":
+            if starts and frame.first is None:
+                frame.first, frame.doc = start, doc
+            doc = None
+            if last == "." and chain and chain[1] == start - 1:
+                chain = (chain[0], at, chain[2])
+            else:
+                chain = (start, at, last not in (".", "?.", "#"))
+            if token in ("as", "satisfies") and s and s.kind == "variable":
+                s.typed = True
+            if token == "class" and last != ".":
+                frame.named_class = True
+            if s and s.kind == "variable" and token == "enum" and s.state == "head":
+                s.kind = "enum"
+            elif s and s.kind == "type?":
+                s.kind = "type" if s.name == "type" else "interface"
+            elif s and s.kind == "function" and s.state == "head" and s.name is None and last in ("function", "*"):
+                s.name = token
+            elif s and s.kind == "export" and s.state == "head" and last == "default":
+                s.exports, s.state = True, "done"
+            if s and s.kind == "variable" and s.state == "head":
+                s.state = "body"
+            if starts and token in _MODIFIERS and not (token == "default" and last != "export"):
+                if token == "export" and len(stack) == 1:
+                    frame.statement = _Statement("export", frame.first, frame.doc[0] if frame.doc else None, True, False)
+            elif starts and token in _DECLARING:
+                what = _DECLARING[token]
+                if what == "function" or len(stack) == 1:
+                    frame.statement = _Statement("type?" if token in ("type", "interface") else what, frame.first, frame.doc[0] if frame.doc else None, len(stack) == 1, False)
+                    frame.statement.name = token if token in ("type", "interface") else None
+                    if what == "import" and last in ("export",):
+                        frame.statement = None
+                frame.fresh = frame.decorated = False
+            elif starts and token in ("case", "default"):
+                frame.case, frame.fresh = True, False
+            elif not (frame.decorated and last in ("@", ".")):
+                frame.fresh = frame.decorated = False
         else:
-            cur.append(ch)
-    parts.append("".join(cur))
-    return [p.strip() for p in parts if p.strip()]
+            if starts and token == "@":
+                if frame.first is None:
+                    frame.first, frame.doc = start, doc
+                frame.decorated = True
+            elif not (starts and frame.decorated and token in ".("):
+                frame.fresh = False
+            doc = None
+            if s and s.kind == "type?":
+                frame.statement = s = None
+            if s and s.kind == "import" and last == "import" and token in "(.":
+                frame.statement = s = None
+            if s and s.kind == "export" and last in ("export", "type") and token == "{":
+                s.exports = True
+            if token == ":" and s:
+                s.typed = True
+            elif token in ("=", ",") and s and s.kind == "variable":
+                s.typed = False
+            if s and s.kind == "variable" and s.state == "head":
+                s.state = "body"
+            if token == "`":
+                stack.append(_Frame("`", start, "text", frame.fn, frame.quiet))
+                chain = None
+                continue
+            if token == "<":
+                args = _TYPE_ARGS.match(src, start) if chain or last in ("=", "(", ",", "=>") else None
+                owner = s or (frame.parent_statement if frame.kind == "params" else None)
+                in_type = frame.kind in ("angle", "typed") or owner is not None and owner.kind != "export" and (owner.kind != "variable" and frame.kind != "params" or owner.typed)
+                if in_type:
+                    stack.append(_Frame("<", start, "angle", frame.fn, True))
+                    stack[-1].call = chain
+                elif args:
+                    cut(start + 1, args.end() - 1)
+                    at = args.end()
+                    last, last_end = ">", at
+                    continue
+            elif token in "([{":
+                inside = "group"
+                fn, quiet, call = frame.fn, frame.quiet or bool(s and s.kind in ("type", "interface")), None
+                body = None
+                if token == "(":
+                    name = src[chain[0]:chain[1]] if chain and (last_end == chain[1] and last != ")" or last in ("?.", ">")) else None
+                    if s and s.kind == "function" and s.state == "head":
+                        inside, s.state, fn = "params", "params", (s.name,)
+                        name = None
+                    if name and chain[2] and not quiet and name not in _NOT_CALLED and _CALLEE.fullmatch(name) and not _declares(src, frame, chain[0], last):
+                        call = (name, frame.fn[0] if frame.fn else None)
+                elif token == "{":
+                    inside = "object" if last in _OBJECT_AFTER and not (last == ":" and frame.kind == "block" and starts) else "block"
+                    if s and s.kind in ("class", "interface", "enum") or s and s.kind == "function" and s.state == "tail":
+                        if not (last in _OBJECT_AFTER or last == "=>" or last == "implements"):
+                            body = s
+                            inside = {"class": "class", "function": "block"}.get(s.kind, "object")
+                            quiet = quiet or s.kind == "interface"
+                            fn = (s.name,) if s.kind == "function" else fn
+                            finish(frame, last_end)
+                    elif frame.named_class and inside == "block":
+                        inside = "class"
+                    frame.named_class = False
+                if call:
+                    calls.append(call)
+                f = _Frame(token, start, inside, fn, quiet)
+                f.parent_statement = s if inside == "params" else None
+                f.dropped = len(calls) - 1 if call and name == "async" else None
+                f.call = "body" if body or inside == "block" and last != "=>" else None
+                if inside == "params":
+                    s.typed = False
+                stack.append(f)
+            elif token in ")]}>":
+                if token == ">" and frame.bracket != "<":
+                    pass
+                else:
+                    while len(stack) > 1 and stack[-1].bracket == "<" and token != ">":
+                        stack.pop()
+                    if len(stack) > 1 and stack[-1].bracket == _CLOSES[token]:
+                        done = stack.pop()
+                        if done.statement:
+                            stack.append(done)
+                            finish(done, last_end)
+                            stack.pop()
+                        frame = stack[-1]
+                        owner = frame.statement
+                        if done.dropped is not None and _ARROW.match(src, at):
+                            calls[done.dropped] = None
+                        # What a statement's own brackets hold is cut, but not a function's parameters, lists of imports and exports.
+                        if owner and done.kind != "params" and not (owner.kind in ("import", "export") and token == "}"):
+                            owner.cuts.append((done.at + 1, start, FILL))
+                        if frame.parent_statement is not None and done.at > frame.at:
+                            frame.parent_statement.cuts.append((done.at + 1, start, FILL))
+                        if done.kind == "params":
+                            done.parent_statement.state, done.parent_statement.typed = "tail", True
+                        if done.call == "template":
+                            cut(done.at + 1, start)
+                            continue
+                        if token == ">" and isinstance(done.call, tuple):
+                            chain, last, last_end = done.call, ">", at
+                            continue
+                        if token == "}" and frame.kind == "block" and done.call == "body" and not frame.statement:
+                            frame.fresh, frame.first, frame.doc, frame.decorated = True, None, None, False
+            elif token == ";":
+                if s:
+                    finish(frame, start)
+                frame.fresh, frame.first, frame.doc, frame.decorated = frame.kind in ("block", "class"), None, None, False
+            if token == ":" and frame.kind == "params" and frame.parent_statement:
+                frame.parent_statement.typed = True
+            elif token in ("=", ",") and frame.kind == "params" and frame.parent_statement:
+                frame.parent_statement.typed = False
+            if token not in (".", "?.", "<"):
+                chain = None
+        last, last_end = (token if kind != "string" else '"'), at
+    for f in stack:
+        if f.statement:
+            finish(f, last_end)
+    return statements, [c for c in calls if c]
+
+
+def _before(src: str, at: int) -> tuple[str, bool]:
+    """The character before ``at`` that is no white space, and whether a line ends between."""
+    k = at - 1
+    while k >= 0 and src[k].isspace():
+        k -= 1
+    return (src[k] if k >= 0 else ""), "\n" in src[k + 1:at]
+
+
+def _declares(src: str, frame: _Frame, at: int, last: str) -> bool:
+    """Whether a name followed by an opening parenthesis at ``at`` is a member being declared, or follows new or function."""
+    c, line = _before(src, at)
+    word = _word_before(src, at)
+    if word in ("new", "function"):
+        return True
+    if c == "*" and _word_before(src, src.rindex("*", 0, at)) == "function":
+        return True
+    if frame.kind == "object":
+        return c in "{," or word in _MEMBER_MODIFIERS or c == ";"
+    if frame.kind == "class":
+        return c in "{;}*" or word in _MEMBER_MODIFIERS or line and c not in "=+-*/%&|^?:(<.,!~[@"
+    return False
+
+
+def _word_before(src: str, at: int) -> str:
+    k = at
+    while k > 0 and src[k - 1].isspace():
+        k -= 1
+    j = k
+    while j > 0 and (src[j - 1].isalnum() or src[j - 1] in "_$"):
+        j -= 1
+    return src[j:k]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_top_level(text: pd.Series) -> pd.Series:
-    return pd.Series([split_top_level_py(t) for t in text])
+def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``SCAN_SCHEMA`` rows from (project, path, content) batches."""
+    statement = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("line", pa.int32()), ("raw", pa.string()), ("skeleton", pa.string()),
+                           ("doc", pa.string()), ("top", pa.bool_())])
+    call = pa.struct([("callee", pa.string()), ("caller", pa.string())])
+    for batch in batches:
+        found = [scan(text) for text in batch.column("content").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("project"), batch.column("path"),
+             pa.array([[dict(zip(("kind", "start", "line", "raw", "skeleton", "doc", "top"), s, strict=True)) for s in x[0]] for x in found], pa.list_(statement)),
+             pa.array([[{"callee": a, "caller": b} for a, b in x[1]] for x in found], pa.list_(call))],
+            names=["project", "path", "statements", "calls"])

@@ -1,259 +1,181 @@
 """TS/JS source text -> elements and edges (X8-X16, X14, C17) without a syntax tree.
 
-1. ``ts_lex`` (a small Arrow-batched helper) masks comments and literal contents,
-   keeping offsets, and lists JSDoc blocks with the code offset they attach to.
-2. The masked text is split *before every bracket* ``( ) { }``; ``posexplode`` of
-   the pieces gives one row per bracket with its offset (running sum of piece
-   lengths), line, and brace / paren depth (running sums) -- windows per file.
-3. Brackets are matched exactly by an equi-join: the k-th opener at a depth level
-   pairs with the k-th closer at that level.
-4. Declarations, calls and imports are regexes over the text *between* brackets;
-   the caller of a call is the innermost enclosing function declaration, found with
-   a running depth of function bodies and ``last(ignorenulls)`` per depth.
-
-Known differences from a full parser: declarations are recognised at statement
-starts; heritage clauses containing brackets are not seen; a function's return type is read up to the end of its line; import
-resolution tests the scanned files only.
+One pass over each text (``functions/tslex.py``) yields its declaring, importing and exporting statements with
+their *skeletons* -- comments blank, everything inside nested brackets, type arguments and strings cut -- and the
+called names with the function declaration around them. All rules are expressions over skeletons:
+
+1. a declaration's name, parameters, return type and heritage are groups of a pattern over its skeleton; their
+   wording is cut out of the statement as written, by the groups' places;
+2. declarators, parameters and implemented types are split at the commas that the skeleton has left;
+3. elements and edges of a file are numbered by their place in the file's own list, so no window ever holds a file.
+
+A file is one row, and its pass one linear scan; after it rows are thin and dealt by no file key but in the join
+that resolves imports. Known differences from a full parser: see README.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeatlas.functions.text import SOURCE_EXTENSIONS, dirname, normalise_path
-from codeatlas.functions.tslex import split_top_level, ts_lex
-from codeatlas.plans.partitioning import file_major
-from codeatlas.session import ensure_checkpoint_dir
+from codeatlas.functions.tslex import FILL, SCAN_SCHEMA, scan_batches
+from codeatlas.plans.partitioning import running_total
+from codeatlas.plans.stored import stored
 
 FILE = ["project", "path"]
-# Callee words that are statements or operators, never calls.
-NOT_CALLEES = ["if", "for", "while", "switch", "catch", "with", "function", "return", "typeof", "void", "delete",
-               "await", "yield", "in", "of", "instanceof", "new", "do", "else", "case", "throw"]
-ID = r"[A-Za-z_$][\w$]*"
-FUNC_TAIL = rf"((?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\b\s*\*?\s*({ID})?\s*(?:<[^()]*>)?\s*)$"
-CLASS_HEAD = (rf"((?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?class\b(?:\s+(?!extends\b|implements\b)({ID}))?\s*(?:<.*?>)?"
-              r"(?:\s+extends\s+(.+?))?(?:\s+implements\s+(.+?))?\s*)$")
-TYPE_ARGS = r"(?:<[^<>(){};]*(?:<[^<>(){};]*>[^<>(){};]*)*>)?"
-IFACE_RE = rf"^(\s*)(export\s+)?(declare\s+)?interface\s+({ID})"
-TYPE_RE = rf"^(\s*)(export\s+)?(declare\s+)?type\s+({ID})\s*(<[^=]*>)?\s*="
-ENUM_RE = rf"^(\s*)(export\s+)?(declare\s+)?(const\s+)?enum\s+({ID})"
-
-
-def lexed(source_files: DataFrame) -> DataFrame:
-    """(project, path, content, masked, jsdocs, variables).
-
-    Every rule below reads this table several times (brackets, lines, JSDoc,
-    parameter text). A Python UDF inside a plan is not shared between branches, so
-    the lexed table is checkpointed in the shared folder: the lexer runs once per
-    file, nothing stays in executors' memory or on their disks, and a lost executor
-    costs no lexing."""
-    ensure_checkpoint_dir(source_files.sparkSession)
-    x = source_files.select(*FILE, "content", ts_lex(F.col("content")).alias("lx"))
-    return x.select(*FILE, "content", "lx.masked", "lx.jsdocs", "lx.variables").checkpoint()
-
-
-def lines(lx: DataFrame) -> DataFrame:
-    """Masked lines with 1-based number, start offset and brace depth at line start."""
-    x = lx.select(*FILE, F.posexplode(F.split("masked", "\n", -1)).alias("pos", "line"))
-    w = Window.partitionBy(*FILE).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    delta = (F.length("line") - F.length(F.replace("line", F.lit("{"), F.lit("")))) - \
-            (F.length("line") - F.length(F.replace("line", F.lit("}"), F.lit(""))))
-    return x.select(*FILE, (F.col("pos") + 1).alias("line_no"), "line",
-                    F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)).alias("off"),
-                    F.coalesce(F.sum(delta).over(w), F.lit(0)).alias("depth"))
-
-
-def brackets(lx: DataFrame) -> DataFrame:
-    """One row per piece of masked text: ``ch`` is the bracket that starts it (null for
-    the file's leading piece), ``off`` its 0-based offset, ``line`` its line, ``text``
-    the text after the bracket, ``prev`` the text before it (since the previous bracket),
-    ``brace`` / ``paren`` the depth *before* this bracket."""
-    x = lx.select(*FILE, F.posexplode(F.split("masked", r"(?=[(){}])", -1)).alias("idx", "seg"))
-    first = F.substring("seg", 1, 1)
-    ch = F.when(first.isin("(", ")", "{", "}"), first)
-    x = x.withColumn("ch", ch).withColumn("text", F.when(ch.isNotNull(), F.expr("substring(seg, 2)")).otherwise(F.col("seg")))
-    w = Window.partitionBy(*FILE).orderBy("idx")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    nl = F.size(F.split("seg", "\n", -1)) - 1
-    bd = F.when(F.col("ch") == "{", 1).when(F.col("ch") == "}", -1).otherwise(0)
-    pd_ = F.when(F.col("ch") == "(", 1).when(F.col("ch") == ")", -1).otherwise(0)
-    return x.select(
-        *FILE, "idx", "ch", "text",
-        F.coalesce(F.sum(F.length("seg")).over(before), F.lit(0)).alias("off"),
-        (F.coalesce(F.sum(nl).over(before), F.lit(0)) + 1).alias("line"),
-        F.coalesce(F.lag("text").over(w), F.lit("")).alias("prev"),
-        F.coalesce(F.sum(bd).over(before), F.lit(0)).alias("brace"),
-        F.coalesce(F.sum(pd_).over(before), F.lit(0)).alias("paren"),
-    )
-
-
-def matches(br: DataFrame) -> DataFrame:
-    """Exact bracket pairs: (project, path, kind, open_idx, close_idx, open_off, close_off)."""
-    b = br.where(F.col("ch").isNotNull())
-    kind = F.when(F.col("ch").isin("(", ")"), F.lit("p")).otherwise(F.lit("b"))
-    is_open = F.col("ch").isin("(", "{")
-    lvl = F.when(F.col("ch") == "(", F.col("paren")).when(F.col("ch") == ")", F.col("paren") - 1) \
-        .when(F.col("ch") == "{", F.col("brace")).otherwise(F.col("brace") - 1)
-    b = b.select(*FILE, "idx", "off", kind.alias("kind"), is_open.alias("is_open"), lvl.alias("lvl"))
-    w = Window.partitionBy(*FILE, "kind", "lvl", "is_open").orderBy("idx")
-    b = b.withColumn("k", F.row_number().over(w))
-    o = b.where("is_open").select(*FILE, "kind", "lvl", "k", F.col("idx").alias("open_idx"), F.col("off").alias("open_off"))
-    c = b.where(~F.col("is_open")).select(*FILE, "kind", "lvl", "k", F.col("idx").alias("close_idx"), F.col("off").alias("close_off"))
-    return o.join(c, [*FILE, "kind", "lvl", "k"]).drop("k")
-
-
-def _line_of(prev_line: F.Column, prev_text: F.Column, upto_len: F.Column) -> F.Column:
-    return prev_line + F.size(F.split(F.substr(prev_text, F.lit(1), upto_len), "\n", -1)) - 1
-
-
-def functions(lx: DataFrame, br: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Function declarations at any depth (X8 keeps brace depth 0): name, statement
-    offset and line, exported, params / return text, body interval."""
-    w = Window.partitionBy(*FILE).orderBy("idx")
-    b = br.withColumn("prev_line", F.lag("line").over(w))
-    stmt = F.regexp_extract("prev", FUNC_TAIL, 1)
-    lead = F.substr(F.col("prev"), F.lit(1), F.length("prev") - F.length(stmt))
-    f = b.where((F.col("ch") == "(") & (stmt != "") & lead.rlike(r"(^|[;\n])\s*$"))
-    f = f.select(*FILE, "idx", "brace", F.col("off").alias("open_off"), stmt.alias("stmt"),
-                 (F.col("off") - F.length(stmt)).alias("stmt_off"),
-                 _line_of(F.coalesce("prev_line", F.lit(1)), F.col("prev"), F.length("prev") - F.length(stmt) + 1).alias("line"))
-    p = pairs.where(F.col("kind") == "p").select(*FILE, F.col("open_idx").alias("idx"), "close_idx", "close_off")
-    f = f.join(p, [*FILE, "idx"], "left")
-    after = br.select(*FILE, F.col("idx").alias("close_idx"), F.col("text").alias("after"))
-    nxt = br.select(*FILE, (F.col("idx") - 1).alias("close_idx"), F.col("ch").alias("next_ch"),
-                    F.col("idx").alias("body_idx"))
-    f = f.join(after, [*FILE, "close_idx"], "left").join(nxt, [*FILE, "close_idx"], "left")
-    body = pairs.where(F.col("kind") == "b").select(*FILE, F.col("open_idx").alias("body_idx"),
-                                                    F.col("open_off").alias("body_open"), F.col("close_off").alias("body_close"))
-    f = f.join(body, [*FILE, "body_idx"], "left")
-    has_body = (F.col("next_ch") == "{") & F.col("after").rlike(r"^\s*(:[^;{}]*)?$")
-    name = F.regexp_extract("stmt", FUNC_TAIL, 2)
-    return f.join(lx.select(*FILE, "content"), FILE).select(
-        *FILE, F.when(name == "", F.lit("<anonymous>")).otherwise(name).alias("name"), "brace", "stmt_off", "line",
-        F.col("stmt").rlike(r"^export\b").alias("exported"),
-        F.substr(F.col("content"), F.col("open_off") + 2, F.col("close_off") - F.col("open_off") - 1).alias("params"),
-        F.trim(F.regexp_extract(F.coalesce("after", F.lit("")), r"^\s*:\s*([^;{\n]*)", 1)).alias("ret"),
-        F.when(has_body, F.col("body_open")).alias("body_open"), F.when(has_body, F.col("body_close")).alias("body_close"))
-
-
-def classes(lx: DataFrame, br: DataFrame) -> DataFrame:
-    """Top-level class declarations (X9, X15): the header is the text between the bracket before and the
-    class's own brace, on one line or several; name, statement offset and line, exported, heritage text."""
-    w = Window.partitionBy(*FILE).orderBy("idx")
-    head = F.regexp_extract("prev", r"(?s)(?:^|[;\n])\s*" + CLASS_HEAD, 1)
-    c = (br.withColumn("prev_line", F.lag("line").over(w)).where((F.col("ch") == "{") & (F.col("brace") == 0) & (F.col("paren") == 0))
-         .withColumn("head", head).where(F.col("head") != ""))
-    c = c.select(*FILE, (F.col("off") - F.length("head")).alias("stmt_off"), F.length("head").alias("n"),
-                 _line_of(F.coalesce("prev_line", F.lit(1)), F.col("prev"), F.length("prev") - F.length("head") + 1).alias("line"))
-    c = c.join(lx.select(*FILE, "content"), FILE).withColumn("head", F.substr("content", F.col("stmt_off") + 1, F.col("n")))
-    group = lambda k: F.trim(F.regexp_replace(F.regexp_extract("head", "(?s)^" + CLASS_HEAD, k), r"\s+", " "))
-    return c.select(*FILE, "stmt_off", "line", group(2).alias("cls"), group(3).alias("ext"), group(4).alias("impl"),
-                    F.col("head").rlike(r"^export\b").alias("exported"))
-
-
-def exported_names(lx: DataFrame, br: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(project, path, name) of declarations that an ``export { ... }`` list or ``export default name`` exports."""
-    opens = br.where((F.col("ch") == "{") & (F.col("brace") == 0) & F.col("prev").rlike(r"(^|[;\n])\s*export\s*(type\s*)?$"))
-    opens = opens.select(*FILE, F.col("idx").alias("open_idx"))
-    closes = br.select(*FILE, F.col("idx").alias("close_idx"), F.col("text").alias("after"))
-    lists = (opens.join(pairs.where(F.col("kind") == "b"), [*FILE, "open_idx"]).join(closes, [*FILE, "close_idx"])
-             .where(~F.col("after").rlike(r"^\s*from\b")).join(lx.select(*FILE, "masked"), FILE)
-             .select(*FILE, F.explode(F.split(F.substr(F.col("masked"), F.col("open_off") + 2, F.col("close_off") - F.col("open_off") - 1), ",")).alias("n"))
-             .select(*FILE, F.regexp_extract("n", rf"^\s*(?:type\s+)?({ID})", 1).alias("name")))
-    default = br.where(F.col("brace") <= 1).select(
-        *FILE, F.explode(F.regexp_extract_all("text", F.lit(rf"(?:^|[;\n])\s*export\s+default\s+({ID})\s*(?=;|\n|$)"), 1)).alias("name"))
-    return lists.unionByName(default).where(F.col("name") != "").distinct()
-
-
-def _jsdoc_join(decls: DataFrame, lx: DataFrame) -> DataFrame:
-    docs = lx.select(*FILE, F.explode("jsdocs").alias("d")).select(
-        *FILE, F.col("d.attach").alias("stmt_off"), F.col("d.start").alias("_s"), F.col("d.text").alias("_t"))
-    last = docs.groupBy(*FILE, "stmt_off").agg(F.max_by("_t", "_s").alias("doc_comment"))
-    return decls.join(last, [*FILE, "stmt_off"], "left")
-
-
-def ts_elements(source_files: DataFrame) -> DataFrame:
-    """Top-level elements of TS/JS files (X8-X12, X17): functions, classes,
-    interfaces, type aliases, enums, variables -- each group in source order."""
-    lx = lexed(source_files)
-    br = brackets(lx)
-    pairs = matches(br)
-    fn = functions(lx, br, pairs).where(F.col("brace") == 0)
-    params = F.array_join(split_top_level(F.col("params")), ", ")
-    fn_rows = fn.select(*FILE, F.lit(0).alias("kind"), "stmt_off", "name", F.lit("function").alias("type"), "line",
-                        F.concat("name", F.lit("("), params, F.lit(")"),
-                                 F.when(F.col("ret") != "", F.concat(F.lit(": "), "ret")).otherwise(F.lit(""))).alias("signature"),
-                        "exported")
-    ln = lines(lx).where(F.col("depth") == 0)
-    orig = lx.select(*FILE, F.posexplode(F.split("content", "\n", -1)).alias("pos", "orig"))
-    ln = ln.join(orig.select(*FILE, (F.col("pos") + 1).alias("line_no"), "orig"), [*FILE, "line_no"])
-    ws = lambda g: F.col("off") + F.length(F.regexp_extract("line", g, 1))
-    cls_name = F.when(F.col("cls") == "", F.lit("<anonymous>")).otherwise(F.col("cls"))
-    cls = classes(lx, br).select(
-        *FILE, F.lit(1).alias("kind"), "stmt_off", cls_name.alias("name"), F.lit("class").alias("type"), "line",
-        F.concat(F.lit("class "), cls_name, F.when(F.col("ext") != "", F.concat(F.lit(" extends "), "ext")).otherwise(F.lit(""))).alias("signature"),
-        "exported")
-    iface = ln.where(F.col("line").rlike(IFACE_RE)).select(
-        *FILE, F.lit(2).alias("kind"), ws(IFACE_RE).alias("stmt_off"), F.regexp_extract("line", IFACE_RE, 4).alias("name"),
-        F.lit("interface").alias("type"), F.col("line_no").alias("line"),
-        F.concat(F.lit("interface "), F.regexp_extract("line", IFACE_RE, 4)).alias("signature"),
-        (F.regexp_extract("line", IFACE_RE, 2) != "").alias("exported"))
-    typ = ln.where(F.col("line").rlike(TYPE_RE)).select(
-        *FILE, F.lit(3).alias("kind"), ws(TYPE_RE).alias("stmt_off"), F.regexp_extract("line", TYPE_RE, 4).alias("name"),
-        F.lit("type").alias("type"), F.col("line_no").alias("line"), F.lit(None).cast("string").alias("signature"),
-        (F.regexp_extract("line", TYPE_RE, 2) != "").alias("exported"))
-    enum = ln.where(F.col("line").rlike(ENUM_RE)).select(
-        *FILE, F.lit(4).alias("kind"), ws(ENUM_RE).alias("stmt_off"), F.regexp_extract("line", ENUM_RE, 5).alias("name"),
-        F.lit("enum").alias("type"), F.col("line_no").alias("line"), F.lit(None).cast("string").alias("signature"),
-        (F.regexp_extract("line", ENUM_RE, 2) != "").alias("exported"))
-    var = lx.select(*FILE, F.explode("variables").alias("v")).select(
-        *FILE, F.lit(5).alias("kind"), F.col("v.start").alias("stmt_off"),
-        F.trim(F.regexp_replace(F.regexp_extract("v.text", r"(?s)^(\{.*?\}|\[.*?\]|[^=:]+)", 1), r"\s+", " ")).alias("name"),
-        F.lit("variable").alias("type"), F.col("v.line").alias("line"), F.lit(None).cast("string").alias("signature"), "v.exported",
-        F.col("v.pos").alias("dpos"))
-    rows = [x.withColumn("dpos", F.lit(0)) for x in (fn_rows, cls, iface, typ, enum)] + [var]
-    u = rows[0]
-    for r in rows[1:]:
-        u = u.unionByName(r)
-    u = _jsdoc_join(u, lx)
-    listed = exported_names(lx, br, pairs).withColumn("_listed", F.lit(True))
-    u = u.join(listed, [*FILE, "name"], "left").withColumn("exported", F.col("exported") | F.coalesce("_listed", F.lit(False)))
-    w = Window.partitionBy(*FILE).orderBy("kind", "stmt_off", "dpos")
-    return u.select(*FILE, F.row_number().over(w).cast("long").alias("elem_ord"),
-                    F.concat("path", F.lit(":"), "name").alias("id"), "name", "type", F.col("line").cast("int").alias("line"),
-                    "signature", F.col("doc_comment"), "exported")
-
-
-def _import_rows(lx: DataFrame, br: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(project, path, off, sub, pos, spec, element): of a statement the named imports, then the default."""
-    spec_re = r"""^\s*from\s*['"]([^'"]*)['"]"""
-    head = rf"(?:^|[;\n])\s*import\s+(?:type\s+)?(?:({ID})\s*,\s*)?$"
-    opens = br.where((F.col("ch") == "{") & F.col("prev").rlike(head)).select(
-        *FILE, "idx", "off", F.regexp_extract("prev", head, 1).alias("dflt"))
-    bp = pairs.where(F.col("kind") == "b").select(*FILE, F.col("open_idx").alias("idx"), "close_idx", "close_off")
-    closes = br.select(*FILE, F.col("idx").alias("close_idx"), F.col("text").alias("after"))
-    named = (opens.join(bp, [*FILE, "idx"]).join(closes, [*FILE, "close_idx"])
-             .where(F.col("after").rlike(spec_re))
-             .join(lx.select(*FILE, "masked"), FILE)
-             .select(*FILE, "off", "dflt", F.regexp_extract("after", spec_re, 1).alias("spec"),
-                     F.split(F.substr(F.col("masked"), F.col("off") + 2, F.col("close_off") - F.col("off") - 1), ",").alias("names")))
-    nm = named.select(*FILE, "off", F.lit(0).alias("sub"), "spec", F.posexplode("names").alias("pos", "n")).select(
-        *FILE, "off", "sub", "pos", "spec",
-        F.regexp_extract(F.col("n"), rf"^\s*(?:type\s+)?({ID})", 1).alias("element")).where(F.col("element") != "")
-    dn = named.where(F.col("dflt") != "").select(*FILE, "off", F.lit(1).alias("sub"), F.lit(0).alias("pos"), "spec",
-                                                  F.lit("default").alias("element"))
-    # default-only imports: no braces in the statement
-    solo = rf"""(?:^|[;\n])\s*import\s+(?:type\s+)?({ID})\s*(?:,\s*\*\s*as\s+{ID}\s*)?from\s*['"]([^'"]*)['"]"""
-    seg = br.select(*FILE, "off", F.posexplode(F.regexp_extract_all("text", F.lit(solo), 2)).alias("pos", "spec"))
-    dsolo = seg.select(*FILE, "off", F.lit(1).alias("sub"), "pos", "spec", F.lit("default").alias("element"))
-    return nm.unionByName(dn).unionByName(dsolo)
+ID = r"[A-Za-z_$¡-\x{10ffff}][\w$¡-\x{10ffff}]*"
+_HEAD = r"(?s)^((?:@.*?\s)?(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?"
+_INNER = rf"(?:[^()]|\({FILL}*\))*"
+FUNCTION = _HEAD + rf"function\b\s*\*?\s*({ID})?\s*(?:<{FILL}*>)?\s*\()({_INNER})(\)\s*(?::\s*)?)(.*)$"
+CLASS = _HEAD + (rf"class\b)(\s+(?!extends\b|implements\b){ID})?(\s*(?:<{FILL}*>)?)(\s*\bextends\s+)?"
+                 r"(?:(?<=extends\s{1,99})((?:(?!\bimplements\b).)*))?(\bimplements\s+)?(.*)$")
+NAMED = _HEAD + rf"(?:const\s+)?(?:interface|type|enum)\s+)({ID})"
+VARIABLE = r"(?s)^((?:export\s+)?(?:declare\s+)?(?:const|let|var)\b)(.*)$"
+KINDS = ["function", "class", "interface", "type", "enum", "variable"]
+
+
+def scanned(source_files: DataFrame) -> DataFrame:
+    """(project, path, statements, calls) of each file."""
+    return source_files.select(*FILE, "content").mapInArrow(scan_batches, SCAN_SCHEMA)
+
+
+def _cut(raw: Column, start: Column, text: Column) -> Column:
+    """The written form of a stretch of a skeleton that starts at ``start`` (from 0), without white space around it."""
+    lead = F.length(F.regexp_extract(text, r"^(\s*)", 1))
+    return F.substr(raw, start + lead + 1, F.length(F.regexp_replace(text, r"^\s+|\s+$", "")))
+
+
+def _listed(raw: Column, start: Column, skeleton: Column) -> Column:
+    """The comma-separated parts of a stretch, as written; empty parts go. Entries: text, at (place of the part in ``raw``)."""
+    parts = F.split(skeleton, ",", -1)
+    at = lambda i: start + F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda n, p: n + F.length(p) + 1)
+    each = F.transform(parts, lambda p, i: F.struct(_cut(raw, at(i), p).alias("text"), (at(i) + F.length(F.regexp_extract(p, r"^(\s*)", 1))).alias("at"), p.alias("skeleton")))
+    return F.filter(each, lambda e: e["text"] != "")
+
+
+def _group(s: Column, pattern: str, k: int) -> Column:
+    return F.regexp_extract(s["skeleton"], pattern, k)
+
+
+def _up_to(s: Column, pattern: str, k: int) -> Column:
+    """Length of the first ``k`` groups, which follow each other."""
+    return sum((F.length(_group(s, pattern, j)) for j in range(1, k + 1)), F.lit(0))
+
+
+def _exported(s: Column) -> Column:
+    return s["skeleton"].rlike(r"^(?:@(?s:.*?)\s)?export\b")
+
+
+def _element(name: Column, kind: str, line: Column, signature: Column, s: Column, exported: Column) -> Column:
+    return F.struct(name.alias("name"), F.lit(kind).alias("type"), line.cast("int").alias("line"), signature.cast("string").alias("signature"),
+                    s["doc"].alias("doc_comment"), exported.alias("exported"))
+
+
+def function_name(s: Column) -> Column:
+    name = _group(s, FUNCTION, 2)
+    return F.when(name == "", F.lit("<anonymous>")).otherwise(name)
+
+
+def _functions(s: Column) -> Column:
+    """Name, parameters joined by a comma and a space, and the declared return type."""
+    start = F.length(_group(s, FUNCTION, 1))
+    params = F.array_join(F.transform(_listed(s["raw"], start, _group(s, FUNCTION, 3)), lambda p: p["text"]), ", ")
+    tail = start + F.length(_group(s, FUNCTION, 3)) + F.length(_group(s, FUNCTION, 4))
+    ret = F.when(_group(s, FUNCTION, 4).contains(":"), _cut(s["raw"], tail, _group(s, FUNCTION, 5))).otherwise("")
+    name = function_name(s)
+    signature = F.concat(name, F.lit("("), params, F.lit(")"), F.when(ret != "", F.concat(F.lit(": "), ret)).otherwise(""))
+    return F.array(_element(name, "function", s["line"], signature, s, _exported(s)))
+
+
+def class_name(s: Column) -> Column:
+    return F.trim(F.regexp_replace(_group(s, CLASS, 2), r"\s+", ""))
+
+
+def base_class(s: Column) -> Column:
+    """The extended expression as written, empty if there is none."""
+    return _cut(s["raw"], _up_to(s, CLASS, 4), _group(s, CLASS, 5))
+
+
+def _classes(s: Column) -> Column:
+    name = F.when(class_name(s) == "", F.lit("<anonymous>")).otherwise(class_name(s))
+    base = base_class(s)
+    signature = F.concat(F.lit("class "), name, F.when(base != "", F.concat(F.lit(" extends "), base)).otherwise(""))
+    return F.array(_element(name, "class", s["line"], signature, s, _exported(s)))
+
+
+def _named(kind: str):
+    def of(s: Column) -> Column:
+        name = _group(s, NAMED, 2)
+        signature = F.concat(F.lit("interface "), name) if kind == "interface" else F.lit(None)
+        return F.array(_element(name, kind, s["line"], signature, s, _exported(s)))
+    return of
+
+
+def _variables(s: Column) -> Column:
+    """One element per declarator; its line is the declarator's own (X11)."""
+    def of(d: Column) -> Column:
+        name = F.regexp_extract(d["skeleton"], rf"(?s)^\s*(\{{{FILL}*\}}|\[{FILL}*\]|[^\s:=!]+)", 1)
+        line = s["line"] + F.length(F.regexp_replace(F.substr(s["raw"], F.lit(1), d["at"]), r"[^\n]+", ""))
+        return _element(F.substr(d["text"], F.lit(1), F.length(name)), "variable", line, F.lit(None), s, _exported(s))
+    return F.transform(_listed(s["raw"], F.length(_group(s, VARIABLE, 1)), _group(s, VARIABLE, 2)), of)
+
+
+def exported_names(statements: Column) -> Column:
+    """Names that ``export { ... }`` lists without a module, and ``export default name``, export."""
+    lists = F.filter(statements, lambda s: (s["kind"] == "export") & ~s["skeleton"].rlike(r"\}\s*from\b"))
+    inside = F.flatten(F.transform(lists, lambda s: F.split(F.regexp_extract(s["skeleton"], r"(?s)^export\s*(?:type\s*)?\{(.*?)\}", 1), ",")))
+    names = F.transform(inside, lambda n: F.regexp_extract(n, rf"^\s*(?:type\s+(?!as\b))?({ID})", 1))
+    default = F.transform(lists, lambda s: F.regexp_extract(s["skeleton"], rf"^export\s+default\s+({ID})\s*$", 1))
+    return F.concat(names, default)
+
+
+def _of(kind: str, rule) -> Column:
+    """What a rule makes of a file's top-level statements of a kind."""
+    return F.flatten(F.transform(F.filter("statements", lambda s: s["top"] & (s["kind"] == kind)), rule))
+
+
+def ts_elements(source_files: DataFrame | None, scan: DataFrame | None = None) -> DataFrame:
+    """Top-level elements of TS/JS files (X8-X12, X17): functions, classes, interfaces, type aliases, enums,
+    variables -- each group in source order. ``scan``: the files' ``scanned`` table, if it is there already."""
+    scan = scanned(source_files) if scan is None else scan
+    rules = {"function": _functions, "class": _classes, "interface": _named("interface"), "type": _named("type"), "enum": _named("enum"), "variable": _variables}
+    groups = [_of(kind, rules[kind]) for kind in KINDS]
+    rows = scan.select(*FILE, exported_names(F.col("statements")).alias("listed"), F.posexplode(F.concat(*groups)).alias("place", "e"))
+    return rows.select(*FILE, (F.col("place") + 1).cast("long").alias("elem_ord"), F.concat("path", F.lit(":"), "e.name").alias("id"), "e.name", "e.type", "e.line",
+                       "e.signature", "e.doc_comment", (F.col("e.exported") | F.array_contains("listed", F.col("e.name"))).alias("exported"))
+
+
+def _edge(kind: str, to: Column, from_element: Column, to_element: Column) -> Column:
+    return F.struct(F.lit(kind).alias("type"), to.cast("string").alias("to"), from_element.cast("string").alias("from_element"), to_element.cast("string").alias("to_element"))
+
+
+def _imports(s: Column) -> Column:
+    """Of a statement the named imports, then the default (X13); ``to`` is the specifier."""
+    spec = F.regexp_extract(s["skeleton"], r"""(?s)\bfrom\s*['"]([^'"]*)['"]""", 1)
+    names = F.split(F.regexp_extract(s["skeleton"], r"(?s)^[^'\"]*?\{([^}]*)\}", 1), ",")
+    named = F.filter(F.transform(names, lambda n: F.regexp_extract(n, rf"^\s*(?:type\s+(?!as\b))?({ID})", 1)), lambda n: n != "")
+    default = F.regexp_extract(s["skeleton"], rf"^import\s+(?:type\s+(?!from\b|,))?({ID})\s*(?:,|from\b)", 1)
+    none = F.lit(None)
+    return F.when(spec == "", F.array()).otherwise(F.concat(
+        F.transform(named, lambda n: _edge("import", spec, none, n)),
+        F.when(default != "", F.array(_edge("import", spec, none, F.lit("default")))).otherwise(F.array())))
+
+
+def _heritage(s: Column) -> Column:
+    """The extended class, then the implemented types."""
+    name = F.nullif(class_name(s), F.lit(""))
+    none, base = F.lit(None), base_class(s)
+    types = F.when(_group(s, CLASS, 6) != "", _listed(s["raw"], _up_to(s, CLASS, 6), _group(s, CLASS, 7)))
+    return F.concat(F.when(base != "", F.array(_edge("extends", none, name, base))).otherwise(F.array()),
+                    F.coalesce(F.transform(types, lambda t: _edge("implements", none, name, t["text"])), F.array()))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Resolve relative specifiers against the scanned files (X14, C17): first of the
-    exact path, path + each extension, path/index + each extension, then (for a
-    .js/.jsx/.mjs/.cjs specifier) the stem + each extension; else unchanged."""
+    """``dst_path`` of each (project, path, spec) (X14, C17): for a relative specifier the first that exists of the
+    exact path, path + each extension, path/index + each extension, then (for a .js/.jsx/.mjs/.cjs specifier) the
+    stem + each extension; else the specifier. ``files`` (project, path) are all files that exist in the trees,
+    whatever their suffix, scanned or not."""
     base = normalise_path(F.concat(F.when(dirname("path") == "", F.lit("")).otherwise(F.concat(dirname("path"), F.lit("/"))),
                                    F.col("spec")))
     stem = F.regexp_replace(base, r"\.(js|jsx|mjs|cjs)$", "")
@@ -261,64 +183,26 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
             [F.concat(base, F.lit("/index" + e)) for e in SOURCE_EXTENSIONS]
     js = F.col("spec").rlike(r"\.(js|jsx|mjs|cjs)$")
     cands += [F.when(js, F.concat(stem, F.lit(e))) for e in SOURCE_EXTENSIONS]
-    rel = imports.where(F.col("spec").startswith("."))
+    rel = imports.where(F.col("spec").startswith(".")).select(*FILE, "spec").distinct()
     c = rel.select(*FILE, "spec", F.posexplode(F.array(*cands)).alias("cpos", "cand")).where(F.col("cand").isNotNull())
-    fp = files.select("project", F.col("path").alias("cand"))
+    fp = files.select("project", F.col("path").alias("cand")).distinct()
     hit = (c.join(fp, ["project", "cand"]).groupBy(*FILE, "spec").agg(F.min_by("cand", "cpos").alias("resolved")))
     return imports.join(hit, [*FILE, "spec"], "left").withColumn("dst_path", F.coalesce("resolved", "spec")).drop("resolved")
 
 
-def _calls(lx: DataFrame, br: DataFrame, pairs: DataFrame, fns: DataFrame) -> DataFrame:
-    chain = F.regexp_extract("prev", rf"(^|[^\w$.\])?!])\s*([A-Za-z_$][\w$.]*)\s*{TYPE_ARGS}\s*$", 2)
-    w = Window.partitionBy(*FILE).orderBy("idx")
-    nxt = br.withColumn("next_ch", F.lead("ch").over(w))
-    c = br.where((F.col("ch") == "(") & (chain != "")).select(*FILE, "idx", "off", "prev", chain.alias("callee"))
-    c = c.where(F.col("callee").rlike(r"^[a-zA-Z_][\w.]*$") & ~F.col("callee").isin(NOT_CALLEES)
-                & ~F.col("prev").rlike(rf"\bnew\s+[\w$.]+\s*{TYPE_ARGS}\s*$")
-                & ~F.col("prev").rlike(rf"\bfunction\b\s*\*?\s*[\w$]*\s*{TYPE_ARGS}\s*$"))
-    p = pairs.where(F.col("kind") == "p").select(*FILE, F.col("open_idx").alias("idx"), "close_idx")
-    after = nxt.select(*FILE, F.col("idx").alias("close_idx"), F.col("text").alias("after"), "next_ch")
-    c = c.join(p, [*FILE, "idx"], "left").join(after, [*FILE, "close_idx"], "left")
-    is_decl = ((F.col("next_ch") == "{") & F.coalesce(F.col("after"), F.lit("")).rlike(r"^\s*(:[^;{}]*)?$")) | (
-        F.coalesce(F.col("after"), F.lit("")).rlike(r"^\s*:") & F.col("prev").rlike(
-            rf"(^|[;{{}}\n])\s*(?:(?:public|private|protected|static|readonly|abstract|async|get|set|declare|override)\s+)*[\w$]+\??\s*{TYPE_ARGS}\s*$"))
-    arrow = (F.col("callee") == "async") & F.coalesce(F.col("after"), F.lit("")).rlike(r"^\s*(:[^=;]*)?=>")  # async (...) => is no call
-    calls = c.where(~is_decl & ~arrow).select(*FILE, "off", "callee")
-    # caller: innermost enclosing function declaration body
-    ev = (fns.where(F.col("body_open").isNotNull())
-          .select(*FILE, F.col("body_open").alias("off"), F.lit(0).alias("ek"), F.lit(1).alias("d"), F.nullif("name", F.lit("<anonymous>")).alias("name"))
-          .unionByName(fns.where(F.col("body_close").isNotNull())
-                       .select(*FILE, F.col("body_close").alias("off"), F.lit(2).alias("ek"), F.lit(-1).alias("d"),
-                               F.lit(None).cast("string").alias("name")))
-          .unionByName(calls.select(*FILE, "off", F.lit(1).alias("ek"), F.lit(0).alias("d"), F.col("callee").alias("name"))))
-    wd = Window.partitionBy(*FILE).orderBy("off", "ek").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ev = ev.withColumn("fd", F.sum("d").over(wd))
-    wl = Window.partitionBy(*FILE, "fd").orderBy("off", "ek").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # in a struct, as an unnamed function is a caller without a name, not the function around it
-    ev = ev.withColumn("caller", F.when(F.col("fd") > 0, F.last(F.when(F.col("ek") == 0, F.struct("name")), ignorenulls=True).over(wl)))
-    return ev.where(F.col("ek") == 1).select(*FILE, "off", F.col("name").alias("callee"), F.col("caller.name").alias("caller"))
-
-
-def ts_edges(source_files: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Edges of TS/JS files (X13-X16, X18): file by file; in a file imports, then inheritance
-    (extends, implements), then calls. ``files`` (project, path) are the resolution
-    targets; default: the input files."""
-    lx = lexed(source_files)
-    br = brackets(lx)
-    pairs = matches(br)
-    fns = functions(lx, br, pairs)
+def ts_edges(source_files: DataFrame | None, files: DataFrame | None = None, scan: DataFrame | None = None) -> DataFrame:
+    """Edges of TS/JS files (X13-X16, X18): file by file; in a file imports, then inheritance (extends, implements),
+    then calls. ``files`` (project, path): the files that imports may name, by default the input files; ``scan``: the
+    files' ``scanned`` table, if it is there already."""
     files = files if files is not None else source_files.select(*FILE)
-    imp = resolve_imports(_import_rows(lx, br, pairs), files)
-    e_imp = imp.select(*FILE, "dst_path", F.lit("import").alias("type"), F.lit(None).cast("string").alias("from_element"),
-                       F.col("element").alias("to_element"), F.lit(0).alias("_section"), "off", "sub", "pos")
-    cl = classes(lx, br).withColumn("cls", F.nullif(F.col("cls"), F.lit("")))
-    heritage = lambda rows, kind, to, sub: rows.select(
-        *FILE, F.col("path").alias("dst_path"), F.lit(kind).alias("type"), F.col("cls").alias("from_element"), to.alias("to_element"),
-        F.lit(1).alias("_section"), F.col("stmt_off").alias("off"), F.lit(sub).alias("sub"), "pos")
-    ext = heritage(cl.where(F.col("ext") != "").withColumn("pos", F.lit(0)), "extends", F.col("ext"), 0)
-    impl = heritage(cl.select(*FILE, "stmt_off", "cls", F.posexplode(split_top_level("impl")).alias("pos", "to")), "implements", F.col("to"), 1)
-    e_call = _calls(lx, br, pairs, fns).select(
-        *FILE, F.col("path").alias("dst_path"), F.lit("call").alias("type"), F.col("caller").alias("from_element"), F.col("callee").alias("to_element"),
-        F.lit(2).alias("_section"), "off", F.lit(0).alias("sub"), F.lit(0).alias("pos"))
-    rows = e_imp.unionByName(ext).unionByName(impl).unionByName(e_call)
-    return file_major(rows.withColumnRenamed("path", "src_path"), ["_section", "off", "sub", "pos"])
+    scan = scanned(source_files) if scan is None else scan
+    calls = F.transform("calls", lambda c: _edge("call", F.lit(None), c["caller"], c["callee"]))
+    # Thin, and read three times: by the counts, the specifiers and the edges.
+    per = stored(scan.select(*FILE, F.concat(_of("import", _imports), _of("class", _heritage), calls).alias("edges")).where(F.size("edges") > 0))
+    before = running_total(per.select(*FILE, F.size("edges").alias("n")), ["project"], ["path"], "n", "before")
+    rows = per.join(before.select(*FILE, "before"), FILE).select(*FILE, "before", F.posexplode("edges").alias("place", "e"))
+    rows = rows.select(*FILE, (F.col("before") + F.col("place") + 1).cast("long").alias("edge_ord"), "e.*")
+    specs = per.select(*FILE, F.explode("edges").alias("e")).where(F.col("e.type") == "import").select(*FILE, F.col("e.to").alias("spec")).distinct()
+    found = resolve_imports(specs, files).where(F.col("dst_path") != F.col("spec")).select(*FILE, F.col("spec").alias("to"), "dst_path")
+    rows = rows.join(found, [*FILE, "to"], "left")
+    return rows.select("project", "edge_ord", F.col("path").alias("src_path"), F.coalesce("dst_path", "to", "path").alias("dst_path"), "type", "from_element", "to_element")

@@ -18,7 +18,7 @@ from codeatlas.functions.ignore import DEFAULT_IGNORE
 from codeatlas.functions.text import SOURCE_EXTENSIONS, basename
 from codeatlas.operators import extract_python, extract_ts
 from codeatlas.operators.nodes import file_exports
-from codeatlas.session import ensure_checkpoint_dir
+from codeatlas.plans.stored import stored
 
 
 class Tables(NamedTuple):
@@ -58,12 +58,12 @@ def select_sources(source_files: DataFrame, projects: DataFrame) -> DataFrame:
 
 def build(source_files: DataFrame, projects: DataFrame) -> Tables:
     # read by both language branches and by the files table: made once, kept in the shared folder
-    ensure_checkpoint_dir(source_files.sparkSession)
-    src = select_sources(source_files, projects).checkpoint()
+    src = stored(select_sources(source_files, projects))
     py = src.where(F.col("language") == "python").select("project", "path", "content")
     ts = src.where(F.col("language") != "python").select("project", "path", "content")
-    elements = extract_python.python_elements(py).unionByName(extract_ts.ts_elements(ts))
-    edges = extract_python.python_edges(py).unionByName(extract_ts.ts_edges(ts, files=ts.select("project", "path")))
+    scan = stored(extract_ts.scanned(ts))  # one pass over TS/JS text for elements and edges
+    elements = extract_python.python_elements(py).unionByName(extract_ts.ts_elements(None, scan))
+    edges = extract_python.python_edges(py).unionByName(extract_ts.ts_edges(None, source_files.select("project", "path"), scan))
     ex = file_exports(elements).select("project", "path", "exports")
     files = (src.select("project", "path", basename("path").alias("name"))
              .join(ex, ["project", "path"], "left")

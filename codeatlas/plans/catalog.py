@@ -890,8 +890,8 @@ def q_run_deltas(spark, sf):
 # ---------------------------------------------------------------- TS/JS extraction (expected rows follow from the derivation)
 _TS_PARTS = """
 tp AS (SELECT 'repo' || CAST(p_partkey % 4 AS VARCHAR) AS project,
-              'web/b' || replace(p_brand, 'Brand#', '') || '/m' || CAST(p_size % 10 AS VARCHAR) || '_'
-                  || CAST(p_partkey // 5000 AS VARCHAR) || '.ts' AS path,
+              'web/b' || replace(p_brand, 'Brand#', '') || '/m' || CAST(p_size % 10 AS VARCHAR) || '.ts' AS path,
+              'web/b' || replace(p_brand, 'Brand#', '') || '/m' || CAST((p_size + 3) % 10 AS VARCHAR) || '.ts' AS other, p_partkey % 3 AS shape,
               p_partkey AS pk, p_type AS t, p_size AS size, p_name,
               lower(replace(p_name, ' ', '_')) || '_' || CAST(p_partkey AS VARCHAR) AS fname,
               'C' || upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2)
@@ -900,18 +900,22 @@ tp AS (SELECT 'repo' || CAST(p_partkey % 4 AS VARCHAR) AS project,
               CASE WHEN p_size % 3 = 0 THEN lower(p_type) || ' part.' END AS doc FROM part),
 tr AS (SELECT *, coalesce(sum(CASE WHEN size % 3 = 0 THEN 7 ELSE 5 END) OVER (PARTITION BY project, path ORDER BY pk
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-                  + CASE WHEN size % 3 = 0 THEN 3 ELSE 1 END + 1 AS line FROM tp)"""
+                  + CASE WHEN size % 3 = 0 THEN 3 ELSE 1 END + 1 AS line,
+              CASE shape WHEN 0 THEN 'Base' || CAST(size % 5 AS VARCHAR) WHEN 1 THEN 'mixin(Base' || CAST(size % 5 AS VARCHAR) || ', Q)'
+                         ELSE 'Base' || CAST(size % 5 AS VARCHAR) || '<{ a: string }>' END AS base FROM tp)"""
 
 
 @register("ts_elements", f"WITH {_TS_PARTS}" + """,
 el AS (
   SELECT project, path, 0 AS kind, line, 0 AS dpos, fname AS name, 'function' AS type,
-         fname || '(x: number, y = "a,b"): number' AS signature, doc, true AS exported FROM tr WHERE t IN ('ECONOMY', 'PROMO')
-  UNION ALL SELECT project, path, 1, line, 0, cname, 'class', 'class ' || cname || ' extends Base' || CAST(size % 5 AS VARCHAR),
-         doc, true FROM tr WHERE t IN ('SMALL', 'MEDIUM')
-  UNION ALL SELECT project, path, 2, line, 0, 'I' || fname, 'interface', 'interface I' || fname, doc, false FROM tr WHERE t = 'STANDARD'
-  UNION ALL SELECT project, path, 5, line, 0, 'LIMIT_' || CAST(pk AS VARCHAR), 'variable', NULL, doc, true FROM tr WHERE t = 'LARGE'
-  UNION ALL SELECT project, path, 5, line, 1, 'alt' || CAST(pk AS VARCHAR), 'variable', NULL, doc, true FROM tr WHERE t = 'LARGE')
+         fname || CASE shape WHEN 0 THEN '(x: number, y = "a,b"): number' WHEN 1 THEN '(x: Map<string, number>, cb: () => void): { d: string }'
+                             ELSE '(x: T): Promise<{ a: string }>' END AS signature, doc, shape <> 2 AS exported FROM tr WHERE t IN ('ECONOMY', 'PROMO')
+  UNION ALL SELECT project, path, 1, line, 0, cname, 'class', 'class ' || cname || ' extends ' || base, doc, shape <> 2 FROM tr WHERE t IN ('SMALL', 'MEDIUM')
+  UNION ALL SELECT project, path, 2, line, 0, 'I' || fname, 'interface', 'interface I' || fname, CASE WHEN shape <> 1 THEN doc END, false FROM tr WHERE t = 'STANDARD'
+  UNION ALL SELECT project, path, 3, line, 0, 'V' || fname, 'type', NULL, doc, false FROM tr WHERE t = 'STANDARD' AND shape = 1
+  UNION ALL SELECT project, path, 5, line, 0, 'LIMIT_' || CAST(pk AS VARCHAR), 'variable', NULL, doc, shape <> 0 FROM tr WHERE t = 'LARGE'
+  UNION ALL SELECT project, path, 5, line, 1, 'alt' || CAST(pk AS VARCHAR), 'variable', NULL, doc, shape <> 0 FROM tr WHERE t = 'LARGE'
+  UNION ALL SELECT project, path, 5, line, 2, 'far' || CAST(pk AS VARCHAR), 'variable', NULL, doc, false FROM tr WHERE t = 'LARGE' AND shape = 0)
 SELECT project, path, CAST(row_number() OVER (PARTITION BY project, path ORDER BY kind, line, dpos) AS BIGINT) AS elem_ord,
        name, type, CAST(line AS INTEGER) AS line, signature, doc AS doc_comment, exported FROM el""")
 def q_ts_elements(spark, sf):
@@ -920,17 +924,19 @@ def q_ts_elements(spark, sf):
 
 
 @register("ts_edges", f"WITH {_TS_PARTS}" + """,
+ti AS (SELECT *, './m' || CAST((size + 3) % 10 AS VARCHAR) || '.js' AS spec, EXISTS (SELECT 1 FROM tp o WHERE o.project = tr.project AND o.path = tr.other) AS there FROM tr),
 ed AS (
-SELECT project, 0 AS section, pk, 0 AS pos, path AS src_path, path AS dst_path, 'import' AS type, CAST(NULL AS VARCHAR) AS from_element,
-       'h' || CAST(pk AS VARCHAR) AS to_element FROM tr WHERE t IN ('PROMO', 'STANDARD')
-UNION ALL SELECT project, 0, pk, 1, path, path, 'import', NULL, 'T' || CAST(pk AS VARCHAR) FROM tr WHERE t IN ('PROMO', 'STANDARD')
+SELECT project, 0 AS section, pk, 0 AS pos, path AS src_path, CASE WHEN there THEN other ELSE spec END AS dst_path, 'import' AS type, CAST(NULL AS VARCHAR) AS from_element,
+       'h' || CAST(pk AS VARCHAR) AS to_element FROM ti WHERE t IN ('PROMO', 'STANDARD')
+UNION ALL SELECT project, 0, pk, 1, path, CASE WHEN there THEN other ELSE spec END, 'import', NULL, 'T' || CAST(pk AS VARCHAR) FROM ti WHERE t IN ('PROMO', 'STANDARD')
 UNION ALL SELECT project, 0, pk, 0, path, 'lib' || CAST(size AS VARCHAR), 'import', NULL, 'default' FROM tr WHERE t = 'SMALL'
-UNION ALL SELECT project, 1, pk, 0, path, path, 'extends', cname, 'Base' || CAST(size % 5 AS VARCHAR) FROM tr WHERE t IN ('SMALL', 'MEDIUM')
-UNION ALL SELECT project, 1, pk, 1, path, path, 'implements', cname, 'I' || CAST(pk % 3 AS VARCHAR) FROM tr WHERE t IN ('SMALL', 'MEDIUM')
-UNION ALL SELECT project, 1, pk, 2, path, path, 'implements', cname, 'J' FROM tr WHERE t IN ('SMALL', 'MEDIUM')
+UNION ALL SELECT project, 1, pk, 0, path, path, 'extends', cname, base FROM tr WHERE t IN ('SMALL', 'MEDIUM')
+UNION ALL SELECT project, 1, pk, 1, path, path, 'implements', cname, CASE shape WHEN 0 THEN 'I' || CAST(pk % 4 AS VARCHAR) ELSE 'I1<A, B>' END FROM tr WHERE t IN ('SMALL', 'MEDIUM') AND shape <> 2
+UNION ALL SELECT project, 1, pk, 2, path, path, 'implements', cname, 'J' FROM tr WHERE t IN ('SMALL', 'MEDIUM') AND shape = 0
 UNION ALL SELECT project, 2, pk, 0, path, path, 'call', fname, 'helper' || CAST(size AS VARCHAR) FROM tr WHERE t IN ('ECONOMY', 'PROMO')
 UNION ALL SELECT project, 2, pk, 1, path, path, 'call', fname, 'util.scale' FROM tr WHERE t IN ('ECONOMY', 'PROMO')
-UNION ALL SELECT project, 2, pk, 0, path, path, 'call', NULL, 'this.run' FROM tr WHERE t IN ('SMALL', 'MEDIUM'))
+UNION ALL SELECT project, 2, pk, 0, path, path, 'call', NULL, 'mixin' FROM tr WHERE t IN ('SMALL', 'MEDIUM') AND shape = 1
+UNION ALL SELECT project, 2, pk, 1, path, path, 'call', NULL, 'this.run' FROM tr WHERE t IN ('SMALL', 'MEDIUM'))
 SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY src_path, section, pk, pos) AS BIGINT) AS edge_ord,
        src_path, dst_path, type, from_element, to_element FROM ed""")
 def q_ts_edges(spark, sf):

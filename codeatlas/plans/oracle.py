@@ -64,8 +64,7 @@ FROM benchmark"""),
     "v_src_lines": ([], r'''
 SELECT project, path, p_partkey * 4 + j + 1 AS line_no, line FROM (
   SELECT 'repo' || CAST(p_partkey % 4 AS VARCHAR) AS project,
-         'pkg/b' || replace(p_brand, 'Brand#', '') || '/m' || CAST(p_size % 10 AS VARCHAR) || '_'
-             || CAST(p_partkey // 5000 AS VARCHAR) || '.py' AS path,
+         'pkg/b' || replace(p_brand, 'Brand#', '') || '/m' || CAST(p_size % 10 AS VARCHAR) || '.py' AS path,
          p_partkey,
          unnest([0, 1, 2, 3]) AS j,
          unnest([
@@ -89,7 +88,7 @@ SELECT project, path, CAST(generate_subscripts(parts, 1) AS BIGINT) AS line_no,
 FROM (SELECT project, path, string_split(content, chr(10)) AS parts FROM v_src_files)"""),
     "v_links": ([], """
 SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS project,
-       page_id * 100000 + pos AS edge_ord, url AS src_path, href AS dst_path, 'import' AS type,
+       page_id * 4294967296 + pos AS edge_ord, url AS src_path, href AS dst_path, 'import' AS type,
        CAST(NULL AS VARCHAR) AS from_element, CAST(NULL AS VARCHAR) AS to_element
 FROM (SELECT page_id, url, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos
       FROM (SELECT page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages))"""),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeatlas.plans.stored import stored
 from codeatlas.session import ensure_checkpoint_dir
 
 
@@ -67,3 +68,22 @@ def lag_in_order(df: DataFrame, group_cols, order_cols, value_col: str, out_col:
     for c in group_cols:
         same = same & prev["g"][c].eqNullSafe(F.col(c))
     return out.withColumn(out_col, F.when(same, prev["v"])).select(*df.columns, out_col)
+
+
+def running_total(df: DataFrame, group_cols, order_cols, value_col: str, out_col: str) -> DataFrame:
+    """Sum of ``value_col`` over the rows before each one, by ``order_cols`` in its group, for groups of any size.
+
+    Rows are dealt by ranges of (group, order) and stored, so that every reader sees the same ranges; a range sums up
+    its own rows, and each group starts in it from what earlier ranges hold of that group. That last table has one
+    row per range and group in it, as groups follow each other in the ranges. Rows that tie get some order."""
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    dealt = stored(df.repartitionByRange(*group_cols, *order_cols).withColumn("_range", F.spark_partition_id()))
+    own = Window.partitionBy("_range", *group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_range", *group_cols).agg(F.sum(value_col).alias("_sum"))
+    earlier = Window.partitionBy(*group_cols).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)], F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    rows = dealt.withColumn("_own", F.coalesce(F.sum(value_col).over(own), F.lit(0)))
+    same = (F.col("_range") == F.col("_r"))
+    for i, c in enumerate(group_cols):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return rows.join(base, same).withColumn(out_col, F.col("_base") + F.col("_own")).select(*df.columns, out_col)

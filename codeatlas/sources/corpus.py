@@ -24,7 +24,6 @@ N_PROJECTS = 4
 ORDER_FILES = 997
 NAME_SUFFIXES = 97
 SRC_FILES_PER_BRAND = 10
-PARTS_PER_SRC_BUCKET = 5000  # keeps generated source files bounded at any scale factor
 TYPE_OF_PTYPE = {"ECONOMY": "function", "SMALL": "class", "MEDIUM": "interface",
                  "PROMO": "type", "STANDARD": "enum", "LARGE": "variable"}
 EDGE_OF_FLAG = {"A": "import", "N": "call", "R": "extends"}
@@ -163,14 +162,12 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("markdown", F.concat(F.lit("# "), F.col("element"), F.lit("\n\n"), F.col("content"), F.lit("\n")))
 
 
-def _src_stem() -> F.Column:
-    """``<size % 10>_<partkey bucket>``: generated files hold at most a bounded number of parts."""
-    return F.concat((F.col("p_size") % SRC_FILES_PER_BRAND).cast("string"), F.lit("_"),
-                    (F.col("p_partkey") / PARTS_PER_SRC_BUCKET).cast("long").cast("string"))
+def _src_stem(shift: int = 0) -> F.Column:
+    return ((F.col("p_size") + shift) % SRC_FILES_PER_BRAND).cast("string")
 
 
 def src_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Python text: four lines per part in ``pkg/b<brand>/m<size % 10>_<bucket>.py``.
+    """Python text: four lines per part in ``pkg/b<brand>/m<size % 10>.py``.
 
     Line numbers come from the key (``p_partkey * 4 + j + 1``), so they are unique
     and ordered within a file without a window."""
@@ -205,7 +202,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
     return x.select(
         host.alias("project"),
-        (F.col("page_id") * 100000 + F.col("pos")).alias("edge_ord"),
+        (F.shiftleft("page_id", 32) + F.col("pos")).alias("edge_ord"),
         F.col("url").alias("src_path"),
         F.col("href").alias("dst_path"),
         F.lit("import").alias("type"),
@@ -224,34 +221,41 @@ def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ts_src_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TypeScript text: five lines per part in ``web/b<brand>/m<size % 10>_<bucket>.ts``.
+    """TypeScript text: five lines per part in ``web/b<brand>/m<size % 10>.ts``.
 
-    ECONOMY/PROMO parts become functions, SMALL/MEDIUM classes, STANDARD
-    interfaces, LARGE a two-declarator ``const``; PROMO/STANDARD parts add a named
-    import, SMALL parts a default import. Every third size gets a JSDoc block."""
+    ECONOMY/PROMO parts become functions, SMALL/MEDIUM classes, STANDARD interfaces (every other one behind a type
+    alias on its line), LARGE a ``const`` of two or three declarators; the key picks one of several shapes of each:
+    object and generic types in heads and headers, calls as base classes, commas in comments, comparisons, optional
+    calls. PROMO/STANDARD parts add a named import from another file, SMALL parts a default import. Every third
+    size gets a JSDoc block."""
     p = table(spark, sf_dir, "part")
     key = F.col("p_partkey").cast("string")
+    shape = F.col("p_partkey") % 3
     name = F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), key)
     cls = F.concat(F.lit("C"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), key)
     size = F.col("p_size").cast("string")
     brand = F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit(""))
     t = F.col("p_type")
-    doc = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("/** "), F.lower(t), F.lit(" part.\n * @since 1\n */"))) \
-        .otherwise(F.concat(F.lit("// plain "), key))
-    header = (F.when(t.isin("ECONOMY", "PROMO"), F.concat(F.lit("export function "), name, F.lit('(x: number, y = "a,b"): number {')))
-              .when(t.isin("SMALL", "MEDIUM"), F.concat(F.lit("export class "), cls, F.lit(" extends Base"),
-                                                        (F.col("p_size") % 5).cast("string"), F.lit(" implements I"),
-                                                        (F.col("p_partkey") % 3).cast("string"), F.lit(", J {")))
-              .when(t == "STANDARD", F.concat(F.lit("interface I"), name, F.lit(" {")))
-              .otherwise(F.concat(F.lit("export const LIMIT_"), key, F.lit(" = "), size, F.lit(", alt"), key, F.lit(' = "{";'))))
-    body = (F.when(t.isin("ECONOMY", "PROMO"), F.concat(F.lit("  return helper"), size, F.lit("(x) + util.scale(y); // }")))
-            .when(t.isin("SMALL", "MEDIUM"), F.concat(F.lit("  method"), key, F.lit("() { return this.run("), size, F.lit("); }")))
-            .when(t == "STANDARD", F.concat(F.lit("  field"), key, F.lit(": string;")))
+    base = F.concat(F.lit("Base"), (F.col("p_size") % 5).cast("string"))
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    doc = F.when(F.col("p_size") % 3 == 0, text("/** ", F.lower(t), " part.\n * @since 1\n */")).otherwise(text("// plain ", key))
+    function = (F.when(shape == 0, text("export function ", name, '(x: number, y = "a,b"): number {'))
+                .when(shape == 1, text("export function ", name, "(x: Map<string, number>, cb: () => void): { d: string } {"))
+                .otherwise(text("function ", name, "<T extends { a: string }>(x: T): Promise<{ a: string }> {")))
+    klass = (F.when(shape == 0, text("export class ", cls, " extends ", base, " implements I", (F.col("p_partkey") % 4).cast("string"), ", J {"))
+             .when(shape == 1, text("export class ", cls, " extends mixin(", base, ", Q) implements I1<A, B> {"))
+             .otherwise(text("class ", cls, " extends ", base, "<{ a: string }> {")))
+    interface = F.when(shape == 1, text("type V", name, "<T = string> = T; interface I", name, " {")).otherwise(text("interface I", name, " {"))
+    const = (F.when(shape == 0, text("const LIMIT_", key, " = ", size, ", /* x, y */ alt", key, " = (x) => x < 3, far", key, " = 5; // no, comma"))
+             .otherwise(text("export const LIMIT_", key, " = ", size, ", alt", key, ' = "{";')))
+    header = (F.when(t.isin("ECONOMY", "PROMO"), function).when(t.isin("SMALL", "MEDIUM"), klass).when(t == "STANDARD", interface).otherwise(const))
+    body = (F.when(t.isin("ECONOMY", "PROMO"), text("  return helper", size, F.when(shape == 2, "<T>").otherwise(""), "(x) + util.scale", F.when(shape == 1, "?.").otherwise(""), "(y); // }"))
+            .when(t.isin("SMALL", "MEDIUM"), text("  method", key, "() { return this.run(", size, "); }"))
+            .when(t == "STANDARD", text("  field", key, ": string;"))
             .otherwise(F.lit("")))
     close = F.when(t == "LARGE", F.lit("")).otherwise(F.lit("}"))
-    imp = (F.when(t.isin("PROMO", "STANDARD"), F.concat(F.lit("import { h"), key, F.lit(", type T"), key, F.lit(" as U } from './m"),
-                                                         _src_stem(), F.lit("';")))
-           .when(t == "SMALL", F.concat(F.lit("import Def"), key, F.lit(" from 'lib"), size, F.lit("';")))
+    imp = (F.when(t.isin("PROMO", "STANDARD"), text("import { h", key, ", type T", key, " as U } from './m", _src_stem(3), ".js';"))
+           .when(t == "SMALL", text("import Def", key, " from 'lib", size, "';"))
            .otherwise(F.lit("")))
     x = p.select(
         _project(F.col("p_partkey")).alias("project"),

@@ -1,4 +1,4 @@
-from codeatlas.functions.tslex import lex, split_top_level_py
+from codeatlas.functions.tslex import FILL, scan
 from codeatlas.operators import extract_ts as xt
 from tests.fixtures import source_files, ts_project
 
@@ -88,13 +88,12 @@ def test_resolution_index_and_js_swap(spark):
     assert [(r.to_element, r.dst_path) for r in e] == [("x", "src/dir/index.tsx"), ("y", "src/b.ts"), ("z", "up.ts")]
 
 
-def test_lexer_masks_but_keeps_offsets():
-    src = "const s = '{'; // {\nconst r = /}/g; const t = `a${f('(')}b`;\n"
-    masked, docs = lex(src)
-    assert len(masked) == len(src) and masked.count("\n") == src.count("\n")
-    assert "{" not in masked.replace("${", "")
-    assert "f(" in masked and docs == []
-    assert split_top_level_py('a, b = "x,y", c: Map<K, V>') == ["a", 'b = "x,y"', "c: Map<K, V>"]
+def test_skeletons_keep_length_and_shape():
+    src = "const s = '{'; // {\nconst r = /}/g; const t = `a${f('(')}b`, u = { v: [1, 2] };\n"
+    statements, calls = scan(src)
+    assert all(len(raw) == len(skeleton) and src[start:start + len(raw)] == raw for _, start, _, raw, skeleton, _, _ in statements)
+    assert [s[4].replace(FILL, ".") for s in statements] == ["const s = '.'", "const r = /..g", "const t = `.${......}.`, u = {...........}"]
+    assert calls == [("f", None)]
 
 
 def test_class_headers_on_one_line_or_several(spark):
@@ -132,3 +131,66 @@ def test_several_declarators(spark):
     got = [(r.name, r.line, r.exported) for r in xt.ts_elements(src).where("type = 'variable'").orderBy("elem_ord").collect()]
     assert got == [("p", 1, False), ("q", 2, False), ("a", 3, False), ("b", 3, False), ("{ m, n }", 4, True), ("[u]", 4, True),
                    ("long", 7, False), ("last", 9, False), ("z", 11, False)]
+
+
+def elements_of(spark, text, path="a.ts"):
+    rows = xt.ts_elements(source_files(spark, [("p", path, text)])).orderBy("elem_ord").collect()
+    return [(r.name, r.type, r.line, r.signature) for r in rows]
+
+
+def edges_of(spark, text, *types):
+    rows = xt.ts_edges(source_files(spark, [("p", "a.ts", text)])).orderBy("edge_ord").collect()
+    return [(r.type, r.from_element, r.to_element) for r in rows if r.type in types]
+
+
+def test_declarators_beside_comments_literals_and_comparisons(spark):
+    text = ("const u = 1 // see x, y\nconst r = /a,b/, w = 3\nconst s = 1, /* x, y */ t = 2\nconst f = (x) => x < 3, g = 5\n"
+            "const k = 's it\\\\', z = 2\nconst m = new Map<string, number>(), n = v as Map<K, V>, o = 1\nconst first = 1\n/* " + "c" * 5000 + " */\n, second = 2\n"
+            "const " + " " * 500 + "enum E { X }\n")
+    got = elements_of(spark, text)
+    assert [(n, line) for n, t, line, _ in got if t == "variable"] == [
+        ("u", 1), ("r", 2), ("w", 2), ("s", 3), ("t", 3), ("f", 4), ("g", 4), ("k", 5), ("z", 5), ("m", 6), ("n", 6), ("o", 6), ("first", 7), ("second", 9)]
+    assert [n for n, t, _, _ in got if t == "enum"] == ["E"]
+
+
+def test_class_headers_with_calls_and_object_types(spark):
+    text = ("export class A extends mixin(B, C) implements I {\n  run() { go(); }\n}\nclass D extends Base<{ a: string }> {\n}\n"
+            "export abstract class G<T extends { x: 1 }>\n  extends ns.Base<T, U>\n  implements I<A, B>, J { }\n@Dec({ s: 1 })\nexport class H { }\nexport class { }\n")
+    assert elements_of(spark, text) == [
+        ("A", "class", 1, "class A extends mixin(B, C)"), ("D", "class", 4, "class D extends Base<{ a: string }>"),
+        ("G", "class", 6, "class G extends ns.Base<T, U>"), ("H", "class", 9, "class H"), ("<anonymous>", "class", 11, "class <anonymous>")]
+    assert edges_of(spark, text, "extends", "implements") == [
+        ("extends", "A", "mixin(B, C)"), ("implements", "A", "I"), ("extends", "D", "Base<{ a: string }>"), ("extends", "G", "ns.Base<T, U>"),
+        ("implements", "G", "I<A, B>"), ("implements", "G", "J")]
+    assert edges_of(spark, text, "call") == [("call", None, "mixin"), ("call", None, "go"), ("call", None, "Dec")]
+
+
+def test_function_heads(spark):
+    text = ("function f(): { d: string } { return go(); }\nfunction g<T extends { a: 1 }, U = () => void>(x: Map<K, V> = make<A, B>(1), cb: (a: string) => void): Promise<{ a: 1 }> { inner(); }\n"
+            "function over(a: string): void\nfunction over(a: any) { last(); }\nfunction h(): x is { a: 1 } { return deep(); }\nfunction k(a,\n  b = (1, 2),\n) { }\n")
+    assert [(n, s) for n, _, _, s in elements_of(spark, text)] == [
+        ("f", "f(): { d: string }"), ("g", "g(x: Map<K, V> = make<A, B>(1), cb: (a: string) => void): Promise<{ a: 1 }>"),
+        ("over", "over(a: string): void"), ("over", "over(a: any)"), ("h", "h(): x is { a: 1 }"), ("k", "k(a, b = (1, 2))")]
+    assert edges_of(spark, text, "call") == [("call", "f", "go"), ("call", "g", "make"), ("call", "g", "inner"), ("call", "over", "last"), ("call", "h", "deep")]
+
+
+def test_types_on_one_line_and_optional_calls(spark):
+    text = "type V<T = string> = T\ninterface A1 { foo(x): string } interface B1 { }\nfoo.bar?.(1)\na?.b(2); x.y.z(3); a!.c(4); p()()\ntype = 5\n"
+    assert [(n, t) for n, t, _, _ in elements_of(spark, text)] == [("A1", "interface"), ("B1", "interface"), ("V", "type")]
+    assert edges_of(spark, text, "call") == [("call", None, "foo.bar"), ("call", None, "x.y.z"), ("call", None, "p")]
+
+
+def test_members_are_no_calls(spark):
+    text = ("class C {\n  constructor() { super(1); }\n  private async foo<T>(a: T): Promise<void> { bar(a) }\n  z = init(2)\n  get k() { return kk() }\n  *gen() { }\n}\n"
+            "const o = { foo(x) { bar(x) }, async baz() { return qux() }, k: f(1), [c()]: 1 };\nswitch (x) { case 1: { one(); } default: two(); }\n"
+            "function* gen() { yield g1(); return class { m() { n1() } } }\nexport const t = `a ${f(`b ${g(1)}`)} } {`;\nimport('dyn');\n")
+    assert [(a, b) for _, a, b in edges_of(spark, text, "call")] == [
+        (None, "super"), (None, "bar"), (None, "init"), (None, "kk"), (None, "bar"), (None, "qux"), (None, "f"), (None, "c"), (None, "one"), (None, "two"),
+        ("gen", "g1"), ("gen", "n1"), (None, "f"), (None, "g"), (None, "import")]
+
+
+def test_imports_resolve_to_files_that_are_not_scanned(spark):
+    src = source_files(spark, [("p", "src/a.ts", "import data from './data.json';\nimport { x } from './vendor/lib';\nimport { y } from './none';\n")])
+    tree = spark.createDataFrame([("p", "src/a.ts"), ("p", "src/data.json"), ("p", "src/vendor/lib.js")], "project string, path string")
+    got = [(r.dst_path, r.to_element) for r in xt.ts_edges(src, files=tree).orderBy("edge_ord").collect()]
+    assert got == [("src/data.json", "default"), ("src/vendor/lib.js", "x"), ("./none", "y")]
