@@ -1,16 +1,16 @@
 """Python source text -> elements and edges (X1-X7, F15, C16), as Spark jobs.
 
-Input is ``source_files(project, path, content)``; lines come from ``posexplode``
-of the content. Line-local rules are regex projections. The two rules that look
-beyond one line use windows partitioned by file:
-
-* docstrings (X4) look at the next two lines (``lead``) and, when a docstring
-  spans lines, at the next line holding the closing quote (a reverse running
-  ``min`` -- linear, no pairs); the body is then sliced out of the file's own line
-  array, once per file row.
-* call scope (X6) is a running ``last(..., ignorenulls)`` of struct markers: a
-  ``def`` at indent 0/4 sets the scope, a non-indented non-def non-class line
-  resets it to null (the struct wrapper keeps a null scope from being skipped).
+Input is ``source_files(project, path, content)``. A file's lines are cut into blocks of ``BLOCK`` lines, each with
+the two lines that follow it, by a generator over the row: line rules, and those that look two lines ahead, are
+plain projections without a shuffle. What reaches further is a segmented scan: each block is summarised, the
+summaries of a file are combined in order (one row per block), and a block's rows start from what its
+predecessors leave. So a file of any length spreads over as many tasks as it has blocks.
+
+* call scope (X6, W3): a ``def`` at indent 0/4 sets the scope, a non-indented non-def non-class line resets it to
+  null (the struct wrapper keeps a null scope from being skipped). Summary: the block's last marker.
+* docstrings over several lines (X4, W4): summary per quote: the first line of the block that holds it. The
+  body is put together from the slices of the blocks it touches.
+* places of elements and edges: summary: how many the block holds.
 """
 
 from __future__ import annotations
@@ -19,7 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions.text import module_to_path
-from codeatlas.plans.partitioning import file_major
+from codeatlas.plans.partitioning import numbered
+from codeatlas.plans.stored import stored
+
+FILE = ["project", "path"]
+#: Lines in a block.
+BLOCK = 4096
 
 # Matching rules and stop words.
 DEF_RE = r"^def\s+([a-zA-Z_]\w*)\s*\("
@@ -41,14 +46,22 @@ def _trim(c) -> F.Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def lines_of(source_files: DataFrame) -> DataFrame:
-    """(project, path, line_no, line): one row per ``\\n``-separated line, 1-based."""
-    return source_files.select("project", "path", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line")) \
-        .select("project", "path", (F.col("pos") + 1).alias("line_no"), "line")
+def blocks_of(source_files: DataFrame, size: int | None = None) -> DataFrame:
+    """(project, path, block, first, L): up to ``size`` lines of a file and the two that follow; ``first`` is the
+    0-based number of the first."""
+    size = size or BLOCK
+    cut = source_files.select(*FILE, F.split("content", "\n", -1).alias("L"))
+    at = F.sequence(F.lit(0), F.floor((F.size("L") - 1) / size).cast("int"))
+    return cut.select(*FILE, "L", F.explode(at).alias("block")).select(
+        *FILE, "block", (F.col("block") * size).alias("first"), F.slice("L", F.col("block") * size + 1, F.lit(size + 2)).alias("L"), F.lit(size).alias("size"))
 
 
-def _file_window():
-    return Window.partitionBy("project", "path").orderBy("line_no")
+def lines_of(source_files: DataFrame, size: int | None = None) -> DataFrame:
+    """(project, path, block, line_no, line, n1, n2): one row per ``\\n``-separated line, 1-based, with the two lines
+    after it (null past the end of the file)."""
+    own = F.slice("L", F.lit(1), F.col("size"))
+    rows = F.transform(own, lambda line, i: F.struct((F.col("first") + i + 1).alias("line_no"), line.alias("line"), F.get("L", i + 1).alias("n1"), F.get("L", i + 2).alias("n2")))
+    return blocks_of(source_files, size).select(*FILE, "block", F.inline(rows))
 
 
 def declarations(lines: DataFrame) -> DataFrame:
@@ -70,78 +83,81 @@ def declarations(lines: DataFrame) -> DataFrame:
         F.struct(F.lit(2).alias("rule"), var.alias("name"), F.lit("variable").alias("type"), none.alias("signature"), is_var.alias("hit")),
     )
     return (lines.where(line.rlike(r"^(def|class|[a-zA-Z_])"))
-            .select("project", "path", "line_no", F.inline(F.filter(cands, lambda c: c["hit"])))
+            .select(*FILE, "block", "line_no", "n1", "n2", F.inline(F.filter(cands, lambda c: c["hit"])))
             .drop("hit"))
 
 
-def _docstring_inputs(lines: DataFrame) -> DataFrame:
-    """Per line: the next two lines and, for each quote kind, the next later line
-    holding it (reverse running min: linear per file)."""
-    w = _file_window()
-    rev = Window.partitionBy("project", "path").orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    out = lines
-    for i in (1, 2):
-        out = out.withColumn(f"n{i}", F.lead("line", i).over(w)).withColumn(f"n{i}_no", F.lead("line_no", i).over(w))
-    for k, q in enumerate(QUOTES):
-        out = out.withColumn(f"c{k}", F.min(F.when(F.instr("line", q) > 0, F.col("line_no"))).over(rev))
-    for i in (1, 2):
-        out = out.withColumn(f"n{i}_c", F.array(*[F.lead(f"c{k}", i).over(w) for k in range(len(QUOTES))]))
-    return out
-
-
-def docstrings(lines: DataFrame, decls: DataFrame, source_files: DataFrame) -> DataFrame:
-    """Docstring of each declaration (X4): the first non-blank of the next two lines
-    must open with a quote; single-line -> text up to the closing quote; else the
-    text up to the next line holding that quote (or EOF), trimmed; empty -> null."""
-    di = _docstring_inputs(lines).select("project", "path", "line_no", "n1", "n2", "n1_no", "n2_no", "n1_c", "n2_c")
-    d = decls.select("project", "path", "line_no").distinct().join(di, ["project", "path", "line_no"])
+def _closing_lines(openers: DataFrame, lines: DataFrame) -> DataFrame:
+    """``openers`` (project, path, block, line_no, o_no, q, ...) with ``c_no``, the next line after ``o_no`` that holds
+    ``q``; null if none does."""
+    has = F.filter(F.array(*[F.when(F.instr("line", q) > 0, F.lit(q)) for q in QUOTES]), lambda q: q.isNotNull())
+    quotes = lines.select(*FILE, "block", "line_no", F.explode(has).alias("q"))
+    # In the opener's own block: lines from the last to the first, an opener before the quote on its own line.
+    both = openers.select(*FILE, "o_block", "q", F.col("o_no").alias("at"), F.lit(1).alias("opens")).withColumnRenamed("o_block", "block").unionByName(
+        quotes.select(*FILE, "block", "q", F.col("line_no").alias("at"), F.lit(0).alias("opens"))).distinct()
+    down = Window.partitionBy(*FILE, "block", "q").orderBy(F.col("at").desc(), F.col("opens").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    here = both.withColumn("near", F.min(F.when(F.col("opens") == 0, F.col("at"))).over(down)).where("opens = 1").select(
+        *FILE, F.col("block").alias("o_block"), "q", F.col("at").alias("o_no"), "near")
+    # In later blocks: one row per block and quote.
+    firsts = quotes.groupBy(*FILE, "q", "block").agg(F.min("line_no").alias("m"))
+    firsts = firsts.unionByName(openers.select(*FILE, "q", F.col("o_block").alias("block"), F.lit(None).cast("int").alias("m"))).groupBy(*FILE, "q", "block").agg(F.min("m").alias("m"))
+    later = Window.partitionBy(*FILE, "q").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.select(*FILE, "q", F.col("block").alias("o_block"), F.min("m").over(later).alias("far"))
+    return openers.join(here, [*FILE, "o_block", "q", "o_no"]).join(firsts, [*FILE, "o_block", "q"]).withColumn("c_no", F.coalesce("near", "far")).drop("near", "far")
+
+
+def docstrings(source_files: DataFrame, lines: DataFrame, size: int | None = None) -> DataFrame:
+    """Docstrings that span lines (X4), of ``declarations`` rows whose opener has no closing quote on its own line:
+    the text up to the next line holding that quote (or EOF), trimmed; empty -> null."""
+    size = size or BLOCK
+    openers = _opened(declarations(lines).where("type <> 'variable'")).where("q <> '' and close_at = 0").select(*FILE, "line_no", "o_no", "q", "rest").distinct()
+    openers = stored(openers.withColumn("o_block", F.floor((F.col("o_no") - 1) / size).cast("int")))
+    if openers.isEmpty():
+        return openers.select(*FILE, "line_no", F.lit(None).cast("string").alias("body"))
+    d = _closing_lines(openers, lines)
+    ends = blocks_of(source_files, size).join(openers.select(*FILE).distinct(), FILE, "left_semi").groupBy(*FILE).agg(F.max("block").alias("last_block"))
+    d = d.join(ends, FILE)
+    # A body meets each block it touches, and is joined from their slices in order.
+    touched = F.sequence(F.floor(F.col("o_no") / size).cast("int"), F.greatest(F.floor(F.col("o_no") / size).cast("int"), F.coalesce(F.floor((F.col("c_no") - 1) / size).cast("int"), F.col("last_block"))))
+    specs = d.select(*FILE, "line_no", "o_no", "c_no", "q", "rest", F.explode(touched).alias("block"))
+    own = F.slice("L", F.lit(1), F.col("size"))
+    lo = F.greatest(F.col("o_no") - F.col("first"), F.lit(0))
+    between = F.slice(own, lo + 1, F.greatest(F.least(F.coalesce(F.col("c_no") - 1, F.lit((1 << 31) - 1)) - F.col("first"), F.size(own)) - lo, F.lit(0)))
+    last = F.get("L", F.col("c_no") - 1 - F.col("first"))
+    closes = F.col("c_no").between(F.col("first") + 1, F.col("first") + F.size(own))
+    closing = F.when(closes, F.array(F.substr(last, F.lit(1), F.position(F.col("q"), last) - 1))).otherwise(F.array().cast("array<string>"))
+    pieces = specs.join(blocks_of(source_files, size), [*FILE, "block"]).select(*FILE, "line_no", "block", "rest", F.concat(between, closing).alias("piece"))
+    body = pieces.groupBy(*FILE, "line_no").agg(F.first("rest").alias("rest"), F.sort_array(F.collect_list(F.struct("block", "piece"))).alias("ps"))
+    text = F.array_join(F.concat(F.array("rest"), F.flatten(F.transform("ps", lambda p: p["piece"]))), "\n")
+    return body.select(*FILE, "line_no", F.nullif(_trim(text), F.lit("")).alias("body"))
+
+
+def _opened(decls: DataFrame) -> DataFrame:
+    """``decls`` with the docstring that may open in the next two lines: the first non-blank of them (``o_no`` its
+    number), its quote ``q`` (empty if none), what follows the quote, and where it closes there (0 if it doesn't)."""
     t1, t2 = _trim(F.col("n1")), _trim(F.col("n2"))
     use1 = F.col("n1").isNotNull() & (t1 != "")
     use2 = ~use1 & F.col("n2").isNotNull() & (t2 != "")
-    opener = F.when(use1, t1).when(use2, t2)
-    o_no = F.when(use1, F.col("n1_no")).when(use2, F.col("n2_no"))
-    o_next = F.when(use1, F.col("n1_c")).when(use2, F.col("n2_c"))
-    quote = F.regexp_extract(opener, r"""^(["']{3}|["'])""", 1)
-    d = d.select("project", "path", F.col("line_no").alias("decl_line"), opener.alias("opener"), o_no.alias("o_no"),
-                 o_next.alias("o_next"), quote.alias("q")).where(F.col("q") != "")
-    rest = F.expr("substring(opener, length(q) + 1)")
-    close_at = F.instr(rest, F.col("q"))
-    qk = F.when(F.col("q") == '"""', 1).when(F.col("q") == "'''", 2).when(F.col("q") == '"', 3).when(F.col("q") == "'", 4)
-    d = d.withColumn("rest", rest).withColumn("close_at", close_at).withColumn(
-        "c_no", F.when(qk.isNotNull(), F.element_at("o_next", F.coalesce(qk, F.lit(1)))))
-    single = d.where(F.col("close_at") > 0).select(
-        "project", "path", "decl_line", F.nullif(_trim(F.expr("substring(rest, 1, close_at - 1)")), F.lit("")).alias("doc_comment"))
-    multi = d.where(F.col("close_at") == 0)
-    # Bodies of multi-line docstrings: slice the file's own line array, one pass per file row.
-    specs = multi.groupBy("project", "path").agg(F.collect_list(F.struct("decl_line", "o_no", "c_no", "rest", "q")).alias("specs"))
-    def body(s):
-        between = F.slice("L", s["o_no"] + 1, F.coalesce(s["c_no"], F.size("L") + 1) - s["o_no"] - 1)
-        last = F.element_at("L", s["c_no"])
-        closing = F.when(s["c_no"].isNotNull(), F.array(F.substr(last, F.lit(1), F.position(s["q"], last) - 1))) \
-            .otherwise(F.array().cast("array<string>"))
-        text = F.array_join(F.concat(F.array(s["rest"]), between, closing), "\n")
-        return F.struct(s["decl_line"].alias("decl_line"), text.alias("body"))
-
-    files = source_files.select("project", "path", F.split("content", "\n", -1).alias("L"))
-    sliced = (specs.join(files, ["project", "path"])
-              .select("project", "path", F.explode(F.transform("specs", body)).alias("x"))
-              .select("project", "path", "x.decl_line",
-                      F.nullif(_trim(F.col("x.body")), F.lit("")).alias("doc_comment")))
-    return single.unionByName(sliced)
-
-
-def python_elements(source_files: DataFrame) -> DataFrame:
-    """Elements of Python files in line order."""
-    lines = lines_of(source_files)
-    decls = declarations(lines)
-    docs = docstrings(lines, decls, source_files)
-    e = decls.join(docs.withColumnRenamed("decl_line", "line_no"), ["project", "path", "line_no"], "left")
-    w = Window.partitionBy("project", "path").orderBy("line_no", "rule")
+    opener = F.coalesce(F.when(use1, t1).when(use2, t2), F.lit(""))
+    d = decls.withColumns({"opener": opener, "o_no": F.when(use1, F.col("line_no") + 1).when(use2, F.col("line_no") + 2),
+                           "q": F.regexp_extract(opener, r"""^(["']{3}|["'])""", 1)})
+    d = d.withColumn("rest", F.expr("substring(opener, length(q) + 1)"))
+    return d.withColumn("close_at", F.when(F.col("q") != "", F.instr("rest", F.col("q"))).otherwise(F.lit(0)))
+
+
+def python_elements(source_files: DataFrame, size: int | None = None) -> DataFrame:
+    """Elements of Python files in line order (X1-X4, X17). Docstring of a declaration: the first non-blank of the
+    next two lines must open with a quote; single-line -> text up to the closing quote; else ``docstrings``."""
+    lines = lines_of(source_files, size)
+    e = _opened(declarations(lines))
+    single = F.when(F.col("close_at") > 0, F.nullif(_trim(F.expr("substring(rest, 1, close_at - 1)")), F.lit("")))
+    e = e.select(*FILE, "block", "line_no", "rule", "name", "type", "signature", single.alias("doc_comment"))
+    e = e.join(docstrings(source_files, lines, size), [*FILE, "line_no"], "left")
+    e = numbered(e, FILE, ["block"], ["line_no", "rule"], "elem_ord")
     return e.select(
-        "project", "path", F.row_number().over(w).cast("long").alias("elem_ord"),
-        F.concat("path", F.lit(":"), "name").alias("id"), "name", "type", F.col("line_no").cast("int").alias("line"),
+        *FILE, "elem_ord", F.concat("path", F.lit(":"), "name").alias("id"), "name", "type", F.col("line_no").cast("int").alias("line"),
         "signature",
-        F.when(F.col("type") == "variable", F.lit(None).cast("string")).otherwise(F.col("doc_comment")).alias("doc_comment"),
+        F.when(F.col("type") != "variable", F.coalesce("doc_comment", "body")).alias("doc_comment"),
         (~F.col("name").startswith("_")).alias("exported"))
 
 
@@ -159,8 +175,8 @@ def python_imports(lines: DataFrame) -> DataFrame:
     plain_rows = F.transform(mods, lambda m: F.struct(m.alias("module"), F.lit(None).cast("string").alias("name")))
     rows = F.when(mod != "", from_rows).when(plain != "", plain_rows)
     return (lines.where(t.rlike(r"^(from|import)\s"))
-            .select("project", "path", "line_no", F.posexplode(rows).alias("pos", "imp"))
-            .select("project", "path", "line_no", "pos", "imp.module", "imp.name"))
+            .select(*FILE, "block", "line_no", F.posexplode(rows).alias("pos", "imp"))
+            .select(*FILE, "block", "line_no", "pos", "imp.module", "imp.name"))
 
 
 def python_bases(lines: DataFrame) -> DataFrame:
@@ -169,9 +185,9 @@ def python_bases(lines: DataFrame) -> DataFrame:
     bases = F.filter(F.transform(F.split(F.regexp_extract("line", BASES_RE, 2), ","), _trim),
                      lambda b: (b != "") & (b != "object"))
     return (lines.where(F.col("line").startswith("class"))
-            .select("project", "path", "line_no", cls.alias("class_name"), bases.alias("bases"))
+            .select(*FILE, "block", "line_no", cls.alias("class_name"), bases.alias("bases"))
             .where(F.col("class_name") != "")
-            .select("project", "path", "line_no", "class_name", F.posexplode("bases").alias("pos", "base")))
+            .select(*FILE, "block", "line_no", "class_name", F.posexplode("bases").alias("pos", "base")))
 
 
 def python_calls(lines: DataFrame) -> DataFrame:
@@ -184,24 +200,29 @@ def python_calls(lines: DataFrame) -> DataFrame:
     resets = ((F.length(line) > 0) & ~line.startswith(" ") & ~line.startswith("\t") & ~is_def
               & ~line.rlike(r"^class\s+"))
     marker = F.when(sets, F.struct(m_name.alias("caller"))).when(resets, F.struct(F.lit(None).cast("string").alias("caller")))
-    w = _file_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scoped = lines.withColumn("scope", F.last(marker, ignorenulls=True).over(w))
-    callees = F.regexp_extract_all(line, F.lit(CALL_RE), 1)
-    return (scoped.select("project", "path", "line_no", F.col("scope.caller").alias("caller"),
-                          F.posexplode(callees).alias("pos", "callee"))
-            .where(~F.col("callee").isin(CALL_STOP_WORDS)))
-
-
-def python_edges(source_files: DataFrame) -> DataFrame:
+    callees = F.filter(F.regexp_extract_all(line, F.lit(CALL_RE), 1), lambda c: ~c.isin(CALL_STOP_WORDS))
+    # Thin rows: the line's marker comes before its calls.
+    events = lines.select(*FILE, "block", "line_no", marker.alias("marker"), callees.alias("callees")).where(F.col("marker").isNotNull() | (F.size("callees") > 0))
+    here = Window.partitionBy(*FILE, "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    events = events.withColumn("scope", F.last("marker", ignorenulls=True).over(here))
+    ends = events.groupBy(*FILE, "block").agg(F.max_by("marker", F.when(F.col("marker").isNotNull(), F.col("line_no"))).alias("end"))
+    before = Window.partitionBy(*FILE).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*FILE, "block", F.last("end", ignorenulls=True).over(before).alias("carried"))
+    scoped = events.where(F.size("callees") > 0).join(carried, [*FILE, "block"])
+    return scoped.select(*FILE, "block", "line_no", F.coalesce("scope", "carried")["caller"].alias("caller"), F.posexplode("callees").alias("pos", "callee"))
+
+
+def python_edges(source_files: DataFrame, size: int | None = None) -> DataFrame:
     """Edges of Python files (X5-X7, X18): file by file; in a file imports, then inheritance, then calls."""
-    lines = lines_of(source_files)
+    lines = lines_of(source_files, size)
 
     def part(rows: DataFrame, section: int, kind: str, dst, from_, to) -> DataFrame:
         return rows.select("project", F.col("path").alias("src_path"), dst.alias("dst_path"), F.lit(kind).alias("type"),
-                           from_.alias("from_element"), to.alias("to_element"), F.lit(section).alias("_section"), "line_no", "pos")
+                           from_.alias("from_element"), to.alias("to_element"), F.lit(section).alias("_section"), "block", "line_no", "pos")
 
     own, none = F.col("path"), F.lit(None).cast("string")
     rows = (part(python_imports(lines), 0, "import", module_to_path("module"), none, F.col("name"))
             .unionByName(part(python_bases(lines), 1, "extends", own, F.col("class_name"), F.col("base")))
             .unionByName(part(python_calls(lines), 2, "call", own, F.col("caller"), F.col("callee"))))
-    return file_major(rows, ["_section", "line_no", "pos"])
+    rows = numbered(stored(rows), ["project"], ["src_path", "_section", "block"], ["line_no", "pos"], "edge_ord")
+    return rows.select("project", "edge_ord", "src_path", "dst_path", "type", "from_element", "to_element")

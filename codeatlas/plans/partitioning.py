@@ -28,19 +28,22 @@ def place_in_group(df: DataFrame, group_cols, ord_col: str, out_col: str) -> Dat
     return rows.join(sizes, same).withColumn(out_col, (F.col("_before") + F.col("_in")).cast("long")).select(*df.columns, out_col)
 
 
-def file_major(rows: DataFrame, order_cols, out_col: str = "edge_ord") -> DataFrame:
-    """Number the rows of a project file by file (path order), within a file by ``order_cols``.
-
-    Rows are numbered inside their file; what earlier files hold is a prefix sum over one
-    row per file. ``order_cols`` are dropped."""
-    order_cols = list(order_cols)
-    per = rows.groupBy("project", "src_path").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("project").orderBy("src_path").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("project", "src_path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("project", "src_path").orderBy(*order_cols))
-    numbered = rows.withColumn("_in", within).join(per, ["project", "src_path"])
-    keep = [c for c in rows.columns if c not in order_cols and c != "project"]
-    return numbered.select("project", (F.col("_before") + F.col("_in")).cast("long").alias(out_col), *keep)
+def numbered(rows: DataFrame, group_cols, chunk_cols, order_cols, out_col: str) -> DataFrame:
+    """1-based number of each row in its group, by ``chunk_cols`` and, in a chunk, by ``order_cols``.
+
+    No task holds more than a chunk: rows are numbered in their chunk and shifted by what the chunks before hold,
+    a running total over one row per chunk. ``rows`` is read twice."""
+    group_cols, chunk_cols = list(group_cols), list(chunk_cols)
+    keys = [*group_cols, *chunk_cols]
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if len(group_cols) > 1:  # few chunks in a group, as the blocks of a file
+        before = Window.partitionBy(*group_cols).orderBy(*chunk_cols).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    else:
+        sizes = running_total(sizes, group_cols, chunk_cols, "_n", "_before")
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_cols))
+    out = rows.withColumn("_in", within).join(sizes.drop("_n"), keys)
+    return out.withColumn(out_col, (F.col("_before") + F.col("_in")).cast("long")).drop("_before", "_in")
 
 
 def lag_in_order(df: DataFrame, group_cols, order_cols, value_col: str, out_col: str) -> DataFrame:

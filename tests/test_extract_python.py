@@ -79,3 +79,31 @@ def test_scope_reset_and_class_keep(spark):
     assert got == [(1, "f", "f"), (2, "f", "g"), (3, None, "h"), (4, None, "K"), (5, None, "k"),
                    (6, None, "deep"), (7, None, "m")]
     assert F is not None
+
+
+def _long_file(n):
+    part = ['def f{k}(a):', '    """Doc {k}', '    goes on', "    here.\"\"\"", '    return g{k}(a)', 'class K{k}(Base, object):', "    '''one'''",
+            '    def m(self):', '        self.go{k}()', '', 'x{k} = h({k})', 'from a.b{k} import c as d, e', 'def last{k}(): ', '', "    'open {k}", '    run()']
+    return "\n".join(line.replace("{k}", str(k)) for k in range(n) for line in part)
+
+
+def test_blocks_of_any_size_give_the_same_rows(spark):
+    """Markers, docstrings and numbers that cross the borders of blocks."""
+    src = source_files(spark, [("p", "hot.py", _long_file(12)), ("p", "a.py", "def a():\n    '''x\n\ny''' z\nb()"), ("q", "e.py", ""), ("q", "one.py", "f()")])
+    whole = [sorted(map(str, f(src).collect())) for f in (xp.python_elements, xp.python_edges)]
+    for size in (1, 2, 3, 7, 64):
+        assert [sorted(map(str, f(src, size).collect())) for f in (xp.python_elements, xp.python_edges)] == whole, size
+
+
+def test_a_hot_file_spreads_over_tasks(spark):
+    """A file with most lines: the rows of its blocks go to several tasks."""
+    src = source_files(spark, [("p", "hot.py", _long_file(400)), ("p", "a.py", "f()\n")])
+    from pyspark.sql import functions as G
+    from codeatlas.plans.partitioning import numbered
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        calls = xp.python_calls(xp.lines_of(src, 64))
+        rows = numbered(calls, ["project", "path"], ["block"], ["line_no", "pos"], "n").select(G.spark_partition_id().alias("t")).groupBy("t").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) >= 4 and max(r["count"] for r in rows) < sum(r["count"] for r in rows) / 2
