@@ -22,8 +22,8 @@ FILL = "\x01"
 SCAN_SCHEMA = ("project string, path string, statements array<struct<kind:string,start:int,line:int,raw:string,skeleton:string,doc:string,top:boolean>>, "
                "calls array<struct<callee:string,caller:string>>")
 
-_LEX = re.compile(r"(?P<space>\s+)|(?P<comment>//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/)?)|(?P<string>'(?:\\.|[^'\\\n])*'?|\"(?:\\.|[^\"\\\n])*\"?)"
-                  r"|(?P<word>[\w$¡-\U0010ffff]+)|(?P<op>=>|\?\.(?!\d)|\.\.\.|&&|\|\||\?\?|\+\+|--|.)", re.S)
+_LEX = re.compile(r"(\s*)(?:(?P<comment>//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/)?)|(?P<string>'(?:\\.|[^'\\\n])*'?|\"(?:\\.|[^\"\\\n])*\"?)"
+                  r"|(?P<word>[\w$¡-\U0010ffff]+)|(?P<op>=>|\?\.(?!\d)|\.\.\.|&&|\|\||\?\?|\+\+|--|.|\Z))", re.S)
 _TEMPLATE = re.compile(r"(?:\\.|[^`\\$]|\$(?!\{))*(`|\$\{)?", re.S)
 _REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[\w$]*")
 _ATOM = r"(?:(?!&&|\|\|)[^<>(){};=]|=>|\{[^{}]*\}|\([^()]*\)|%s)*"
@@ -127,11 +127,13 @@ def scan(src: str | None) -> tuple[list[tuple], list[tuple]]:
                 last, last_end, chain = "`", at, None
             continue
         m = _LEX.match(src, at)
-        kind, token, start = m.lastgroup, m.group(), at
-        at = m.end()
-        if kind == "space":
-            newline = newline or "\n" in token
-            continue
+        kind = m.lastgroup
+        start, at = m.span(kind)
+        token = src[start:at]
+        if not newline and m[1] and "\n" in m[1]:
+            newline = True
+        if not token:
+            break
         if kind == "comment":
             newline = newline or "\n" in token
             if token.startswith("/**") and token.endswith("*/") and len(token) > 4:

@@ -32,7 +32,6 @@ CLASS = _HEAD + (rf"class\b)(\s+(?!extends\b|implements\b){ID})?(\s*(?:<{FILL}*>
                  r"(?:(?<=extends\s{1,99})((?:(?!\bimplements\b).)*))?(\bimplements\s+)?(.*)$")
 NAMED = _HEAD + rf"(?:const\s+)?(?:interface|type|enum)\s+)({ID})"
 VARIABLE = r"(?s)^((?:export\s+)?(?:declare\s+)?(?:const|let|var)\b)(.*)$"
-KINDS = ["function", "class", "interface", "type", "enum", "variable"]
 
 
 def scanned(source_files: DataFrame) -> DataFrame:
@@ -54,13 +53,15 @@ def _listed(raw: Column, start: Column, skeleton: Column) -> Column:
     return F.filter(each, lambda e: e["text"] != "")
 
 
-def _group(s: Column, pattern: str, k: int) -> Column:
-    return F.regexp_extract(s["skeleton"], pattern, k)
+def _matched(s: Column, pattern: str, groups: int) -> Column:
+    """The statement with the groups of its pattern."""
+    return F.struct(s["raw"].alias("raw"), s["skeleton"].alias("skeleton"), s["line"].alias("line"), s["doc"].alias("doc"),
+                    *[F.regexp_extract(s["skeleton"], pattern, k).alias(f"g{k}") for k in range(1, groups + 1)])
 
 
-def _up_to(s: Column, pattern: str, k: int) -> Column:
+def _up_to(s: Column, k: int) -> Column:
     """Length of the first ``k`` groups, which follow each other."""
-    return sum((F.length(_group(s, pattern, j)) for j in range(1, k + 1)), F.lit(0))
+    return sum((F.length(s[f"g{j}"]) for j in range(1, k + 1)), F.lit(0))
 
 
 def _exported(s: Column) -> Column:
@@ -72,43 +73,37 @@ def _element(name: Column, kind: str, line: Column, signature: Column, s: Column
                     s["doc"].alias("doc_comment"), exported.alias("exported"))
 
 
-def function_name(s: Column) -> Column:
-    name = _group(s, FUNCTION, 2)
-    return F.when(name == "", F.lit("<anonymous>")).otherwise(name)
-
-
 def _functions(s: Column) -> Column:
     """Name, parameters joined by a comma and a space, and the declared return type."""
-    start = F.length(_group(s, FUNCTION, 1))
-    params = F.array_join(F.transform(_listed(s["raw"], start, _group(s, FUNCTION, 3)), lambda p: p["text"]), ", ")
-    tail = start + F.length(_group(s, FUNCTION, 3)) + F.length(_group(s, FUNCTION, 4))
-    ret = F.when(_group(s, FUNCTION, 4).contains(":"), _cut(s["raw"], tail, _group(s, FUNCTION, 5))).otherwise("")
-    name = function_name(s)
+    params = F.array_join(F.transform(_listed(s["raw"], F.length(s["g1"]), s["g3"]), lambda p: p["text"]), ", ")
+    tail = F.length(s["g1"]) + F.length(s["g3"]) + F.length(s["g4"])  # the name is a part of the first group
+    ret = F.when(s["g4"].contains(":"), _cut(s["raw"], tail, s["g5"])).otherwise("")
+    name = F.when(s["g2"] == "", F.lit("<anonymous>")).otherwise(s["g2"])
     signature = F.concat(name, F.lit("("), params, F.lit(")"), F.when(ret != "", F.concat(F.lit(": "), ret)).otherwise(""))
     return F.array(_element(name, "function", s["line"], signature, s, _exported(s)))
 
 
 def class_name(s: Column) -> Column:
-    return F.trim(F.regexp_replace(_group(s, CLASS, 2), r"\s+", ""))
+    return F.regexp_replace(s["g2"], r"\s+", "")
 
 
 def base_class(s: Column) -> Column:
     """The extended expression as written, empty if there is none."""
-    return _cut(s["raw"], _up_to(s, CLASS, 4), _group(s, CLASS, 5))
+    return _cut(s["raw"], _up_to(s, 4), s["g5"])
 
 
 def _classes(s: Column) -> Column:
-    name = F.when(class_name(s) == "", F.lit("<anonymous>")).otherwise(class_name(s))
-    base = base_class(s)
-    signature = F.concat(F.lit("class "), name, F.when(base != "", F.concat(F.lit(" extends "), base)).otherwise(""))
+    """Name and extended class."""
+    name = F.when(s["g2"] == "", F.lit("<anonymous>")).otherwise(class_name(s))
+    signature = F.concat(F.lit("class "), name, F.when(s["g5"] != "", F.concat(F.lit(" extends "), base_class(s))).otherwise(""))
     return F.array(_element(name, "class", s["line"], signature, s, _exported(s)))
 
 
 def _named(kind: str):
+    """Interfaces, type aliases and enums."""
     def of(s: Column) -> Column:
-        name = _group(s, NAMED, 2)
-        signature = F.concat(F.lit("interface "), name) if kind == "interface" else F.lit(None)
-        return F.array(_element(name, kind, s["line"], signature, s, _exported(s)))
+        signature = F.concat(F.lit("interface "), s["g2"]) if kind == "interface" else F.lit(None)
+        return F.array(_element(s["g2"], kind, s["line"], signature, s, _exported(s)))
     return of
 
 
@@ -118,7 +113,18 @@ def _variables(s: Column) -> Column:
         name = F.regexp_extract(d["skeleton"], rf"(?s)^\s*(\{{{FILL}*\}}|\[{FILL}*\]|[^\s:=!]+)", 1)
         line = s["line"] + F.length(F.regexp_replace(F.substr(s["raw"], F.lit(1), d["at"]), r"[^\n]+", ""))
         return _element(F.substr(d["text"], F.lit(1), F.length(name)), "variable", line, F.lit(None), s, _exported(s))
-    return F.transform(_listed(s["raw"], F.length(_group(s, VARIABLE, 1)), _group(s, VARIABLE, 2)), of)
+    return F.transform(_listed(s["raw"], F.length(s["g1"]), s["g2"]), of)
+
+
+#: Rule, pattern and number of its groups, by the kind of the statement; in the order of a file's elements.
+RULES = {"function": (_functions, FUNCTION, 5), "class": (_classes, CLASS, 7), "interface": (_named("interface"), NAMED, 2),
+         "type": (_named("type"), NAMED, 2), "enum": (_named("enum"), NAMED, 2), "variable": (_variables, VARIABLE, 2)}
+
+
+def _of(kind: str, rule, pattern: str = "", groups: int = 0) -> Column:
+    """What a rule makes of a file's top-level statements of a kind."""
+    own = F.filter("statements", lambda s: s["top"] & (s["kind"] == kind))
+    return F.flatten(F.transform(F.transform(own, lambda s: _matched(s, pattern, groups)), rule))
 
 
 def exported_names(statements: Column) -> Column:
@@ -130,17 +136,11 @@ def exported_names(statements: Column) -> Column:
     return F.concat(names, default)
 
 
-def _of(kind: str, rule) -> Column:
-    """What a rule makes of a file's top-level statements of a kind."""
-    return F.flatten(F.transform(F.filter("statements", lambda s: s["top"] & (s["kind"] == kind)), rule))
-
-
 def ts_elements(source_files: DataFrame | None, scan: DataFrame | None = None) -> DataFrame:
     """Top-level elements of TS/JS files (X8-X12, X17): functions, classes, interfaces, type aliases, enums,
     variables -- each group in source order. ``scan``: the files' ``scanned`` table, if it is there already."""
     scan = scanned(source_files) if scan is None else scan
-    rules = {"function": _functions, "class": _classes, "interface": _named("interface"), "type": _named("type"), "enum": _named("enum"), "variable": _variables}
-    groups = [_of(kind, rules[kind]) for kind in KINDS]
+    groups = [_of(kind, *rule) for kind, rule in RULES.items()]
     rows = scan.select(*FILE, exported_names(F.col("statements")).alias("listed"), F.posexplode(F.concat(*groups)).alias("place", "e"))
     return rows.select(*FILE, (F.col("place") + 1).cast("long").alias("elem_ord"), F.concat("path", F.lit(":"), "e.name").alias("id"), "e.name", "e.type", "e.line",
                        "e.signature", "e.doc_comment", (F.col("e.exported") | F.array_contains("listed", F.col("e.name"))).alias("exported"))
@@ -166,8 +166,8 @@ def _heritage(s: Column) -> Column:
     """The extended class, then the implemented types."""
     name = F.nullif(class_name(s), F.lit(""))
     none, base = F.lit(None), base_class(s)
-    types = F.when(_group(s, CLASS, 6) != "", _listed(s["raw"], _up_to(s, CLASS, 6), _group(s, CLASS, 7)))
-    return F.concat(F.when(base != "", F.array(_edge("extends", none, name, base))).otherwise(F.array()),
+    types = F.when(s["g6"] != "", _listed(s["raw"], _up_to(s, 6), s["g7"]))
+    return F.concat(F.when(s["g5"] != "", F.array(_edge("extends", none, name, base))).otherwise(F.array()),
                     F.coalesce(F.transform(types, lambda t: _edge("implements", none, name, t["text"])), F.array()))
 
 
@@ -198,7 +198,7 @@ def ts_edges(source_files: DataFrame | None, files: DataFrame | None = None, sca
     scan = scanned(source_files) if scan is None else scan
     calls = F.transform("calls", lambda c: _edge("call", F.lit(None), c["caller"], c["callee"]))
     # Thin, and read three times: by the counts, the specifiers and the edges.
-    per = stored(scan.select(*FILE, F.concat(_of("import", _imports), _of("class", _heritage), calls).alias("edges")).where(F.size("edges") > 0))
+    per = stored(scan.select(*FILE, F.concat(_of("import", _imports), _of("class", _heritage, CLASS, 7), calls).alias("edges")).where(F.size("edges") > 0))
     before = running_total(per.select(*FILE, F.size("edges").alias("n")), ["project"], ["path"], "n", "before")
     rows = per.join(before.select(*FILE, "before"), FILE).select(*FILE, "before", F.posexplode("edges").alias("place", "e"))
     rows = rows.select(*FILE, (F.col("before") + F.col("place") + 1).cast("long").alias("edge_ord"), "e.*")
