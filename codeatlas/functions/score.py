@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeatlas.functions.text import col_of
@@ -22,7 +22,10 @@ SCORE_EXACT_TOKENS = 0.8
 SCORE_FUZZY_TOKENS = 0.6
 MIN_SCORE = 0.3
 
-_PY_NON_WORD = re.compile(r"[\W_]+", re.UNICODE)
+PY_NON_WORD = re.compile(r"[\W_]+", re.UNICODE)
+#: Query positions per bit set.
+_BITS = 62
+_ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 
 
 def tokenize(text) -> Column:
@@ -36,16 +39,58 @@ def tokenize_py(text: str) -> list[str]:
     if not text:
         return []
     spaced = re.sub(CAMEL_BOUNDARY, r"\1 \2", text).lower()
-    return [t for t in _PY_NON_WORD.split(spaced) if t]
+    return [t for t in PY_NON_WORD.split(spaced) if t]
+
+
+def utf16_length(text: str) -> int:
+    return len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
 def fuzzy_threshold(token: str) -> int:
-    return 1 if len(token) <= 4 else 2
+    return 1 if utf16_length(token) <= 4 else 2
+
+
+def utf16_units_py(text: str) -> str:
+    """One letter per UTF-16 unit: halves of letters beyond U+FFFF become private-use ones, which no token holds."""
+    units = text.encode("utf-16-be", "surrogatepass")
+    codes = (units[i] << 8 | units[i + 1] for i in range(0, len(units), 2))
+    return "".join(chr(u + 0x800) if 0xD800 <= u < 0xE000 else chr(u) for u in codes)
+
+
+def utf16_units(text: Column) -> Column:
+    """``utf16_units_py`` as an expression."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
+    moved = F.transform(units, lambda u: F.when(u.rlike("^D[89A-F]"), F.concat(F.lit("E"), F.translate(F.substring(u, 2, 1), "89ABCDEF", "01234567"), F.substring(u, 3, 2))).otherwise(u))
+    return F.decode(F.unhex(F.array_join(moved, "")), "UTF-16BE")
+
+
+def near(token: Column, q: str) -> Column:
+    """Whether ``token`` is within the threshold of ``q``, by the edit distance in UTF-16 units.
+
+    It is never below the distance in code points, so only tokens that pass this one and hold letters beyond U+FFFF
+    are taken apart."""
+    most = fuzzy_threshold(q)
+    apart = F.levenshtein(utf16_units(token), F.lit(utf16_units_py(q)), most) >= 0
+    plain = F.lit(True) if utf16_length(q) == len(q) else F.lit(False)
+    return F.when(F.levenshtein(token, F.lit(q), most) < 0, F.lit(False)).when(plain & ~token.rlike(_ASTRAL), F.lit(True)).otherwise(apart)
 
 
 def _near(q: str):
-    thr = fuzzy_threshold(q)
-    return lambda t: F.levenshtein(t, F.lit(q), thr) >= 0
+    return lambda t: near(t, q)
+
+
+def hits_score(hits: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``tok_score`` per key from (keys, q_pos, exact) rows of near tokens: ``max(0.8 * exact / n, 0.6 * fuzzy / n)``.
+
+    One aggregate: the query positions that a document has are sets of bits."""
+    sets = range(max(1, -(-n // _BITS)))
+    bit = F.expr(f"shiftleft(1L, cast(q_pos % {_BITS} as int))")
+    own = lambda k: F.floor(F.col("q_pos") / _BITS) == k
+    per = hits.groupBy(*keys).agg(*[F.coalesce(F.bit_or(F.when(own(k) & F.col("exact"), bit)), F.lit(0)).alias(f"e{k}") for k in sets],
+                                  *[F.coalesce(F.bit_or(F.when(own(k), bit)), F.lit(0)).alias(f"f{k}") for k in sets])
+    exact = sum((F.bit_count(F.col(f"e{k}")) for k in sets), F.lit(0))
+    fuzzy = sum((F.bit_count(F.col(f"f{k}").bitwiseAND(F.bitwise_not(F.col(f"e{k}")))) for k in sets), F.lit(0))
+    return per.select(*keys, F.greatest(exact / F.lit(float(n or 1)) * SCORE_EXACT_TOKENS, fuzzy / F.lit(float(n or 1)) * SCORE_FUZZY_TOKENS).alias("tok_score"))
 
 
 def _literal_parts(query: str):
@@ -64,7 +109,7 @@ def token_score(query: str, target_tokens) -> Column:
     n_exact = sum((e.cast("int") for e in exact[1:]), exact[0].cast("int"))
     n_fuzzy = sum((f.cast("int") for f in fuzzy[1:]), fuzzy[0].cast("int"))
     return F.when(F.size(toks) == 0, F.lit(0.0)).otherwise(
-        F.greatest(n_exact * (SCORE_EXACT_TOKENS / n), n_fuzzy * (SCORE_FUZZY_TOKENS / n)))
+        F.greatest(n_exact / F.lit(n) * SCORE_EXACT_TOKENS, n_fuzzy / F.lit(n) * SCORE_FUZZY_TOKENS))
 
 
 def score_match(query: str, target) -> Column:

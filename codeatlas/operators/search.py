@@ -1,89 +1,47 @@
 """Typo-tolerant ranked search over code and docs.
 
-Short columns (paths, names, signatures, aliases) are scored with the native
-expression of :func:`codeatlas.functions.score.score_match`. Long text (doc
-content) goes through a token index: every document's distinct tokens are matched
-against the few query tokens once per *vocabulary word*, and the per-document hit
-counts come from an aggregate over the (small) match table joined to the index.
+Short columns (paths, names, signatures, aliases) are scored with the native expression of
+:func:`codeatlas.functions.score.score_match`. Long text (doc content) is scored from a stored
+:class:`codeatlas.operators.search_index.SearchIndex`, or, without one, in a single pass over the texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.functions.score import (MIN_SCORE, SCORE_CONTAINS, SCORE_EQUAL, SCORE_EXACT_TOKENS,
-                                       SCORE_FUZZY_TOKENS, fuzzy_threshold, score_match, tokenize,
-                                       tokenize_py)
+from codeatlas.functions.score import MIN_SCORE, SCORE_CONTAINS, SCORE_EQUAL, hits_score, near, score_match, tokenize, tokenize_py
 from codeatlas.functions.text import location
+from codeatlas.operators.search_index import SearchIndex
+from codeatlas.plans.partitioning import running_total
 from codeatlas.plans.topk import top_k
 
 
-class TokenIndex:
-    """(project, doc_ord, token) rows, one per distinct token of each document.
-
-    ``via_vocabulary=False`` (one-shot queries) matches the query tokens against
-    every index row in one codegen'd pass: no extra shuffle. ``True`` (an index
-    written once and queried often) first matches the distinct vocabulary, then
-    joins the small match table back to the index, so edit distance runs once per
-    vocabulary word."""
-
-    def __init__(self, docs: DataFrame, text_col: str = "content", key_cols=("project", "doc_ord"),
-                 via_vocabulary: bool = False):
-        self.key_cols = list(key_cols)
-        self.via_vocabulary = via_vocabulary
-        self.tokens = docs.select(*self.key_cols, F.explode(F.array_distinct(tokenize(text_col))).alias("token"))
-
-    @property
-    def vocab(self) -> DataFrame:
-        return self.tokens.select("token").distinct()
-
-    @staticmethod
-    def _near_query(query: str) -> F.Column:
-        """Array of (q_pos, exact, fuzzy) structs for the query tokens within edit
-        distance of ``token``; exact implies fuzzy (distance 0)."""
-        t = F.col("token")
-        arr = F.array(*[F.struct(F.lit(i).alias("q_pos"), (t == F.lit(q)).alias("exact"),
-                                 (F.levenshtein(t, F.lit(q), fuzzy_threshold(q)) >= 0).alias("fuzzy"))
-                        for i, q in enumerate(tokenize_py(query))])
-        return F.filter(arr, lambda s: s["fuzzy"])
-
-    def matches(self, query: str) -> DataFrame:
-        """(q_pos, token, exact, fuzzy) for vocabulary words near some query token."""
-        return (self.vocab.select("token", F.explode(self._near_query(query)).alias("m"))
-                .select("m.q_pos", "token", "m.exact", "m.fuzzy"))
-
-    def token_scores(self, query: str) -> DataFrame:
-        """Per document: ``max(0.8*exact/n, 0.6*fuzzy/n)``; documents with no near
-        token are absent (score 0)."""
-        qt = tokenize_py(query)
-        n = float(len(qt) or 1)
-        if not qt:
-            hits = self.tokens.where(F.lit(False)).select(*self.key_cols, F.lit(0).alias("q_pos"),
-                                                          F.lit(False).alias("exact"), F.lit(True).alias("fuzzy"))
-        elif self.via_vocabulary:
-            hits = self.tokens.join(self.matches(query), "token").select(*self.key_cols, "q_pos", "exact", "fuzzy")
-        else:
-            hits = (self.tokens.select(*self.key_cols, F.explode(self._near_query(query)).alias("m"))
-                    .select(*self.key_cols, "m.q_pos", "m.exact", "m.fuzzy"))
-        per_pos = hits.groupBy(*self.key_cols, "q_pos").agg(
-            F.max(F.col("exact").cast("int")).alias("e"), F.max(F.col("fuzzy").cast("int")).alias("f"))
-        per_doc = per_pos.groupBy(*self.key_cols).agg(
-            F.sum("e").alias("n_exact"), F.sum(F.when(F.col("e") == 0, F.col("f")).otherwise(0)).alias("n_fuzzy"))
-        return per_doc.select(*self.key_cols, F.greatest(F.col("n_exact") * (SCORE_EXACT_TOKENS / n),
-                                                         F.col("n_fuzzy") * (SCORE_FUZZY_TOKENS / n)).alias("tok_score"))
-
-
-def long_text_score(docs: DataFrame, query: str, index: TokenIndex | None = None,
+def content_token_scores(docs: DataFrame, query: str, text_col: str = "content", key_cols=("project", "doc_ord")) -> DataFrame:
+    """Token scores of long texts in one pass over them: each document's distinct tokens are matched against the few
+    query tokens in generated code, and only near ones are shuffled. Documents without any are absent (score 0)."""
+    asked = tokenize_py(query)
+    tokens = docs.select(*key_cols, F.explode(F.array_distinct(tokenize(text_col))).alias("token"))
+    t = F.col("token")
+    found = F.filter(F.array(*[F.struct(F.lit(i).alias("q_pos"), (t == q).alias("exact"), near(t, q).alias("near")) for i, q in enumerate(asked)]), lambda s: s["near"])
+    hits = tokens.select(*key_cols, F.explode(found).alias("m")).select(*key_cols, "m.q_pos", "m.exact") if asked else \
+        tokens.where(F.lit(False)).select(*key_cols, F.lit(0).alias("q_pos"), F.lit(False).alias("exact"))
+    return hits_score(hits, list(key_cols), len(asked))
+
+
+def long_text_score(docs: DataFrame, query: str, index: SearchIndex | None = None,
                     text_col: str = "content", key_cols=("project", "doc_ord")) -> DataFrame:
-    """``docs`` without its text, plus ``content_score`` = score_match(query, text) computed with the index."""
+    """``docs`` without its text, plus ``content_score`` = score_match(query, text): from the stored index, or in one
+    pass over the texts."""
     key_cols = list(key_cols)
     if not query:
         return docs.withColumn("content_score", F.lit(0.0)).drop(text_col)
-    index = index or TokenIndex(docs, text_col, key_cols)
+    if index is not None:
+        found = docs.drop(text_col).join(index.content_scores(query), key_cols, "left")
+        return found.withColumn("content_score", F.coalesce("content_score", F.lit(0.0)))
     q = query.lower().strip()
     t = F.col(text_col)
-    ts = index.token_scores(query)
+    ts = content_token_scores(docs, query, text_col, key_cols)
     # What the whole text decides is decided in the scan; only a number goes on to the join.
     whole = (F.when(t.isNull() | (t == ""), F.lit(0.0))
              .when(F.lower(t) == F.lit(q), F.lit(SCORE_EQUAL))
@@ -98,7 +56,7 @@ def _alias_score(query: str) -> F.Column:
                                               lambda a: score_match(query, a))), F.lit(0.0))
 
 
-def doc_hits(docs: DataFrame, query: str, with_path: bool = False, index: TokenIndex | None = None) -> DataFrame:
+def doc_hits(docs: DataFrame, query: str, with_path: bool = False, index: SearchIndex | None = None) -> DataFrame:
     """Doc score: max(element, best alias, 0.5*content[, 0.7*path])."""
     d = long_text_score(docs, query, index)
     parts = [score_match(query, F.col("element")), _alias_score(query), F.col("content_score") * 0.5]
@@ -123,7 +81,7 @@ def code_hits(files: DataFrame, elements: DataFrame, query: str) -> DataFrame:
 
 
 def search(files: DataFrame, elements: DataFrame, docs: DataFrame, query: str, k: int = 25,
-           min_score: float = MIN_SCORE, index: TokenIndex | None = None) -> DataFrame:
+           min_score: float = MIN_SCORE, index: SearchIndex | None = None) -> DataFrame:
     """Unified search (U1, J8, F8, T1, C7): code and doc hits with score >= 0.3,
     one row per (element, location) keeping the best score (code first on ties),
     top ``k`` per project by score, rounded to 3 decimals."""
@@ -147,10 +105,11 @@ def search(files: DataFrame, elements: DataFrame, docs: DataFrame, query: str, k
 
 
 def doc_search(docs: DataFrame, query: str, min_score: float = MIN_SCORE,
-               index: TokenIndex | None = None) -> DataFrame:
+               index: SearchIndex | None = None) -> DataFrame:
     """Doc search (C6, T2): every doc scoring >= 0.3 on max(element, alias,
     0.7*path, 0.5*content), ranked by score then table order; score rounded."""
     docs = docs.select("project", "doc_ord", "element", "type", "path", "aliases", "content")
     d = doc_hits(docs, query, with_path=True, index=index).where(F.col("score") >= min_score)
-    rank = F.row_number().over(Window.partitionBy("project").orderBy(F.col("score").desc(), "doc_ord")).cast("long")
-    return d.select("project", rank.alias("rank"), "doc_ord", "element", "type", "path", "aliases", F.round("score", 3).alias("score"))
+    # A total order of hits of any number: ranges of (score, place) and a running count over them.
+    d = running_total(d.withColumns({"_neg": -F.col("score"), "_one": F.lit(1).cast("long")}), ["project"], ["_neg", "doc_ord"], "_one", "_before")
+    return d.select("project", (F.col("_before") + 1).alias("rank"), "doc_ord", "element", "type", "path", "aliases", F.round("score", 3).alias("score"))

@@ -10,6 +10,7 @@ from codeatlas.functions.text import basename
 from codeatlas.operators import docs as docops
 from codeatlas.operators import card, extract_python, extract_ts, graph, maintain, nodes, render
 from codeatlas.operators import search as search_ops
+from codeatlas.operators.search_index import SearchIndex
 from codeatlas.plans import briefing, build
 from codeatlas.plans.oracle import sql_score, with_views
 from codeatlas.sources import corpus, manifest, runs
@@ -389,19 +390,42 @@ SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY score DESC
 WHERE score >= 0.3"""
 
 
+_INDEXES: dict[tuple[str, str], SearchIndex] = {}
+
+
+def _index(spark, sf) -> SearchIndex:
+    """The stored index of the docs: the first search of a session over these tables writes it, the others read it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = SearchIndex.build(corpus.docs(spark, sf))
+    return _INDEXES[key]
+
+
 @register("search", _search_sql("smal widgt"))
 def q_search(spark, sf):
-    return search_ops.search(corpus.files(spark, sf), corpus.elements(spark, sf), corpus.docs(spark, sf), "smal widgt", k=25)
+    return search_ops.search(corpus.files(spark, sf), corpus.elements(spark, sf), corpus.docs(spark, sf), "smal widgt", k=25, index=_index(spark, sf))
 
 
 @register("search_content", _search_sql("Ertion onheed"))
 def q_search_content(spark, sf):
-    return search_ops.search(corpus.files(spark, sf), corpus.elements(spark, sf), corpus.docs(spark, sf), "Ertion onheed", k=25)
+    return search_ops.search(corpus.files(spark, sf), corpus.elements(spark, sf), corpus.docs(spark, sf), "Ertion onheed", k=25, index=_index(spark, sf))
 
 
 @register("doc_search", _doc_search_sql("thhe redd anat"))
 def q_doc_search(spark, sf):
-    return search_ops.doc_search(corpus.docs(spark, sf), "thhe redd anat")
+    return search_ops.doc_search(corpus.docs(spark, sf), "thhe redd anat", index=_index(spark, sf))
+
+
+@register("doc_search_phrase", _doc_search_sql("the thatnd the"))
+def q_doc_search_phrase(spark, sf):
+    """A phrase that texts contain, from the stored index."""
+    return search_ops.doc_search(corpus.docs(spark, sf), "the thatnd the", index=_index(spark, sf))
+
+
+@register("doc_search_scan", _doc_search_sql("onheed widgt"))
+def q_doc_search_scan(spark, sf):
+    """Without a stored index: one pass over the texts."""
+    return search_ops.doc_search(corpus.docs(spark, sf), "onheed widgt")
 
 
 # ---------------------------------------------------------------- python extraction

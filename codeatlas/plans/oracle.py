@@ -141,8 +141,8 @@ def sql_score(query: str, expr: str) -> str:
                  f"{_sql_str(t)}) <= {fuzzy_threshold(t)})) > 0)" for t, e in zip(qt, exact)]
         ne = " + ".join(f"CAST({e} AS INTEGER)" for e in exact)
         nf = " + ".join(f"CAST({f} AS INTEGER)" for f in fuzzy)
-        tok = (f"CASE WHEN len({toks}) = 0 THEN 0.0::DOUBLE ELSE greatest(({ne}) * {repr(0.8 / n)}::DOUBLE, "
-               f"({nf}) * {repr(0.6 / n)}::DOUBLE) END")
+        tok = (f"CASE WHEN len({toks}) = 0 THEN 0.0::DOUBLE ELSE greatest(({ne})::DOUBLE / {n}.0::DOUBLE * 0.8::DOUBLE, "
+               f"({nf})::DOUBLE / {n}.0::DOUBLE * 0.6::DOUBLE) END")
     else:
         tok = "0.0::DOUBLE"
     return (f"(CASE WHEN {expr} IS NULL OR {expr} = '' THEN 0.0::DOUBLE "

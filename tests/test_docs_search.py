@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from codeatlas.operators import docs as D
 from codeatlas.operators import maintain as M
 from codeatlas.operators import search as S
+from codeatlas.functions.score import fuzzy_threshold, near, score_match
+from codeatlas.operators.search_index import SearchIndex, asked_keys, keys_of
 from tests.helpers import T0, T1, docs_of, ts_tables
 
 
@@ -101,14 +103,66 @@ def test_search_fixture(spark):
     assert S.search(files, el, _docs(spark), "").count() == 0
 
 
-def test_token_index_modes_agree(spark):
-    d = _docs(spark)
-    for q in ["whle prise", "holds", "zzz qqq", "A free page."]:
-        a = {(r.doc_ord, r.content_score) for r in S.long_text_score(d, q, S.TokenIndex(d)).collect()}
-        b = {(r.doc_ord, r.content_score) for r in S.long_text_score(d, q, S.TokenIndex(d, via_vocabulary=True)).collect()}
-        from codeatlas.functions.score import score_match
-        c = {(r.doc_ord, r.s) for r in d.select("doc_ord", score_match(q, F.col("content")).alias("s")).collect()}
-        assert a == b == c
+TEXTS = ["Rounds a price to whole coins.", "Holds users.", "Removed thing.", "A free page.", None, "", "a-b  c_d", "camelCase docSearch; smalWidget", "--- x ---",
+         "\U00010428\U00010429abc mixed", "\U0001042Aabc", "x" * 40 + "yz tail", "x" * 39 + "yz", "ends here", "here ends", "one two one two three", "ÄÖÜ straße ΣΑΣ"]
+ASKED = ["whle prise", "A free page.", "ree pag", "e", "b  c", "-b", "--- x", "---", "smal widgt", "\U00010429\U00010428abc", "x" * 38 + "yz", "one two three", " ",
+         "te wo one fre tail cins hlds thng pge " + "x y z a b c d e f g h i j k l m n o p q r s t u v w " * 2]
+
+
+def test_stored_index_scores_like_the_expression(spark, tmp_path):
+    d = spark.createDataFrame([("p", k, t) for k, t in enumerate(TEXTS)], "project string, doc_ord long, content string")
+    index = SearchIndex.build(d, str(tmp_path / "index"))
+    for q in ASKED:
+        expected = {r.doc_ord: r.s for r in d.select("doc_ord", score_match(q, F.col("content")).alias("s")).collect()}
+        if " " in q.strip():
+            assert {r.doc_ord: r.content_score for r in S.long_text_score(d, q).collect()} == expected, q
+        # The stored index never sees the texts again.
+        assert {r.doc_ord: r.content_score for r in S.long_text_score(d.withColumn("content", F.lit("gone")), q, index).collect()} == expected, q
+
+
+def test_edit_distance_counts_utf16_units(spark):
+    pairs = [("\U00010428\U00010429", "\U00010429"), ("\U00010428a", "a"), ("\U00010428abc", "\U00010429abc"), ("abc", "abd"), ("\U00010428bcd", "xbcd"), ("\U00010428abcd", "\U0001F428xbcd"),
+             ("\U00010428\U00010428abc", "\U00010428abc"), ("\U00010428\U00010428\U00010428", "\U00010428")]
+
+    def units(text):
+        raw = text.encode("utf-16-be")
+        return [raw[i:i + 2] for i in range(0, len(raw), 2)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    for q, _ in pairs:
+        got = {r.t: r.near for r in spark.createDataFrame([(t,) for _, t in pairs], "t string").select("t", near(F.col("t"), q).alias("near")).collect()}
+        for t, found in got.items():
+            assert found == (distance(units(q), units(t)) <= (1 if len(units(q)) <= 4 else 2)), (q, t)
+
+
+def test_near_tokens_share_a_key(spark):
+    """Every token within the threshold of a query token is stored under a key that is looked up."""
+    import random
+    random.seed(3)
+    tokens = sorted({"".join(random.choice("abc") for _ in range(random.randint(1, 9))) for _ in range(400)} | {"\U00010428bc", "\U00010428bcde"})
+    stored = {r.t: set(r.k) for r in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", keys_of(F.col("t")).alias("k")).collect()}
+    asked = tokens[::9]
+    pairs = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", *[near(F.col("t"), q).alias(f"q{i}") for i, q in enumerate(asked)]).collect()
+    for r in pairs:
+        for i, q in enumerate(asked):
+            if r[f"q{i}"]:
+                assert stored[r.t] & asked_keys(q, fuzzy_threshold(q)), (q, r.t)
+
+
+def test_ranks_of_many_hits(spark):
+    rows = [("p", k, f"coin{k}", "", "page", "coins" if k % 3 else "coin", None, None, T0, T0) for k in range(500)]
+    d = docs_of(spark, rows).repartition(7)
+    got = S.doc_search(d, "coins").orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 501))
+    assert [r.doc_ord for r in got] == [r.doc_ord for r in sorted(got, key=lambda r: (-r.score, r.doc_ord))]
 
 
 def test_doc_search_ranks(spark):
