@@ -23,14 +23,6 @@ def with_markdown(docs: DataFrame) -> DataFrame:
     return docs.withColumn("type_dir", type_dir("type")).withColumn("md_path", doc_file_path("element", "type"))
 
 
-def write_markdown(docs: DataFrame, out_dir: str) -> None:
-    """Markdown sink: one partition folder per type folder (S8). Rewriting a
-    folder replaces only the partitions present in ``docs`` (dynamic overwrite)."""
-    (with_markdown(docs).select("project", "type_dir", "md_path", "markdown").write
-     .mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("project", "type_dir").parquet(out_dir))
-
-
 def doc_list(docs: DataFrame) -> DataFrame:
     """Docs grouped by folder (A7): (project, type folder), and ``pos`` in table order within it."""
     rows = docs.select("project", type_dir("type").alias("type_dir"), "doc_ord", "element", "type", "path")

@@ -56,14 +56,15 @@ def select_sources(source_files: DataFrame, projects: DataFrame) -> DataFrame:
     return source_files.where(F.col("content").isNotNull()).join(chosen, ["project", "path"]).dropDuplicates(["project", "path"])
 
 
-def build(source_files: DataFrame, projects: DataFrame) -> Tables:
+def build(source_files: DataFrame, projects: DataFrame, paths: DataFrame | None = None) -> Tables:
+    """``paths`` (project, path): all files that imports may name, by default those of ``source_files``."""
     # read by both language branches and by the files table: made once, kept in the shared folder
     src = stored(select_sources(source_files, projects))
     py = src.where(F.col("language") == "python").select("project", "path", "content")
     ts = src.where(F.col("language") != "python").select("project", "path", "content")
     scan = stored(extract_ts.scanned(ts))  # one pass over TS/JS text for elements and edges
     elements = extract_python.python_elements(py).unionByName(extract_ts.ts_elements(None, scan))
-    edges = extract_python.python_edges(py).unionByName(extract_ts.ts_edges(None, source_files.select("project", "path"), scan))
+    edges = extract_python.python_edges(py).unionByName(extract_ts.ts_edges(None, source_files.select("project", "path") if paths is None else paths, scan))
     ex = file_exports(elements).select("project", "path", "exports")
     files = (src.select("project", "path", basename("path").alias("name"))
              .join(ex, ["project", "path"], "left")
@@ -76,10 +77,12 @@ def build_from_trees(spark: SparkSession, roots: dict[str, str], languages: dict
     """Scan project roots (S1) and build; languages default to detection from root
     marker files (X20)."""
     from codeatlas.sources.manifest import detect_language
-    from codeatlas.sources.source_tree import scan_sources
+    from codeatlas.sources.source_tree import scan_sources, tree_paths
 
     exts = SOURCE_EXTENSIONS + [".py", ".json", ".toml", ".txt", ".mod"]
-    src = scan_sources(spark, roots, ignore=ignore, extensions=exts)
+    # All names, as imports may name files that no rule scans; only texts that are read are not ignored.
+    paths = tree_paths(spark, roots, ignore, enter_ignored=True)
+    src = scan_sources(spark, roots, extensions=exts, paths=paths)
     if languages:
         projects = spark.createDataFrame(sorted(languages.items()), "project string, language string") \
             .withColumn("ignore", F.lit(None).cast("array<string>"))
@@ -87,4 +90,4 @@ def build_from_trees(spark: SparkSession, roots: dict[str, str], languages: dict
         projects = detect_language(src).withColumn("ignore", F.lit(None).cast("array<string>"))
     if ignore is not None:
         projects = projects.withColumn("ignore", F.array(*[F.lit(x) for x in ignore]))
-    return build(src, projects)
+    return build(src, projects, paths.select("project", "path"))

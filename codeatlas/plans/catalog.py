@@ -3,6 +3,8 @@ with the DuckDB SQL that must return the same rows."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from codeatlas.operators import search as search_ops
 from codeatlas.operators.search_index import SearchIndex
 from codeatlas.plans import briefing, build
 from codeatlas.plans.oracle import sql_score, with_views
-from codeatlas.sources import corpus, manifest, runs
+from codeatlas.session import ensure_checkpoint_dir
+from codeatlas.sources import corpus, manifest, runs, snapshots
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -1143,3 +1146,18 @@ WHERE contains(f.path, 'm7.ts') OR contains(f.name, 'm7.ts')""")
 def q_arch_show_file(spark, sf):
     t = nodes.arch_show(corpus.files(spark, sf), corpus.elements(spark, sf), "m7.ts")
     return t.select("project", "path", F.size("children").cast("long").alias("n_children"))
+
+
+@register("doc_store_table", ORACLE["doc_add_table"])
+def q_doc_store_table(spark, sf):
+    """The docs committed as a snapshot, updated there (only the touched buckets are written), and read back."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    first = snapshots.commit(spark, base, {"docs": corpus.docs(spark, sf)})
+    changes = _label_changes(spark, sf)
+    stored = snapshots.read(spark, base, "docs", first)
+    new, _ = maintain.doc_add(corpus.files(spark, sf), corpus.elements(spark, sf), stored, changes, now=_NOW)
+    last = snapshots.update_docs(spark, base, new, changes, since=first)
+    return snapshots.read(spark, base, "docs", last).select(
+        "project", "doc_ord", "element", "path", "type", "content", "aliases", "source",
+        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"),
+        F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("updated_at"))

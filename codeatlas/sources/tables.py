@@ -15,7 +15,6 @@ SCHEMAS = {
     "edges": "project string, edge_ord bigint, src_path string, dst_path string, type string, from_element string, to_element string",
     "docs": ("project string, doc_ord bigint, element string, path string, type string, content string, markdown string, "
              "aliases array<string>, source string, created_at timestamp, updated_at timestamp"),
-    "snapshots": "project string, table_name string, generated_at timestamp",
 }
 
 

@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeatlas.operators import docs as D
@@ -7,6 +8,7 @@ from codeatlas.operators import maintain as M
 from codeatlas.operators import search as S
 from codeatlas.functions.score import fuzzy_threshold, near, score_match
 from codeatlas.operators.search_index import SearchIndex, asked_keys, keys_of
+from codeatlas.sources import markdown
 from tests.helpers import T0, T1, docs_of, ts_tables
 
 
@@ -171,18 +173,54 @@ def test_doc_search_ranks(spark):
     assert r[0].element == "roundTo" and r[0].score == 1.0
 
 
-def test_markdown_sink_and_moves(spark):
-    import glob
-    import tempfile
+def _md_files(out):
+    import os
+    found = {}
+    for base, dirs, files in os.walk(out):
+        dirs[:] = [x for x in dirs if not x.startswith("_")]
+        for f in files:
+            with open(os.path.join(base, f)) as fh:
+                found[os.path.relpath(os.path.join(base, f), out)] = fh.read()
+    return found
 
-    out = tempfile.mkdtemp(prefix="codeatlas-md-", dir="/tmp") + "/md"
+
+def test_markdown_files_follow_the_docs(spark, tmp_path):
+    out = str(tmp_path / "md")
     d = _docs(spark)
-    D.write_markdown(d, out)
-    dirs = sorted({p.split("type_dir=")[1].split("/")[0] for p in glob.glob(out + "/project=ts/type_dir=*")})
-    assert dirs == ["classes", "functions", "pages"]
+    markdown.write_markdown(d, out)
+    first = _md_files(out)
+    assert set(first) == {"ts/functions/roundTo.md", "ts/classes/Cart.md", "ts/functions/gone.md", "ts/pages/Guide.md"}
+    assert first["ts/classes/Cart.md"] == "# Cart\n\nHolds users.\n"
     moved = d.withColumn("type", F.when(F.col("element") == "Cart", F.lit("interface")).otherwise(F.col("type")))
     mv = M.markdown_moves(d, moved).collect()
     assert [(r.old_md_path, r.new_md_path) for r in mv] == [("classes/Cart.md", "types/Cart.md")]
+    markdown.write_markdown(moved, out, before=d)
+    assert set(_md_files(out)) == set(first) - {"ts/classes/Cart.md"} | {"ts/types/Cart.md"}  # exactly one file
+    assert {(r.project, r.md_path, r.markdown) for r in markdown.read_markdown_files(spark, out).collect()} == {
+        (k.split("/", 1)[0], k.split("/", 1)[1], v) for k, v in _md_files(out).items()}
+
+
+def test_a_failed_markdown_write_leaves_the_old_state(spark, tmp_path):
+    out = str(tmp_path / "md")
+    d = _docs(spark)
+    markdown.write_markdown(d, out)
+    before = _md_files(out)
+    bad = d.withColumn("markdown", F.when(F.col("element") == "Guide", F.raise_error(F.lit("lost")).cast("string")).otherwise(F.lit("changed")))
+    with pytest.raises(Exception, match="lost"):
+        markdown.write_markdown(bad, out)
+    assert _md_files(out) == before
+    # a write that stopped after its journal is finished by the next one
+    w = markdown._Writer(out)
+    rows = [{"project": "ts", "md_path": "pages/Guide.md", "markdown": "late"}, {"project": "ts", "md_path": "functions/gone.md", "markdown": None}]
+    message, done = w.write(iter(rows)), markdown.finish
+    try:
+        markdown.finish = lambda out: 0
+        w.commit([message])
+    finally:
+        markdown.finish = done
+    assert _md_files(out) == before and markdown.finish(out) == 1
+    after = _md_files(out)
+    assert after["ts/pages/Guide.md"] == "late" and "ts/functions/gone.md" not in after
 
 
 def test_lag_in_order_matches_window(spark):

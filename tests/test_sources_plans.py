@@ -5,12 +5,14 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from codeatlas.operators import card
+import pytest
+
+from codeatlas.operators import card, maintain
 from codeatlas.plans import briefing
 from codeatlas.plans.build import build_from_trees
-from codeatlas.sources import runs, tables
+from codeatlas.sources import runs, snapshots, tables
 from codeatlas.sources.manifest import detect_language, manifests
-from codeatlas.sources.source_tree import scan_sources, walk
+from codeatlas.sources.source_tree import scan_sources, tree_paths
 from tests.fixtures import PY_CLI, PY_TARIFF, TS_INDEX, TS_MONEY
 from tests.helpers import T0, docs_of, ts_tables
 
@@ -32,12 +34,77 @@ def _tree():
     return d
 
 
-def test_walk_prunes_and_keeps_hidden_names():
+def test_listing_prunes_and_keeps_hidden_names(spark):
     d = _tree()
-    ts = walk(f"{d}/ts", ["dist", "node_modules"], [".ts"])
-    assert ts == ["types.d.ts", "src/_hidden.ts", "src/distance.ts", "src/index.ts", "src/money.ts"]
-    py = walk(f"{d}/py", ["*.egg-info"], [".py"])
-    assert sorted(py) == ["cli.py", "pkg/__init__.py", "tariff.py"]
+    got = sorted(r.path for r in tree_paths(spark, {"ts": f"{d}/ts"}, ["dist", "node_modules"]).collect())
+    assert got == [".ts", "package.json", "src/_hidden.ts", "src/distance.ts", "src/index.ts", "src/money.ts", "tsconfig.json", "types.d.ts"]
+    every = {r.path: r.ignored for r in tree_paths(spark, {"ts": f"{d}/ts"}, ["dist", "node_modules"], enter_ignored=True).collect()}
+    assert every["node_modules/m/i.ts"] and every["dist/a.ts"] and not every["src/index.ts"]
+    scanned = sorted(r.path for r in scan_sources(spark, {"ts": f"{d}/ts"}, ["dist", "node_modules"], [".ts"]).collect())
+    assert scanned == ["src/_hidden.ts", "src/distance.ts", "src/index.ts", "src/money.ts", "types.d.ts"]  # ".ts" has no extension
+    py = sorted(r.path for r in scan_sources(spark, {"py": f"{d}/py"}, ["*.egg-info"], [".py"]).collect())
+    assert py == ["cli.py", "pkg/__init__.py", "tariff.py"]
+
+
+def test_listing_of_wide_and_deep_trees(spark):
+    d = tempfile.mkdtemp(prefix="codeatlas-tree-", dir="/tmp")
+    deep = "/".join(f"l{k}" for k in range(6))
+    names = [f"wide/f{k}.ts" for k in range(300)] + [f"dirs/d{k}/x.ts" for k in range(40)] + [f"{deep}/end.ts"]
+    for n in names:
+        os.makedirs(os.path.dirname(f"{d}/{n}"), exist_ok=True)
+        with open(f"{d}/{n}", "w") as fh:
+            fh.write(f"// {n}\n")
+    os.symlink(d, f"{d}/loop")
+    src = scan_sources(spark, {"p": d}, [], [".ts"], files_per_partition=50)
+    assert {r.path: r.content for r in src.collect()} == {n: f"// {n}\n" for n in names}
+    assert src.rdd.getNumPartitions() == 7
+
+
+def test_imports_of_files_outside_the_scan(spark):
+    d = tempfile.mkdtemp(prefix="codeatlas-tree-", dir="/tmp")
+    for p, text in {"src/a.ts": "import data from './data.json';\nimport { x } from '../dist/lib.js';\nimport { y } from './gone';\n", "src/data.json": "{}", "dist/lib.ts": "x",
+                    "tsconfig.json": "{}", "package.json": "{}"}.items():
+        os.makedirs(os.path.dirname(f"{d}/{p}"), exist_ok=True)
+        with open(f"{d}/{p}", "w") as fh:
+            fh.write(text)
+    t = build_from_trees(spark, {"p": d}, {"p": "typescript"}, ignore=["dist"])
+    assert [r.dst_path for r in t.edges.orderBy("edge_ord").collect()] == ["src/data.json", "dist/lib.ts", "./gone"]
+    assert [r.path for r in t.files.collect()] == ["src/a.ts"]
+
+
+def test_snapshots_are_whole_and_conflicts_fail(spark):
+    base = tempfile.mkdtemp(prefix="codeatlas-snap-", dir="/tmp")
+    files, el, edges = ts_tables(spark)
+    assert snapshots.snapshot(spark, base) == snapshots.NONE and snapshots.read(spark, base, "edges").count() == 0
+    at = datetime.datetime(2025, 3, 1, tzinfo=datetime.timezone.utc)
+    one = snapshots.commit(spark, base, {"files": files, "elements": el, "edges": edges}, at)
+    assert (one.version, snapshots.snapshot(spark, base).generated_at) == (1, at)
+    # a reader that has taken a snapshot goes on seeing it while a build is committed
+    two = snapshots.commit(spark, base, {"edges": edges.where("type = 'call'"), "files": files.limit(1)}, since=one)
+    assert (snapshots.read(spark, base, "edges", one).count(), snapshots.read(spark, base, "files", one).count()) == (7, 2)
+    assert (snapshots.read(spark, base, "edges").count(), snapshots.read(spark, base, "files").count(), snapshots.read(spark, base, "elements").count()) == (5, 1, 6)
+    with pytest.raises(snapshots.ConflictError):  # a second writer that started from the first snapshot
+        snapshots.commit(spark, base, {"edges": edges}, since=one)
+    assert snapshots.snapshot(spark, base).version == two.version == 2
+    assert {(r.version, r.table_name) for r in snapshots.log(spark, base).collect()} == {(v, t) for v in (1, 2) for t in ("files", "elements", "edges")}
+    assert snapshots.vacuum(spark, base) == 3 and snapshots.read(spark, base, "edges").count() == 5
+
+
+def test_doc_updates_write_only_touched_buckets(spark):
+    base = tempfile.mkdtemp(prefix="codeatlas-docs-", dir="/tmp")
+    files, el, _ = ts_tables(spark)
+    docs = docs_of(spark, [("ts", k, f"page{k}", "", "page", f"text {k}", None, None, T0, T0) for k in range(200)])
+    one = snapshots.commit(spark, base, {"docs": docs})
+    assert len(one.tables["docs"]) > 50
+    changes = spark.createDataFrame([("ts", 1, "page7", "new"), ("ts", 2, "fresh", "more")], "project string, change_ord long, element string, content string")
+    stored = snapshots.read(spark, base, "docs")
+    new, _ = maintain.doc_add(files, el, stored, changes, now=datetime.datetime(2025, 1, 1))
+    two = snapshots.update_docs(spark, base, new, changes)
+    moved = [b for b in two.tables["docs"] if two.tables["docs"][b] != one.tables["docs"].get(b)]
+    assert 1 <= len(moved) <= 2 and len(two.tables["docs"]) >= len(one.tables["docs"])
+    got = {r.element: r.content for r in snapshots.read(spark, base, "docs").collect()}
+    assert got == {**{f"page{k}": f"text {k}" for k in range(200)}, "page7": "new", "fresh": "more"}
+    assert snapshots.read(spark, base, "docs", one).where("content = 'new'").count() == 0
 
 
 def test_scan_detect_and_build(spark):
