@@ -3,7 +3,9 @@ tables in the cluster's shared folder, and ranks within groups that may be very
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,6 +61,20 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_of_helpers(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that carry their input's columns beside helpers of their own, whose names start with two
+    underscores: columns of the input with such names go under others meanwhile."""
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        taken = {c.lower() for c in docs.columns}
+        free = (n for n in (f"carried{k}" for k in range(len(taken) * 2 + 1)) if n not in taken)
+        names = {c: next(free) for c in docs.columns if c.startswith("__")}
+        if not names:
+            return stage(docs, *args, **options)
+        return stage(docs.withColumnsRenamed(names), *args, **options).withColumnsRenamed({v: k for k, v in names.items()})
+    return run
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

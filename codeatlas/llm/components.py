@@ -1,27 +1,37 @@
-"""Connected components of a thin edge table, by contraction.
+"""Connected components of a thin edge table, by contraction under random priorities.
 
-A round labels every node with its smallest neighbour (itself included), follows labels one step, and replaces
-each edge by the edge between its ends' labels; loops and repeats go. The number of edges falls by a constant
-factor at least, stars vanish at once. Every round's tables are written to the shared folder, so neither plans
-nor recovery grow with the rounds, and joins meet plain tables whose skewed keys Spark can split."""
+A round gives every node a priority, the hash of the node and the round's number. Each node points to the one of
+itself and its neighbours with the least priority, follows that pointer one step, and takes what it finds as its
+label; each edge becomes the edge between its ends' labels, and loops and repeats go. A node that still has an edge
+has a neighbour, so with a chance of a half at least it is not the least of its surroundings and points away from
+itself; whatever the order of the ids or the shape of the graph, the expected number of nodes falls by a constant
+factor a round (to a third on a path), and stars vanish at once. So there are O(log n) rounds. Every round's tables
+are written to the shared folder: neither plans nor recovery grow with the rounds, and joins meet plain tables
+whose skewed keys Spark can split."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 
+def _priority(node: str, turn: int) -> Column:
+    return F.struct(F.xxhash64(F.lit(turn), node).alias("p"), F.col(node).alias("n"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every end of the (a, b) edges; roots are the same for connected nodes. A written table."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    roots = None
+    roots, turn = None, 0
     while not edges.isEmpty():
+        turn += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-        second = label.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        label = written(label.join(second, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+        least = both.groupBy("a").agg(F.min(_priority("b", turn)).alias("m"))
+        points = written(least.select(F.col("a").alias("node"), F.least(_priority("a", turn), F.col("m"))["n"].alias("root")))
+        second = points.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        label = written(points.join(second, "root").select("node", F.col("next").alias("root")))
         la, lb = (label.select(F.col("node").alias(c), F.col("root").alias(f"l{c}")) for c in "ab")
         moved = edges.join(la, "a").join(lb, "b").where("la <> lb")
         edges = written(moved.select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct())

@@ -24,7 +24,7 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_or_empty, written
+from .common import SPACE, clear_of_helpers, text_or_empty, written
 
 #: Bits of the filter: 2**26 bits are at most 1,048,576 broadcast rows of two longs.
 FILTER_BITS = 1 << 26
@@ -75,6 +75,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                         F.col("__kept").alias("kept"), F.col("__sha").alias("text_sha256"))
 
 
+@clear_of_helpers
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``; of rows that repeat id and text, one."""
     stay = exact_groups(docs, doc_id, text).where("__kept")

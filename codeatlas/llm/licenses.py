@@ -25,26 +25,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .license_texts import TEMPLATES
+
 #: Fixed phrases of the base rule and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Further labels: standard notices, in their publishers' wording.
-TEMPLATES = {
-    "mit-notice": "<<beginOptional>>this <<var;1..4>> is<<endOptional>> <<beginOptional>>released<<endOptional>> <<beginOptional>>licensed<<endOptional>>"
-                  " under the <<beginOptional>>terms of the<<endOptional>> mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
-                 " <<beginOptional>>the software<<endOptional>> to deal in the software without restriction",
-    "apache-2.0-notice": "licensed under the apache license version 2 0 <<beginOptional>>the license<<endOptional>>",
-    "gpl-notice": "<<beginOptional>>this <<var;1..4>> is<<endOptional>> licensed under the <<beginOptional>>terms of the<<endOptional>>"
-                  " gnu <<beginOptional>>lesser<<endOptional>> <<beginOptional>>affero<<endOptional>> general public license <<beginOptional>>as published by the free software foundation<<endOptional>>"
-                  " <<beginOptional>>either<<endOptional>> version <<var;1..1>>",
-    "gpl-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
-                 " as published by the free software foundation",
-    "cc-by-notice": "<<beginOptional>>licensed<<endOptional>> under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> cc by"
-                    " <<beginOptional>>nc<<endOptional>> <<beginOptional>>sa<<endOptional>> <<beginOptional>>nd<<endOptional>> <<var;1..1>> 0",
-    "bsd-terms": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "isc-grant": "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted",
-}
 _MARK = re.compile(r"<<(beginOptional|endOptional|var;(\d+)\.\.(\d+))>>")
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _IS_WORD = np.isin(np.arange(256), list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")) | (np.arange(256) > 127)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rank_in_group, word_count
+from .common import clear_of_helpers, rank_in_group, word_count
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -82,6 +82,7 @@ def mixed_counts(docs: DataFrame, **options) -> DataFrame:
                       (F.col("__copies") * F.col("__size")).alias("taken"), F.col("__copies").alias("copies"))
 
 
+@clear_of_helpers
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mix: every row of ``docs`` as often as the sample takes it."""
     got = mix(docs, **options).where("__copies > 0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import MAX_REPEAT_PERCENT, MIN_GROUP, MIN_WORDS, REACH, STATISTICS
+from .quality_rules import HALF, MAX_REPEAT_PERCENT, MIN_GROUP, MIN_WORDS, REACH, STATISTICS, TAIL
 
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 
@@ -36,8 +36,12 @@ _DIVISORS = {"word_length": "n_words", "symbol_share": "word_chars", "dup_line_s
 _STATS = ", ".join(f"CASE WHEN {_DIVISORS[s]} > 0 THEN {_SHARES[s]} ELSE 0 END AS s_{s}" for s in STATISTICS)
 _LONG = " UNION ALL ".join(f"SELECT lang, source, '{s}' AS statistic, s_{s} AS v FROM passed" for s in STATISTICS)
 _SLACK = "CASE statistic " + " ".join(f"WHEN '{s}' THEN {v}" for s, (v, _) in STATISTICS.items()) + " END"
-_WIDE = ", ".join(f"max(CASE WHEN statistic = '{s}' THEN {k} END) AS {k}_{s}" for s in STATISTICS for k in ("lo", "hi"))
-_PICK = ", ".join(f"CASE WHEN o.total >= {MIN_GROUP} THEN o.{k}_{s} WHEN l.total >= {MIN_GROUP} THEN l.{k}_{s} ELSE a.{k}_{s} END AS {k}_{s}" for s in STATISTICS for k in ("lo", "hi"))
+_KINDS = ("lo", "hi", "own_lo", "own_hi", "half_lo", "half_hi")
+_WIDE = ", ".join(f"max(CASE WHEN statistic = '{s}' THEN {k} END) AS {k}_{s}" for s in STATISTICS for k in _KINDS)
+_NEAR = ", ".join(f"CASE WHEN o.total >= {MIN_GROUP} THEN o.{k}_{s} WHEN l.total >= {MIN_GROUP} THEN l.{k}_{s} ELSE a.{k}_{s} END AS {k}_{s}" for s in STATISTICS for k in _KINDS[:4])
+_ALL = ", ".join(f"a.{k}_{s}" for s in STATISTICS for k in _KINDS[4:])
+_PICK = ", ".join(f"greatest(lo_{s}, least(own_lo_{s}, half_lo_{s})) AS lo_{s}, least(hi_{s}, greatest(own_hi_{s}, half_hi_{s})) AS hi_{s}" for s in STATISTICS)
+_AT = ", ".join(f"min(CASE WHEN 100 * upto >= {p} * total THEN bucket END) AS {k}" for k, p in (("p10", 10), ("q1", 25), ("q2", 50), ("q3", 75), ("p90", 90)))
 _BEYOND = " OR ".join(f"s_{s} > hi_{s}" + (f" OR s_{s} < lo_{s}" if both else "") for s, (_, both) in STATISTICS.items())
 
 QUALITY = rf"""
@@ -57,11 +61,13 @@ sketch AS (SELECT 2 AS level, lang, source, statistic, bucket, count(*) AS n FRO
     UNION ALL SELECT 1, lang, NULL, statistic, bucket, count(*) FROM buckets GROUP BY ALL
     UNION ALL SELECT 0, NULL, NULL, statistic, bucket, count(*) FROM buckets GROUP BY ALL),
 ranked AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, statistic ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, statistic) AS total FROM sketch),
-quartiles AS (SELECT level, lang, source, statistic, max(total) AS total, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3
-    FROM ranked GROUP BY level, lang, source, statistic),
-fences AS (SELECT *, q1 - {REACH} * (q3 - q1) - {_SLACK} AS lo, q3 + {REACH} * (q3 - q1) + {_SLACK} AS hi FROM quartiles),
+quantiles AS (SELECT level, lang, source, statistic, max(total) AS total, {_AT}, {_SLACK} AS slack FROM ranked GROUP BY level, lang, source, statistic),
+reach AS (SELECT *, q1 - {REACH} * (q3 - q1) AS low, q3 + {REACH} * (q3 - q1) AS high FROM quantiles),
+fences AS (SELECT *, low - slack AS lo, high + slack AS hi, q3 - {TAIL} * (p90 - q3) - slack AS own_lo, q1 + {TAIL} * (q1 - p10) + slack AS own_hi,
+    greatest(low, q2 - {HALF} * (q3 - q2)) - slack AS half_lo, least(high, q2 + {HALF} * (q2 - q1)) + slack AS half_hi FROM reach),
 wide AS (SELECT level, lang, source, max(total) AS total, {_WIDE} FROM fences GROUP BY level, lang, source),
-picked AS (SELECT o.lang, o.source, {_PICK} FROM wide o JOIN wide l ON l.level = 1 AND o.lang IS NOT DISTINCT FROM l.lang JOIN wide a ON a.level = 0 WHERE o.level = 2)
+near AS (SELECT o.lang, o.source, {_NEAR}, {_ALL} FROM wide o JOIN wide l ON l.level = 1 AND o.lang IS NOT DISTINCT FROM l.lang JOIN wide a ON a.level = 0 WHERE o.level = 2),
+picked AS (SELECT lang, source, {_PICK} FROM near)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     CASE WHEN base_failed THEN FALSE ELSE NOT coalesce({_BEYOND}, FALSE) END AS kept
 FROM measured m LEFT JOIN picked p ON m.lang IS NOT DISTINCT FROM p.lang AND m.source IS NOT DISTINCT FROM p.source

@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, words, written
+from .common import SPACE, clear_of_helpers, words, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -156,6 +156,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
                       F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
+@clear_of_helpers
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns of ``docs``. The statistics are made in either pass, so that no text is shuffled."""
     measured = with_statistics(docs)

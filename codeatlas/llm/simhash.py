@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import clear_of_helpers, text_or_empty, written
 from .components import components
 
 WORDS = 3
@@ -227,6 +227,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@clear_of_helpers
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """One document of each group, with the columns of ``docs``: that of the smallest doc_id, null ids last; of several
     rows with that id, the one whose text has the smallest SHA-256; of rows equal in both, any one."""

@@ -2,16 +2,18 @@
 
 A suffix counts by its first ``LENGTH`` bytes (50). Its bytes go if a document with a smaller id has a suffix
 that starts with the same 50. For that, equal suffixes have to meet; their order otherwise doesn't matter, so
-strings get names (64-bit hashes) in place of lexicographic ranks, and a bucket holds the suffixes of a range of
-names. Two texts can't differ and share a name but by chance: with w suffixes in all, w * w / 2**65.
+strings get names (96-bit hashes) in place of lexicographic ranks, and a bucket holds the suffixes of a range of
+names: ranges of leading bytes would put the suffixes of a frequent passage, or of a frequent letter, into one
+bucket. Two texts can't differ and share a name but by chance: with w suffixes in all, w * w / 2**97 wrong pairs
+are expected, 0.06 for the 10**14 suffixes of 100 TB.
 
 Difference cover: positions p with p mod 31 in ``COVER``. Any two positions i and j have a common shift d < 31
 at which i + d and j + d both lie in the cover; so two equal suffixes of 50 bytes agree on the 20 bytes that
 start at some pair of cover positions. The names of these samples are precomputed: a suffix without a shared
 sample in its first 31 positions is unique and never enters a bucket. That settles most of a corpus for a
-fifth of its positions and four bytes each.
+fifth of its positions and four bytes each (a sample's name only picks candidates).
 
-Blockwise: documents are dealt to blocks by hash of their id, a block is a few MB of text held in one
+Blockwise: documents are dealt to blocks by hash of their id, rows without one by hash of their text; a block is a few MB of text held in one
 task's arrays. In each block names are made distinct first, so that a passage with any number of
 copies sends one row per block. Suffix buckets are dealt to tasks, and a task sorts one bucket at a time. They are
 worked off in ``ROUNDS`` groups, each of which frees its shuffle before the next one starts, so disk and
@@ -21,7 +23,8 @@ block sent, in the order in which it sent them; blocks are deterministic, so the
 Texts equal to a text of a smaller id are settled by their SHA-256 beforehand.
 
 Defined results: null counts as empty; texts under 50 bytes lose nothing; rows that repeat a doc_id with equal
-text get the same result; null ids count as larger than any other; empty input gives no rows; other columns are not carried.
+text get the same result; of rows that repeat an id with different texts none is smaller than the other; null ids
+are equal to each other and larger than any other; empty input gives no rows; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -67,6 +70,32 @@ def names(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def names_of_suffixes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96-bit names of the suffixes that start at ``at``: 64 bits, which deal them to buckets, and 32 more."""
+    eight = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))
+    more = np.zeros(len(at), dtype=np.uint64)
+    for offset in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
+        more = (more ^ eight[at + offset]) * np.uint64(0xD6E8FEB86659FD93)
+        more ^= more >> np.uint64(32)
+    return names(data, at, LENGTH), (more >> np.uint64(32)).astype(np.uint32)
+
+
+def in_order(name: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the names, and where in it a new one begins."""
+    order = np.argsort(name)
+    n = name[order]
+    new = np.append(True, n[1:] != n[:-1])
+    if more is not None:
+        m = more[order]
+        differs = np.append(False, m[1:] != m[:-1])
+        if (differs & ~new).any():  # names that agree in 64 bits only
+            order = np.lexsort((more, name))
+            n, m = name[order], more[order]
+            new, differs = np.append(True, n[1:] != n[:-1]), np.append(False, m[1:] != m[:-1])
+        new |= differs
+    return order, np.flatnonzero(new)
+
+
 def part_of(name: np.ndarray, parts: int) -> np.ndarray:
     """The bucket of a name; buckets are ranges of names, so names in order are buckets in order."""
     return (name >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
@@ -78,6 +107,7 @@ class Groups:
 
     part: np.ndarray
     name: np.ndarray
+    more: np.ndarray | None
     first: np.ndarray
     last: np.ndarray
     of: np.ndarray
@@ -89,15 +119,26 @@ def runs(part: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-def grouped(name: np.ndarray, doc: np.ndarray, parts: int) -> Groups:
+def grouped(name: np.ndarray, doc: np.ndarray, parts: int, more: np.ndarray | None = None) -> Groups:
     if not len(name):
-        return Groups(name, name, doc, doc, np.zeros(0, np.int64))
-    order = np.argsort(name)
-    n, d = name[order], doc[order]
-    new = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
-    of = np.empty(len(n), dtype=np.int64)
-    of[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(n))))
-    return Groups(part_of(n[new], parts), n[new], np.minimum.reduceat(d, new), np.maximum.reduceat(d, new), of)
+        return Groups(name, name, more, doc, doc, np.zeros(0, np.int64))
+    order, new = in_order(name, more)
+    d = doc[order]
+    of = np.empty(len(name), dtype=np.int64)
+    of[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(name))))
+    own = name[order[new]]
+    return Groups(part_of(own, parts), own, None if more is None else more[order[new]], np.minimum.reduceat(d, new), np.maximum.reduceat(d, new), of)
+
+
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Document ids as a table of the different ones and codes of 16 or 32 bits."""
+    table, code = np.unique(ids, return_inverse=True)
+    return np.uint32(len(table)).tobytes() + table.astype("<i8").tobytes() + code.astype("<u2" if len(table) <= 1 << 16 else "<u4").tobytes()
+
+
+def unpacked_ids(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    return np.frombuffer(data, "<i8", n, 4)[np.frombuffer(data, "<u2" if n <= 1 << 16 else "<u4", -1, 4 + 8 * n)]
 
 
 class Block:
@@ -151,12 +192,12 @@ class Block:
         some = lo <= hi
         n = len(self.data) + 1
         start = np.flatnonzero(np.cumsum(np.bincount(lo[some], minlength=n) - np.bincount(hi[some] + 1, minlength=n)) > 0)
-        name = names(self.data, start, LENGTH)
+        name, more = names_of_suffixes(self.data, start)
         if rounds > 1:
             now = part_of(name, self.parts) % np.uint64(rounds) == turn
-            start, name = start[now], name[now]
+            start, name, more = start[now], name[now], more[now]
         doc = np.searchsorted(end, start, side="right")
-        return start, doc, grouped(name, doc, self.parts)
+        return start, doc, grouped(name, doc, self.parts, more)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple[int, Block]]:
@@ -189,8 +230,9 @@ def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 
 def _sent(block: int, groups: Groups, kind: str, ids: np.ndarray | None) -> pa.RecordBatch:
     cuts = runs(groups.part)
-    data = [groups.name[a:b].astype(kind).tobytes() for a, b in cuts]  # of samples the lower half of the name is sent
-    own = [None if ids is None else ids[a:b].tobytes() for a, b in cuts]
+    # Of samples the lower half of the name is sent, of suffixes all of it.
+    data = [groups.name[a:b].astype(kind).tobytes() + (b"" if ids is None else groups.more[a:b].astype("<u4").tobytes()) for a, b in cuts]
+    own = [None if ids is None else packed_ids(ids[a:b]) for a, b in cuts]
     return pa.RecordBatch.from_arrays([pa.array([int(groups.part[a]) for a, _ in cuts], pa.int32()), pa.array([block] * len(cuts), pa.int32()), pa.array(data, pa.binary()), pa.array(own, pa.binary())],
                                       names=["part", "block", "names", "ids"])
 
@@ -233,13 +275,14 @@ def send_suffixes(parts: int, rounds: int, turn: int) -> Callable:
 def answer_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bit: another block has the suffix in a document with a smaller id."""
     for part, rows in buckets(batches):
-        sizes = [len(r[2]) // 8 for r in rows]
-        name, id_ = np.frombuffer(b"".join(r[2] for r in rows), dtype="<u8"), np.frombuffer(b"".join(r[3] for r in rows), dtype="<i8")
-        order = np.argsort(name)
-        n, d = name[order], id_[order]
-        new = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
+        sizes = [len(r[2]) // 12 for r in rows]
+        name = np.frombuffer(b"".join(r[2][:8 * n] for r, n in zip(rows, sizes, strict=True)), dtype="<u8")
+        more = np.frombuffer(b"".join(r[2][8 * n:] for r, n in zip(rows, sizes, strict=True)), dtype="<u4")
+        id_ = np.concatenate([unpacked_ids(r[3]) for r in rows])
+        order, new = in_order(name, more)
+        d = id_[order]
         bits = np.empty(len(name), dtype=bool)
-        bits[order] = np.repeat(np.minimum.reduceat(d, new), np.diff(np.append(new, len(n)))) < d
+        bits[order] = np.repeat(np.minimum.reduceat(d, new), np.diff(np.append(new, len(d)))) < d
         yield _answered(part, rows, _SUFFIX_BITS, bits, sizes)
 
 
@@ -248,7 +291,7 @@ def cut(parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in blocks(batches, parts):
             start, doc, groups = block.suffixes()
-            goes = (block.said(_SUFFIX_BITS, groups)[groups.of] | (doc > groups.first[groups.of])) if len(start) else np.zeros(0, bool)
+            goes = (block.said(_SUFFIX_BITS, groups)[groups.of] | (block.ids[doc] > block.ids[groups.first[groups.of]])) if len(start) else np.zeros(0, bool)
             steps = np.zeros(len(block.data) + 1, dtype=np.int32)
             steps[start[goes]] += 1  # starts are distinct
             steps[start[goes] + LENGTH] -= 1
@@ -269,15 +312,16 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ro
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]."""
     id_ = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
     raw = text_or_empty(text).cast("binary")
-    thin = written(docs.select(F.col(doc_id).alias("doc_id"), id_.alias("id"), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha")))
+    deal = F.when(F.col(doc_id).isNull(), F.xxhash64(raw)).otherwise(F.xxhash64(id_)).alias("deal")
+    thin = written(docs.select(F.col(doc_id).alias("doc_id"), id_.alias("id"), deal, F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha")))
     first = written(thin.groupBy("sha").agg(F.min("id").alias("first")))
     thin = written(thin.join(first, "sha"))
     total = thin.agg(F.sum("n_bytes")).first()[0] or 0
     # Blocks and buckets grow with the root of the input, up to 64 MB each, so that rows between them stay few.
     parts = max(1, math.ceil(total / min(MOST_BLOCK, max(LEAST_BLOCK, 64 * math.isqrt(total)))))
-    block = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("block")
+    block = F.pmod("deal", F.lit(parts)).cast("int").alias("block")
     nothing = F.lit(None).cast("int").alias("part")
-    texts = docs.select(id_.alias("id"), raw.alias("data")).select(block, F.lit(_TEXT).alias("kind"), "id", nothing, "data")
+    texts = docs.select(id_.alias("id"), deal, raw.alias("data")).select(block, F.lit(_TEXT).alias("kind"), "id", nothing, "data")
     markers = thin.where("id > first").select(block, F.lit(_MARKER).alias("kind"), "id", nothing, F.unhex("sha").alias("data"))
 
     def in_blocks(*answers: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ import corpus_pipeline
 from codeatlas.llm.exact_dedup import exact_dedup, keep_one
 from codeatlas.llm.licenses import scan
 from codeatlas.llm.mixing import emit, mixed_counts
+from codeatlas.llm.oracle import QUALITY
 from codeatlas.llm.packing import pack
 from codeatlas.llm.quality_ranker import classify
 from codeatlas.llm.quality_rules import keep_good, quality_report
@@ -78,7 +80,7 @@ def test_quality_rules_many_repeats(spark):
         assert got[k] == len({j for i in range(len(w) - 2) if seen[w[i], w[i + 1], w[i + 2]] > 1 for j in (i, i + 1, i + 2)}), k
 
 
-@pytest.mark.parametrize("share", [30, 60])
+@pytest.mark.parametrize("share", [30, 60, 80])
 @pytest.mark.parametrize("kind", ["symbols", "capitals", "repeats", "lines"])
 def test_quality_rules_of_a_junk_heavy_source(spark, kind, share):
     """A source with a third of all rows, mostly junk, loses it; an unusual clean source and the others stay."""
@@ -102,7 +104,23 @@ def test_quality_rules_of_a_junk_heavy_source(spark, kind, share):
     df = spark.createDataFrame([(i, t, la, so) for i, t, la, so, _ in rows], "doc_id long, text string, lang string, source string")
     got, what = {r.doc_id: r for r in quality_report(df).collect()}, {r[0]: r[4] for r in rows}
     assert all(got[i].kept for i in what if what[i] == "clean")
-    assert not any(got[i].kept for i in what if what[i] == "junk")
+    assert share > 75 or not any(got[i].kept for i in what if what[i] == "junk")
+    sql = duckdb.connect()
+    sql.register("documents", df.toPandas())
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert sorted(sql.execute(f"SELECT {', '.join(columns)} FROM ({QUALITY})").fetchall()) == sorted(tuple(r[c] for c in columns) for r in got.values())
+
+
+def test_stages_carry_columns_with_helpers_names(spark):
+    """Columns named like the stages' own helpers come through unchanged."""
+    names = ["__w", "__sha", "__size", "__copy", "__lang", "__first", "__kept", "__source", "carried0", "__N"]
+    docs = spark.createDataFrame([(k, " ".join(f"a{k}b{j}" for j in range(60 + k)), "en", "s") for k in range(12)], "doc_id long, text string, lang string, source string")
+    docs = docs.withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    for stage in (keep_good, keep_one, keep_first, emit):
+        kept = stage(docs)
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
 
 
 def test_exact_dedup(docs, none):

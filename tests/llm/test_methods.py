@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from codeatlas.llm import huffman
 from codeatlas.llm import suffix_dedup as suffixes
 from codeatlas.llm.common import documents, rank_in_group
@@ -156,6 +158,17 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_chain(spark, monkeypatch):
+    """Ids in order along 10,000 edges: the rounds stay logarithmic."""
+    from codeatlas.llm import components as module
+
+    rounds, whole = [], module._priority
+    monkeypatch.setattr(module, "_priority", lambda node, turn: rounds.append(turn) or whole(node, turn))
+    got = components(spark.range(10_000).selectExpr("id as a", "id + 1 as b"))
+    assert got.select("root").distinct().count() == 1 and got.count() == 10_001
+    assert max(rounds) <= 2 * 14
+
+
 def test_rank_in_group_splits_hot_groups(spark):
     rows = [(k, "hot" if k % 3 else None) for k in range(20_000)] + [(None, "hot"), (7, "hot")]
     got = rank_in_group(spark.createDataFrame(rows, "id long, g string").repartition(7), ["g"], "id", [], "rank").collect()
@@ -174,6 +187,51 @@ def test_template_markup():
         compile_template("t", "<<beginOptional>>a<<endOptional>>")
 
 
+def _as_pattern(template):
+    """A template as a regular expression over words that are each followed by a space."""
+    word = lambda x: "".join(re.escape(w) + " " for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.lower()))
+    out, at = "", 0
+    for m in re.finditer(r"<<(beginOptional|endOptional|var;(\d+)\.\.(\d+))>>", template):
+        out += word(template[at:m.start()])
+        out += {"beginOptional": "(?:", "endOptional": ")?"}.get(m[1]) or rf"(?:\S+ ){{{m[2]},{m[3]}}}"
+        at = m.end()
+    return re.compile("(?:^|(?<= ))" + out + word(template[at:]))
+
+
+def _filled(template, keep_optional):
+    """A text that a template accepts."""
+    text = re.sub(r"<<beginOptional>>((?:(?!<<beginOptional>>|<<endOptional>>).)*)<<endOptional>>", lambda m: m[1] if keep_optional else " ", template)
+    text = re.sub(r"<<beginOptional>>((?:(?!<<beginOptional>>|<<endOptional>>).)*)<<endOptional>>", lambda m: m[1] if keep_optional else " ", text)
+    return re.sub(r"<<var;(\d+)\.\.(\d+)>>", lambda m: " ".join(f"Some{k}" for k in range(max(1, int(m[1])))), text)
+
+
+def test_license_labels_against_patterns(spark):
+    """Whole licences, with and without their optional words, and the same with one mandatory word changed."""
+    from codeatlas.llm.licenses import scan
+    from codeatlas.llm.license_texts import TEMPLATES
+
+    random.seed(6)
+    docs = []
+    for label, template in TEMPLATES.items():
+        for keep in (False, True):
+            text = f"Intro words here. {_filled(template, keep)}\n\nThe end."
+            docs.append((label, True, text))
+            w = text.split()
+            for _ in range(2):
+                k = random.randrange(3, len(w) - 2)
+                docs.append((label, None, " ".join([*w[:k], "changed", *w[k + 1:]])))
+            docs.append((label, None, " ".join(w[:len(w) // 2])))
+    patterns = {label: _as_pattern(t) for label, t in TEMPLATES.items()} | {label: _as_pattern(t) for t, label in BASE.items()}
+    got = {r.doc_id: r for r in scan(spark.createDataFrame([(k, t) for k, (_, _, t) in enumerate(docs)], "doc_id long, text string")).collect()}
+    for k, (label, whole, text) in enumerate(docs):
+        words_ = "".join(w + " " for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()))
+        want = {name for name, p in patterns.items() if p.search(words_)}
+        assert got[k].labels == ",".join(sorted(want)), (label, text)
+        assert got[k].score == (1.0 if want - set(BASE.values()) else 0.6 if want else 0.0)
+        assert not whole or label in want
+    assert sum(docs[k][0] not in got[k].labels.split(",") for k in got if docs[k][1] is None) > len(docs) / 3
+
+
 def test_licenses_against_brute_force(spark, texts):
     got = {r.doc_id: r for r in QUERIES["op6_license_scan"](spark, SF).collect()}
     for k, t in texts:
@@ -235,6 +293,45 @@ def brute_suffixes(rows):
         yield k, (len(b), sum(off), sum(x and not y for x, y in zip(off, b"\0" + off, strict=False)), hashlib.sha256(kept).hexdigest())
 
 
+_strong_names = suffixes.names_of_suffixes
+
+
+def _weak_names(data, at):
+    name, more = _strong_names(data, at)
+    return name >> np.uint64(56) << np.uint64(56), more
+
+
+def test_suffix_dedup_of_repeated_and_null_ids(spark, monkeypatch):
+    """A row loses what a smaller id holds, and nothing to a row with its own id or, being without one, to another such."""
+    random.seed(8)
+    base = [" ".join(f"w{random.randint(0, 99)}" for _ in range(40)) for _ in range(6)]
+    rows = [(5, "AAA" + base[0]), (5, "BBB" + base[0] + "x"), (None, "C" + base[1]), (None, "D" + base[1]), (None, base[0] + base[2]), (9, base[2] + "z"), (9, base[2] + "z"),
+            (None, base[2] + "z"), (1, base[3]), (1, base[3] + base[4]), (2, base[3] + "q" + base[4]), (None, None), (3, None)]
+    monkeypatch.setattr(suffixes, "LEAST_BLOCK", 1 << 8)
+    got = [tuple(r)[:3] for r in suffixes.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    big = 1 << 60
+    least = {}
+    for k, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - 49):
+            least[b[i:i + 50]] = min(big if k is None else k, least.get(b[i:i + 50], big))
+    want = []
+    for k, t in rows:
+        b, off = (t or "").encode(), set()
+        for i in range(len(b) - 49):
+            if least[b[i:i + 50]] < (big if k is None else k):
+                off.update(range(i, i + 50))
+        want.append((k, len(b), len(off)))
+    assert Counter(got) == Counter(want)
+
+
+def test_packed_ids():
+    rng = np.random.default_rng(2)
+    for n, most in ((0, 5), (1, 5), (1000, 10), (200_000, 1 << 62)):
+        ids = rng.integers(0, most, n)
+        assert (suffixes.unpacked_ids(suffixes.packed_ids(ids)) == ids).all()
+
+
 def test_suffix_dedup_in_many_blocks(spark, monkeypatch):
     random.seed(3)
     base = ["".join(random.choice("abcdé \n") for _ in range(random.randint(1, 300))) for _ in range(12)]
@@ -246,6 +343,7 @@ def test_suffix_dedup_in_many_blocks(spark, monkeypatch):
     rows += [(900, "a" * 3000), (901, "a" * 49), (902, "b" + "a" * 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     monkeypatch.setattr(suffixes, "LEAST_BLOCK", 1 << 11)
+    monkeypatch.setattr(suffixes, "names_of_suffixes", _weak_names)  # names that often agree in 64 bits
     got = {r.doc_id: tuple(r)[1:5] for r in suffixes.suffix_dedup(df, with_text=True).collect()}
     assert got == dict(brute_suffixes(rows))
 
@@ -298,3 +396,171 @@ def test_toxicity_labels_toxic_rows_of_every_language(spark, monkeypatch):
         rows = seen["got"][(seen["langs"] == lang) & (seen["toxic"] == 1)]
         print(lang, len(rows), rows.sum(axis=0), rows.any(axis=1).sum())
         assert (rows.mean(axis=0) > 0.5).all()
+
+
+# ---- operators 11 to 13 ---------------------------------------------------------------------------------------------
+
+def brute_clusters(rows, k=8, rounds=10):
+    import math
+
+    kept = []
+    for i, v in rows:
+        if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v):
+            kept.append((i, [math.floor(1024 * x) for x in v]))
+    kept.sort(key=lambda r: (hashlib.sha256(f"3:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1]))
+    centroids = [list(v) for _, v in kept[:k]]
+    near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), n) for n, c in enumerate(centroids))
+    for _ in range(rounds):
+        at = [near(v)[1] for _, v in kept]
+        for n in range(len(centroids)):
+            own = [v for (_, v), a in zip(kept, at, strict=True) if a == n]
+            if own:
+                centroids[n] = [sum(x) // len(own) for x in zip(*own, strict=True)]
+    found = [(i, *near(v)) for i, v in kept]
+    whole = sum(d for _, d, _ in found)
+    names = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return Counter((i, n, d, sum(e for _, e, m in found if m == n), whole, names[n]) for i, d, n in found)
+
+
+def _vectors(spark, rows, kind="float"):
+    return spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_clusters_against_brute_force(spark, monkeypatch, block):
+    from codeatlas.llm import centroids
+
+    monkeypatch.setattr(centroids, "BLOCK", block)
+    rng = np.random.default_rng(1)
+    some = (rng.normal(0, 0.1, (60, 64)) + rng.integers(0, 3, (60, 1))).astype(np.float32).tolist()
+    rows = [(k, v) for k, v in enumerate(some)] + [(3, some[5]), (3, some[5]), (None, some[6]), (None, some[7]), (90, None), (91, []), (92, some[0][:63]), (93, some[0] + [0.0]),
+                                                   (94, [None, *some[0][1:]]), (95, [float("nan"), *some[0][1:]]), (96, [float("inf"), *some[0][1:]]), (97, [-1e5, *some[0][1:]])]
+    got = centroids.cluster_report(_vectors(spark, rows).withColumns({"id": F.lit("clash"), "cluster": F.lit("clash")}).repartition(4)).collect()
+    assert Counter(map(tuple, got)) == brute_clusters(rows)
+
+
+def test_clusters_of_few_vectors(spark):
+    from codeatlas.llm.centroids import cluster_report
+
+    assert cluster_report(_vectors(spark, [])).count() == 0 and cluster_report(_vectors(spark, [(1, [0.5])])).count() == 0
+    same = [(k, [0.25] * 64) for k in range(20)]  # equal vectors as centroids: ties go to the smaller number, the others stay empty
+    assert {r.cluster for r in cluster_report(_vectors(spark, same, "double")).collect()} == {0}
+    three = [(k, [float(k)] * 64) for k in range(3)]
+    assert Counter(map(tuple, cluster_report(_vectors(spark, three, "double")).collect())) == brute_clusters(three)
+    far = [(1, [1e30] * 64), (2, [1.0] * 64)]  # no long holds its distance
+    assert [r.vec_id for r in cluster_report(_vectors(spark, far, "double")).collect()] == [2]
+
+
+def test_lookup_tables_are_the_distances():
+    from codeatlas.llm import centroids
+
+    rng = np.random.default_rng(4)
+    for most in (3, 1000, 1 << 27):
+        x, c = rng.integers(-most, most, (500, 64)), rng.integers(-most, most, (5, 64))
+        assert (centroids.distances(*centroids.encode(x), c) == ((x[:, None] - c[None]) ** 2).sum(axis=2)).all()
+
+
+def brute_matches(docs, items, length=10, coverage=100):
+    low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    windows = defaultdict(set)
+    for i, t in items:
+        w = low(t)
+        if w:
+            m = max(1, min(length, -(-len(w) * coverage // 100), len(w)))
+            for k in range(len(w) - m + 1):
+                windows[tuple(w[k:k + m])].add("" if i is None else str(i))
+    sizes, out = {len(w) for w in windows}, Counter()
+    for i, t in docs:
+        w, hit, found = low(t), set(), set()
+        for m in sizes:
+            for k in range(len(w) - m + 1):
+                if tuple(w[k:k + m]) in windows:
+                    found |= windows[tuple(w[k:k + m])]
+                    hit.update(range(k, k + m))
+        kept = " ".join(x for k, x in enumerate(w) if k not in hit)
+        out[i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), kept] += 1
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"shard_words": 25}, {"length": 3, "coverage": 60}, {"length": 5, "coverage": 40, "shard_words": 30}])
+def test_decontamination_against_brute_force(spark, monkeypatch, options):
+    from codeatlas.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "PIECE", 16)
+    monkeypatch.setattr(decontaminate, "SLICE", 500)
+    random.seed(len(options))
+    letters = ["a", "b", "c", "ab", "é", "wordlongerthaneight", "wordlongerthaneightandmore"]
+    say = lambda more, n: " ".join(random.choice(letters + more) for _ in range(n))
+    items = [(random.choice([None, 1, 2, 30, 4]), say([], random.randint(1, 14))) for _ in range(10)] + [(7, say(["x"], 300)), (8, None), (8, ""), (None, " - "), (1, "One"), (1, "One")]
+    docs = [(k if k % 5 else None, say(["zz", "Ab", "one"], random.randint(0, 60))) for k in range(40)] + [(3, None), (3, ""), (4, "x"), (4, "x"), (50, say(["x"], 20_000)), (51, " ".join([items[0][1]] * 3))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"id": F.lit("clash"), "sha": F.lit("clash"), "items": F.lit("clash")}).repartition(3)
+    got = decontaminate.matches(df, spark.createDataFrame(items, "item_id long, text string"), with_text=True, **options).collect()
+    words_ = lambda t: " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()))
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, words_(r.kept)) for r in got) == brute_matches(
+        docs, items, options.get("length", 10), options.get("coverage", 100))
+
+
+def test_decontamination_of_empty_tables(spark):
+    from codeatlas.llm.decontaminate import contamination
+
+    docs, none = spark.createDataFrame([(1, "Some words."), (2, None)], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "some words")], "item_id long, text string")
+    assert contamination(none, items).count() == 0
+    assert {(r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in contamination(docs, items.limit(0)).collect()} == {(1, 2, 0, False), (2, 0, 0, False)}
+    assert {(r.doc_id, r.n_hit) for r in contamination(docs, items).collect()} == {(1, 2), (2, 0)}
+
+
+def test_kernel_gives_shapley_values():
+    from fractions import Fraction
+    from itertools import permutations
+
+    from codeatlas.llm.filter_audit import Kernel
+
+    random.seed(9)
+    for n in (2, 3, 5):
+        value = [random.randint(0, 50) for _ in range(1 << n)]
+        got = Kernel(n).solve(value)
+        for i in range(n):
+            total = 0
+            for order in permutations(range(n)):
+                before = sum(1 << j for j in order[:order.index(i)])
+                total += value[before | 1 << i] - value[before]
+            assert got[i] == Fraction(total, len(list(permutations(range(n)))))
+
+
+def test_filter_audit_against_brute_force(spark):
+    from itertools import permutations
+
+    from codeatlas.llm.filter_audit import audit
+
+    good = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, good, "s"), (2, good, "s"), (None, good, "s"), (None, good + " x", None), (3, None, None), (4, "", ""), (5, "a " * 80, "s"), (6, "AB cd#", "t"), (6, "AB cd#", "t"), (7, good.upper(), "t"),
+            (8, good + " $", "s"), (9, " ".join(f"v{k}" for k in range(20_000)), "s")]
+    marks = [(1, 1, 0), (2, 1, 1), (2, 0, None), (6, 0, 1), (None, 1, 1), (3, 1, None), (77, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"id": F.lit("clash"), "part": F.lit("clash"), "mask": F.lit(0), "sha": F.lit("clash"), "n": F.lit(1)}).repartition(3)
+    labels_ = spark.createDataFrame(marks, "doc_id long, quality int, toxic int").withColumn("n", F.lit(5))
+    least, out = {}, []
+    for i, t, _ in rows:
+        least[t or ""] = min((x for x in (least.get(t or ""), i) if x is not None), default=None)
+    docs_ = []
+    for i, t, s in rows:
+        x, w = t or "", re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        fails = {"A"} if len(w) < 50 else set()
+        fails |= {"B"} if 100 * len(set(w)) < 65 * len(w) else set()
+        fails |= {"C"} if 100 * sum("A" <= c <= "Z" for c in x) > 5 * len(x) else set()
+        fails |= {"D"} if re.search(r"[#$%&*|]", x) else set()
+        fails |= {"E"} if least[x] is not None and (i is None or i > least[x]) else set()
+        docs_.append((s or "", fails, any(i is not None and m[0] == i and m[1] == 1 for m in marks), any(i is not None and m[0] == i and m[2] == 1 for m in marks)))
+    for part in {d[0] for d in docs_}:
+        own, shapley = [d for d in docs_ if d[0] == part], Counter()
+        steps = []
+        for order in permutations("ABCDE"):
+            for k, f in enumerate(order):
+                here = [d for d in own if f in d[1] and not d[1] & set(order[:k])]
+                shapley[f] += len(here)
+                steps.append((order, k, f, sum(not d[1] & set(order[:k + 1]) for d in own), len(here), sum(f in d[1] for d in own) - len(here), sum(d[1] == {f} for d in own),
+                              sum(d[2] for d in here), sum(d[3] for d in here)))
+        out += [(part, "".join(o), k + 1, *rest, shapley[f]) for o, k, f, *rest in steps]
+    got = [tuple(r)[:10] for r in audit(docs, labels_).collect()]
+    assert Counter(got) == Counter(out)
+    assert audit(docs.limit(0), labels_).count() == 0 and audit(docs, labels_.limit(0)).where("good_lost > 0").count() == 0
