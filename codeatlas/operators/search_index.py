@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions.score import (SCORE_CONTAINS, SCORE_EQUAL, NON_WORD, PY_NON_WORD, fuzzy_threshold, near, tokenize, tokenize_py,
                                        hits_score)
-from codeatlas.session import ensure_checkpoint_dir
+from codeatlas.session import run_folder
 
 BUCKETS = 64
 #: Segments of a token: one more than the edits that are allowed.
@@ -75,7 +75,7 @@ class SearchIndex:
     def build(cls, docs: DataFrame, path: str | None = None, text: str = "content") -> SearchIndex:
         """Index ``docs`` (project, doc_ord, text) at ``path``, by default in the shared folder."""
         spark = docs.sparkSession
-        path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        path = path or f"{run_folder(spark)}/index-{uuid.uuid4().hex}"
         index = cls(spark, path)
         docs = docs.select(*KEY, F.coalesce(F.col(text), F.lit("")).alias("t")).where("t <> ''")
         tokens = docs.select(*KEY, F.explode(F.array_distinct(tokenize("t"))).alias("token"))

@@ -15,7 +15,7 @@ from codeatlas.operators import search as search_ops
 from codeatlas.operators.search_index import SearchIndex
 from codeatlas.plans import briefing, build
 from codeatlas.plans.oracle import sql_score, with_views
-from codeatlas.session import ensure_checkpoint_dir
+from codeatlas.session import run_folder
 from codeatlas.sources import corpus, manifest, runs, snapshots
 
 QUERIES: dict = {}
@@ -1151,7 +1151,7 @@ def q_arch_show_file(spark, sf):
 @register("doc_store_table", ORACLE["doc_add_table"])
 def q_doc_store_table(spark, sf):
     """The docs committed as a snapshot, updated there (only the touched buckets are written), and read back."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    base = f"{run_folder(spark)}/store-{uuid.uuid4().hex}"
     first = snapshots.commit(spark, base, {"docs": corpus.docs(spark, sf)})
     changes = _label_changes(spark, sf)
     stored = snapshots.read(spark, base, "docs", first)

@@ -6,26 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.plans.stored import stored
-from codeatlas.session import ensure_checkpoint_dir
-
-
-RANK_CHUNK = 4096
 
 
 def place_in_group(df: DataFrame, group_cols, ord_col: str, out_col: str) -> DataFrame:
-    """1-based place of each row in its group by the integer ``ord_col``, for groups of any size.
-
-    Rows are numbered within chunks of consecutive order values; the chunks' sizes, counted
-    before any shuffle, say how many rows come before a chunk. The join is null-safe."""
-    group_cols = list(group_cols)
-    rows = df.withColumn("_chunk", F.floor(F.col(ord_col) / RANK_CHUNK).cast("long"))
-    keys = [*group_cols, "_chunk"]
-    before = Window.partitionBy(*group_cols).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    sizes = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_before")
-    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*keys).orderBy(ord_col)))
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    return rows.join(sizes, same).withColumn(out_col, (F.col("_before") + F.col("_in")).cast("long")).select(*df.columns, out_col)
+    """1-based place of each row in its group by ``ord_col``, for groups of any size and order values of any kind."""
+    ranked = running_total(df.withColumn("_one", F.lit(1).cast("long")), group_cols, [ord_col], "_one", out_col)
+    return ranked.withColumn(out_col, F.col(out_col) + 1).select(*df.columns, out_col)
 
 
 def numbered(rows: DataFrame, group_cols, chunk_cols, order_cols, out_col: str) -> DataFrame:
@@ -52,14 +38,13 @@ def lag_in_order(df: DataFrame, group_cols, order_cols, value_col: str, out_col:
 
     Rows are dealt by ranges of (group, order), so a group holding a third of all rows
     spreads over many tasks. The number of a row's range becomes a stored column: the
-    dealt rows are checkpointed before anything reads them, so every branch below sees
+    dealt rows are stored before anything reads them, so every branch below sees
     the same ranges. Each range takes the lag of its own rows; the first row of a range
     takes the last row of the range before when that belongs to the same group. The
     table of last rows has one row per range."""
     group_cols, order_cols = list(group_cols), list(order_cols)
     keys = group_cols + order_cols
-    ensure_checkpoint_dir(df.sparkSession)
-    s = df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()).checkpoint()
+    s = stored(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
     w = Window.partitionBy("_range").orderBy(*keys)
     here = F.struct(F.struct(*[F.col(c) for c in group_cols]).alias("g"), F.col(value_col).alias("v"))
     s = s.withColumns({"_rn": F.row_number().over(w), "_prev": F.lag(here).over(w)})

@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from codeatlas.session import ensure_checkpoint_dir
+from codeatlas.session import run_folder
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table under ``spark.checkpoint.dir`` and read it back: made once for all readers,
     kept by no executor, with sizes that the planner knows."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -51,6 +51,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder under ``spark.checkpoint.dir`` that holds all intermediate tables of this application."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/run-{spark.sparkContext.applicationId}"
+
+
+def cleanup(spark: SparkSession) -> bool:
+    """Delete this application's intermediate tables; DataFrames that were made from them can't be read any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, for clusters on which it isn't installed."""
     import pathlib

@@ -72,6 +72,17 @@ def test_imports_of_files_outside_the_scan(spark):
     assert [r.path for r in t.files.collect()] == ["src/a.ts"]
 
 
+def test_cleanup_removes_what_a_run_stored(spark, monkeypatch):
+    from codeatlas import session
+    from codeatlas.plans.stored import stored
+
+    own = tempfile.mkdtemp(prefix="codeatlas-run-", dir="/tmp")
+    monkeypatch.setattr(session, "run_folder", lambda spark: f"{own}/run-x")
+    monkeypatch.setattr("codeatlas.plans.stored.run_folder", lambda spark: f"{own}/run-x")
+    assert stored(spark.range(3)).count() == 3 and len(os.listdir(f"{own}/run-x")) == 1
+    assert session.cleanup(spark) and not os.path.exists(f"{own}/run-x")
+
+
 def test_snapshots_are_whole_and_conflicts_fail(spark):
     base = tempfile.mkdtemp(prefix="codeatlas-snap-", dir="/tmp")
     files, el, edges = ts_tables(spark)
