@@ -1161,3 +1161,17 @@ def q_doc_store_table(spark, sf):
         "project", "doc_ord", "element", "path", "type", "content", "aliases", "source",
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"),
         F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("updated_at"))
+
+
+# Ignore rules of the four projects: the default list, a list with a path part and a suffix, the default list, none.
+@register("selected_sources", """
+WITH f AS (SELECT 'repo' || CAST(p_partkey % 4 AS VARCHAR) AS project, CAST(p_partkey AS VARCHAR) AS k, (p_partkey // 4) % 8 AS place FROM part)
+SELECT DISTINCT project, CASE place WHEN 0 THEN 'src/m' || k || '.ts' WHEN 1 THEN 'node_modules/m' || k || '.ts' WHEN 2 THEN 'src/dist/m' || k || '.js'
+        WHEN 3 THEN 'pkg/x.egg-info/m' || k || '.py' WHEN 4 THEN 'src/m' || k || '.d.ts' WHEN 5 THEN 'pkg/distance' || k || '.py'
+        WHEN 6 THEN 'gen/code/m' || k || '.mjs' WHEN 7 THEN 'src/readme' || k || '.md' END AS path,
+    CASE project WHEN 'repo0' THEN 'python' WHEN 'repo1' THEN 'typescript' WHEN 'repo2' THEN 'javascript' ELSE 'unknown' END AS language
+FROM f WHERE (project = 'repo0' AND place = 5) OR (project = 'repo1' AND place IN (0, 1, 2)) OR (project = 'repo2' AND place IN (0, 4, 6)) OR (project = 'repo3' AND place IN (0, 1, 2, 4, 6))""")
+def q_selected_sources(spark, sf):
+    rows = [("repo0", "python", None), ("repo1", "typescript", ["gen/code", "*.d.ts", "src/nothing"]), ("repo2", "javascript", None), ("repo3", None, [])]
+    projects = spark.createDataFrame(rows, "project string, language string, ignore array<string>")
+    return build.select_sources(corpus.mixed_paths(spark, sf), projects).select("project", "path", "language")

@@ -288,3 +288,16 @@ def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         one(F.lit("tsconfig.json"), F.lit("{}"), k % 3 == 0),
         one(F.lit("pyproject.toml"), F.lit(""), (k % 3 == 1) & (k % 5 == 0))))).alias("f"))
     return rows.select("project", "f.path", "f.content")
+
+
+def mixed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``source_files`` with one file per part, in eight kinds of places -- scanned and ignored folders, wanted and
+    other suffixes; each row twice."""
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    k = F.col("p_partkey").cast("string")
+    place = F.floor(F.col("p_partkey") / N_PROJECTS) % 8
+    path = lambda before, after: F.concat(F.lit(before), k, F.lit(after))
+    paths = [path("src/m", ".ts"), path("node_modules/m", ".ts"), path("src/dist/m", ".js"), path("pkg/x.egg-info/m", ".py"), path("src/m", ".d.ts"),
+             path("pkg/distance", ".py"), path("gen/code/m", ".mjs"), path("src/readme", ".md")]
+    rows = p.select(_project(F.col("p_partkey")).alias("project"), F.element_at(F.array(*paths), (place + 1).cast("int")).alias("path"), k.alias("content"))
+    return rows.unionByName(rows)
