@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions.text import markdown_body
 from codeatlas.operators.docs import DOC_COLS, doc_lookup, resolve_targets
-from codeatlas.plans.partitioning import lag_in_order
+from codeatlas.plans.partitioning import lag_in_order, running_total
 
 # Default body of a new free page.
 DEFAULT_PAGE_BODY = "Add documentation here."
@@ -178,16 +178,9 @@ def seed_docs(elements: DataFrame, docs: DataFrame, now=None):
     ords = _next_ord(docs)
     rows = (final.join(base.select("project", F.col("element").alias("name"), "doc_ord"), ["project", "name"], "left")
             .join(ords, "project", "left"))
-    # Names new to the table are appended in first-creation order: numbered within the file that created
-    # them, after the names that earlier files created. A file holds a bounded number of names.
-    fresh = rows.where(F.col("doc_ord").isNull())
-    per_file = fresh.groupBy("project", F.col("_first.path").alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("project").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    per_file = per_file.select("project", "_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    fresh = fresh.withColumn("_file", F.col("_first.path"))
-    within = F.row_number().over(Window.partitionBy("project", "_file").orderBy("_first.elem_ord")) - 1
-    new = fresh.withColumn("_in", within).join(per_file, ["project", "_file"]).withColumn("_mono", F.col("_before") + F.col("_in"))
-    new = new.select(*rows.columns, "_mono")
+    # Names new to the table are appended in first-creation order.
+    fresh = rows.where(F.col("doc_ord").isNull()).withColumns({"_file": F.col("_first.path"), "_at": F.col("_first.elem_ord"), "_one": F.lit(1).cast("long")})
+    new = running_total(fresh, ["project"], ["_file", "_at"], "_one", "_mono").select(*rows.columns, "_mono")
     old = rows.where(F.col("doc_ord").isNotNull()).withColumn("_mono", F.lit(None).cast("long"))
     rows = old.unionByName(new).select(
         "project", F.coalesce("doc_ord", F.coalesce("_base", F.lit(0)) + F.col("_mono")).alias("doc_ord"),

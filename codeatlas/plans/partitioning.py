@@ -65,13 +65,13 @@ def running_total(df: DataFrame, group_cols, order_cols, value_col: str, out_col
     its own rows, and each group starts in it from what earlier ranges hold of that group. That last table has one
     row per range and group in it, as groups follow each other in the ranges. Rows that tie get some order."""
     group_cols, order_cols = list(group_cols), list(order_cols)
-    dealt = stored(df.repartitionByRange(*group_cols, *order_cols).withColumn("_range", F.spark_partition_id()))
-    own = Window.partitionBy("_range", *group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy("_range", *group_cols).agg(F.sum(value_col).alias("_sum"))
-    earlier = Window.partitionBy(*group_cols).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)], F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-    rows = dealt.withColumn("_own", F.coalesce(F.sum(value_col).over(own), F.lit(0)))
-    same = (F.col("_range") == F.col("_r"))
+    dealt = stored(df.repartitionByRange(*group_cols, *order_cols).withColumn("_total_range", F.spark_partition_id()))
+    own = Window.partitionBy("_total_range", *group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_total_range", *group_cols).agg(F.sum(value_col).alias("_total_sum"))
+    earlier = Window.partitionBy(*group_cols).orderBy("_total_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(F.col("_total_range").alias("_total_r"), *[F.col(c).alias(f"_total_g{i}") for i, c in enumerate(group_cols)], F.coalesce(F.sum("_total_sum").over(earlier), F.lit(0)).alias("_total_base"))
+    rows = dealt.withColumn("_total_own", F.coalesce(F.sum(value_col).over(own), F.lit(0)))
+    same = (F.col("_total_range") == F.col("_total_r"))
     for i, c in enumerate(group_cols):
-        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    return rows.join(base, same).withColumn(out_col, F.col("_base") + F.col("_own")).select(*df.columns, out_col)
+        same = same & F.col(c).eqNullSafe(F.col(f"_total_g{i}"))
+    return rows.join(base, same).withColumn(out_col, F.col("_total_base") + F.col("_total_own")).select(*df.columns, out_col)
