@@ -84,15 +84,21 @@ def scan(src: str | None) -> tuple[list[tuple], list[tuple]]:
     if not src:
         return [], []
     statements, calls = [], []
+    reading: list[_Statement] = []  # the statements of all frames; a head ends before its body, so they are few
     breaks = [m.start() for m in re.finditer("\n", src)]
     stack = [_Frame("", -1, "block", None, False)]
     at, n = 0, len(src)
     last, last_end, newline, doc = "", 0, True, None  # the token before, its end, whether a line ended since, the JSDoc since
     chain = None  # (start, end, whether the whole expression) of the dotted name just read
 
+    def drop(frame: _Frame) -> None:
+        if frame.statement:
+            reading.remove(frame.statement)
+            frame.statement = None
+
     def finish(frame: _Frame, end: int) -> None:
         s = frame.statement
-        frame.statement = None
+        drop(frame)
         if s.kind == "type?" or s.kind == "export" and not s.exports:
             return
         raw = src[s.start:end]
@@ -107,9 +113,8 @@ def scan(src: str | None) -> tuple[list[tuple], list[tuple]]:
 
     def cut(a: int, b: int, fill: str = FILL) -> None:
         """Blank a stretch in the statements that are being read around it."""
-        for f in stack:
-            if f.statement:
-                f.statement.cuts.append((a, b, fill))
+        for s in reading:
+            s.cuts.append((a, b, fill))
 
     while at < n:
         frame = stack[-1]
@@ -184,14 +189,18 @@ def scan(src: str | None) -> tuple[list[tuple], list[tuple]]:
                 s.state = "body"
             if starts and token in _MODIFIERS and not (token == "default" and last != "export"):
                 if token == "export" and len(stack) == 1:
+                    drop(frame)
                     frame.statement = _Statement("export", frame.first, frame.doc[0] if frame.doc else None, True, False)
+                    reading.append(frame.statement)
             elif starts and token in _DECLARING:
                 what = _DECLARING[token]
                 if what == "function" or len(stack) == 1:
+                    drop(frame)
                     frame.statement = _Statement("type?" if token in ("type", "interface") else what, frame.first, frame.doc[0] if frame.doc else None, len(stack) == 1, False)
                     frame.statement.name = token if token in ("type", "interface") else None
-                    if what == "import" and last in ("export",):
-                        frame.statement = None
+                    reading.append(frame.statement)
+                    if what == "import" and last == "export":
+                        drop(frame)
                 frame.fresh = frame.decorated = False
             elif starts and token in ("case", "default"):
                 frame.case, frame.fresh = True, False
@@ -205,10 +214,9 @@ def scan(src: str | None) -> tuple[list[tuple], list[tuple]]:
             elif not (starts and frame.decorated and token in ".("):
                 frame.fresh = False
             doc = None
-            if s and s.kind == "type?":
-                frame.statement = s = None
-            if s and s.kind == "import" and last == "import" and token in "(.":
-                frame.statement = s = None
+            if s and (s.kind == "type?" or s.kind == "import" and last == "import" and token in "(."):
+                drop(frame)
+                s = None
             if s and s.kind == "export" and last in ("export", "type") and token == "{":
                 s.exports = True
             if token == ":" and s:

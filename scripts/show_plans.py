@@ -20,7 +20,8 @@ import tempfile
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from codeatlas.operators import docs as D  # noqa: E402
-from codeatlas.operators import card, graph, nodes, render, search  # noqa: E402
+from codeatlas.operators import card, extract_python, extract_ts, graph, nodes, render, search  # noqa: E402
+from codeatlas.operators.search_index import SearchIndex  # noqa: E402
 from codeatlas.session import get_session  # noqa: E402
 from codeatlas.sources import corpus, tables  # noqa: E402
 
@@ -37,13 +38,18 @@ def main() -> None:
     elements = tables.read_table(spark, base, "elements")
     files = tables.read_table(spark, base, "files")
     docs = tables.read_table(spark, base, "docs")
+    index = SearchIndex.build(docs)
     shows = {
         "deps('red_widget_17') on stored edges": graph.deps(edges, "red_widget_17").select("src_path", "from_element", "type"),
         "deps in one project (partition pruning)": graph.deps(edges.where("project = 'repo1'"), "red_widget_17"),
         "hotspots(k=10)": graph.hotspots(edges, 10),
         "element_edges(limit=50)": graph.element_edges(edges, elements, 50),
         "doc_coverage": D.doc_coverage(elements, docs),
-        "doc_search('thhe redd anat')": search.doc_search(docs, "thhe redd anat"),
+        "doc_search('thhe redd anat'), one pass over the texts": search.doc_search(docs, "thhe redd anat"),
+        "doc scores from the stored index": search.doc_hits(docs, "thhe redd anat", index=index),
+        "ts_elements": extract_ts.ts_elements(corpus.ts_src_files(spark, sf)),
+        "ts_edges": extract_ts.ts_edges(corpus.ts_src_files(spark, sf)),
+        "py calls with scope": extract_python.python_calls(extract_python.lines_of(corpus.src_files(spark, sf))),
         "card": card.explain(files, elements, edges, docs, elements.select("project", "name")),
         "dot_edges": render.render_dot(edges),
         "arch_browse('widget')": nodes.arch_browse(files, elements, "widget"),

@@ -133,6 +133,26 @@ def test_several_declarators(spark):
                    ("long", 7, False), ("last", 9, False), ("z", 11, False)]
 
 
+def test_scanner_survives_any_text_and_stays_linear():
+    import random
+    import time
+
+    random.seed(1)
+    tokens = ["function", "class", "const", "export", "default", "import", "type", "interface", "enum", "async", "a", "x.y", "(", ")", "{", "}", "[", "]", "<", ">", ",", ";", ":", "=", "=>",
+              "'s'", '"d"', "`t`", "`${", "`", "/", "//c\n", "/* c */", "/** d */", "\n", "@", "?.", "...", "extends", "implements", "new", "case", "as", "1"]
+    for _ in range(1500):
+        src = " ".join(random.choice(tokens) for _ in range(random.randint(1, 50)))
+        for _, start, _, raw, skeleton, _, _ in scan(src)[0]:
+            assert len(raw) == len(skeleton) and src[start:start + len(raw)] == raw, src
+    for text in ("{('x',", "function f(){", "a < b ", "const q = [{a: 'b', c: [1]},"):
+        took = []
+        for n in (4_000, 32_000):
+            at = time.perf_counter()
+            scan(text * n)
+            took.append(time.perf_counter() - at)
+        assert took[1] < 30 * took[0] + 1, text
+
+
 def elements_of(spark, text, path="a.ts"):
     rows = xt.ts_elements(source_files(spark, [("p", path, text)])).orderBy("elem_ord").collect()
     return [(r.name, r.type, r.line, r.signature) for r in rows]
