@@ -166,7 +166,10 @@ def test_components_of_a_long_chain(spark, monkeypatch):
     monkeypatch.setattr(module, "_priority", lambda node, turn: rounds.append(turn) or whole(node, turn))
     got = components(spark.range(10_000).selectExpr("id as a", "id + 1 as b"))
     assert got.select("root").distinct().count() == 1 and got.count() == 10_001
-    assert max(rounds) <= 2 * 14
+    assert max(rounds) <= 14  # log2 of the nodes
+    rounds.clear()
+    star = components(spark.range(5_000).selectExpr("7000L as a", "id as b").union(spark.range(3).selectExpr("id + 9000 as a", "id + 9001 as b")))
+    assert sorted(r["count"] for r in star.groupBy("root").count().collect()) == [4, 5001] and max(rounds) <= 2
 
 
 def test_rank_in_group_splits_hot_groups(spark):
@@ -360,6 +363,73 @@ def test_held_out_accuracy(spark, query, label):
     assert sum(p == y for p, y in tested) / len(tested) > 0.93
 
 
+def plain_bradley_terry(good, bad, seed=7):
+    """The same pairs, one at a time."""
+    from codeatlas.llm import quality_ranker as q
+
+    rng = np.random.default_rng(seed)
+    n = max(len(good), len(bad)) * q.PAIRS_EACH
+    pairs = list(zip((rng.permutation(n) % len(good)).tolist(), (rng.permutation(n) % len(bad)).tolist(), strict=True))
+    w, momentum = np.zeros(good.shape[1]), np.zeros(good.shape[1])
+    for _ in range(q.ROUNDS):
+        slope = np.zeros(len(w))
+        for a, b in pairs:
+            apart = good[a] - bad[b]
+            slope -= apart / (1 + np.exp(w @ apart))  # of log(1 + exp(-w (a - b)))
+        momentum = 0.9 * momentum - 0.3 * (slope / n + q.RIDGE * w)
+        w = w + momentum
+    return w
+
+
+def test_pairwise_fit_against_a_plain_one():
+    from codeatlas.llm.quality_ranker import fit_bradley_terry
+
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(0.4, 1, (12, 4)), rng.normal(-0.4, 1, (7, 4))
+    assert np.allclose(fit_bradley_terry(good, bad), plain_bradley_terry(good, bad))
+
+
+def test_quality_ranker_against_brute_force(spark, texts):
+    from codeatlas.llm import quality_ranker as q
+    from codeatlas.llm.common import labels
+
+    marks, body = defaultdict(list), dict(texts)
+    for r in labels(spark, SF).collect():
+        if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            marks[r.doc_id].append(r.quality)
+    rows = sorted((round(sum(v) / len(v)), k, q.features(body[k]).astype(float)) for k, v in marks.items() if k in body)  # fewer than a class may have
+    x, y = np.array([r[2] for r in rows]), np.array([r[0] for r in rows])
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
+    w = q.fit_bradley_terry(((x - mean) / spread)[y == 1], ((x - mean) / spread)[y == 0])
+    score = (x - mean) / spread @ w
+    best = max(((score[y == 0] <= t).mean() - (score[y == 1] <= t).mean(), -n) for n, t in enumerate(sorted(score)[:-1]))
+    ranked = sorted(score)
+    threshold = (ranked[-best[1]] + ranked[-best[1] + 1]) / 2
+    got = {r.doc_id: r for r in QUERIES["op4_quality_ranker"](spark, SF).collect()}
+    for k, t in texts:
+        s = (q.features(t).astype(float) - mean) / spread @ w
+        assert got[k].score == pytest.approx(1 / (1 + np.exp(np.clip(-(s - threshold) / (score.std() / 4 + 1e-9), -500, 500))), abs=1e-6)
+        assert got[k].predicted == int(got[k].score >= 0.5) and got[k].held_out == (zlib.crc32(str(k).encode()) % 3 == 1)
+
+
+def test_toxic_texts_are_found_in_every_language(spark):
+    from codeatlas.llm.common import labels
+
+    sf = "/root/testdata/sf0.1"
+    of = {r.doc_id: r.lang for r in documents(spark, sf).select("doc_id", "lang").collect()}
+    got = {r.doc_id: r for r in QUERIES["op5_toxicity_chain"](spark, sf).select("doc_id", "held_out", "predicted").collect()}
+    tested = [(of[r.doc_id], got[r.doc_id].predicted, r.toxic) for r in labels(spark, sf).collect() if got[r.doc_id].held_out]
+    found, toxic, called = Counter(), Counter(), Counter()
+    for lang, p, t in tested:
+        toxic[lang] += t
+        called[lang] += p
+        found[lang] += p and t
+    print(found, toxic, called)
+    assert sum(found.values()) >= 0.85 * sum(toxic.values()) and sum(found.values()) >= 0.95 * sum(called.values())
+    for lang in toxic:
+        assert found[lang] >= 0.6 * toxic[lang] and found[lang] >= 0.9 * called[lang], lang
+
+
 def test_toxicity_categories_reach_every_language():
     from codeatlas.llm.toxicity import typical_groups
 
