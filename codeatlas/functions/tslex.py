@@ -19,8 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 FILL = "\x01"
-SCAN_SCHEMA = ("project string, path string, statements array<struct<kind:string,start:int,line:int,raw:string,skeleton:string,doc:string,top:boolean>>, "
-               "calls array<struct<callee:string,caller:string>>")
+SCAN_COLUMNS = ("statements array<struct<kind:string,start:int,line:int,raw:string,skeleton:string,doc:string,top:boolean>>, "
+                "calls array<struct<callee:string,caller:string>>, whole boolean")
 
 _LEX = re.compile(r"(\s*)(?:(?P<comment>//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/)?)|(?P<string>'(?:\\.|[^'\\\n])*'?|\"(?:\\.|[^\"\\\n])*\"?)"
                   r"|(?P<word>[\w$¡-\U0010ffff]+)|(?P<op>=>|\?\.(?!\d)|\.\.\.|&&|\|\||\?\?|\+\+|--|.|\Z))", re.S)
@@ -28,6 +28,7 @@ _TEMPLATE = re.compile(r"(?:\\.|[^`\\$]|\$(?!\{))*(`|\$\{)?", re.S)
 _REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[\w$]*")
 _ATOM = r"(?:(?!&&|\|\|)[^<>(){};=]|=>|\{[^{}]*\}|\([^()]*\)|%s)*"
 _TYPE_ARGS = re.compile(rf"<{_ATOM % (rf'<{_ATOM % rf"<{_ATOM % r'<>'}>"}>')}>(?=\s*(?:\?\.)?\()")
+_CUT = re.compile(r"\n(?=(?:export|function|class|interface|enum|const|let|var|import|declare|abstract)\b)")
 _ARROW = re.compile(r"\s*(?::[^;{}]*?)?=>")
 _CALLEE = re.compile(r"[a-zA-Z_][\w.]*", re.A)
 
@@ -81,14 +82,30 @@ class _Statement:
 
 def scan(src: str | None) -> tuple[list[tuple], list[tuple]]:
     """Statements (kind, start, line, raw, skeleton, doc, top) and calls (callee, caller) of a text, in order."""
+    return scan_block(src)[:2]
+
+
+def cuts(src: str, size: int) -> list[int]:
+    """Where a text may be cut into blocks of at least ``size`` letters: at lines that start with a word that only
+    starts statements, so nothing before them goes on there unless a bracket, a comment or a string is open."""
+    at = [0]
+    while (m := _CUT.search(src, at[-1] + size)) is not None:
+        at.append(m.start() + 1)
+    return at
+
+
+def scan_block(src: str | None) -> tuple[list[tuple], list[tuple], bool]:
+    """``scan`` of a text that starts at the top level, and whether the next block may be read on its own: nothing is
+    open at the end, the last statement is over, and no JSDoc or decorator waits for one."""
     if not src:
-        return [], []
+        return [], [], True
     statements, calls = [], []
     reading: list[_Statement] = []  # the statements of all frames; a head ends before its body, so they are few
     breaks = [m.start() for m in re.finditer("\n", src)]
     stack = [_Frame("", -1, "block", None, False)]
     at, n = 0, len(src)
     last, last_end, newline, doc = "", 0, True, None  # the token before, its end, whether a line ended since, the JSDoc since
+    unclosed = False  # a comment, string or template goes on past the end
     chain = None  # (start, end, whether the whole expression) of the dotted name just read
 
     def drop(frame: _Frame) -> None:
@@ -121,6 +138,7 @@ def scan(src: str | None) -> tuple[list[tuple], list[tuple]]:
         if frame.bracket == "`":  # the text of a template, up to its end or the next ${
             m = _TEMPLATE.match(src, at)
             cut(at, m.end() - (0 if m[1] is None else len(m[1])))
+            unclosed = m[1] is None
             at = m.end()
             if m[1] == "${":
                 stack.append(_Frame("{", at - 1, "group", frame.fn, frame.quiet))
@@ -140,6 +158,7 @@ def scan(src: str | None) -> tuple[list[tuple], list[tuple]]:
         if not token:
             break
         if kind == "comment":
+            unclosed = token[1] == "*" and not (token.endswith("*/") and len(token) > 3)
             newline = newline or "\n" in token
             if token.startswith("/**") and token.endswith("*/") and len(token) > 4:
                 doc = (_doc(token),)
@@ -149,6 +168,8 @@ def scan(src: str | None) -> tuple[list[tuple], list[tuple]]:
             r = _REGEX.match(src, start)
             if r:
                 kind, at = "string", r.end()
+        if kind == "string":
+            unclosed = at == n and (len(token) < 2 or src[n - 1] not in "'\"/" and not src[n - 1].isalnum())
         # -- does the statement before end here?
         s = frame.statement
         if newline and s and last not in _GOES_ON_AFTER and token not in _GOES_ON_WITH and not (token == "{" and s.kind in ("function", "class", "interface", "enum")):
@@ -315,10 +336,12 @@ def scan(src: str | None) -> tuple[list[tuple], list[tuple]]:
             if token not in (".", "?.", "<"):
                 chain = None
         last, last_end = (token if kind != "string" else '"'), at
+    top = stack[0]
+    whole = len(stack) == 1 and not (top.decorated or top.named_class or top.case) and doc is None and last not in _GOES_ON_AFTER and last not in _MODIFIERS and not unclosed
     for f in stack:
         if f.statement:
             finish(f, last_end)
-    return statements, [c for c in calls if c]
+    return statements, [c for c in calls if c], whole
 
 
 def _before(src: str, at: int) -> tuple[str, bool]:
@@ -354,15 +377,35 @@ def _word_before(src: str, at: int) -> str:
     return src[j:k]
 
 
+_STATEMENT = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("line", pa.int32()), ("raw", pa.string()), ("skeleton", pa.string()),
+                        ("doc", pa.string()), ("top", pa.bool_())])
+_CALL = pa.struct([("callee", pa.string()), ("caller", pa.string())])
+
+
 def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``SCAN_SCHEMA`` rows from (project, path, content) batches."""
-    statement = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("line", pa.int32()), ("raw", pa.string()), ("skeleton", pa.string()),
-                           ("doc", pa.string()), ("top", pa.bool_())])
-    call = pa.struct([("callee", pa.string()), ("caller", pa.string())])
+    """The columns ``statements``, ``calls`` and ``whole`` for the texts in ``content``, beside the other columns."""
     for batch in batches:
-        found = [scan(text) for text in batch.column("content").to_pylist()]
+        found = [scan_block(text) for text in batch.column("content").to_pylist()]
+        others = [n for n in batch.schema.names if n != "content"]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("project"), batch.column("path"),
-             pa.array([[dict(zip(("kind", "start", "line", "raw", "skeleton", "doc", "top"), s, strict=True)) for s in x[0]] for x in found], pa.list_(statement)),
-             pa.array([[{"callee": a, "caller": b} for a, b in x[1]] for x in found], pa.list_(call))],
-            names=["project", "path", "statements", "calls"])
+            [*(batch.column(n) for n in others),
+             pa.array([[dict(zip(("kind", "start", "line", "raw", "skeleton", "doc", "top"), s, strict=True)) for s in x[0]] for x in found], pa.list_(_STATEMENT)),
+             pa.array([[{"callee": a, "caller": b} for a, b in x[1]] for x in found], pa.list_(_CALL)), pa.array([x[2] for x in found], pa.bool_())],
+            names=[*others, "statements", "calls", "whole"])
+
+
+def block_batches(size: int):
+    """(project, path, block, line, content): the blocks of each text, with the number of lines before them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for project, path, src in zip(*(batch.column(c).to_pylist() for c in ("project", "path", "content")), strict=True):
+                at = cuts(src, size)
+                texts = [src[a:b] for a, b in zip(at, [*at[1:], len(src)], strict=True)]
+                lines, before = [], 0
+                for t in texts:
+                    lines.append(before)
+                    before += t.count("\n")
+                n = len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array([project] * n, pa.string()), pa.array([path] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(lines, pa.int32()), pa.array(texts, pa.string())],
+                                                 names=["project", "path", "block", "line", "content"])
+    return run

@@ -69,7 +69,9 @@ def explain(files: DataFrame, elements: DataFrame, edges: DataFrame, docs: DataF
     aliases match; status ``not_found`` when there is no node, doc, call or dependent."""
     n = names.select("project", "name").distinct()
     node = find_nodes(files, elements, n)
-    kids = (elements.groupBy("project", "path")
+    # Children are gathered of the files that are asked for, not of all.
+    asked = node.where("node.is_file").select("project", F.col("node.path").alias("path")).distinct()
+    kids = (elements.join(asked, ["project", "path"], "left_semi").groupBy("project", "path")
             .agg(F.transform(F.sort_array(F.collect_list(F.struct("elem_ord", "name", "type", "line"))),
                              lambda s: F.struct(s["name"].alias("name"), s["type"].alias("type"), s["line"].alias("line"))).alias("children")))
     doc = doc_lookup(docs, n).select("project", "name", F.struct("type", "path", "content").alias("doc"))

@@ -9,21 +9,26 @@ called names with the function declaration around them. All rules are expression
 2. declarators, parameters and implemented types are split at the commas that the skeleton has left;
 3. elements and edges of a file are numbered by their place in the file's own list, so no window ever holds a file.
 
-A file is one row, and its pass one linear scan; after it rows are thin and dealt by no file key but in the join
-that resolves imports. Known differences from a full parser: see README.
+A long text is cut into blocks at lines that can only start a statement, and all blocks are read at the same time as
+if each began at the top level. That is right wherever the block before ends with nothing open, which its own pass
+tells; a block that doesn't is read again together with those after it, twice as many each round, until all agree.
+So a file of any length is read by many tasks, and the result is that of one pass. After it rows are thin and dealt by no
+file key but in the join that resolves imports. Known differences from a full parser: see README.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions.text import SOURCE_EXTENSIONS, dirname, normalise_path
-from codeatlas.functions.tslex import FILL, SCAN_SCHEMA, scan_batches
+from codeatlas.functions.tslex import FILL, SCAN_COLUMNS, block_batches, scan_batches
 from codeatlas.plans.partitioning import running_total
 from codeatlas.plans.stored import stored
 
 FILE = ["project", "path"]
+#: Letters of a text that are read at once, at least.
+BLOCK = 1 << 20
 ID = r"[A-Za-z_$¡-\x{10ffff}][\w$¡-\x{10ffff}]*"
 _HEAD = r"(?s)^((?:@.*?\s)?(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?"
 _INNER = rf"(?:[^()]|\({FILL}*\))*"
@@ -34,9 +39,44 @@ NAMED = _HEAD + rf"(?:const\s+)?(?:interface|type|enum)\s+)({ID})"
 VARIABLE = r"(?s)^((?:export\s+)?(?:declare\s+)?(?:const|let|var)\b)(.*)$"
 
 
-def scanned(source_files: DataFrame) -> DataFrame:
-    """(project, path, statements, calls) of each file."""
-    return source_files.select(*FILE, "content").mapInArrow(scan_batches, SCAN_SCHEMA)
+def scanned(source_files: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(project, path, statements, calls) of each file; texts of more than ``size`` letters are read in blocks."""
+    src = source_files.select(*FILE, "content")
+    short = src.where(F.coalesce(F.length("content"), F.lit(0)) <= size)
+    short = short.mapInArrow(scan_batches, f"project string, path string, {SCAN_COLUMNS}").drop("whole")
+    long = src.where(F.length("content") > size)
+    if long.isEmpty():
+        return short
+    return short.unionByName(_in_blocks(long, size))
+
+
+def _in_blocks(long: DataFrame, size: int) -> DataFrame:
+    keys = "project string, path string"
+    blocks = stored(long.mapInArrow(block_batches(size), f"{keys}, block int, line int, content string"))
+    groups = blocks.select(*FILE, "block", F.col("block").alias("first"))
+    done, reach = None, 1
+    while True:
+        # Texts of the groups that are to be read, put together from their blocks.
+        todo = groups if done is None else groups.join(done.select(*FILE, "first", "n"), [*FILE, "first"], "left").withColumn("own", F.count(F.lit(1)).over(Window.partitionBy(*FILE, "first"))).where(
+            F.col("n").isNull() | (F.col("n") != F.col("own"))).select(*FILE, "block", "first")
+        texts = blocks.join(todo, [*FILE, "block"]).groupBy(*FILE, "first").agg(
+            F.sort_array(F.collect_list(F.struct("block", "line", "content"))).alias("b")).select(
+            *FILE, "first", F.size("b").alias("n"), F.col("b")[0]["line"].alias("line"), F.array_join(F.transform("b", lambda x: x["content"]), "").alias("content"))
+        new = stored(texts.mapInArrow(scan_batches, f"{keys}, first int, n int, line int, {SCAN_COLUMNS}"))
+        kept = groups.groupBy(*FILE, "first").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        done = new if done is None else stored(done.unionByName(new).join(kept, [*FILE, "first", "n"]))
+        # A group stands if the one before it left nothing open; one that did takes those after it in.
+        order = Window.partitionBy(*FILE).orderBy("first")
+        stands = F.coalesce(F.min(F.col("whole").cast("int")).over(order.rowsBetween(-reach, -1)), F.lit(1)) == 1
+        starts = done.select(*FILE, F.col("first").alias("old"), F.max(F.when(stands, F.col("first"))).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first"))
+        changed = stored(starts)
+        if changed.where("old <> first").isEmpty():
+            break
+        groups = stored(groups.withColumnRenamed("first", "old").join(changed, [*FILE, "old"]).select(*FILE, "block", "first"))
+        reach *= 2
+    moved = done.withColumn("statements", F.transform("statements", lambda s: s.withField("line", s["line"] + F.col("line"))))
+    parts = moved.groupBy(*FILE).agg(F.sort_array(F.collect_list(F.struct("first", "statements", "calls"))).alias("p"))
+    return parts.select(*FILE, F.flatten(F.transform("p", lambda x: x["statements"])).alias("statements"), F.flatten(F.transform("p", lambda x: x["calls"])).alias("calls"))
 
 
 def _cut(raw: Column, start: Column, text: Column) -> Column:

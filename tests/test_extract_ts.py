@@ -1,4 +1,4 @@
-from codeatlas.functions.tslex import FILL, scan
+from codeatlas.functions.tslex import FILL, cuts, scan, scan_block
 from codeatlas.operators import extract_ts as xt
 from tests.fixtures import source_files, ts_project
 
@@ -214,3 +214,40 @@ def test_imports_resolve_to_files_that_are_not_scanned(spark):
     tree = spark.createDataFrame([("p", "src/a.ts"), ("p", "src/data.json"), ("p", "src/vendor/lib.js")], "project string, path string")
     got = [(r.dst_path, r.to_element) for r in xt.ts_edges(src, files=tree).orderBy("edge_ord").collect()]
     assert got == [("src/data.json", "default"), ("src/vendor/lib.js", "x"), ("./none", "y")]
+
+
+PIECES = ["export function f(a: string): void { go(a); }", "class A extends B { m() { run(); } }", "const x = 1, y = (a) => a < 3", "let t = `a ${f(1)}", "`", "/* open", "*/", "/** Doc. */", "{", "}", "(", ")",
+          "import { a } from './a'", "export default K", "export abstract class Head<T> extends Foo.Bar<T>", "const z =", "@Dec()", "'un\\", "foo(", "type T = { a: 1 }", "interface I { }", "export { x }", "a = 1", "// c", "return"]
+
+
+def test_blocks_read_on_their_own_give_the_rows_of_one_pass():
+    import random
+
+    random.seed(2)
+    alone = 0
+    for _ in range(1500):
+        src = "\n".join(random.choice(PIECES) for _ in range(random.randint(2, 14)))
+        statements, calls = scan(src)
+        for at in cuts(src, 1)[1:]:
+            s, c, whole = scan_block(src[:at])
+            if whole:
+                alone += 1
+                more, further, _ = scan_block(src[at:])
+                lines = src[:at].count("\n")
+                assert s + [(kind, start + at, line + lines, *rest) for kind, start, line, *rest in more] == statements and c + further == calls, src
+    assert alone > 500
+
+
+def test_long_texts_are_read_in_blocks(spark):
+    """Blocks of any size, some of which end inside a comment, template or class, give the rows of one pass."""
+    import random
+
+    random.seed(4)
+    rows = [("p", f"f{k}.ts", "\n".join(random.choice(PIECES) for _ in range(40))) for k in range(12)]
+    rows += [("p", "hot.ts", "\n".join(f"export function f{k}(a: M<K, V>): void {{ g{k}(a); }}\nexport class C{k} extends D {{\n  m() {{ return h{k}(); }}\n}}" for k in range(300))),
+             ("p", "open.ts", "const t = `\n" + "export const a = 1\n" * 60), ("p", "empty.ts", ""), ("p", "none.ts", None)]
+    src = source_files(spark, rows)
+    line = lambda r: (r.path, [(s.kind, s.line, s.raw, s.skeleton, s.doc, s.top) for s in r.statements], [tuple(c) for c in r.calls])
+    whole = sorted(map(line, xt.scanned(src).collect()))
+    for size in (30, 700):
+        assert sorted(map(line, xt.scanned(src, size).collect())) == whole, size
