@@ -7,14 +7,14 @@ import functools
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.session import ensure_checkpoint_dir
+from codeatlas.plans.partitioning import running_total
+from codeatlas.session import run_folder
 
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
-RANK_CHUNK = 4096
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
@@ -36,7 +36,7 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under ``spark.checkpoint.dir``; only a local session may lack that setting."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/llm-{uuid.uuid4().hex}"
 
 
 def save(df: DataFrame, path: str, compression: str = "zstd") -> None:
@@ -89,21 +89,9 @@ def word_count(text: Column) -> Column:
 
 
 def rank_in_group(df: DataFrame, keys: list[str], doc_id: str, ties: list[str], out: str) -> DataFrame:
-    """Add ``out``: the row's place, from 0, within its ``keys`` group in the order of (doc_id, ties).
-
-    A group may hold any share of all rows. Rows are numbered within chunks of ``RANK_CHUNK``
-    consecutive ids; the chunks' sizes, summed before any shuffle, give each chunk its first place.
-    Rows that tie in everything get distinct places in any order. Null ids form a chunk, first.
-    """
-    chunk, base = "__chunk", "__base"
-    rows = df.withColumn(chunk, F.floor(F.col(doc_id) / F.lit(RANK_CHUNK)).cast("long"))
-    sizes = rows.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(F.col(chunk).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn(base, F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    sizes = sizes.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate([*keys, chunk])], base)
-    order = [F.col(c).asc_nulls_first() for c in [doc_id, *ties]]
-    within = F.row_number().over(Window.partitionBy(*keys, chunk).orderBy(*order)) - 1
-    rows = rows.withColumn("__i", within)
-    same = [F.col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate([*keys, chunk])]
-    joined = rows.join(sizes, on=same, how="inner")
-    return joined.withColumn(out, F.col(base) + F.col("__i")).select(*df.columns, out)
+    """Add ``out``: the row's place, from 0, within its ``keys`` group in the order of (doc_id, ties), null ids first.
+
+    A group may hold any share of all rows, and ids may be of any type and as sparse as hashes are: rows are dealt by
+    ranges of (keys, doc_id, ties) and counted range by range. Rows that tie in everything get distinct places in
+    some order. ``df`` is written in that order, so it should be thin."""
+    return running_total(df.withColumn("__one", F.lit(1).cast("long")), keys, [doc_id, *ties], "__one", out).drop("__one")

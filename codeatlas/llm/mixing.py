@@ -11,7 +11,8 @@ size, and the excess is shared anew by weight among the others; the level at whi
 is found from prefix sums over the sources ordered by cap / weight.
 
 Work at scale: sizes of (source, size) classes are summed before any shuffle; a document's place in its
-class comes from ``rank_in_group``, which splits classes of any size; no task sees a whole source. The
+class comes from ``rank_in_group``, which splits classes of any size; no task sees a whole source. All of this runs
+on thin rows, for which words are counted once. The
 window over the source table (one row per source) is the only one without a partition key.
 
 Defined results: null texts have size 0; the null source is a source of its own, last by code point; a
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clear_of_helpers, rank_in_group, word_count
+from .common import clear_of_helpers, rank_in_group, word_count, written
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -56,34 +57,42 @@ def source_targets(classes: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: st
     return per.withColumn("target", target).select("source", "source_size", "target", _offset(F.col("source"), seed).alias("offset"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-        weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """``docs`` with __size, __source_size, __target, __copies."""
-    columns = docs.columns
-    rows = docs.withColumns({"__size": word_count(F.col(text)), "__source": F.col(source)})
-    classes = rows.groupBy(F.col("__source").alias("source"), F.col("__size").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+def copies_of(thin: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """A written ``thin`` (doc_id, source, size, ...) with source_size, target and copies."""
+    classes = thin.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     in_source = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     starts = classes.withColumn("first", F.coalesce(F.sum("n").over(in_source), F.lit(0)))
     targets = source_targets(classes, weights, cap, seed).withColumnRenamed("source", "t_source")
     plan = starts.join(targets, F.col("source").eqNullSafe(F.col("t_source"))).select(
-        F.col("source").alias("__p_source"), F.col("size").alias("__p_size"), *[F.col(c).alias(f"__{c}") for c in ("first", "source_size", "target", "offset")])
-    ranked = rank_in_group(rows, ["__source", "__size"], doc_id, [], "__rank")
-    joined = ranked.join(plan, F.col("__source").eqNullSafe(F.col("__p_source")) & (F.col("__size") == F.col("__p_size")))
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    end = lambda j: F.floor(j.cast("double") * rate + F.col("__offset"))
-    place = F.col("__first") + F.col("__rank")
-    return joined.select(*columns, "__size", "__source_size", "__target", (end(place + 1) - end(place)).cast("long").alias("__copies"))
+        F.col("source").alias("p_source"), F.col("size").alias("p_size"), "first", "source_size", "target", "offset")
+    ranked = rank_in_group(thin, ["source", "size"], "doc_id", [], "rank")
+    joined = ranked.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    end = lambda j: F.floor(j.cast("double") * rate + F.col("offset"))
+    place = F.col("first") + F.col("rank")
+    return joined.select(*thin.columns, "source_size", "target", (end(place + 1) - end(place)).cast("long").alias("copies"))
 
 
-def mixed_counts(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies."""
-    got = mix(docs.select("doc_id", "text", "source"), **options)
-    return got.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
-                      (F.col("__copies") * F.col("__size")).alias("taken"), F.col("__copies").alias("copies"))
+def mixed_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, copies. Words are counted once."""
+    thin = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
+    return copies_of(thin, **options).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 @clear_of_helpers
-def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mix: every row of ``docs`` as often as the sample takes it."""
-    got = mix(docs, **options).where("__copies > 0")
-    return got.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+def emit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix: every row of ``docs`` as often as the sample takes it.
+
+    Places are found on thin rows; texts move once, to meet their copies by id and a hash of 128 bits of all columns.
+    Rows that are equal in everything take their copies together."""
+    columns = [F.map_entries(F.col(f"`{f.name}`")) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in docs.schema]
+    hashes = {"__a": F.xxhash64(*columns), "__b": F.xxhash64(F.lit(1), *columns)}
+    thin = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *[c.alias(k) for k, c in hashes.items()]))
+    taken = copies_of(thin, **options).groupBy("doc_id", "__a", "__b").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0")
+    taken = written(taken.select(F.col("doc_id").alias("__of"), F.col("__a").alias("__of_a"), F.col("__b").alias("__of_b"), "__copies", "__rows"))
+    same = F.col(doc_id).eqNullSafe(F.col("__of")) & (F.col("__a") == F.col("__of_a")) & (F.col("__b") == F.col("__of_b"))
+    met = lambda some: docs.withColumns(hashes).join(taken.where(some), same)
+    rows = met("__rows = 1")
+    if not taken.where("__rows > 1").isEmpty():
+        rows = rows.unionByName(met("__rows > 1").dropDuplicates([doc_id, "__a", "__b"]))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
