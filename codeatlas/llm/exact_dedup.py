@@ -21,7 +21,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, clear_of_helpers, text_or_empty, written
@@ -31,10 +31,13 @@ FILTER_BITS = 1 << 26
 HASHES = 2
 
 
-def _with_hashes(docs: DataFrame, text: str) -> DataFrame:
+def _sha(text: str) -> Column:
     same = F.regexp_replace(text_or_empty(text), SPACE, " ")
     # Never null, and said so: else the planner hashes each text again to test for nulls.
-    rows = docs.withColumn("__sha", F.coalesce(F.sha2(same.cast("binary"), 256), F.lit("")))
+    return F.coalesce(F.sha2(same.cast("binary"), 256), F.lit(""))
+
+
+def _with_bits(rows: DataFrame) -> DataFrame:
     share = FILTER_BITS // HASHES  # each hash function has a stretch of the filter to itself
     return rows.withColumns({f"__bit{k}": F.pmod(F.xxhash64("__sha", F.lit(k)), F.lit(share)) + F.lit(k * share) for k in range(HASHES)})
 
@@ -46,10 +49,10 @@ def repeated_bits(hashed: DataFrame) -> DataFrame:
     return again.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
 
 
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with keep_id, group_size, kept and text_sha256 (prefixed ``__`` until the caller names them)."""
-    columns = docs.columns
-    hashed = _with_hashes(docs, text)
+def exact_groups(rows: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``rows``, which have their text's hash as __sha, with __keep_id, __group_size and __kept."""
+    columns = [c for c in rows.columns if c != "__sha"]
+    hashed = _with_bits(rows)
     repeated = written(repeated_bits(hashed))
     tested = hashed
     for k in range(HASHES):
@@ -70,7 +73,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    found = exact_groups(docs.select(doc_id, text), doc_id, text)
+    thin = written(docs.select(doc_id, _sha(text).alias("__sha")))  # a text is hashed once
+    found = exact_groups(thin, doc_id)
     return found.select(F.col(doc_id).alias("doc_id"), F.col("__keep_id").alias("keep_id"), F.col("__group_size").alias("group_size"),
                         F.col("__kept").alias("kept"), F.col("__sha").alias("text_sha256"))
 
@@ -78,6 +82,6 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 @clear_of_helpers
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``; of rows that repeat id and text, one."""
-    stay = exact_groups(docs, doc_id, text).where("__kept")
+    stay = exact_groups(docs.withColumn("__sha", _sha(text)), doc_id).where("__kept")
     single = stay.where("__group_size = 1").select(*docs.columns)
     return single.unionByName(stay.where("__group_size > 1").dropDuplicates(["__sha"]).select(*docs.columns))
