@@ -17,6 +17,7 @@ not carried.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ from .tokens import TOKENIZER, encoded
 
 END_ID = 2
 SEGMENT = 1 << 20
+#: Ids in a range of documents at most, on average; a range is a task and a file.
+RANGE = 1 << 25
 IDS = 1 << 16
 
 
@@ -75,7 +78,8 @@ def write_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     table = written(token_table(docs, doc_id, text, tokenizer, end_id))
-    lengths = huffman.code_lengths(id_counts(table))
+    counts = id_counts(table)
+    lengths = huffman.code_lengths(counts)
     book = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     save(spark.createDataFrame(book, "id int, length int").coalesce(1), f"{path}/codebook")
 
@@ -105,8 +109,10 @@ def write_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         if held:
             yield segment()
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = table.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(int(counts.sum()) / RANGE))
+    # Rows that repeat an id go by their ids' checksum: equal ones may change places, others never do.
+    order = [F.col("doc_id").asc_nulls_first(), F.crc32("ids")]
+    dealt = table.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     schema = f"part int, segment int, start long, n_ids long, doc_ids array<{kind}>, sizes array<long>, bit_offsets array<long>, bits binary"
     save(dealt.mapInArrow(segments, schema), f"{path}/blocks", "none")
 
