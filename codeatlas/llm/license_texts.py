@@ -1,12 +1,12 @@
 """Template markup of licences and of the notices by which a file states one, in their publishers' wording.
 
-Fixed values: the wording of the licences. Markup: see ``licenses``. Case and punctuation don't matter."""
+Fixed values: the wording of the licences. Markup: see ``licenses``. Case and punctuation don't matter. A template starts
+with a word of its own: titles, copyright lines and programs' names before it would be optional or replaceable, decide
+nothing, and have the automata start at every word."""
 
-_COPYRIGHT = "<<beginOptional>>copyright <<beginOptional>>c<<endOptional>> <<var;1..14>><<endOptional>>"
 _FSF = "the <<beginOptional>>terms of the<<endOptional>>"
 
-MIT = ("<<beginOptional>>the<<endOptional>> <<beginOptional>>mit license<<endOptional>> <<beginOptional>>(mit)<<endOptional>> " + _COPYRIGHT + " <<beginOptional>>all rights reserved<<endOptional>>"
-       " Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal"
+MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal"
        " in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"
        " copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
        " The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or"
@@ -15,16 +15,14 @@ MIT = ("<<beginOptional>>the<<endOptional>> <<beginOptional>>mit license<<endOpt
        " FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;2..20>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN"
        " ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE")
 
-ISC = ("<<beginOptional>>isc license<<endOptional>> " + _COPYRIGHT +
-       " Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted,"
+ISC = ("Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted,"
        " provided that the above copyright notice and this permission notice appear in all copies."
        " THE SOFTWARE IS PROVIDED \"AS IS\" AND <<var;2..10>> ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED"
        " WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;2..10>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY"
        " DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR"
        " IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE")
 
-_BSD_HEAD = (_COPYRIGHT + " <<beginOptional>>all rights reserved<<endOptional>>"
-             " Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_HEAD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
              " <<beginOptional>>1<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
              " <<beginOptional>>2<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer"
              " in the documentation and/or other materials provided with the distribution.")
@@ -47,8 +45,8 @@ MPL_HEADER = ("This Source Code Form is subject to the terms of the Mozilla Publ
               " <<beginOptional>>you can obtain one at <<var;1..1>> <<beginOptional>>www<<endOptional>> mozilla.org/MPL/2.0<<endOptional>>")
 
 
-def _gnu(kind: str, program: str) -> str:
-    return (f"<<beginOptional>>this file is part of <<var;1..6>><<endOptional>> {program} is free software: you can redistribute it and/or modify it"
+def _gnu(kind: str) -> str:
+    return ("is free software: you can redistribute it and/or modify it"
             f" under the terms of the GNU {kind} as published by the Free Software Foundation, either version <<var;1..2>> of the License,"
             " or (at your option) any later version")
 
@@ -58,8 +56,8 @@ TEMPLATES = {
     "MIT": MIT, "ISC": ISC, "BSD-2-Clause": BSD_2, "BSD-3-Clause": BSD_3,
     # Notices of files under longer licences.
     "Apache-2.0-header": APACHE_HEADER, "MPL-2.0-header": MPL_HEADER,
-    "GPL-header": _gnu("General Public License", "<<var;1..3>>"), "LGPL-header": _gnu("Lesser General Public License", "<<var;1..3>>"),
-    "AGPL-header": _gnu("Affero General Public License", "<<var;1..3>>"),
+    "GPL-header": _gnu("General Public License"), "LGPL-header": _gnu("Lesser General Public License"),
+    "AGPL-header": _gnu("Affero General Public License"),
     # Lines that name a licence.
     "mit-notice": "<<beginOptional>>this <<var;1..4>> is<<endOptional>> <<beginOptional>>released<<endOptional>> <<beginOptional>>licensed<<endOptional>>"
                   f" under {_FSF} mit license",
