@@ -5,8 +5,12 @@ function of the difference of their scores, a score being linear in text statist
 logistic loss on feature differences. A quantile of the training scores becomes the threshold, and the logistic
 function of a score's distance from it the result, so that 0.5 is the threshold.
 
-Only the fit is bounded: at most ``PER_CLASS`` labelled rows of each class, those with the smallest hashes of
-their ids, so the driver holds a fixed number of feature rows. Every whole text is scored, in Arrow batches.
+Every labelled training row takes part in the fit, and no task holds more than a block of them: rows are dealt by
+hash to blocks of about ``PER_BLOCK`` rows of each class, a block's pairs give its weights, and the model has the mean
+of the blocks' weights. The smaller class is dealt to fewer blocks, each of which meets several of the larger one, so
+every row of the larger class has opponents. Means and spreads of the features, and the quantile of the scores, are
+those of all training rows. Features are made once per text, in Arrow batches, and stored for the fit and the scores;
+the driver holds the model and counts.
 
 Features see the text alone: shares of ASCII characters and others, word and line statistics, how well
 neighbouring words repeat, and how far the text compresses.
@@ -24,11 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows of each class that a fit takes at most.
-PER_CLASS = 6000
+from codeatlas.plans.partitioning import running_total
+from codeatlas.plans.stored import stored
+
+#: Labelled rows of each class in a block, on average at most.
+PER_BLOCK = 6000
 PAIRS_EACH = 8
 ROUNDS = 300
 RIDGE = 1e-3
@@ -59,10 +66,15 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, carried: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, ``carried``, y) of at most ``per_class`` training rows of each class."""
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of the documents that a fit may see."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.round(F.avg(label)).cast("int").alias("y"))
+    return known.groupBy("doc_id").agg(F.round(F.avg(label)).cast("int").alias("y"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, ``carried``, y) of at most ``per_class`` training rows of each class."""
+    known = known_labels(labels, label)
     chosen = None
     for y in (0, 1):  # sorted and cut in every task, so no task holds more than per_class rows
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
@@ -87,48 +99,88 @@ def fit_bradley_terry(good: np.ndarray, bad: np.ndarray, seed: int = 7) -> np.nd
     return w
 
 
-def fit(rows: list) -> dict:
-    """Model from (doc_id, features, y) rows."""
-    # Sorted, so that a fit doesn't depend on the order in which tasks end.
-    rows = sorted(rows, key=lambda r: (r["y"], r["doc_id"]))
-    x = np.array([np.frombuffer(r["x"], dtype=np.float32) for r in rows], dtype=np.float64).reshape(-1, N_FEATURES)
-    y = np.array([r["y"] for r in rows], dtype=int)
-    if not len(y) or y.min() == y.max():
-        return {"constant": float(y.mean()) if len(y) else 0.5}
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = (x - mean) / spread
-    w = fit_bradley_terry(z[y == 1], z[y == 0])
-    score = z @ w
-    # The quantile of the training scores with the best balanced accuracy.
-    order = np.argsort(score, kind="stable")
-    bad_below = np.cumsum(y[order] == 0) / (y == 0).sum()
-    good_below = np.cumsum(y[order] == 1) / (y == 1).sum()
-    k = int(np.argmax((bad_below - good_below)[:-1]))
-    threshold = (score[order[k]] + score[order[k + 1]]) / 2
-    return {"mean": mean, "spread": spread, "w": w, "threshold": float(threshold), "unit": float(score.std() / 4 + 1e-9)}
+def as_matrix(x: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x.to_pylist()), dtype=np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+
+
+def in_blocks(rows: DataFrame, sizes: dict[int, int], per_block: int) -> DataFrame:
+    """``rows`` (doc_id, x, y) with a ``block``: each row of the larger class in one, those of the smaller in one or more."""
+    larger = max(sizes, key=lambda y: (sizes[y], y))
+    n_blocks, n_parts = -(-sizes[larger] // per_block), -(-sizes[1 - larger] // per_block)
+    # Repeated rows are told apart by a number, so that they spread like others.
+    copies = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "y").orderBy("x")))
+    dealt = F.xxhash64("doc_id", "copy")
+    blocks = F.when(F.col("y") == larger, F.array(F.pmod(dealt, F.lit(n_blocks)))).otherwise(
+        F.sequence(F.pmod(dealt, F.lit(n_parts)), F.lit(n_blocks - 1).cast("long"), F.lit(n_parts).cast("long")))
+    return copies.select("doc_id", "x", "y", F.explode(blocks).alias("block"))
+
+
+def linear(x: np.ndarray, model: dict) -> np.ndarray:
+    return (x - model["mean"]) / model["spread"] @ model["w"]
+
+
+def fit(rows: DataFrame, per_block: int = PER_BLOCK) -> dict:
+    """Model from all (doc_id, x, y) rows; ``rows`` is read several times."""
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
+        return {"constant": float(next(iter(sizes), 0.5))}
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = as_matrix(batch.column("x"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(N_FEATURES, dtype=np.int32), len(x))), pa.array(x.ravel())], names=["k", "v"])
+
+    # Rounded, as sums of doubles depend on the order in which tasks end.
+    stats = rows.select("x").mapInArrow(values, "k int, v double").groupBy("k").agg(F.round(F.avg("v"), 12).alias("mean"), F.round(F.stddev_pop("v"), 12).alias("spread"))
+    stats = stats.orderBy("k").collect()  # one row per feature
+    mean, spread = np.array([r["mean"] for r in stats]), np.array([r["spread"] for r in stats]) + 1e-3
+
+    def fit_block(block: pa.Table) -> pa.Table:
+        block = block.sort_by([("y", "ascending"), ("doc_id", "ascending"), ("x", "ascending")])
+        y, z = block.column("y").to_numpy(), (as_matrix(block.column("x")) - mean) / spread
+        good, bad = z[y == 1], z[y == 0]
+        w = [fit_bradley_terry(good, bad)] if len(good) and len(bad) else []
+        return pa.table({"n": pa.array([max(len(good), len(bad))] * len(w), pa.int64()), "w": pa.array([v.tolist() for v in w], pa.list_(pa.float64()))})
+
+    fits = in_blocks(rows, sizes, per_block).groupBy("block").applyInArrow(fit_block, "n long, w array<double>")
+    weights = fits.select("n", F.posexplode("w").alias("k", "v")).groupBy("k").agg(F.round(F.sum(F.col("v") * F.col("n")) / F.sum("n"), 12).alias("w"))
+    model = {"mean": mean, "spread": spread, "w": np.array([r["w"] for r in weights.orderBy("k").collect()])}
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(linear(as_matrix(batch.column("x")), model)), batch.column("y")], names=["score", "y"])
+
+    # The quantile of the training scores with the best balanced accuracy. Rows before one are counted in one sum, the bad ones in its upper half.
+    bad = F.when(F.col("y") == 0, F.lit(1 << 32)).otherwise(F.lit(1)).cast("long")
+    ranked = running_total(rows.select("x", "y").mapInArrow(scores, "score double, y int").withColumns({"all": F.lit(0), "one": bad}), ["all"], ["score", "y"], "one", "before")
+    upto = F.col("before") + F.col("one")
+    n_bad, n_good = F.shiftright(upto, 32), upto.bitwiseAND(F.lit((1 << 32) - 1))
+    ranked = stored(ranked.select("score", (n_bad + n_good).alias("place"), (n_bad / sizes[0] - n_good / sizes[1]).alias("gain")))
+    best = ranked.where(F.col("place") < sum(sizes.values())).agg(F.max_by("place", F.struct("gain", -F.col("place"))).alias("k")).first()["k"]
+    found = ranked.agg(F.avg(F.when(F.col("place").isin(best, best + 1), F.col("score"))).alias("threshold"), F.round(F.stddev_pop("score"), 12).alias("spread")).first()
+    return model | {"threshold": found["threshold"], "unit": found["spread"] / 4 + 1e-9}
 
 
 def with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = [features(t.as_py()).tobytes() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.binary()), batch.column("y")], names=["doc_id", "x", "y"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.binary())], names=["doc_id", "x"])
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", per_block: int = PER_BLOCK) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = labelled_sample(docs, labels, label, per_class).mapInArrow(with_features, f"doc_id {kind}, x binary, y int")
-    model = fit(sample.collect())  # at most 2 * per_class rows
+    seen = stored(docs.select("doc_id", "text").mapInArrow(with_features, f"doc_id {kind}, x binary"))
+    model = fit(stored(seen.join(known_labels(labels, label).where(F.col("y").isin(0, 1)), "doc_id")), per_block)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if "constant" in model:
                 p = np.full(batch.num_rows, model["constant"])
             else:
-                x = np.array([features(t.as_py()) for t in batch.column("text")], dtype=np.float64).reshape(-1, N_FEATURES)
-                s = (x - model["mean"]) / model["spread"] @ model["w"]
+                s = linear(as_matrix(batch.column("x")), model)
                 p = 1 / (1 + np.exp(np.clip(-(s - model["threshold"]) / model["unit"], -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double")
+    scored = seen.mapInArrow(score, f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -412,6 +412,39 @@ def test_quality_ranker_against_brute_force(spark, texts):
         assert got[k].predicted == int(got[k].score >= 0.5) and got[k].held_out == (zlib.crc32(str(k).encode()) % 3 == 1)
 
 
+def test_quality_ranker_fits_every_labelled_row(spark):
+    """Blocks of 20 rows a class: means, weights and threshold are those of all rows, not of 20."""
+    from codeatlas.llm import quality_ranker as q
+
+    random.seed(11)
+    words = ["tree", "river", "stone", "wind", "bridge", "lamp", "field", "cloud"]
+    ids = [k for k in range(900) if zlib.crc32(str(k).encode()) % 3 != 1][:400]
+    rows = [(k, " ".join(random.choice(words) + ("# $" if random.random() < (0.3 if n % 4 else 0.5) else "") for _ in range(random.randint(5, 40)))) for n, k in enumerate(ids)]
+    rows += rows[:3] * 30  # repeated rows spread over the blocks
+    y = {k: int(n % 4 != 0) for n, k in enumerate(ids)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(list(y.items()), "doc_id long, quality int")
+    got = q.classify(docs, labels, "quality", 20).collect()
+    assert len(got) == len(rows)
+    good, bad = (np.array([r.score for r in got if y[r.doc_id] == c]) for c in (1, 0))
+    gains = [(bad < t).mean() - (good < t).mean() for t in [*good, *bad]]
+    assert (bad < 0.5).mean() - (good < 0.5).mean() == pytest.approx(max(gains))  # the best threshold over all rows
+    x = spark.createDataFrame([(k, bytearray(q.features(t).tobytes()), y[k]) for k, t in rows], "doc_id long, x binary, y int")
+    sizes = {c: sum(y[k] == c for k, _ in rows) for c in (0, 1)}
+    blocks = q.in_blocks(x, sizes, 20).collect()
+    assert Counter(r.doc_id for r in blocks if r.y == 1) == Counter(k for k, _ in rows if y[k] == 1)
+    assert {r.doc_id for r in blocks if r.y == 0} == {k for k in ids if y[k] == 0}
+    of = defaultdict(lambda: ([], []))
+    for r in sorted(blocks, key=lambda r: (r.doc_id, bytes(r.x))):
+        of[r.block][r.y].append(np.frombuffer(r.x, dtype=np.float32).astype(float))
+    assert all(len(a) and len(b) < 45 for a, b in of.values())
+    seen = np.array([q.features(t) for _, t in rows], dtype=float)
+    mean, spread = seen.mean(axis=0), seen.std(axis=0) + 1e-3
+    fits = [(max(len(a), len(b)), q.fit_bradley_terry((np.array(b) - mean) / spread, (np.array(a) - mean) / spread)) for a, b in of.values()]
+    w = sum(n * v for n, v in fits) / sum(n for n, _ in fits)
+    assert np.allclose(q.fit(x, 20)["w"], w, atol=1e-6)
+
+
 def test_toxic_texts_are_found_in_every_language(spark):
     from codeatlas.llm.common import labels
 
