@@ -250,3 +250,18 @@ def test_lag_in_order_matches_window(spark):
         finally:
             for k, v in before.items():
                 spark.conf.set(k, v)
+
+
+def test_contained_phrases_shuffle_matches_only(spark):
+    """No join of all words with a vocabulary, whatever the sizes: the words are filtered where they are read."""
+    docs = docs_of(spark, [("p", k, f"e{k}", "", "page", f"one Alpha-beta gamma{k} tail", [], "manual", T0, T0) for k in range(40)])
+    index = SearchIndex.build(docs)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for q, n in [("alpha-beta gamma7", 1), ("pha-beta gamma1", 11), ("lph", 40), ("one alpha-beta gam", 40), ("ne alpha beta", 0)]:
+            found = index.containing(q)
+            assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+            assert found.count() == n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
