@@ -265,3 +265,11 @@ def test_contained_phrases_shuffle_matches_only(spark):
             assert found.count() == n
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_code_rows_are_dealt_before_they_are_scored(spark):
+    files, el, _ = ts_tables(spark)
+    whole = S.code_hits(files, el, "roundTo")
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("levenshtein") < plan.index("RepartitionByExpression")
+    assert whole.count() == files.count() + el.count()
