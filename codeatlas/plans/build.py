@@ -58,7 +58,9 @@ def select_sources(source_files: DataFrame, projects: DataFrame) -> DataFrame:
 
 def build(source_files: DataFrame, projects: DataFrame, paths: DataFrame | None = None) -> Tables:
     """``paths`` (project, path): all files that imports may name, by default those of ``source_files``."""
-    # read by both language branches and by the files table: made once, kept in the shared folder
+    # read by the choice of paths, by the texts' meeting with it and by the imports: made once, kept in the shared folder
+    source_files = stored(source_files)
+    # likewise, by both language branches and by the files table
     src = stored(select_sources(source_files, projects))
     py = src.where(F.col("language") == "python").select("project", "path", "content")
     ts = src.where(F.col("language") != "python").select("project", "path", "content")

@@ -182,3 +182,20 @@ def test_run_records(spark):
     dl = runs.run_deltas(r).collect()
     assert [(x.case, x.mode, x.d_wall_s, x.d_total_tokens, x.d_cost_usd) for x in dl] == [("c1", "tool", -4.0, -70, -0.3)]
     assert datetime is not None
+
+
+def test_build_makes_its_input_once(spark):
+    from codeatlas.plans.build import build
+
+    made = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    src = spark.createDataFrame([("p", f"a{k}.py", f"def f{k}(x):\n    return g(x)\n") for k in range(5)] + [("p", "no.py", None)], "project string, path string, content string")
+    projects = spark.createDataFrame([("p", "python")], "project string, language string")
+    t = build(src.mapInArrow(rows, src.schema), projects)
+    assert t.files.count() == t.elements.count() == 5 and t.edges.where("type = 'call'").count() > 0
+    assert made.value == 6
