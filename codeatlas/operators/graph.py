@@ -112,37 +112,60 @@ def element_edges(edges: DataFrame, elems: DataFrame, limit: int | None = 50) ->
     once per element, first ``limit`` in edge order.
 
     Name matches depend only on (project, name) and path matches only on
-    (project, path), so with a limit each side is first cut to its own top ``limit``
-    (a partial group limit before any shuffle), and only those few rows meet the
-    elements: a common name such as ``main`` shared by thousands of elements never
-    multiplies a hub's edges. The cut is exact: an edge in an element's top ``limit``
-    is in the top ``limit`` of its name side or of its path side."""
+    (project, path), so with a limit each side is first cut to its own top ``limit``,
+    one sorted list per key. Elements meet the two lists, never an edge as a row: what a
+    task sorts are a bounded share of the edges, or elements. The cut is exact: an edge in
+    an element's top ``limit`` is in the top ``limit`` of its name side or of its path side."""
     fe, te = F.col("from_element"), F.col("to_element")
-    by_name = edges.select(*EDGE_COLS, F.inline(F.array(
-        F.struct(F.lit(1).alias("kind"), fe.alias("key")),
-        F.struct(F.lit(2).alias("kind"), F.when(~F.coalesce(fe == te, F.lit(False)), te).alias("key")))))
-    by_name = by_name.where(F.col("key").isNotNull())
-    by_path = edges.select(*EDGE_COLS, F.inline(F.array(
-        F.struct(F.lit(3).alias("kind"), F.when(fe.isNull(), F.col("src_path")).alias("key")),
-        F.struct(F.lit(4).alias("kind"), F.when(te.isNull() & ~(fe.isNull() & (F.col("src_path") == F.col("dst_path"))),
-                                                F.col("dst_path")).alias("key")))))
-    by_path = by_path.where(F.col("key").isNotNull())
-    if limit is not None:
-        by_name = top_k(by_name, ["project", "key"], edge_order(), limit, "_r").drop("_r")
-        by_path = top_k(by_path, ["project", "key"], edge_order(), limit, "_r").drop("_r")
-    own = [F.col("id").alias("elem_id"), F.col("path").alias("elem_path"), "elem_ord"]
-    el_n = elems.select("project", *own, F.col("name").alias("key"))
-    el_p = elems.select("project", *own, F.col("name").alias("el_name"), F.col("path").alias("key"))
+    ends_n = [fe, F.when(~F.coalesce(fe == te, F.lit(False)), te)]
+    ends_p = [F.when(fe.isNull(), F.col("src_path")),
+              F.when(te.isNull() & ~(fe.isNull() & (F.col("src_path") == F.col("dst_path"))), F.col("dst_path"))]
+    own = elems.select("project", F.col("id").alias("elem_id"), F.col("path").alias("elem_path"), "elem_ord", "name")
     elem = ["elem_id", "elem_path", "elem_ord"]
-    hits_n = by_name.join(el_n, ["project", "key"]).select(*elem, *EDGE_COLS)
     # a path-side edge whose from/to element is the element's own name is already on the name side
-    hits_p = (by_path.join(el_p, ["project", "key"])
-              .where(~F.coalesce(fe == F.col("el_name"), F.lit(False)) & ~F.coalesce(te == F.col("el_name"), F.lit(False)))
-              .select(*elem, *EDGE_COLS))
-    u = hits_n.unionByName(hits_p)
+    on_name = lambda f, t: F.coalesce(f == F.col("name"), F.lit(False)) | F.coalesce(t == F.col("name"), F.lit(False))
     if limit is None:
-        return u
-    return top_k(u, ["project", "elem_path", "elem_ord"], edge_order(), limit, "pos")
+        hits_n = _by_end(edges, ends_n, "name").join(own, ["project", "name"])
+        hits_p = _by_end(edges, ends_p, "elem_path").join(own, ["project", "elem_path"]).where(~on_name(fe, te))
+        return hits_n.select(*elem, *EDGE_COLS).unionByName(hits_p.select(*elem, *EDGE_COLS))
+    names, paths = _first_edges(edges, ends_n, "name", limit), _first_edges(edges, ends_p, "elem_path", limit)
+
+    def hits(some: DataFrame) -> DataFrame:
+        # the lists are the hashed sides: rows that carry a list are not sorted for the join
+        both = (some.join(names.hint("shuffle_hash"), ["project", "name"], "left")
+                .join(paths.hint("shuffle_hash"), ["project", "elem_path"], "left"))
+        none = F.array().cast(names.schema["name_edges"].dataType)
+        rest = F.filter(F.coalesce("elem_path_edges", none), lambda e: ~on_name(e["from_element"], e["to_element"]))
+        return both.select("project", *elem, F.slice(F.sort_array(F.concat(F.coalesce("name_edges", none), rest)), 1, limit).alias("_e"))
+
+    # elements given more than once share one limit
+    keys = ["project", "elem_path", "elem_ord"]
+    again = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*[F.col(c).alias(f"_{c}") for c in keys])
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = [*elem, *EDGE_COLS, "pos"]
+    one = (hits(own.join(again, same, "left_anti")).select("project", *elem, F.posexplode("_e").alias("_at", "e"))
+           .select("project", *elem, "e.*", (F.col("_at") + 1).cast("long").alias("pos")))
+    more = hits(own.join(again, same, "left_semi")).select("project", *elem, F.inline("_e"))
+    return one.select(*out).unionByName(top_k(more, keys, edge_order(), limit, "pos").select(*out))
+
+
+def _by_end(edges: DataFrame, ends, key: str) -> DataFrame:
+    """Each edge under each of its ``ends`` that isn't null, as the column ``key``; ``_end`` numbers them."""
+    keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("_end"), x.alias(key)) for i, x in enumerate(ends)])
+    return edges.select(*EDGE_COLS, F.inline(keys)).where(F.col(key).isNotNull())
+
+
+def _first_edges(edges: DataFrame, ends, key: str, limit: int) -> DataFrame:
+    """One row per (project, ``key``): the first ``limit`` edges with that end in edge order, as the array ``<key>_edges``.
+
+    Edges are dealt by key and end into pieces of a size that adaptive execution bounds -- a hub takes several -- and
+    each piece is cut before the keys are brought together, so no task sorts more than a piece or the cut rows."""
+    dealt = _by_end(edges, ends, key).hint("rebalance", "project", key, "_end")
+    cut = top_k(dealt, ["project", key], edge_order(), limit, "_r")
+    return (cut.groupBy("project", key)
+            .agg(F.sort_array(F.collect_list(F.struct(*edge_order_cols()))).alias(f"{key}_edges")))
 
 
 def edge_order_cols():
